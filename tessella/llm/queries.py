@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import quality
+from tessella.llm import near_duplicates, quality
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,8 +16,12 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_groups(table(spark, sf_dir, "documents"), 5, 85, 100)
+
+
 def queries() -> dict:
-    return {"op2_quality_rules": op2_quality_rules}
+    return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
 
 def oracle_sql() -> dict[str, str]:
