@@ -139,7 +139,7 @@ class Gather:
         self.held: dict[str, list[np.ndarray]] = {k: [] for k in self.fields}
         self.bytes = 0
 
-    def add(self, size: int, **columns: np.ndarray) -> None:
+    def add(self, size: int, /, **columns: np.ndarray) -> None:
         self.bytes += size
         for k, v in columns.items():
             self.held[k].append(v)
