@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import decontamination, line_dedup, near_duplicates, quality, substring_dedup, suffix_dedup
+from tessella.llm import decontamination, line_dedup, near_duplicates, quality, substring_dedup, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_groups(table(spark, sf_dir, "documents"), 5, 85, 100)
 
 
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.history(table(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "captured_at")
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f) and name[2].isdigit()}
 
