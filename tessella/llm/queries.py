@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tessella.llm import decontamination, line_dedup, near_duplicates, quality, substring_dedup, suffix_dedup, warc
+from tessella.llm import decontamination, language_id, line_dedup, near_duplicates, quality, substring_dedup, suffix_dedup, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,13 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.where(language_id.remainder(3) != 1).select("lang", "text"))
+    out = language_id.identify(docs, net)
+    return out.select("doc_id", F.coalesce(language_id.remainder(3) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_groups(table(spark, sf_dir, "documents"), 5, 85, 100)
 
