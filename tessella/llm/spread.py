@@ -8,7 +8,6 @@ moves a few wide rows of binary columns, not millions of narrow ones.
 from __future__ import annotations
 
 import atexit
-import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -47,22 +46,26 @@ def remove(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table in the shared folder and read it again: a lost executor later costs a read, not the lineage.
 
-    What the shuffles behind it left on disk goes as soon as their plan is collected.
+    The shuffle files behind it are deleted as soon as it is written.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tessella-{uuid.uuid4().hex}"
     if not _made:
         atexit.register(_forget)
     _made.setdefault(spark.sparkContext.applicationId, []).append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    schema = df.schema
-    del df
-    out = spark.read.schema(schema).parquet(path)
-    sweep(spark)
-    return out
+    before = spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop(df: DataFrame) -> None:
@@ -73,11 +76,6 @@ def drop(df: DataFrame) -> None:
             remove(spark, path)
 
 
-def sweep(spark: SparkSession) -> None:
-    gc.collect()
-    spark._jvm.System.gc()
-
-
 def _forget() -> None:
     spark = SparkSession.getActiveSession()
     if spark is None:
@@ -220,8 +218,6 @@ def components(edges: DataFrame) -> DataFrame:
     is a partially aggregated minimum, so a hub costs one row a task. Rounds
     are cut by scratch tables, and the number of rounds is logarithmic.
     """
-    spark = edges.sparkSession
-
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -242,6 +238,5 @@ def components(edges: DataFrame) -> DataFrame:
         last, seen = seen, mark(now)
         if last == seen:
             break
-    sweep(spark)
     roots = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
