@@ -112,11 +112,21 @@ def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
     return Words(start, end, doc, first, Prefix(LOWER[data] if lower else data, BYTE_BASE).spans(start, end))
 
 
-def inside(first: np.ndarray, length: int) -> np.ndarray:
-    """Window starts i for which i .. i+length-1 lie in one document (first: its units' offsets)."""
+def whole_windows(first: np.ndarray, length: int) -> np.ndarray:
+    """For every start whether its window lies in one document (first: the documents' offsets in units)."""
     n = int(first[-1])
-    last = np.repeat(first[1:], np.diff(first))
-    return np.flatnonzero(np.arange(n) + length <= last)
+    edge = np.zeros(n + 1, np.int8)
+    a = first[:-1]
+    b = np.maximum(first[1:] - length + 1, a)
+    some = b > a
+    edge[a[some]] += 1  # starts of long enough documents are distinct, and so are their ends
+    edge[b[some]] -= 1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
+
+
+def inside(first: np.ndarray, length: int) -> np.ndarray:
+    """Window starts i for which i .. i+length-1 lie in one document."""
+    return np.flatnonzero(whole_windows(first, length))
 
 
 def slide_min(a: np.ndarray, w: int) -> np.ndarray:
@@ -128,25 +138,32 @@ def slide_min(a: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(a[: len(a) - (w - width)], a[w - width :]) if width < w else a
 
 
-def minimizers(h: np.ndarray, first: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Content-defined anchors: (positions, window starts with a full window).
+def minimizers(h: np.ndarray, first: np.ndarray, k: int, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Content-defined anchors: (their places, the least gram of every window, which windows are whole).
 
     h: hashes of the k-unit grams at every start. Every window of `length` units
     inside one document holds at least one anchor gram, the least of its grams;
     equal windows hold equal anchors at equal places.
     """
-    starts = inside(first, length)
     w = length - k + 1
-    if not len(starts):
-        return np.empty(0, np.int64), starts
+    ok = whole_windows(first, length)[: max(len(h) - w + 1, 0)]
+    if not ok.any():
+        return np.empty(0, np.int64), np.empty(0, np.uint64), ok
     least = slide_min(h, w)
-    ok = np.zeros(len(least), bool)
-    ok[starts] = True
     # a gram is an anchor if it is the least of some whole window that holds it
-    reach = np.where(ok, least, np.uint64(0))
-    pad = np.zeros(w - 1, np.uint64)
-    most = ~slide_min(~np.concatenate([pad, reach, pad]), w)
-    return np.flatnonzero((most == h[: len(most)]) & (most > 0)), starts
+    reach = np.zeros(len(least) + 2 * (w - 1), np.uint64)
+    np.copyto(reach[w - 1 : w - 1 + len(least)], least, where=ok)
+    most = slide_max(reach, w)
+    return np.flatnonzero((most == h) & (most > 0)), least, ok
+
+
+def slide_max(a: np.ndarray, w: int) -> np.ndarray:
+    """Maximum of each w consecutive values."""
+    width = 1
+    while 2 * width <= w:
+        a = np.maximum(a[:-width], a[width:])
+        width *= 2
+    return np.maximum(a[: len(a) - (w - width)], a[w - width :]) if width < w else a
 
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -4,9 +4,11 @@ The match length L is fixed (50 bytes), so a suffix counts by its first L
 bytes. Anchors (16-byte grams that are least in some window) which occur in two
 documents mark the passages that can match at all; each marked passage travels
 once, with the suffix starts that the anchor stands for, to the bucket of its
-anchor. There passages arrive in batches by doc_id. A batch gets a suffix array
-(its suffixes in the order of their first 8 bytes, then of a 64-bit fingerprint
-of all L bytes; equal ones collapse to the least document), is scanned against
+anchor. There passages arrive in batches by doc_id; a passage that came before,
+byte for byte, is settled at once. A batch gets a suffix array (its suffixes in
+the order of their first two bytes, then of a fingerprint of all L bytes, as
+nothing but equality at L bytes is asked of it; equal ones collapse to the least
+document), is scanned against
 the arrays of the existing levels, and becomes a level itself; while the two
 last levels are of like size they merge into one, so that n batches leave about
 log2(n) levels, each suffix is merged log2(n) times at most, and a new batch
@@ -51,7 +53,7 @@ VERDICT = {"doc": "i8", "at": "u4", "mask": "u8"}
 def byte_grams(length: int):
     def grams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         h = K.Prefix(data, K.BYTE_BASE).windows(GRAM)
-        at, _ = K.minimizers(h, off, GRAM, length)
+        at, _, _ = K.minimizers(h, off, GRAM, length)
         return h[at], np.searchsorted(off, at, "right") - 1
 
     return grams
@@ -61,14 +63,18 @@ def marked(data: np.ndarray, off: np.ndarray, length: int, known: np.ndarray) ->
     """(first window start, number of starts, anchor key) of the runs of windows with one marked anchor."""
     none = np.empty(0, np.int64)
     h = K.Prefix(data, K.BYTE_BASE).windows(GRAM)
-    starts = K.inside(off, length)
-    if not len(starts):
+    at, least, ok = K.minimizers(h, off, GRAM, length)
+    places = at[A.among(h[at], known)] if len(at) else at
+    if not len(places):
         return none, none, np.empty(0, np.uint64)
-    least = K.slide_min(h, length - GRAM + 1)[starts]
-    sel = A.among(least, known)
-    p, least = starts[sel], least[sel]
-    # the first place at or after p where a gram has this hash: candidates are the places of marked grams
-    places = np.flatnonzero(A.among(h, known))
+    # windows whose least gram is marked: neighbours mostly share it, so only changes are looked up
+    change = np.ones(len(least), bool)
+    change[1:] = least[1:] != least[:-1]
+    where = np.flatnonzero(change)
+    hit = np.repeat(A.among(least[where], known), np.diff(np.append(where, len(least))))
+    p = np.flatnonzero(hit & ok)
+    least = least[p]
+    # the first place at or after p where a gram has this hash
     n = np.searchsorted(places, p)
     wrong = h[places[n]] != least if len(p) else np.empty(0, bool)
     while wrong.any():
@@ -120,35 +126,36 @@ def passages(docs: DataFrame, groups: int, replies: DataFrame, length: int) -> D
 class Level:
     """A suffix array: distinct suffixes in order, with the least document of each."""
 
-    def __init__(self, head: np.ndarray, name: np.ndarray, doc: np.ndarray):
-        order = np.lexsort((doc, name, head))
-        head, name, doc = head[order], name[order], doc[order]
-        new = np.ones(len(head), bool)
-        new[1:] = (head[1:] != head[:-1]) | (name[1:] != name[:-1])
-        self.head, self.name, self.doc = head[new], name[new], doc[new]
-        self.heads = self.head[S.group_edges(self.head)[:-1]]
-        rank = np.searchsorted(self.heads, self.head).astype(np.uint64)
-        self.place = (rank << np.uint64(32)) | (self.name >> np.uint64(32))
+    def __init__(self, key: np.ndarray, name: np.ndarray, doc: np.ndarray):
+        order = np.argsort(key, kind="stable")
+        k, n = key[order], name[order]
+        same_key = k[1:] == k[:-1]
+        if (same_key & (n[1:] != n[:-1])).any():  # then equal names need not be neighbours
+            order = np.lexsort((name, key))
+            k, n = key[order], name[order]
+            same_key = k[1:] == k[:-1]
+        new = np.ones(len(k), bool)
+        new[1:] = ~(same_key & (n[1:] == n[:-1]))
+        at = np.flatnonzero(new)
+        self.key, self.name = k[at], n[at]
+        self.doc = np.minimum.reduceat(doc[order], at) if len(at) else doc
+        self.of = np.empty(len(k), np.int64)  # which distinct suffix each given one is
+        self.of[order] = np.cumsum(new) - 1
 
     def __len__(self) -> int:
-        return len(self.head)
-
-    def scan(self, head: np.ndarray, name: np.ndarray) -> np.ndarray:
-        """The least document of each suffix in this level, or the greatest long."""
-        out = np.full(len(head), np.iinfo(np.int64).max)
-        if not len(self):
-            return out
-        rank = np.minimum(np.searchsorted(self.heads, head), len(self.heads) - 1)
-        left = np.flatnonzero(self.heads[rank] == head)
-        want = (rank[left].astype(np.uint64) << np.uint64(32)) | (name[left] >> np.uint64(32))
-        at = np.searchsorted(self.place, want)
+        return len(self.key)
+
+    def scan(self, batch: Level) -> np.ndarray:
+        """The least document here of each distinct suffix of a batch, or the greatest long."""
+        out = np.full(len(batch), np.iinfo(np.int64).max)
+        left, at = np.arange(len(batch)), np.searchsorted(self.key, batch.key)
         while len(left):
             ok = at < len(self)
-            ok[ok] = self.place[at[ok]] == want[ok]
-            left, want, at = left[ok], want[ok], at[ok]
-            hit = self.name[at] == name[left]
+            ok[ok] = self.key[at[ok]] == batch.key[left[ok]]
+            left, at = left[ok], at[ok]
+            hit = self.name[at] == batch.name[left]
             out[left[hit]] = self.doc[at[hit]]
-            left, want, at = left[~hit], want[~hit], at[~hit] + 1
+            left, at = left[~hit], at[~hit] + 1
         return out
 
 
@@ -158,35 +165,47 @@ class Family:
     def __init__(self) -> None:
         self.levels: list[Level] = []
 
-    def add(self, head: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def add(self, key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The least document so far of each suffix of a new batch, which then joins the family."""
-        own = Level(head, name, doc)
-        least = own.scan(head, name)
+        own = Level(key, name, doc)
+        least, of = own.doc, own.of
         for level in self.levels:
-            least = np.minimum(least, level.scan(head, name))
+            least = np.minimum(least, level.scan(own))
         self.levels.append(own)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(Level(*(np.concatenate([getattr(a, c), getattr(b, c)]) for c in ("head", "name", "doc"))))
-        return least
+            self.levels.append(Level(*(np.concatenate([getattr(a, c), getattr(b, c)]) for c in ("key", "name", "doc"))))
+        return least[of]
 
 
 def suffixes(text: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, first 8 bytes as a big-endian number, fingerprint) of each suffix start of the passages (rows of bytes)."""
+    """(passage, order key, fingerprint) of each suffix start of the passages (rows of bytes)."""
     n, width = text.shape
     which = np.repeat(np.arange(n), count)
     start = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
     flat = text.reshape(-1)
     at = which * width + start
-    head = np.zeros(len(at), np.uint64)
-    for b in range(8):
-        head = (head << np.uint64(8)) | flat[at + b]
     # rows are short, so the powers stay few: prefix sums by row
     p, inverse = K.powers(K.WORD_BASE, width + 1)
     sums = np.zeros((n, width + 1), np.uint64)
     np.cumsum((text.astype(np.uint64) + np.uint64(1)) * p[:width], axis=1, out=sums[:, 1:])
     name = K.mix((sums[which, start + length] - sums[which, start]) * inverse[start])
-    return which, head, name
+    key = (flat[at].astype(np.uint64) << np.uint64(56)) | (flat[at + 1].astype(np.uint64) << np.uint64(48)) | (name >> np.uint64(16))
+    return which, key, name
+
+
+def collapsed(text: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """For each passage, in the order of doc, the first passage with the same bytes."""
+    p, _ = K.powers(K.BYTE_BASE, text.shape[1] + 1)
+    same = np.zeros(len(text), np.uint64)
+    for c in range(text.shape[1]):
+        same += (text[:, c].astype(np.uint64) + np.uint64(1)) * p[c]
+    same = K.mix(same ^ (count.astype(np.uint64) << np.uint64(56)))
+    order = np.argsort(same, kind="stable")
+    edges = S.group_edges(same[order])
+    first = np.empty(len(text), np.int64)
+    first[order] = np.repeat(order[edges[:-1]], np.diff(edges))
+    return first
 
 
 def verdicts(packed: DataFrame, groups: int, length: int) -> DataFrame:
@@ -201,18 +220,26 @@ def verdicts(packed: DataFrame, groups: int, length: int) -> DataFrame:
         out = [(x["doc"][told], x["at"][told], all_ones)]
         mine = np.flatnonzero(~told)
         mine = mine[np.argsort(x["doc"][mine], kind="stable")]
+        doc, at, count = x["doc"][mine], x["at"][mine], x["count"][mine].astype(np.int64)
+        text = x["text"][mine].view(np.uint8).reshape(len(mine), width)
+        # a passage that is here already, byte for byte, needs no suffix array: all its suffixes have been seen
+        first = collapsed(text, count, doc)
+        lead = np.flatnonzero(first == np.arange(len(mine)))
+        mask = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
+        mask[lead] = 0
         family = Family()
-        for i in range(0, len(mine), BATCH):
-            sel = mine[i : i + BATCH]
-            doc, count = x["doc"][sel], x["count"][sel].astype(np.int64)
-            text = x["text"][sel].view(np.uint8).reshape(len(sel), width)
-            which, head, name = suffixes(text, count, length)
-            hit = family.add(head, name, doc[which]) < doc[which]
-            bit = np.uint64(1) << (np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)).astype(np.uint64)
-            mask = np.zeros(len(sel), np.uint64)
-            np.bitwise_or.at(mask, which[hit], bit[hit])
-            some = mask > 0
-            out.append((doc[some], x["at"][sel][some], mask[some]))
+        for i in range(0, len(lead), BATCH):
+            sel = lead[i : i + BATCH]
+            which, key, name = suffixes(text[sel], count[sel], length)
+            hit = family.add(key, name, doc[sel][which]) < doc[sel][which]
+            bit = np.uint64(1) << (np.arange(len(which)) - np.repeat(np.cumsum(count[sel]) - count[sel], count[sel])).astype(np.uint64)
+            found = np.zeros(len(sel), np.uint64)
+            np.bitwise_or.at(found, which[hit], bit[hit])
+            mask[sel] = found
+        again = doc == doc[first]  # the same passage twice in one document shares a verdict
+        mask[again] = mask[first[again]]
+        some = mask > 0
+        out.append((doc[some], at[some], mask[some]))
         doc, at, mask = (np.concatenate(c) for c in zip(*out, strict=True))
         yield from S.pack(np.mod(doc, groups), {"doc": doc, "at": at, "mask": mask})
 
