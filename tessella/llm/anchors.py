@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm import kernels as K
 from tessella.llm import spread as S
+from tessella.session import ship
 
 FIELDS = {"key": "u8", "doc": "i8", "kind": "u1"}
 REPLY = {"doc": "i8", "key": "u8"}
@@ -84,27 +85,40 @@ def repeated(docs: DataFrame, grams: Units, groups: int) -> DataFrame:
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = S.unpack(batches, FIELDS)
-        told = x["kind"] == 2
-        key, doc, kind = (x[c][~told] for c in FIELDS)
-        order = np.argsort(key, kind="stable")
-        key, doc, kind = key[order], doc[order], kind[order]
-        edges = S.group_edges(key)
-        size = np.diff(edges)
-        hot = size > 1
-        if len(key):
-            hot |= np.maximum.reduceat(kind, edges[:-1]) == 1
-        sel = np.repeat(hot, size)
-        doc, key = np.concatenate([doc[sel], x["doc"][told]]), np.concatenate([key[sel], x["key"][told]])
-        yield from S.pack(np.mod(doc, groups), {"doc": doc, "key": key})
+        held = S.Gather(REPLY)
+        for x in S.each_bucket(batches, FIELDS):
+            told = x["kind"] == 2
+            key, doc, kind = (x[c][~told] for c in FIELDS)
+            order = np.argsort(key, kind="stable")
+            key, doc, kind = key[order], doc[order], kind[order]
+            edges = S.group_edges(key)
+            size = np.diff(edges)
+            hot = size > 1
+            if len(key):
+                hot |= np.maximum.reduceat(kind, edges[:-1]) == 1
+            sel = np.repeat(hot, size)
+            doc, key = np.concatenate([doc[sel], x["doc"][told]]), np.concatenate([key[sel], x["key"][told]])
+            held.add(doc.nbytes * 2, doc=doc, key=key)
+            if held.bytes > S.FLUSH:
+                y = held.take()
+                yield from S.pack(np.mod(y["doc"], groups), y)
+        y = held.take()
+        yield from S.pack(np.mod(y["doc"], groups), y)
 
     packed = S.map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), emit, S.packed_schema(FIELDS))
-    return S.by_bucket(packed).mapInArrow(meet, S.packed_schema(REPLY))
+    return S.map_arrow(S.by_bucket(packed), meet, S.packed_schema(REPLY))
 
 
 def meet_text(docs: DataFrame, groups: int, replies: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """f(rows of a group: bucket, doc_id, text; packed replies to it), for every group."""
-    return with_group(docs, groups).groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(f, schema)
+    ship(docs.sparkSession)
+
+    def tidy(rows: pa.Table, told: pa.Table) -> pa.Table:
+        out = f(rows, told)
+        S.give_back()
+        return out
+
+    return with_group(docs, groups).groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(tidy, schema)
 
 
 def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:

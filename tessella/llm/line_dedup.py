@@ -5,7 +5,7 @@ order of (doc_id, line number), has a Jaccard index of num/den or more with it.
 Lines are judged on the input, so a line that goes itself still counts as the
 earlier one.
 
-1. Word frequencies are counted over all rows into 2^21 counters, of a fixed
+1. Word frequencies are counted over all rows into 2^23 counters (16 bits each), of a fixed
    size whatever the corpus; words are ordered by (counter, hash), one order for
    all lines, rare words first.
 2. Each line sends its prefix: the s - ceil(t s) + 1 rarest of s words, with its
@@ -39,42 +39,54 @@ from tessella.llm import kernels as K
 from tessella.llm import spread as S
 from tessella.llm.near_duplicates import groups_in_order, in_blocks
 
-COUNTERS = 1 << 21
+COUNTERS = 1 << 23
 FIELDS = {"key": "u8", "doc": "i8", "line": "u4", "size": "u4", "pos": "u4", "b1": "u8", "b2": "u8"}
-#: Most lines under one word that are paired outright; longer lists are searched from pivots.
-PAIRED = 48
-PAIRS = 1 << 21
+#: Lists of lines under one word that are longer are first searched from a few of their lines.
+PAIRED = 256
+PAIRS = 1 << 19
 BLOCK = 8192
 
 
 def counters(docs: DataFrame) -> np.ndarray:
-    """Occurrences of words by hash slot: 8 MB, however large the corpus."""
-    block = 1 << 15
+    """Occurrences of words by hash slot, up to 65535: 16 MB, however large the corpus."""
+    block = 1 << 16
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(COUNTERS, np.int64)
-        for batch in batches:
-            held = [K.words(data, off).hash & np.uint64(COUNTERS - 1) for _, _, data, off in K.pieces(batch.column(0))]
+        total = np.zeros(COUNTERS, np.uint32)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def settle() -> None:
             if held:
-                total += np.bincount(np.concatenate(held).astype(np.int64), minlength=COUNTERS)
+                total[:] += np.bincount(np.concatenate(held), minlength=COUNTERS).astype(np.uint32)
+                held.clear()
+
+        for batch in batches:
+            for _, _, data, off in K.pieces(batch.column(0)):
+                held.append((K.words(data, off).hash & np.uint64(COUNTERS - 1)).astype(np.int32))
+                size += len(data)
+                if size > S.FLUSH:
+                    settle()
+                    size = 0
+        settle()
         grid = total.reshape(-1, block)
         some = np.flatnonzero(grid.any(axis=1))
         if len(some):
-            yield from S.pack(some, {"n": np.array([grid[i].tobytes() for i in some], f"V{block * 8}")})
+            yield from S.pack(some, {"n": np.array([grid[i].tobytes() for i in some], f"V{block * 4}")})
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grid: dict[int, np.ndarray] = {}
         for batch in batches:
             for b, n in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                now = np.frombuffer(n.as_buffer(), np.int64)
+                now = np.frombuffer(n.as_buffer(), np.uint32).astype(np.int64)
                 grid[b] = grid[b] + now if b in grid else now
-        if grid:
-            yield from S.pack(np.array(list(grid), np.int64), {"n": np.array([np.minimum(x, 0xFFFFFF).astype(np.uint32).tobytes() for x in grid.values()], f"V{block * 4}")})
+        for b, n in grid.items():
+            yield from S.pack(np.array([b]), {"n": np.array([np.minimum(n, 0xFFFF).astype(np.uint16).tobytes()], f"V{block * 2}")})
 
-    out = np.zeros((COUNTERS // block, block), np.uint32)
+    out = np.zeros((COUNTERS // block, block), np.uint16)
     packed = S.map_arrow(docs.select("text"), count, "bucket int, n binary")
-    for row in S.by_bucket(packed).mapInArrow(add, "bucket int, n binary").toLocalIterator():
-        out[row["bucket"]] = np.frombuffer(row["n"], np.uint32)
+    for row in S.map_arrow(S.by_bucket(packed), add, "bucket int, n binary").toLocalIterator():
+        out[row["bucket"]] = np.frombuffer(row["n"], np.uint16)
     return out.reshape(-1)
 
 
@@ -200,59 +212,79 @@ def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
 
 
 def candidates(x: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
-    """Indices (a, b) of entries, sorted by (key, size), whose lines may be similar; enough of them to connect all that are."""
+    """Indices (a, b) of entries, sorted by (key, size), whose lines may be similar; enough of them to connect all that are.
+
+    Of two similar lines the smaller (the earlier here) shares one of its
+    s - ceil(2t/(1+t) s) + 1 rarest words, its index prefix, with the prefix of
+    the other. So an entry's partners are the index entries before it in its
+    group, from the least size that can match.
+    """
     size, pos = x["size"].astype(np.int64), x["pos"].astype(np.int64)
-    index_prefix = size - -(-2 * num * size // (num + den)) + 1
+    b1, b2 = x["b1"], x["b2"]
+    rest = size - pos
+    edges = S.group_edges(x["key"])
+    group = np.diff(edges)
+    rank = np.repeat(np.arange(len(group)), group)
+    indexed = pos < size - -(-2 * num * size // (num + den)) + 1
 
     def may(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """size[i] >= size[j], same word."""
-        si, sj = size[i], size[j]
-        need = -(-num * (si + sj) // (num + den))
-        ok = (pos[j] < index_prefix[j]) | (si == sj)
-        ok &= np.minimum(si - pos[i], sj - pos[j]) >= need
-        ok &= sj * den >= si * num
-        i, j, rest = i[ok], j[ok], (si + sj - 2 * need)[ok]
-        far = np.bitwise_count(x["b1"][i] ^ x["b1"][j]).astype(np.int64) + np.bitwise_count(x["b2"][i] ^ x["b2"][j])
-        ok[ok] = far <= rest
-        return ok
+        """Where the pair passes the positional filter and the bound of the parity maps."""
+        both = size[i] + size[j]
+        need = -(-num * both // (num + den))
+        ok = np.flatnonzero((rest[i] >= need) & (rest[j] >= need))
+        a, b = i[ok], j[ok]
+        far = np.bitwise_count(b1[a] ^ b1[b]).astype(np.int64) + np.bitwise_count(b2[a] ^ b2[b])
+        return ok[far <= (both - 2 * need)[ok]]
 
-    edges = S.group_edges(x["key"])
-    group = np.diff(edges)
     us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    small = (group > 1) & (group <= PAIRED)
-    # the partners of an entry are those before it in its group, from the least size that can match
-    start = np.repeat(edges[:-1], group)
-    entry = np.flatnonzero(np.repeat(small, group))
-    rank = np.repeat(np.arange(len(group)), group)
-    both = (rank << 32) + size
-    low = np.searchsorted(both, (rank[entry] << 32) + -(-num * size[entry] // den))
-    low = np.maximum(low, start[entry])
-    n = np.maximum(entry - low, 0)
-    total = np.cumsum(n)
-    at = 0
-    while at < len(entry):
-        to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
-        m = n[at:to]
-        i = np.repeat(entry[at:to], m)
-        j = np.repeat(low[at:to], m) + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
-        ok = may(i, j)
-        us.append(i[ok])
-        vs.append(j[ok])
-        at = to
+    # in long lists of like lines a few of them, asked first, settle most: what they find needs no partners of its own
+    probe = np.ones(len(size), bool)
     for g in np.flatnonzero(group > PAIRED):
         open_ = np.arange(edges[g], edges[g + 1])
-        while len(open_):
-            stack, open_ = [open_[0]], open_[1:]
-            while stack and len(open_):
-                p = stack.pop()
-                larger = open_ >= p
-                i, j = np.where(larger, open_, p), np.where(larger, p, open_)
-                ok = may(i, j)
-                found = open_[ok]
-                us.append(found)
-                vs.append(np.full(len(found), p))
-                stack += found.tolist()
-                open_ = open_[~ok]
+        stack = [int(open_[len(open_) // 2])]
+        asked = 0
+        while stack and len(open_) > PAIRED and asked < 16:
+            p = stack.pop()
+            asked += 1
+            fit = open_[(np.minimum(size[open_], size[p]) * den >= np.maximum(size[open_], size[p]) * num) & (open_ != p)]
+            found = fit[may(fit, np.full(len(fit), p))]
+            if len(found) * 20 < len(open_):
+                continue
+            us.append(found)
+            vs.append(np.full(len(found), p))
+            probe[found] = False
+            far = np.bitwise_count(b1[found] ^ b1[p])
+            stack += found[np.argsort(-far.astype(np.int64), kind="stable")].tolist()
+            open_ = np.setdiff1d(open_, found, assume_unique=True)
+    # pairs with at least one line that is not settled
+    pool = np.flatnonzero(indexed)
+    place = (rank[pool] << 32) + size[pool]
+
+    def pairs(entry: np.ndarray, pool: np.ndarray, place: np.ndarray, after: bool) -> None:
+        """Partners in the pool before (or, after: behind) each entry, block by block."""
+        if after:
+            low = np.searchsorted(pool, entry, "right")
+            high = np.searchsorted(place, (rank[entry] << 32) + size[entry] * den // num, "right")
+        else:
+            low = np.searchsorted(place, (rank[entry] << 32) + -(-num * size[entry] // den))
+            high = np.searchsorted(pool, entry)
+        n = np.maximum(high - low, 0)
+        total = np.cumsum(n)
+        at = 0
+        while at < len(entry):
+            to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + PAIRS, "right")))
+            m = n[at:to]
+            i = np.repeat(entry[at:to], m)
+            j = pool[np.repeat(low[at:to], m) + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)]
+            ok = may(i, j)
+            us.append(i[ok])
+            vs.append(j[ok])
+            at = to
+
+    pairs(np.flatnonzero(probe & np.repeat(group > 1, group)), pool, place, False)
+    done = np.flatnonzero(~probe)
+    if len(done):  # open index entries may be the smaller line of a settled one
+        pairs(np.flatnonzero(probe & indexed & np.isin(rank, rank[done])), done, (rank[done] << 32) + size[done], True)
     return np.concatenate(us), np.concatenate(vs)
 
 
@@ -260,29 +292,29 @@ def met(packed: DataFrame, num: int, den: int) -> DataFrame:
     """u, v: links between lines that may be similar; or doc, line: lines known to go."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = S.unpack(batches, FIELDS)
-        told = x["size"] == 0
-        gone = {c: x[c][told] for c in ("doc", "line")}
-        x = {c: v[~told] for c, v in x.items()}
-        order = np.lexsort((x["size"], x["key"]))
-        x = {c: v[order] for c, v in x.items()}
-        a, b = candidates(x, num, den)
-        node, inverse = np.unique(node_of(x["doc"], x["line"])[np.concatenate([a, b])], return_inverse=True)
-        label = roots(inverse[: len(a)], inverse[len(a) :], len(node))
-        u, v = node, node[label]
-        sel = u != v
-        u, v, none = u[sel], v[sel], len(gone["doc"])
-        cols = [
-            pa.concat_arrays([pa.array(u), pa.nulls(none, pa.int64())]),
-            pa.concat_arrays([pa.array(v), pa.nulls(none, pa.int64())]),
-            pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(gone["doc"])]),
-            pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(gone["line"].astype(np.int64))]),
-        ]
-        out = pa.RecordBatch.from_arrays(cols, ["u", "v", "doc_id", "line"])
-        for i in range(0, out.num_rows, 1 << 16):
-            yield out.slice(i, 1 << 16)
-
-    return S.by_bucket(packed).mapInArrow(meet, "u long, v long, doc_id long, line long")
+        for x in S.each_bucket(batches, FIELDS):
+            told = x["size"] == 0
+            gone = {c: x[c][told] for c in ("doc", "line")}
+            x = {c: v[~told] for c, v in x.items()}
+            order = np.lexsort((x["size"], x["key"]))
+            x = {c: v[order] for c, v in x.items()}
+            a, b = candidates(x, num, den)
+            node, inverse = np.unique(node_of(x["doc"], x["line"])[np.concatenate([a, b])], return_inverse=True)
+            label = roots(inverse[: len(a)], inverse[len(a) :], len(node))
+            u, v = node, node[label]
+            sel = u != v
+            u, v, none = u[sel], v[sel], len(gone["doc"])
+            cols = [
+                pa.concat_arrays([pa.array(u), pa.nulls(none, pa.int64())]),
+                pa.concat_arrays([pa.array(v), pa.nulls(none, pa.int64())]),
+                pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(gone["doc"])]),
+                pa.concat_arrays([pa.nulls(len(u), pa.int64()), pa.array(gone["line"].astype(np.int64))]),
+            ]
+            out = pa.RecordBatch.from_arrays(cols, ["u", "v", "doc_id", "line"])
+            for i in range(0, out.num_rows, 1 << 16):
+                yield out.slice(i, 1 << 16)
+
+    return S.map_arrow(S.by_bucket(packed), meet, "u long, v long, doc_id long, line long")
 
 
 def later_lines(doc: np.ndarray, line: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> np.ndarray:
@@ -357,7 +389,7 @@ def decided(docs: DataFrame, clusters: DataFrame, num: int, den: int, least: int
     found = S.map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), sets, "node long, doc_id long, line long, words binary")
     x = found.join(in_blocks(clusters, "component", BLOCK), "node").select("component", "_p", "_q", "doc_id", "line", "words")
     x = x.repartition(S.parts(docs.sparkSession), "component", "_p", "_q").sortWithinPartitions("component", "_p", "_q")
-    return x.mapInArrow(verify, "doc_id long, line long")
+    return S.map_arrow(x, verify, "doc_id long, line long")
 
 
 def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = 3) -> DataFrame:

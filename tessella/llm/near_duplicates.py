@@ -176,7 +176,7 @@ def band_links(reps: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[i : i + (1 << 16), c])) for c in (0, 1)], ["u", "v"])
 
     packed = S.map_arrow(reps.select("doc_id", "bands"), emit, S.packed_schema(BAND_FIELDS))
-    return S.by_bucket(packed).mapInArrow(meet, "u long, v long").distinct()
+    return S.map_arrow(S.by_bucket(packed), meet, "u long, v long").distinct()
 
 
 def link(docs: np.ndarray, sets: list[np.ndarray], regs: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -287,7 +287,7 @@ def confirm(docs: DataFrame, clusters: DataFrame, k: int, num: int, den: int) ->
     pairs = in_blocks(clusters, "component", BLOCK)
     x = found.join(pairs, "node").select("component", "_p", "_q", "node", "shingles", "registers")
     x = x.repartition(S.parts(docs.sparkSession), "component", "_p", "_q").sortWithinPartitions("component", "_p", "_q")
-    return x.mapInArrow(verify, "u long, v long").distinct()
+    return S.map_arrow(x, verify, "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> DataFrame:

@@ -8,6 +8,8 @@ moves a few wide rows of binary columns, not millions of narrow ones.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -21,7 +23,7 @@ from tessella.session import ship
 
 BUCKETS = 1024
 #: Bytes of text whose entries a task holds before it emits them.
-FLUSH = 48 << 20
+FLUSH = 32 << 20
 BLOOM_BITS = 1 << 26
 
 _made: dict[str, list[str]] = {}
@@ -89,7 +91,17 @@ def _forget() -> None:
 
 def map_arrow(df: DataFrame, f: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(f, schema)
+    return df.mapInArrow(tidy(f), schema)
+
+
+def tidy(f):
+    """f, and its memory is given back at the end of the task."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
 
 
 # packed shuffles ----------------------------------------------------------
@@ -149,7 +161,37 @@ class Gather:
 
 
 def by_bucket(df: DataFrame) -> DataFrame:
-    return df.repartition(parts(df.sparkSession), "bucket")
+    """All rows of a bucket in one partition, one bucket after the other."""
+    return df.repartition(parts(df.sparkSession), "bucket").sortWithinPartitions("bucket")
+
+
+def each_bucket(batches: Iterable[pa.RecordBatch], fields: dict[str, str]) -> Iterator[dict[str, np.ndarray]]:
+    """The entries of one bucket after the other, from rows in the order of by_bucket; holds one bucket."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        bucket = batch.column(0).to_numpy()
+        at = 0
+        while at < len(bucket):
+            to = int(np.searchsorted(bucket, bucket[at], "right"))
+            if held and bucket[at] != last:
+                yield unpack(held, fields)
+                held = []
+            last = bucket[at]
+            held.append(batch.slice(at, to - at))
+            at = to
+    if held:
+        yield unpack(held, fields)
+
+
+def give_back() -> None:
+    """Return freed memory of this Python worker to the system; workers are used again by later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not glibc
+        return
 
 
 def bucket_of(key: np.ndarray) -> np.ndarray:
@@ -196,7 +238,7 @@ def bloom(df: DataFrame, column: str) -> np.ndarray:
 
     one = map_arrow(df.select(F.col(column).cast("long")).na.drop(), build, "bucket int, bits binary")
     bits = np.zeros((BLOOM_BITS // 8 // block, block), np.uint8)
-    for row in by_bucket(one).mapInArrow(merge, "bucket int, bits binary").toLocalIterator():
+    for row in map_arrow(by_bucket(one), merge, "bucket int, bits binary").toLocalIterator():
         bits[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
     return bits.reshape(-1)
 

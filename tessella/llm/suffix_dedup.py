@@ -40,7 +40,7 @@ from tessella.llm import spread as S
 
 GRAM = 16
 #: Passages of a batch.
-BATCH = 1 << 14
+BATCH = 1 << 12
 
 
 def passages_fields(length: int) -> dict[str, str]:
@@ -214,36 +214,44 @@ def verdicts(packed: DataFrame, groups: int, length: int) -> DataFrame:
     width = 2 * length - GRAM
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = S.unpack(batches, fields)
-        told = x["told"] == 1
-        all_ones = (np.uint64(1) << x["count"][told].astype(np.uint64)) - np.uint64(1)
-        out = [(x["doc"][told], x["at"][told], all_ones)]
-        mine = np.flatnonzero(~told)
-        mine = mine[np.argsort(x["doc"][mine], kind="stable")]
-        doc, at, count = x["doc"][mine], x["at"][mine], x["count"][mine].astype(np.int64)
-        text = x["text"][mine].view(np.uint8).reshape(len(mine), width)
-        # a passage that is here already, byte for byte, needs no suffix array: all its suffixes have been seen
-        first = collapsed(text, count, doc)
-        lead = np.flatnonzero(first == np.arange(len(mine)))
-        mask = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
-        mask[lead] = 0
-        family = Family()
-        for i in range(0, len(lead), BATCH):
-            sel = lead[i : i + BATCH]
-            which, key, name = suffixes(text[sel], count[sel], length)
-            hit = family.add(key, name, doc[sel][which]) < doc[sel][which]
-            bit = np.uint64(1) << (np.arange(len(which)) - np.repeat(np.cumsum(count[sel]) - count[sel], count[sel])).astype(np.uint64)
-            found = np.zeros(len(sel), np.uint64)
-            np.bitwise_or.at(found, which[hit], bit[hit])
-            mask[sel] = found
-        again = doc == doc[first]  # the same passage twice in one document shares a verdict
-        mask[again] = mask[first[again]]
-        some = mask > 0
-        out.append((doc[some], at[some], mask[some]))
-        doc, at, mask = (np.concatenate(c) for c in zip(*out, strict=True))
-        yield from S.pack(np.mod(doc, groups), {"doc": doc, "at": at, "mask": mask})
-
-    return S.by_bucket(packed).mapInArrow(meet, S.packed_schema(VERDICT))
+        held = S.Gather(VERDICT)
+        for x in S.each_bucket(batches, fields):
+            told = x["told"] == 1
+            held.add(0, doc=x["doc"][told], at=x["at"][told], mask=(np.uint64(1) << x["count"][told].astype(np.uint64)) - np.uint64(1))
+            mine = np.flatnonzero(~told)
+            mine = mine[np.argsort(x["doc"][mine], kind="stable")]
+            doc, at = x["doc"][mine], x["at"][mine]
+            mask = seen_before(x["text"][mine].view(np.uint8).reshape(len(mine), width), x["count"][mine].astype(np.int64), doc, length)
+            some = mask > 0
+            held.add(len(doc) * 20, doc=doc[some], at=at[some], mask=mask[some])
+            if held.bytes > S.FLUSH:
+                y = held.take()
+                yield from S.pack(np.mod(y["doc"], groups), y)
+        y = held.take()
+        yield from S.pack(np.mod(y["doc"], groups), y)
+
+    return S.map_arrow(S.by_bucket(packed), meet, S.packed_schema(VERDICT))
+
+
+def seen_before(text: np.ndarray, count: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
+    """For each passage, in the order of doc, the suffix starts (as bits) that an earlier document also has."""
+    # a passage that is here already, byte for byte, needs no suffix array: all its suffixes have been seen
+    first = collapsed(text, count, doc)
+    lead = np.flatnonzero(first == np.arange(len(doc)))
+    mask = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
+    mask[lead] = 0
+    family = Family()
+    for i in range(0, len(lead), BATCH):
+        sel = lead[i : i + BATCH]
+        which, key, name = suffixes(text[sel], count[sel], length)
+        hit = family.add(key, name, doc[sel][which]) < doc[sel][which]
+        bit = np.uint64(1) << (np.arange(len(which)) - np.repeat(np.cumsum(count[sel]) - count[sel], count[sel])).astype(np.uint64)
+        found = np.zeros(len(sel), np.uint64)
+        np.bitwise_or.at(found, which[hit], bit[hit])
+        mask[sel] = found
+    again = doc == doc[first]  # the same passage twice in one document shares a verdict
+    mask[again] = mask[first[again]]
+    return mask
 
 
 def gone_bytes(off: np.ndarray, ids: np.ndarray, v: dict[str, np.ndarray], length: int) -> np.ndarray:
