@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from tessella.plans import engine_queries, graph_queries, score_queries, series_queries, text_queries  # noqa: F401  they register themselves
+from tessella.plans.registry import QUERIES, SQL
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
