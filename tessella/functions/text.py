@@ -68,11 +68,32 @@ def placeholder_text(key: Column, names: Column) -> Column:
     return F.concat(key, F.array_join(F.transform(F.array_sort(names), lambda x: F.concat(F.lit("{ $"), x, F.lit(" }"))), ""))
 
 
-def ignore_marker(comment: Column) -> Column:
-    """Names after 'ignore:' in the lines of a comment, lower-cased, without repeats; null without a marker; [] means all."""
-    lines = F.filter(F.transform(F.split(comment, "\n"), lambda x: F.trim(x)), lambda x: F.lower(x).startswith("ignore"))
-    names = F.flatten(F.transform(lines, lambda x: F.filter(F.split(F.lower(F.regexp_replace(x, r"^\w+:?", "")), r"[\s,]+"), lambda y: y != "")))
-    return F.when(F.size(lines) > 0, F.array_sort(F.array_distinct(names)))
+def ignore_marker(comment: Column, prefix: str = "extract:") -> Column:
+    """Checks that a comment opts out of, sorted; null without a marker.
+
+    A line is a marker if it is 'ignore' alone (old style, 'untranslated') or has
+    the prefix and after it 'ignore' with names behind blanks or commas; without
+    names it is 'all'. Lines add up, and letter case doesn't matter.
+    """
+
+    def of(line: Column) -> Column:
+        low = F.lower(F.trim(line))
+        rest = F.trim(F.regexp_extract(low, f"^.*?{prefix}(.*)$", 1))
+        names = F.filter(F.split(F.regexp_replace(rest, "^ignore", ""), r"[\s,]+"), lambda x: x != "")
+        return (
+            F.when((low == "ignore") | (rest == "ignore-untranslated"), F.array(F.lit("untranslated")))
+            .when(rest == "ignore", F.array(F.lit("all")))
+            .when(rest.rlike(r"^ignore\s"), F.when(F.size(names) == 0, F.array(F.lit("all"))).otherwise(names))
+            .otherwise(F.array().cast("array<string>"))
+        )
+
+    found = F.array_sort(F.array_distinct(F.flatten(F.transform(F.split(comment, "\n"), of))))
+    return F.when(F.size(found) > 0, found)
+
+
+def marker_covers(comment: Column, check: str, prefix: str = "extract:") -> Column:
+    m = ignore_marker(comment, prefix)
+    return F.coalesce(F.array_contains(m, check) | F.array_contains(m, "all"), F.lit(False))
 
 
 def thousands(n: Column) -> Column:

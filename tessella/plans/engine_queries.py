@@ -1,3 +1,102 @@
-"""Operators without SQL: source scans, code extraction, simulation, training."""
+"""Operators without SQL: code extraction, catalogues, simulation, training."""
 
 from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tessella.functions import hashing
+from tessella.operators import network, training
+from tessella.operators import sample as B
+from tessella.plans import extract as X
+from tessella.plans.registry import query, table
+from tessella.sources import fluent, python_code
+from tessella.sources.options import Options
+
+#: A small program of our own with the shapes that matter.
+PROGRAM = '''
+def start(i18n, user, _):
+    i18n.get("hello-user", name=user.name)
+    i18n.menu.main.title(_path="menu", count=1)
+    i18n.menu.main.title(**user.data)
+    L("lazy", when=True, a=1, b=2)
+    self.i18n.set_locale("de")
+    cls.i18n.outer(inner=i18n.get("inner", n=3))
+    i18n.get(user.key)
+    i18n("call-name", *user.args)
+'''
+CATALOGUE = """# Greeting
+hello-user = Hello { $name }, { -brand }
+-brand = Brand { $unused }
+menu-main-title = { hello-user } { $count }
+
+### Free comment
+
+# extract: ignore stale
+old = Kept { lone }
+lone = Referenced
+gone = Gone
+"""
+
+
+def sources(spark):
+    files = [(0, "app/start.py", PROGRAM, None), (1, "app/broken.py", "i18n.get('x'\n", None), (2, "app/gone.py", None, "read-error: no such file")]
+    return spark.createDataFrame(files, "file_idx int, path string, text string, error string")
+
+
+@query("python_occurrences")
+def python_occurrences(spark, d):
+    return python_code.occurrences(sources(spark), Options())
+
+
+@query("python_candidates")
+def python_candidates(spark, d):
+    return python_code.candidates(sources(spark).where("file_idx = 0"))
+
+
+@query("extract_merged_keys")
+def extract_merged_keys(spark, d):
+    return X.extract(sources(spark), Options()).keys.select("key", "kwargs", "path", "occurrences", F.col("unknown_at").isNotNull().alias("unknown"))
+
+
+@query("fluent_entries")
+def fluent_entries(spark, d):
+    return fluent.entries(spark.createDataFrame([("en", "_default.ftl", CATALOGUE), ("en", "junk.ftl", "= nothing")], "locale string, path string, text string"))
+
+
+@query("reconcile_catalogue")
+def reconcile_catalogue(spark, d):
+    o = Options()
+    entries = fluent.entries(spark.createDataFrame([("en", "_default.ftl", CATALOGUE)], "locale string, path string, text string"))
+    return X.reconcile(X.extract(sources(spark), o).keys, entries, o)
+
+
+@query("blake_bucket")
+def blake_bucket(spark, d):
+    return table(spark, d, "part").select("p_partkey", hashing.blake_bucket(F.col("p_name"), F.lit(124), F.lit("v1"), F.lit(0)).alias("bucket"))
+
+
+def small_network(seed: int = 5, n_in: int = 16, n: int = 40) -> network.Network:
+    """A synthetic graph by rule: every neuron listens to 6 inputs, the last one inhibits all."""
+    rng = np.random.default_rng(seed)
+    pre = np.concatenate([rng.permutation(n_in)[:6] for _ in range(n)])
+    post = np.repeat(np.arange(n), 6)
+    weight = np.full(len(pre), 120.0)
+    inhibit = n_in + n - 1
+    pre, post, weight = np.append(pre, np.full(n - 1, inhibit)), np.append(post, np.arange(n - 1)), np.append(weight, np.full(n - 1, -60.0))
+    return network.Network(n_in, n, pre, post, weight)
+
+
+@query("lif_simulate")
+def lif_simulate(spark, d):
+    """Every embedding as one trial: its first 32 dimensions are two puffs of 16 inputs."""
+    e = F.transform("embedding", lambda x: F.least(F.lit(1.0), F.abs(x)).cast("double"))
+    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("trial"), F.col("vec_id").alias("seed"), F.array(F.slice(e, 1, 16), F.slice(e, 17, 16)).alias("puffs"))
+    return network.trials(x, small_network(), network.Params(puff=10.0, silence=5.0))
+
+
+@query("delta_rule_fit")
+def delta_rule_fit(spark, d):
+    x = B.group_split(table(spark, d, "embeddings"), "vec_id").withColumn("y", F.col("label") == 0)
+    r = training.fit_table(x, "embedding", "y", "split")
+    return spark.createDataFrame([(r.epochs, float(r.f1), float(np.abs(r.w).sum()))], "epochs int, f1 double, weight double")

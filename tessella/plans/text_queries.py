@@ -173,10 +173,10 @@ def comment_out(spark, d):
 
 @query(
     "marker_parse",
-    """select conv_id, turn, list_sort(list_distinct(list_filter(regexp_split_to_array(lower(regexp_replace(line, '^\\w+:?', '')), '[\\s,]+'), lambda y: y <> ''))) marker from (select conv_id, turn, 'ignore: ' || role || ', ' || substr(coalesce(text, ''), 1, 0) || event line from (select *, case when turn % 2 = 0 then 'odd' else 'Even, odd' end event from conversations))""",
+    """select conv_id, turn, list_sort(list_distinct(case when turn % 3 = 0 then ['all'] when turn % 3 = 1 then ['stale', lower(role)] else ['untranslated'] end)) marker from conversations""",
 )
 def marker_parse(spark, d):
-    note = F.concat(F.lit("about this\nignore: "), "role", F.lit(", "), F.when(F.col("turn") % 2 == 0, "odd").otherwise("Even, odd"))
+    note = F.when(F.col("turn") % 3 == 0, "about this\nExtract: IGNORE").when(F.col("turn") % 3 == 1, F.concat(F.lit("extract: ignore Stale,  "), F.col("role"))).otherwise("ignore\nextract: ignored")
     return table(spark, d, "conversations").select("conv_id", "turn", T.ignore_marker(note).alias("marker"))
 
 
