@@ -90,19 +90,38 @@ def counters(docs: DataFrame) -> np.ndarray:
     return out.reshape(-1)
 
 
+def in_lines(line: np.ndarray, first: np.ndarray, then: np.ndarray) -> np.ndarray:
+    """Order by (line, first, then), first of 40 bits at most; `then` is only looked at where the others tie."""
+    number = np.cumsum(np.concatenate([[0], line[1:] != line[:-1]])).astype(np.uint64) if len(line) else line.astype(np.uint64)
+    key = (number << np.uint64(40)) | first
+    order = np.argsort(key)
+    k, t = key[order], then[order]
+    if ((k[1:] == k[:-1]) & (t[1:] != t[:-1])).any():
+        order = np.lexsort((then, key))
+    return order
+
+
 class Lines:
-    """The lines of a run of documents that have enough distinct words: doc (index), line number, size, words in order of rarity."""
+    """The lines of a run of documents that have enough distinct words: doc (index), line number, size, words in order of rarity.
+
+    Without rarity the words are in the order of their hashes. wanted(doc, line)
+    tells which lines are looked at.
+    """
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, rarity: np.ndarray | None, least: int):
+    def __init__(self, data: np.ndarray, off: np.ndarray, rarity: np.ndarray | None, least: int, wanted=None):
         w = K.words(data, off)
         breaks = np.concatenate([[0], np.cumsum(data == 10, dtype=np.int64)])
-        line = breaks[w.start] + w.doc  # a document's end ends a line
+        line, word, doc = breaks[w.start] + w.doc, w.hash, w.doc  # a document's end ends a line
+        if wanted is not None:
+            edges = S.group_edges(line)
+            d = doc[edges[:-1]]
+            ok = np.repeat(wanted(d, line[edges[:-1]] - d - breaks[off[d]]), np.diff(edges))
+            line, word, doc = line[ok], word[ok], doc[ok]
         if rarity is None:
-            order = np.lexsort((w.hash, line))
+            order = in_lines(line, word >> np.uint64(24), word)
         else:
-            rank = (rarity[(w.hash & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(40)) | (w.hash >> np.uint64(24))
-            order = np.lexsort((rank, line))
-        line, word, doc = line[order], w.hash[order], w.doc[order]
+            order = in_lines(line, (rarity[(word & np.uint64(COUNTERS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(24)) | (word >> np.uint64(40)), word)
+        line, word, doc = line[order], word[order], doc[order]
         if len(line):
             new = np.ones(len(line), bool)
             new[1:] = (line[1:] != line[:-1]) | (word[1:] != word[:-1])
@@ -370,12 +389,11 @@ def decided(docs: DataFrame, clusters: DataFrame, num: int, den: int, least: int
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for i, j, data, off in K.pieces(batch.column(1)):
-                x = Lines(data, off, None, least)
-                doc = ids[i:j][x.doc]
-                node = node_of(doc, x.line)
-                some = np.flatnonzero(S.in_bloom(bits.value, node))
-                held = [x.word[x.first[a] : x.first[a + 1]].tobytes() for a in some]
-                yield pa.RecordBatch.from_arrays([pa.array(node[some]), pa.array(doc[some]), pa.array(x.line[some]), pa.array(held, pa.binary())], ["node", "doc_id", "line", "words"])
+                own = ids[i:j]
+                x = Lines(data, off, None, least, lambda d, n, own=own: S.in_bloom(bits.value, node_of(own[d], n)))
+                doc = own[x.doc]
+                held = [x.word[a:b].tobytes() for a, b in zip(x.first[:-1], x.first[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(node_of(doc, x.line)), pa.array(doc), pa.array(x.line), pa.array(held, pa.binary())], ["node", "doc_id", "line", "words"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups_in_order(batches, 3):
