@@ -14,10 +14,11 @@ def merge_occurrences(df: DataFrame, key: list[str], star: Column, location: Col
     The winner is the earliest occurrence without `**`, else the earliest of all:
     the minimum of (star, location), so partial aggregates merge in any order.
     """
+    rank = F.struct(star.alias("star"), location.alias("location"))
     return df.groupBy(*key).agg(
-        F.min_by(kwargs, F.struct(star, location)).alias("kwargs"),
-        F.min_by(path, F.struct(star, location)).alias("path"),
-        F.min(F.struct(star, location))["col2"].alias("location"),
+        F.min_by(kwargs, rank).alias("kwargs"),
+        F.min_by(path, rank).alias("path"),
+        F.min(rank)["location"].alias("location"),
         F.min(F.when(star, location)).alias("unknown_at"),
         F.count(F.lit(1)).alias("occurrences"),
     )
