@@ -87,6 +87,8 @@ def counters(docs: DataFrame) -> np.ndarray:
     packed = S.map_arrow(docs.select("text"), count, "bucket int, n binary")
     for row in S.map_arrow(S.by_bucket(packed), add, "bucket int, n binary").toLocalIterator():
         out[row["bucket"]] = np.frombuffer(row["n"], np.uint16)
+    S.give_back()
+    S.give_back()
     return out.reshape(-1)
 
 
@@ -432,7 +434,8 @@ def report(docs: DataFrame, num: int = 4, den: int = 5, least: int = 3) -> DataF
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without the lines that go, n_chars to match; documents that lose all their words go."""
     gone = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
-    x = docs.join(gone, docs["doc_id"] == gone["_id"], "left")
+    # texts are met by doc_id in a merge join at every size: the lists of lines have no small bound
+    x = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_id"], "left")
     left = F.array_join(F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("_lines", i.cast("long"))), "\n")
     x = x.withColumn("_text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left))
     x = x.where(F.col("_lines").isNull() | F.col("_text").rlike(r"[^\x20\t-\r]"))

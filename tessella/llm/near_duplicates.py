@@ -294,9 +294,9 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> D
     """Per document: doc_id, n_shingles, component_id, kept."""
     sig = S.cut(signatures(docs, k, num / den))
     whole = sig.where("doc_id is not null and n_shingles > 0")
-    same = whole.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    # only groups of copies are joined back, so single documents don't travel twice
-    copies = S.cut(whole.select("doc_id", "s1", "s2", "n_shingles").join(same.where("copies > 1").drop("copies"), ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
+    # only groups of copies are joined back; as a table of their own they leave the join free to split a hot group
+    same = S.cut(whole.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
+    copies = S.cut(whole.select("doc_id", "s1", "s2", "n_shingles").join(same, ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
     reps = whole.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
     clusters = S.cut(S.components(S.cut(band_links(reps))))
     links = S.cut(confirm(docs, clusters, k, num, den))
@@ -308,7 +308,7 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> D
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group at a similarity of 0.8 or more the least doc_id stays; equal rows stay once."""
     gone = S.cut(near_groups(docs, 5, 80, 100).where("not kept").select("doc_id").distinct())
-    left = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    left = S.without(docs, gone)
     if docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
         left = left.dropDuplicates(["doc_id", "text"])
     return left

@@ -118,21 +118,25 @@ def base_failed() -> Column:
 
 
 def certified(feats: DataFrame, labels: DataFrame, stratum: str, alpha: float = 0.02, delta: float = 0.05, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """A row for each stratum with certified cutoffs: stratum, cut_<rule> (null where none is certified)."""
+    """A row for each stratum: _stratum, cuts (map of rule to its certified cutoff; a rule without one is absent)."""
+    spark = feats.sparkSession
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1").select("doc_id")
-    rows = feats.where(~base_failed()).join(good, "doc_id", "left_semi").select(F.col(stratum).alias("_stratum"), *[_level(r).alias(r.name) for r in rules])
-    counts = rows.groupBy("_stratum").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(r.name) >= len(r.cutoffs) - i).alias(f"{r.name}_{i}") for r in rules for i in range(len(r.cutoffs))],
-    )
-    pairs = counts.agg(F.count(F.lit(1)) * len(rules)).first()[0] or 1
-    chosen = []
-    for r in rules:
-        # passing cutoffs before the first that fails
-        tests = F.array(*[binomial_tail(F.col("n"), F.col(f"{r.name}_{i}"), F.lit(alpha / len(rules))) <= delta / pairs for i in range(len(r.cutoffs))])
-        passed = F.coalesce(F.nullif(F.array_position(tests, F.lit(False)), F.lit(0)) - 1, F.lit(len(r.cutoffs)))
-        chosen.append(F.get(F.array(*[F.lit(c) for c in r.cutoffs]), passed.cast("int") - 1).alias(f"cut_{r.name}"))
-    return counts.select("_stratum", *chosen)
+    levels = F.array(*[F.struct(F.lit(r.name).alias("rule"), _level(r).alias("level")) for r in rules])
+    rows = feats.where(~base_failed()).join(good, "doc_id", "left_semi").select(F.col(stratum).alias("_stratum"), F.inline(levels))
+    counts = rows.groupBy("_stratum", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
+    found = counts.groupBy("_stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("level", "n")).alias("by_level"))
+    found = cut(found)  # a few numbers for each stratum and rule
+    pairs = found.count() or 1
+    grid = spark.createDataFrame([(r.name, i, len(r.cutoffs) - i, float(c)) for r in rules for i, c in enumerate(r.cutoffs)], "rule string, i int, least int, cutoff double")
+    k = F.aggregate(F.filter("by_level", lambda x: x["level"] >= F.col("least")), F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"])
+    tests = found.join(F.broadcast(grid), "rule").withColumn("k", k)
+    tests = tests.withColumn("ok", binomial_tail(F.col("n"), F.col("k"), F.lit(alpha / len(rules))) <= delta / pairs)
+    inorder = tests.groupBy("_stratum", "rule").agg(F.array_sort(F.collect_list(F.struct("i", "ok", "cutoff"))).alias("t"))
+    # the last cutoff before the first that fails
+    passed = F.coalesce(F.nullif(F.array_position(F.transform("t", lambda x: x["ok"]), F.lit(False)), F.lit(0)) - 1, F.size("t"))
+    chosen = inorder.select("_stratum", "rule", F.get("t", passed.cast("int") - 1)["cutoff"].alias("cutoff")).where("cutoff is not null")
+    cuts = chosen.groupBy("_stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
+    return cut(cuts)
 
 
 def _signal(r: Rule) -> Column:
@@ -153,18 +157,26 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: floa
     """Per document: doc_id, stratum, counts, base_failed, kept, failed_rules (array of names)."""
     keep = list(dict.fromkeys(["doc_id", stratum]))
     feats = cut(features(docs, keep))
-    cuts = certified(feats, labels, stratum, alpha, delta, rules)
-    n = cuts.count()
-    cuts = F.broadcast(cuts) if n <= BROADCAST_STRATA else cuts
+    x = with_verdict(feats, certified(feats, labels, stratum, alpha, delta, rules), stratum, rules)
+    return x.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_rules")
+
+
+def with_verdict(feats: DataFrame, cuts: DataFrame, stratum: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    cuts = F.broadcast(cuts) if cuts.count() <= BROADCAST_STRATA else cuts
     x = feats.join(cuts, feats[stratum].eqNullSafe(cuts["_stratum"]), "left")
-    failed = F.filter(F.array(*[F.when(_signal(r) >= F.col(f"cut_{r.name}"), F.lit(r.name)) for r in rules]), lambda v: v.isNotNull())
-    return x.select(
-        *keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base_failed().alias("base_failed"), (~base_failed() & (F.size(failed) == 0)).alias("kept"), failed.alias("failed_rules")
-    )
+    failed = F.filter(F.array(*[F.when(_signal(r) >= F.try_element_at("cuts", F.lit(r.name)), F.lit(r.name)) for r in rules]), lambda v: v.isNotNull())
+    return x.withColumn("base_failed", base_failed()).withColumn("failed_rules", failed).withColumn("kept", ~F.col("base_failed") & (F.size("failed_rules") == 0))
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the documents that pass, with their own columns. Rows without a doc_id are judged by the same cutoffs."""
+    """Pipeline stage: the documents that pass, with their own columns.
+
+    Cutoffs come from one pass over the features; a second pass computes the
+    features again beside the rows, so that no text is shuffled.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    verdict = cut(judge(docs, labels).select("doc_id", "kept").where("doc_id is not null").groupBy("doc_id").agg(F.bool_and("kept").alias("_kept")))
-    return docs.join(verdict.where("_kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    cuts = certified(cut(features(docs, ["doc_id", "lang"])), labels, "lang")
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), F.col("lang").alias("_lang"), "text")
+    x = with_verdict(features(packed, ["_row", "_lang"]), cuts, "_lang")
+    # a generator, not a filter: a filter would be pushed down with all features written out in it
+    return x.select(F.inline(F.when(F.col("kept"), F.array("_row"))))

@@ -240,6 +240,7 @@ def bloom(df: DataFrame, column: str) -> np.ndarray:
     bits = np.zeros((BLOOM_BITS // 8 // block, block), np.uint8)
     for row in map_arrow(by_bucket(one), merge, "bucket int, bits binary").toLocalIterator():
         bits[row["bucket"]] = np.frombuffer(row["bits"], np.uint8)
+    give_back()
     return bits.reshape(-1)
 
 
@@ -250,6 +251,16 @@ def in_bloom(bits: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return ok
 
 
+#: Ids up to this number (8 MB) travel as a broadcast, more in a shuffled join.
+BROADCAST_IDS = 1 << 20
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the rows whose doc_id is in gone (a scratch table of distinct doc_id); all of their columns."""
+    few = gone.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 # connected components -----------------------------------------------------
 
 
