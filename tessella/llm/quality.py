@@ -122,7 +122,8 @@ def certified(feats: DataFrame, labels: DataFrame, stratum: str, alpha: float =
     spark = feats.sparkSession
     good = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q")).where("_q = 1").select("doc_id")
     levels = F.array(*[F.struct(F.lit(r.name).alias("rule"), _level(r).alias("level")) for r in rules])
-    rows = feats.where(~base_failed()).join(good, "doc_id", "left_semi").select(F.col(stratum).alias("_stratum"), F.inline(levels))
+    # a generator again, so that no filter is pushed into the features
+    rows = feats.join(good, "doc_id", "left_semi").select(F.col(stratum).alias("_stratum"), F.inline(F.when(~base_failed(), levels)))
     counts = rows.groupBy("_stratum", "rule", "level").agg(F.count(F.lit(1)).alias("n"))
     found = counts.groupBy("_stratum", "rule").agg(F.sum("n").alias("n"), F.collect_list(F.struct("level", "n")).alias("by_level"))
     found = cut(found)  # a few numbers for each stratum and rule
