@@ -96,7 +96,10 @@ def test_driver_and_cluster_fits_agree(spark):
 def test_mixing_edges(docs, rows, empty):
     out = mixing.calibrated(docs).collect()
     assert len(out) == len(rows) and sorted(r["n_tokens"] for r in out) == sorted(len(brute.words(t)) for _, t in rows)
-    assert {r["sampled"] for r in out if r["doc_id"] == 7} in ({True}, {False})
+    drawn = {}
+    for r in out:  # equal ids have one draw, so a cell decides alike
+        if r["doc_id"] == 7:
+            assert drawn.setdefault((r["source"], r["lang"], r["topic"]), r["sampled"]) == r["sampled"]
     assert mixing.calibrated(empty).count() == 0
     assert {r["source"] for r in out} == {"src0", "src1", ""}
 
