@@ -57,6 +57,11 @@ def indented(message: Column) -> Column:
     return F.replace(message, F.lit("\n"), F.lit("\n    "))
 
 
+def log_line(level: Column, target: Column, message: Column) -> Column:
+    """[INFO  target] message, its further lines indented."""
+    return F.concat(F.lit("["), F.rpad(level, 5, " "), F.lit(" "), target, F.lit("] "), indented(message))
+
+
 def commented(text: Column) -> Column:
     """Each line as a comment; blank lines as a bare '#', trailing blank lines dropped."""
     body = F.regexp_replace(text, r"\s+$", "")

@@ -1,0 +1,80 @@
+"""The iteration order of an open-addressing hash table: where new keys land when a file is first written.
+
+The table has 2^n places and looks at 16 of them at once, starting where the
+hash points and moving on by growing strides; a key takes the first place of a
+window that is free. At 7/8 full (3 of 4, 7 of 8 for small tables) it doubles
+and its keys move in the order of their places. Iteration is by place.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
+
+from tessella.functions.hashing import string_hash
+
+WINDOW = 16
+
+
+class HashOrder:
+    def __init__(self) -> None:
+        self.places: list[str | None] = []
+        self.at: dict[str, int] = {}
+
+    def room(self) -> int:
+        n = len(self.places)
+        return n - 1 if 0 < n <= 8 else n // 8 * 7
+
+    def _free(self, key: str) -> int:
+        n = len(self.places)
+        start, stride = string_hash(key.encode()) & (n - 1), 0
+        while True:
+            # small tables: places past the end of the table count as free, and stand for the first free one
+            window = range(start, start + WINDOW)
+            spot = next((i for i in window if (self.places[i & (n - 1)] is None if i < n or n >= WINDOW or i >= WINDOW else True)), None)
+            if spot is not None:
+                spot &= n - 1
+                return spot if self.places[spot] is None else self.places.index(None)
+            stride += WINDOW
+            start = (start + stride) & (n - 1)
+
+    def add(self, key: str) -> None:
+        if key in self.at:
+            return
+        if len(self.at) >= self.room():
+            old = [k for k in self.places if k is not None]
+            self.places = [None] * (2 * len(self.places) or 4)
+            for k in old:
+                self._put(k)
+        self._put(key)
+
+    def _put(self, key: str) -> None:
+        self.at[key] = spot = self._free(key)
+        self.places[spot] = key
+
+    def keys(self) -> list[str]:
+        return [k for k in self.places if k is not None]
+
+
+def ordered(keys: Iterable[str]) -> list[str]:
+    """Keys in iteration order after they are added one by one."""
+    table = HashOrder()
+    for k in keys:
+        table.add(k)
+    return table.keys()
+
+
+def with_ordinal(df: DataFrame, by: list[str], key: str, order: list[str]) -> DataFrame:
+    """(by, key, ordinal): the place of each key among those of its group; one catalogue's keys are one group."""
+
+    @F.pandas_udf(ArrayType(StringType()))
+    def place(lists: pd.Series) -> pd.Series:
+        return lists.map(ordered)
+
+    first = df.groupBy(*by, key).agg(F.min(F.struct(*order)).alias("_o"))
+    rows = first.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("_o", key))).alias("_k"))
+    return rows.select(*by, F.posexplode(place(F.transform("_k", lambda x: x[key]))).alias("ordinal", key))

@@ -52,6 +52,13 @@ def slots(context: Column, size: int) -> Column:
     return F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(0), size - F.size(context))), context)
 
 
+def relative_depth(tokens: DataFrame, id_: str, most: int = 5) -> DataFrame:
+    """outward: how many brackets deeper the text is at each token than at its shallowest so far, clipped at `most`."""
+    x = with_depth(tokens, id_)
+    low = F.min("depth").over(_by(id_).rowsBetween(-12, 0))
+    return x.withColumn("outward", F.least(F.lit(most), F.col("depth") - low))
+
+
 def bigrams(tokens: DataFrame, id_: str) -> DataFrame:
     return tokens.withColumn("previous", F.lag("token", 1, "<BOF>").over(_by(id_)))
 

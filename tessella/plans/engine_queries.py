@@ -100,3 +100,11 @@ def delta_rule_fit(spark, d):
     x = B.group_split(table(spark, d, "embeddings"), "vec_id").withColumn("y", F.col("label") == 0)
     r = training.fit_table(x, "embedding", "y", "split")
     return spark.createDataFrame([(r.epochs, float(r.f1), float(np.abs(r.w).sum()))], "epochs int, f1 double, weight double")
+
+
+@query("hash_iteration_order")
+def hash_iteration_order(spark, d):
+    """The order in which a table lists the event types of each user, added as they first came."""
+    from tessella.operators.hash_order import with_ordinal
+
+    return with_ordinal(table(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"])

@@ -216,3 +216,25 @@ def cache_probe(spark, d):
     stored = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("_id"), hashing.fingerprint(F.col("text"), F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang"))).alias("_f"))
     x = now.join(stored, (now["doc_id"] == stored["_id"]) & (now["f"] == stored["_f"]), "left")
     return x.select("doc_id", F.when(F.col("_id").isNull(), "miss").otherwise("hit").alias("state"))
+
+
+@query("log_lines", "select page_id, '[' || rpad(case when page_id % 2 = 0 then 'INFO' else 'ERROR' end, 5, ' ') || ' cli] ' || replace('url' || chr(10) || coalesce(url, ''), chr(10), chr(10) || '    ') as line from pages")
+def log_lines(spark, d):
+    level = F.when(F.col("page_id") % 2 == 0, "INFO").otherwise("ERROR")
+    message = F.concat(F.lit("url\n"), F.coalesce(F.col("url"), F.lit("")))
+    return table(spark, d, "pages").select("page_id", T.log_line(level, F.lit("cli"), message).alias("line"))
+
+
+@query(
+    "slot_context",
+    f"select doc_id, count(*) n, count(s[1]) first_slot, count(s[6]) last_slot, max(s[6]) top from (select doc_id, list_resize([], greatest(0, 6 - len(b))) || b s from (select doc_id, coalesce(list(token) over (partition by doc_id order by idx rows between 6 preceding and 1 preceding), []) b from ({TOKENS}))) group by doc_id",
+)
+def slot_context(spark, d):
+    x = K.framed(K.token_stream(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 6, 3).select("doc_id", K.slots(F.col("before"), 6).alias("s"))
+    return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.get("s", 0)).alias("first_slot"), F.count(F.get("s", 5)).alias("last_slot"), F.max(F.get("s", 5)).alias("top"))
+
+
+@query("relative_depth", f"select page_id, max(o)::int deepest, sum(o)::bigint total from (select page_id, least(5, depth - min(depth) over (partition by page_id order by idx rows between 12 preceding and current row)) o from ({DEPTHS})) group by page_id")
+def relative_depth(spark, d):
+    x = K.relative_depth(K.token_stream(table(spark, d, "pages"), "page_id", "html"), "page_id")
+    return x.groupBy("page_id").agg(F.max("outward").alias("deepest"), F.sum("outward").alias("total"))

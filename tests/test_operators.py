@@ -118,3 +118,17 @@ def test_binned_stream(spark, tmp_path):
     q = incremental.binned(s, "ts", ["k"], "1 hour", "2 hours").writeStream.format("memory").queryName("bins").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination()
     assert sorted(r["n"] for r in spark.table("bins").collect()) == [1, 2]
+
+
+def test_hash_order(spark):
+    from tessella.functions.hashing import string_hash
+    from tessella.operators.hash_order import ordered, with_ordinal
+
+    # fixed expectations: the order in which such a table lists these languages
+    assert ordered(["en", "uk", "pl"]) == ["uk", "pl", "en"]
+    assert ordered(["en", "uk", "pl", "de"]) == ["de", "uk", "pl", "en"]
+    assert ordered(["en", "uk", "pl", "de", "fr", "it", "es"]) == ["de", "uk", "fr", "it", "es", "pl", "en"]
+    keys = [f"k{i}" for i in range(300)]
+    assert sorted(ordered(keys)) == sorted(keys) and ordered(keys + keys) == ordered(keys) and string_hash(b"k1") != string_hash(b"k2")
+    df = spark.createDataFrame([("x", k, i) for i, k in enumerate(["en", "uk", "pl", "en"])], "g string, k string, i int")
+    assert [r["k"] for r in with_ordinal(df, ["g"], "k", ["i"]).orderBy("ordinal").collect()] == ["uk", "pl", "en"]
