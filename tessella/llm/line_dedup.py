@@ -19,8 +19,8 @@ earlier one.
 4. In a cluster full sets decide: each line is compared with earlier ones until
    one is found. Clusters over BLOCK lines are compared in pairs of blocks.
 
-Defined cases: null text has no lines; lines with fewer than `least` distinct
-words stay; a null doc_id keeps its lines and removes none; rows that repeat a
+Defined cases: null text has no lines; lines without words stay (`least`, the
+fewest distinct words of a line that is looked at, is 1); a null doc_id keeps its lines and removes none; rows that repeat a
 doc_id share their positions, so they don't remove each other, and a position
 that goes goes in both; a document that loses all its words goes from the
 pipeline; empty tables give empty results; other columns stay untouched.
@@ -412,7 +412,7 @@ def decided(docs: DataFrame, clusters: DataFrame, num: int, den: int, least: int
     return S.map_arrow(x, verify, "doc_id long, line long")
 
 
-def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = 3) -> DataFrame:
+def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = 1) -> DataFrame:
     """(doc_id, lines): the numbers, from 0, of the lines of each document that go; documents that lose none are absent."""
     rarity = counters(docs)
     first = S.cut(met(prefixes(docs, rarity, num, den, least), num, den))
@@ -422,7 +422,7 @@ def repeated_lines(docs: DataFrame, num: int = 4, den: int = 5, least: int = 3)
     return S.cut(gone.groupBy("doc_id").agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
 
-def report(docs: DataFrame, num: int = 4, den: int = 5, least: int = 3) -> DataFrame:
+def report(docs: DataFrame, num: int = 4, den: int = 5, least: int = 1) -> DataFrame:
     """Per document: doc_id, n_lines (newline-split, null text none), n_removed, removed_lines."""
     gone = repeated_lines(docs, num, den, least)
     lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.when(F.col("text").isNull(), 0).otherwise(F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("n_lines"))

@@ -60,6 +60,23 @@ def test_line_stage_keeps_columns(spark, docs, rows):
     assert sorted(repr((repr(r["doc_id"]), r["text"])) for r in out.collect()) == sorted(map(repr, want))
 
 
+def test_short_lines(spark):
+    """Lines of one and two words repeat like any other; lines without words stay."""
+    texts = ["Read more\nCookie policy\n\nAdvertisement", "Advertisement\nmore Read\nRead\n \t", "read more\nRead more now\n\nAdvertisement Advertisement", "Advertisement", None, ""]
+    rows = [*enumerate(texts), (None, "Advertisement\nRead more"), (0, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    gone = brute.removed_lines(rows, least=1)
+    assert gone == {(1, 0), (1, 1), (2, 3), (3, 0)}
+    assert {(r["doc_id"], i) for r in line_dedup.report(df).collect() for i in r["removed_lines"]} == gone
+    kept = sorted((r["doc_id"], r["text"]) for r in line_dedup.stage(spark, df, "").where("doc_id is not null").collect() if r["text"])
+    assert kept == [(0, texts[0]), (0, texts[0]), (1, "Read\n \t"), (2, "read more\nRead more now\n")]
+
+
+def test_short_lines_query(spark, sf):
+    gone = brute.removed_lines(table(spark, sf), least=1)
+    assert {(r["doc_id"], i) for r in queries.op1_line_dedup(spark, sf).collect() for i in r["removed_lines"]} == gone
+
+
 def check_bytes(got, rows):
     seen = brute.first_bytes(rows)
     want = sorted((repr(d), *brute.bytes_removed(t, d, seen)) for d, t in rows)
