@@ -7,7 +7,9 @@ placeholders. Windows of `length` template tokens of all documents are looked
 up among those of the benchmark; a second view leaves names as they are, so a
 copy in other letter case is found too. Hits of one document and item on one
 alignment form a match. Its slots must be consistent: over the match, equal
-slot values of the item are equal in the document, and different ones differ.
+slot values of the item are equal in the document; different ones may become
+equal. Where a value of the item meets several, the one met most often holds (at
+a tie the item's own), and only windows with another one are no evidence.
 So a question with other numbers or names is caught, and prose that only shares
 a pattern isn't. A match counts from half of the item's windows, or from six
 windows (13 tokens) on.
@@ -125,6 +127,24 @@ class Template:
         return at, K.Prefix(self.word, K.WORD_BASE).spans(at, at + length)
 
 
+def consistent(q: np.ndarray, length: int, diagonal: int, own: np.ndarray, theirs: np.ndarray) -> tuple[np.ndarray, int]:
+    """(the windows q of an alignment in which each slot value of the item has one value in the document, slots with another value)."""
+    at = np.unique((q[:, None] + np.arange(length)).ravel())
+    at = at[own[at] != 0]
+    pairs, which, n = np.unique(np.stack([own[at], theirs[at + diagonal]], axis=1), axis=0, return_inverse=True, return_counts=True)
+    same = pairs[:, 0] == pairs[:, 1]
+    order = np.lexsort((~same, -n, pairs[:, 0]))
+    holds = np.zeros(len(pairs), bool)
+    holds[order[S.group_edges(pairs[order, 0])[:-1]]] = True
+    if not holds.all():
+        bad = at[~holds[which.ravel()]]
+        q = q[np.searchsorted(bad, q) == np.searchsorted(bad, q + length)]
+        at = at[np.isin(at, (q[:, None] + np.arange(length)).ravel())]
+        pairs = np.unique(np.stack([own[at], theirs[at + diagonal]], axis=1), axis=0)
+        same = pairs[:, 0] == pairs[:, 1]
+    return q, int((~same).sum())
+
+
 class Index:
     """Template windows of a block of the benchmark, sorted by hash, for both views."""
 
@@ -179,12 +199,9 @@ class Index:
             edges = np.append(np.flatnonzero(new), len(p))
             matched: dict[tuple[int, int], list] = {}
             for a, b in zip(edges[:-1], edges[1:], strict=True):
-                at = np.unique((q[a:b, None] + np.arange(length[a])).ravel())
-                mine, theirs = own.slot[at], t.slot[at + diagonal[a]]
-                pairs = np.unique(np.stack([mine, theirs], axis=1)[mine != 0], axis=0)
-                if len(np.unique(pairs[:, 0])) < len(pairs) or len(np.unique(pairs[:, 1])) < len(pairs):
-                    continue
-                matched.setdefault((int(doc[a]), int(item[a])), []).append((q[a:b], int((pairs[:, 0] != pairs[:, 1]).sum())))
+                windows, changed = consistent(q[a:b], int(length[a]), int(diagonal[a]), own.slot, t.slot)
+                if len(windows):
+                    matched.setdefault((int(doc[a]), int(item[a])), []).append((windows, changed))
             for (d, i), parts in matched.items():
                 n = len(np.unique(np.concatenate([x for x, _ in parts])))
                 if n >= min(ENOUGH, -(-int(total[i]) // 2)):

@@ -209,6 +209,22 @@ def test_templates(spark):
     assert got == {(0, 1), (1, 1), (2, 1)}
 
 
+def test_slots_that_become_equal_or_conflict(spark):
+    """Different numbers may become equal; one altered of two equal numbers costs its own windows only."""
+    rng = random.Random(10)
+    long = f"{prose(rng, 30)} 12 {prose(rng, 30)} 12 {prose(rng, 30)}".replace(".", "")
+    texts = [
+        "If Mary Jane buys 4 apples and 4 pears for 9 dollars each, how much does Mary Jane pay to the shop of Bob in total?",
+        long.replace(" 12 ", " 13 ", 1),
+        long.replace(" 12 ", " 13 "),
+        "If Mary buys 40 apples and 40 pears for 40 dollars each, then the slots don't fit and nothing else of it is here.",
+    ]
+    assert found(spark, texts, ((1, ITEM), (2, long))) == {(0, 1), (1, 2), (2, 2)}
+    # equal values that meet different ones everywhere are still no match
+    item = "then A took 7 big ones and 7 small ones and 7 red ones and 7 blue ones home"
+    assert found(spark, [item.replace("7", "{}").format(1, 2, 3, 4)], ((1, item),)) == set()
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     rng = random.Random(11)
     items = [(i, prose(rng, 30)) for i in range(40)] + [(50, None), (51, "too short"), (52, "five words are quite enough"), (None, "nobody asks for this one item")]
