@@ -5,7 +5,8 @@ folded, with numbers, names (capitalised inside a sentence; neighbours are one
 name) and units (known words right after a number) replaced by typed
 placeholders. Windows of `length` template tokens of all documents are looked
 up among those of the benchmark; a second view leaves names as they are, so a
-copy in other letter case is found too. Hits of one document and item on one
+copy in other letter case is found too, and a third one has no placeholders at
+all, so what is mostly numbers, or short, is found where it is copied. Hits of one document and item on one
 alignment form a match. Its slots must be consistent: over the match, equal
 slot values of the item are equal in the document; different ones may become
 equal. Where a value of the item meets several, the one met most often holds (at
@@ -18,10 +19,11 @@ The benchmark is looked up in blocks of bounded size (BLOCK_BYTES of text),
 each broadcast and met by one scan of the documents; benchmarks fit one block.
 Documents are never shuffled.
 
-Defined cases: null texts have no tokens; an item with 4 to length - 1 tokens is
-one window of its own length; an item with fewer is no evidence and never
-matches; windows in which placeholders outnumber words are no evidence; repeated
-items match alike; rows that repeat a doc_id give a row for each item and
+Defined cases: null texts have no tokens; an item with fewer than `length` tokens
+is one window of its own length, with fewer than 4 only without placeholders, so
+an item of one word is in every document with that word; an item without tokens
+never matches; windows in which placeholders outnumber words are no evidence,
+but the same windows without placeholders are; repeated items match alike; rows that repeat a doc_id give a row for each item and
 doc_id; a null doc_id is matched, and its row has a null doc_id; empty tables
 give empty results; other columns don't matter.
 """
@@ -40,6 +42,8 @@ from tessella.llm import spread as S
 
 LENGTH = 8
 SHORTEST = 4
+#: What is a placeholder: numbers, units and names; numbers and units; nothing.
+NAMES, NUMBERS, LITERAL = VIEWS = range(3)
 ENOUGH = 6
 BLOCK_BYTES = 8 << 20
 #: Units that may follow a number.
@@ -72,7 +76,7 @@ def unit_hashes() -> np.ndarray:
 class Template:
     """Tokens of a run of documents: word (placeholder or hash), slot (the value's hash, 0 for a word), first (offsets by document)."""
 
-    def __init__(self, data: np.ndarray, off: np.ndarray, names: bool, units: np.ndarray):
+    def __init__(self, data: np.ndarray, off: np.ndarray, view: int, units: np.ndarray):
         flag = ALNUM[data]
         if len(data) > 2:
             digit = DIGIT[data]
@@ -83,7 +87,7 @@ class Template:
         doc = np.repeat(np.arange(len(off) - 1), np.diff(self.first))
         h = K.Prefix(K.LOWER[data], K.BYTE_BASE).spans(start, end)
         slot = np.zeros(n, np.uint64)
-        if not n:
+        if not n or view == LITERAL:
             self.word, self.slot = h, slot
             return
         inner = np.zeros(n, bool)
@@ -100,7 +104,7 @@ class Template:
         word[unit] = UNIT
         slot[number | unit] = h[number | unit]
         keep = np.ones(n, bool)
-        if names:
+        if view == NAMES:
             lead = data[start]
             second = data[np.minimum(start + 1, len(data) - 1)]
             upper = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
@@ -146,7 +150,7 @@ def consistent(q: np.ndarray, length: int, diagonal: int, own: np.ndarray, their
 
 
 class Index:
-    """Template windows of a block of the benchmark, sorted by hash, for both views."""
+    """Template windows of a block of the benchmark, sorted by hash, for all views."""
 
     def __init__(self, items: list[tuple[int, str]]):
         raw = [(text or "").encode() for _, text in items]
@@ -155,10 +159,10 @@ class Index:
         self.ids = np.array([i for i, _ in items], np.int64)
         self.units = unit_hashes()
         self.views = []
-        for names in (True, False):
-            t = Template(data, off, names, self.units)
+        for view in VIEWS:
+            t = Template(data, off, view, self.units)
             n = np.diff(t.first)
-            lengths = np.unique(np.append(n[(n >= SHORTEST) & (n < LENGTH)], LENGTH))
+            lengths = np.unique(np.append(n[(n >= (1 if view == LITERAL else SHORTEST)) & (n < LENGTH)], LENGTH))
             found: dict[int, tuple] = {}
             total = np.zeros(len(items), np.int64)
             for length in lengths.tolist():
@@ -171,13 +175,13 @@ class Index:
                 small = np.zeros(1 << 16, bool)
                 small[(h >> np.uint64(48)).astype(np.int64)] = True
                 found[length] = (small, h[order], at[order], item[order])
-            self.views.append((names, t, found, total))
+            self.views.append((view, t, found, total))
 
     def matches(self, data: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(document, item, windows matched, windows of the item, slots with another value)."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for names, own, found, total in self.views:
-            t = Template(data, off, names, self.units)
+        for view, own, found, total in self.views:
+            t = Template(data, off, view, self.units)
             hits = []
             for length, (small, hashes, at, item) in found.items():
                 p, h = t.windows(length)

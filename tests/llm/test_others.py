@@ -225,6 +225,22 @@ def test_slots_that_become_equal_or_conflict(spark):
     assert found(spark, [item.replace("7", "{}").format(1, 2, 3, 4)], ((1, item),)) == set()
 
 
+def test_copies_of_numbers_and_short_items(spark):
+    """What is mostly numbers, and what has few tokens, is found as a copy, and not with other numbers."""
+    rng = random.Random(12)
+    sums = "12 + 30 = 42; 7 + 8 = 15; 20 + 9 = 29; 3 + 4 = 7; 11 + 6 = 17"
+    items = ((1, sums), (2, "2024-05-17"), (3, "Photosynthesis"), (4, "?!"), (5, "Name the Capital"))
+    texts = [
+        f"{prose(rng, 30)} {sums} {prose(rng, 30)}",
+        sums.replace("2", "5").replace("7", "6"),
+        f"{prose(rng, 9)} on 2024-05-17 {prose(rng, 9)}",
+        "photosynthesis ?! on 2024-05-18",
+        "NAME THE capital of it",
+        "name its capital 2024-05",
+    ]
+    assert found(spark, texts, items) == {(0, 1), (2, 2), (3, 3), (4, 5)}
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     rng = random.Random(11)
     items = [(i, prose(rng, 30)) for i in range(40)] + [(50, None), (51, "too short"), (52, "five words are quite enough"), (None, "nobody asks for this one item")]
