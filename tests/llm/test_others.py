@@ -142,6 +142,35 @@ def test_score_query(spark, sf):
     assert sum(-r["score"] for r in held) / math.log10(2) < 3.2 * sum(r["n_bytes"] for r in held)
 
 
+def test_mixing_learns_from_distinct_texts(spark, monkeypatch):
+    """A long text ends no sample, copies fill none, the sample grows with the corpus, and no copy of a text predicts it."""
+    rng = random.Random(13)
+    texts = [prose(rng, 20) for _ in range(300)] + ["copied text " * 9] * 500 + ["long " * 1_000_000]
+    train = spark.createDataFrame([(t,) for t in texts] + [(None,)], "text string").repartition(4)
+    assert {r["text"]: r["copies"] for r in context_mixing.mixing_sample(train, len(texts)).collect()} == {t: 500 if t[:6] == "copied" else 1 for t in texts}
+    monkeypatch.setattr(context_mixing, "MIX_DOCS", 1)
+    monkeypatch.setattr(context_mixing, "MIX_SHARE", 4)
+    assert 40 < context_mixing.mixing_sample(train, len(texts)).count() < 120
+    tree = context_mixing.Tree.of(*context_mixing.huffman(np.ones((256, 256))))
+    raw = np.frombuffer(b"copied text " * 9, np.uint8)
+    d = context_mixing.decisions(raw, np.array([0, len(raw)]), tree)
+    counts = [np.zeros((1 << b, 2), np.int64) for _, b in context_mixing.ORDERS]
+    for c, s in zip(counts, d.slots):
+        np.add.at(c, (s, d.bit.astype(int)), 500)
+    assert not context_mixing.features(d, counts, np.array([500]))[0].any()
+    assert context_mixing.features(d, counts, np.array([1]))[0].all(axis=1).mean() > 0.9
+
+
+def test_weights_of_least_loss():
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(20_000, 3)).astype(np.float32)
+    y = rng.random(20_000) < 1 / (1 + np.exp(-x @ [0.9, -0.2, 0.5]))
+    w = np.full((8, 3), context_mixing.START)
+    for _ in range(context_mixing.ROUNDS):
+        w = context_mixing.stepped(w, context_mixing.curvature(x, (np.full(len(x), 7 << 4) | y).astype(np.uint8), w))
+    assert np.abs(w[7] - [0.9, -0.2, 0.5]).max() < 0.1 and (w[:7] == context_mixing.START).all()
+
+
 def test_probabilities_sum_to_one():
     """Over all bytes after a context: the decisions of a tree are a proper code."""
     code, length = context_mixing.huffman(np.random.default_rng(1).integers(0, 1000, (256, 256)))
