@@ -153,12 +153,14 @@ def test_mixing_learns_from_distinct_texts(spark, monkeypatch):
     assert 40 < context_mixing.mixing_sample(train, len(texts)).count() < 120
     tree = context_mixing.Tree.of(*context_mixing.huffman(np.ones((256, 256))))
     raw = np.frombuffer(b"copied text " * 9, np.uint8)
-    d = context_mixing.decisions(raw, np.array([0, len(raw)]), tree)
-    counts = [np.zeros((1 << b, 2), np.int64) for _, b in context_mixing.ORDERS]
+    off, bits = np.array([0, len(raw)]), context_mixing.table_bits(0)
+    (d,) = context_mixing.decisions(raw, off, tree, bits)
+    counts = [np.zeros((1 << b, 2), np.int64) for b in bits]
     for c, s in zip(counts, d.slots):
         np.add.at(c, (s, d.bit.astype(int)), 500)
-    assert not context_mixing.features(d, counts, np.array([500]))[0].any()
-    assert context_mixing.features(d, counts, np.array([1]))[0].all(axis=1).mean() > 0.9
+    for data, at, n in ((raw, off, 1), (np.concatenate([raw, raw]), np.array([0, len(raw), 2 * len(raw)]), 2)):
+        assert not any(x.any() for x, _ in context_mixing.features(data, at, tree, counts, np.full(n, 500)))
+        assert all(x.all(axis=1).mean() > 0.9 for x, _ in context_mixing.features(data, at, tree, counts, np.full(n, 1)))
 
 
 def test_weights_of_least_loss():
