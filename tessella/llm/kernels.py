@@ -104,12 +104,12 @@ def bounds(flag: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(flag & ~before), np.flatnonzero(flag & ~after) + 1
 
 
-def words(data: np.ndarray, off: np.ndarray, lower: bool = False) -> Words:
-    """The maximal runs of non-blank bytes; lower folds A-Z before hashing."""
+def words(data: np.ndarray, off: np.ndarray, lower: bool = False, seq: Prefix | None = None) -> Words:
+    """The maximal runs of non-blank bytes; lower folds A-Z before hashing. seq: the bytes' prefix sums, if they are there already."""
     start, end = bounds(IS_WORD[data], off)
     first = np.searchsorted(start, off)
     doc = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    return Words(start, end, doc, first, Prefix(LOWER[data] if lower else data, BYTE_BASE).spans(start, end))
+    return Words(start, end, doc, first, (seq or Prefix(LOWER[data] if lower else data, BYTE_BASE)).spans(start, end))
 
 
 def whole_windows(first: np.ndarray, length: int) -> np.ndarray:

@@ -165,8 +165,8 @@ def test_mixing_learns_from_distinct_texts(spark, monkeypatch):
 
 def test_weights_of_least_loss():
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(20_000, 3)).astype(np.float32)
-    y = rng.random(20_000) < 1 / (1 + np.exp(-x @ [0.9, -0.2, 0.5]))
+    x = np.rint(rng.normal(size=(20_000, 3)) * context_mixing.SCALE).astype(np.int8)
+    y = rng.random(20_000) < 1 / (1 + np.exp(-x @ [0.9, -0.2, 0.5] / context_mixing.SCALE))
     w = np.full((8, 3), context_mixing.START)
     for _ in range(context_mixing.ROUNDS):
         w = context_mixing.stepped(w, context_mixing.curvature(x, (np.full(len(x), 7 << 4) | y).astype(np.uint8), w))
