@@ -67,13 +67,15 @@ def repeated(docs: DataFrame, grams: Units, groups: int) -> DataFrame:
     grams(data, off) gives (keys of the anchors, index of the document of each).
     """
 
+    bits = S.bucket_bits(docs.sparkSession)
+
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = S.Gather({"key": "u8", "doc": "i8"})
 
         def flush() -> Iterator[pa.RecordBatch]:
             x = once(held.take())
             spread = np.where(x["kind"] == 2, K.mix(x["doc"].view(np.uint64).copy()), x["key"])
-            yield from S.pack(S.bucket_of(spread), x)
+            yield from S.pack(S.bucket_of(spread, bits), x)
 
         for batch in batches:
             ids = batch.column(0).to_numpy()

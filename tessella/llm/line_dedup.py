@@ -145,7 +145,7 @@ def node_of(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 def prefixes(docs: DataFrame, rarity: np.ndarray, num: int, den: int, least: int) -> DataFrame:
     """Packed: the prefix words of the lines; size 0 marks lines that equal an earlier line of the task."""
-    table = docs.sparkSession.sparkContext.broadcast(rarity)
+    table, bits = docs.sparkSession.sparkContext.broadcast(rarity), S.bucket_bits(docs.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = S.Gather({"key": "u8", "pos": "u4", "of": "i8"})
@@ -182,7 +182,7 @@ def prefixes(docs: DataFrame, rarity: np.ndarray, num: int, den: int, least: int
                 "b1": np.concatenate([x["b1"][of], zero]),
                 "b2": np.concatenate([x["b2"][of], zero]),
             }
-            yield from S.pack(S.bucket_of(cols["key"]), cols)
+            yield from S.pack(S.bucket_of(cols["key"], bits), cols)
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
@@ -216,22 +216,6 @@ def prefixes(docs: DataFrame, rarity: np.ndarray, num: int, den: int, least: int
     return S.map_arrow(docs.where("doc_id is not null").select(F.col("doc_id").cast("long"), "text"), emit, S.packed_schema(FIELDS))
 
 
-def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
-    """Component label of each of n nodes under edges (u, v)."""
-    label = np.arange(n)
-    while len(u):
-        a, b = label[u], label[v]
-        open_ = a != b
-        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
-        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label = up
-    return label
-
-
 def candidates(x: dict[str, np.ndarray], num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
     """Indices (a, b) of entries, sorted by (key, size), whose lines may be similar; enough of them to connect all that are.
 
@@ -321,7 +305,7 @@ def met(packed: DataFrame, num: int, den: int) -> DataFrame:
             x = {c: v[order] for c, v in x.items()}
             a, b = candidates(x, num, den)
             node, inverse = np.unique(node_of(x["doc"], x["line"])[np.concatenate([a, b])], return_inverse=True)
-            label = roots(inverse[: len(a)], inverse[len(a) :], len(node))
+            label = S.roots(inverse[: len(a)], inverse[len(a) :], len(node))
             u, v = node, node[label]
             sel = u != v
             u, v, none = u[sel], v[sel], len(gone["doc"])
@@ -432,12 +416,21 @@ def report(docs: DataFrame, num: int = 4, den: int = 5, least: int = 1) -> DataF
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without the lines that go, n_chars to match; documents that lose all their words go."""
-    gone = repeated_lines(docs).select(F.col("doc_id").alias("_id"), F.col("lines").alias("_lines"))
+    """Pipeline stage: texts without the lines that go, n_chars to match; documents that lose all their words go.
+
+    The row travels whole in a column of its own, so no name of documents clashes with ours.
+    """
+    gone = repeated_lines(docs)
+    x = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("doc_id"))
     # texts are met by doc_id in a merge join at every size: the lists of lines have no small bound
-    x = docs.join(gone.hint("merge"), docs["doc_id"] == gone["_id"], "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda s, i: ~F.array_contains("_lines", i.cast("long"))), "\n")
-    x = x.withColumn("_text", F.when(F.col("_lines").isNull(), F.col("text")).otherwise(left))
-    x = x.where(F.col("_lines").isNull() | F.col("_text").rlike(r"[^\x20\t-\r]"))
-    cols = [F.col("_text").alias("text") if c == "text" else F.when(F.col("_lines").isNull(), docs[c]).otherwise(F.length("_text")).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
-    return x.select(*cols)
+    x = x.join(gone.hint("merge"), "doc_id", "left")
+    # the lines between those that go, piece by piece: linear in the text, which is split once
+    once = lambda value, f: F.flatten(F.transform(F.array(value), f))
+    after = lambda stops, i: F.when(i == 0, 0).otherwise(F.get(stops, i - 1) + 1).cast("int")
+    pieces = lambda lines, stops: F.flatten(F.transform(stops, lambda b, i: F.slice(lines, after(stops, i) + 1, b.cast("int") - after(stops, i))))
+    kept = once(F.split("row.text", "\n"), lambda lines: once(F.concat("lines", F.array(F.size(lines).cast("long"))), lambda stops: pieces(lines, stops)))
+    left = F.array_join(kept, "\n")
+    x = x.select("row", F.col("lines").isNull().alias("same"), F.when(F.col("lines").isNull(), F.col("row.text")).otherwise(left).alias("left"))
+    x = x.where(F.col("same") | F.col("left").rlike(r"[^\x20\t-\r]"))
+    own = {"text": F.col("left"), "n_chars": F.when(F.col("same"), F.col("row.n_chars")).otherwise(F.length("left")).cast(docs.schema["n_chars"].dataType) if "n_chars" in docs.columns else None}
+    return x.select(*[(own[c] if c in own else F.col("row")[c]).alias(c) for c in docs.columns])

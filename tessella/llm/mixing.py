@@ -59,8 +59,8 @@ def topic_of(text: Column) -> Column:
     return F.when(marks * 20 > F.length(text), "markup").when(words < lines * 5, "listing").when(words >= 1000, "long").otherwise("short")
 
 
-def measured(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, source, lang, topic, _u (the draw, in [0, 1)) of every document, not its text."""
+def measured(docs: DataFrame, *more: Column) -> DataFrame:
+    """doc_id, n_tokens, source, lang, topic, _h (what the draw is made of) of every document, not its text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of(text)
     base = docs.select(
@@ -69,6 +69,7 @@ def measured(docs: DataFrame) -> DataFrame:
         *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")],
         topic.alias("topic"),
         F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text)).alias("_h"),
+        *more,
     )
     return base
 
@@ -138,8 +139,8 @@ def cells_on_driver(cells: DataFrame, mix: Mix) -> DataFrame:
     return cells.sparkSession.createDataFrame(out, "source string, lang string, topic string, weight double, probability double")
 
 
-def cells_on_cluster(cells: DataFrame, mix: Mix, rounds: int = 30) -> DataFrame:
-    """The same for any number of cells: each margin is an aggregate joined back, each round a scratch table."""
+def cells_on_cluster(cells: DataFrame, mix: Mix) -> DataFrame:
+    """The same for any number of cells, by the same rounds, tolerance and scale: each margin is an aggregate joined back, each round a scratch table."""
     total = float(cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]) or 1.0
     x = cells.withColumn("x", F.col("tokens") / total)
     target = {}
@@ -153,7 +154,7 @@ def cells_on_cluster(cells: DataFrame, mix: Mix, rounds: int = 30) -> DataFrame:
         norm = t.agg(F.sum("t")).first()[0] or 1.0
         target[margin] = cut(t.withColumn("t", F.col("t") / norm))
     x = cut(x)
-    for _ in range(rounds):
+    for _ in range(mix.rounds):
         last, worst = x, 0.0
         for margin in MARGINS:
             now = x.groupBy(margin).agg(F.sum("x").alias("m"))
@@ -162,19 +163,28 @@ def cells_on_cluster(cells: DataFrame, mix: Mix, rounds: int = 30) -> DataFrame:
             worst = max(worst, now.join(target[margin], margin).agg(F.max(F.abs(F.col("m") - F.col("t")))).first()[0] or 0.0)
         x = cut(x)
         drop(last)
-        if worst < 1e-6:
+        if worst < mix.tolerance:
             break
     norm = x.agg(F.sum("x")).first()[0] or 1.0
-    w = x.select(*MARGINS, "tokens", F.when(F.col("tokens") > 0, F.col("x") / norm * total / F.col("tokens")).otherwise(0.0).alias("weight"))
-    low, high = 0.0, 1.0
-    taken = lambda c: w.agg(F.sum(F.col("tokens") * F.least(F.lit(1.0), F.col("weight") * c))).first()[0] or 0.0
-    most = taken(1e300)
-    while taken(high) < min(mix.budget * total, most * (1 - 1e-9)):
-        high *= 2
-    for _ in range(40):
-        mid = (low + high) / 2
-        low, high = (mid, high) if taken(mid) < mix.budget * total else (low, mid)
-    return w.select(*MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") * high).alias("probability"))
+    w = cut(x.select(*MARGINS, "tokens", F.when(F.col("tokens") > 0, F.col("x") / norm * total / F.col("tokens")).otherwise(0.0).alias("weight")))
+    c = scale_on_cluster(w.where("weight > 0 and tokens > 0"), mix.budget * total)
+    return w.select(*MARGINS, "weight", F.least(F.lit(1.0), F.col("weight") * c).alias("probability"))
+
+
+def scale_on_cluster(w: DataFrame, budget: float) -> float:
+    """scale() by sums over the cells: c only grows, by the cells that are taken whole under it, until they stay the same."""
+    c, full = 0.0, -1
+    while True:
+        whole = F.col("weight") * c > 1
+        r = w.agg(F.sum(F.when(whole, F.col("tokens")).otherwise(0)), F.sum(F.when(~whole, F.col("tokens") * F.col("weight"))), F.count_if(whole), F.min("weight")).first()
+        if r[3] is None:
+            return 0.0
+        if r[2] == full:
+            return c
+        full = r[2]
+        if r[1] is None or budget < r[0]:
+            return 1 / r[3]
+        c = (budget - r[0]) / r[1]
 
 
 def calibrated(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
@@ -189,15 +199,14 @@ def calibrated(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage, the last: the sampled documents, with their weight and probability."""
+    """Pipeline stage, the last: the sampled documents, with their weight and probability.
+
+    The row travels whole in a column of its own, so no name of documents clashes
+    with ours; columns named mix_topic, weight or probability are replaced.
+    """
     mix = Mix()
-    rows = cut(measured(docs))
-    cells = cut(rows.groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
-    n = cells.count()
-    fitted = (F.broadcast(cells_on_driver(cells, mix)) if n <= DRIVER_CELLS else cells_on_cluster(cells, mix)).select(*[F.col(c).alias(f"_{c}") for c in MARGINS], "weight", "probability")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    own = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(f"_{c}") for c in ("source", "lang")]
-    topic = F.coalesce(F.col("topic").cast("string"), F.lit("")) if "topic" in docs.columns else topic_of(text)
-    x = docs.select(*docs.columns, *own, topic.alias("_topic"), F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), text)).alias("_h"))
-    x = x.join(fitted, [f"_{c}" for c in MARGINS]).where(drawn(mix.seed) < F.col("probability"))
-    return x.select(*[x[c] for c in docs.columns if c not in ("weight", "probability")], F.col("_topic").alias("mix_topic"), "weight", "probability")
+    cells = cut(cut(measured(docs)).groupBy(*MARGINS).agg(F.sum("n_tokens").alias("tokens")))
+    fitted = F.broadcast(cells_on_driver(cells, mix)) if cells.count() <= DRIVER_CELLS else cells_on_cluster(cells, mix)
+    x = measured(docs, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    x = x.join(fitted, list(MARGINS)).where(drawn(mix.seed) < F.col("probability"))
+    return x.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("mix_topic", "weight", "probability")], F.col("topic").alias("mix_topic"), "weight", "probability")

@@ -128,6 +128,8 @@ def signatures(docs: DataFrame, k: int, threshold: float) -> DataFrame:
     return S.map_arrow(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_shingles long, s1 long, s2 long, bands binary")
 
 
+#: Of a set: its 128-bit sum and size; equal sets have equal ones.
+KEY = ["s1", "s2", "n_shingles"]
 BAND_FIELDS = {"key": "u8", "u": "i8", "v": "i8"}
 
 
@@ -144,6 +146,7 @@ def star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 def band_links(reps: DataFrame) -> DataFrame:
     """(u, v): documents u that share a band with the least document v of that band."""
+    bits = S.bucket_bits(reps.sparkSession)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = S.Gather(BAND_FIELDS)
@@ -153,7 +156,7 @@ def band_links(reps: DataFrame) -> DataFrame:
             key, doc, u, v = star(x["key"], x["u"])
             # links found here travel with a spread-out bucket, not with the key's
             yield from S.pack(
-                np.concatenate([S.bucket_of(key), S.bucket_of(K.mix(u.view(np.uint64).copy()))]),
+                np.concatenate([S.bucket_of(key, bits), S.bucket_of(K.mix(u.view(np.uint64).copy()), bits)]),
                 {"key": np.concatenate([key, np.zeros(len(u), np.uint64)]), "u": np.concatenate([doc, u]), "v": np.concatenate([doc, v])},
             )
 
@@ -168,12 +171,21 @@ def band_links(reps: DataFrame) -> DataFrame:
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        x = S.unpack(batches, BAND_FIELDS)
-        told = x["u"] != x["v"]
-        _, _, u, v = star(x["key"][~told], x["u"][~told])
-        pair = np.unique(np.stack([np.concatenate([u, x["u"][told]]), np.concatenate([v, x["v"][told]])], axis=1), axis=0)
-        for i in range(0, len(pair), 1 << 16):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[i : i + (1 << 16), c])) for c in (0, 1)], ["u", "v"])
+        held = S.Gather({"u": "i8", "v": "i8"})
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            x = held.take()
+            pair = np.unique(np.stack([x["u"], x["v"]], axis=1), axis=0)
+            for i in range(0, len(pair), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pair[i : i + (1 << 16), c])) for c in (0, 1)], ["u", "v"])
+
+        for x in S.each_bucket(batches, BAND_FIELDS):
+            told = x["u"] != x["v"]
+            _, _, u, v = star(x["key"][~told], x["u"][~told])
+            held.add(16 * (len(u) + int(told.sum())), u=np.concatenate([u, x["u"][told]]), v=np.concatenate([v, x["v"][told]]))
+            if held.bytes > S.FLUSH:
+                yield from flush()
+        yield from flush()
 
     packed = S.map_arrow(reps.select("doc_id", "bands"), emit, S.packed_schema(BAND_FIELDS))
     return S.map_arrow(S.by_bucket(packed), meet, "u long, v long").distinct()
@@ -295,12 +307,13 @@ def near_groups(docs: DataFrame, k: int = 5, num: int = 85, den: int = 100) -> D
     sig = S.cut(signatures(docs, k, num / den))
     whole = sig.where("doc_id is not null and n_shingles > 0")
     # only groups of copies are joined back; as a table of their own they leave the join free to split a hot group
-    same = S.cut(whole.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
-    copies = S.cut(whole.select("doc_id", "s1", "s2", "n_shingles").join(same, ["s1", "s2", "n_shingles"]).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    reps = whole.join(copies.select(F.col("u").alias("doc_id")), "doc_id", "left_anti")
+    same = S.cut(whole.groupBy(*KEY).agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1").drop("copies"))
+    copies = S.cut(whole.select("doc_id", *KEY).join(same, KEY).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"), *KEY))
+    # a doc_id of several texts loses only those that are copies
+    reps = whole.join(copies.select(F.col("u").alias("doc_id"), *KEY), ["doc_id", *KEY], "left_anti")
     clusters = S.cut(S.components(S.cut(band_links(reps))))
     links = S.cut(confirm(docs, clusters, k, num, den))
-    groups = S.components(links.unionByName(copies))
+    groups = S.components(links.unionByName(copies.select("u", "v")))
     out = sig.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
@@ -310,5 +323,6 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = S.cut(near_groups(docs, 5, 80, 100).where("not kept").select("doc_id").distinct())
     left = S.without(docs, gone)
     if docs.select("doc_id").where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        left = left.dropDuplicates(["doc_id", "text"])
+        named = left.where("doc_id is not null").dropDuplicates(["doc_id", "text"])
+        left = named.unionByName(left.where("doc_id is null"))
     return left

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 
 from tessella.session import ship
 
-BUCKETS = 1024
+#: log2 of the buckets of a packed shuffle, at least.
+BUCKET_BITS = 10
 #: Bytes of text whose entries a task holds before it emits them.
 FLUSH = 32 << 20
 BLOOM_BITS = 1 << 26
@@ -34,9 +35,11 @@ def parts(spark: SparkSession) -> int:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or where it is unset (tests, one machine) a folder of our own."""
+    """spark.checkpoint.dir, or where it is unset on one machine (tests) a folder of our own; a cluster must name one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         at = getattr(spark.sparkContext, "_tessella_folder", None) or tempfile.mkdtemp(prefix="tessella-")
         spark.sparkContext._tessella_folder = at
     return at.rstrip("/")
@@ -194,8 +197,13 @@ def give_back() -> None:
         return
 
 
-def bucket_of(key: np.ndarray) -> np.ndarray:
-    return (key >> np.uint64(64 - BUCKETS.bit_length() + 1)).astype(np.int64)
+def bucket_bits(spark: SparkSession) -> int:
+    """log2 of the buckets: two for each shuffle partition at least, so they grow with what the cluster is set to."""
+    return max(BUCKET_BITS, (2 * parts(spark) - 1).bit_length())
+
+
+def bucket_of(key: np.ndarray, bits: int) -> np.ndarray:
+    return (key >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def group_edges(sorted_keys: np.ndarray) -> np.ndarray:
@@ -263,17 +271,49 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 # connected components -----------------------------------------------------
 
+LOCAL_EDGES = 1 << 20
+
+
+def roots(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
+    """Component label, the least node, of each of n nodes under edges (u, v)."""
+    label = np.arange(n)
+    while len(u):
+        a, b = label[u], label[v]
+        open_ = a != b
+        u, v, a, b = u[open_], v[open_], a[open_], b[open_]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+    return label
+
+
+def settled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) of all edges (u, v) of a partition."""
+    held = [np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()]) for b in batches]
+    if not held:
+        return
+    node, place = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+    u, v = place.reshape(2, -1)
+    out = node[roots(u, v, len(node))]
+    for i in range(0, len(node), 1 << 16):
+        yield pa.RecordBatch.from_arrays([pa.array(node[i : i + (1 << 16)]), pa.array(out[i : i + (1 << 16)])], ["node", "component"])
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component): the least node that each node of (u, v) edges can reach.
 
-    Alternating large-star and small-star rounds; each node's least neighbour
-    is a partially aggregated minimum, so a hub costs one row a task. Rounds
-    are cut by scratch tables, and the number of rounds is logarithmic.
+    Up to LOCAL_EDGES edges (16 MB) are settled by one task's union-find. More
+    take alternating large-star and small-star rounds: each node's least neighbour
+    is a partially aggregated minimum and a table of its own, so the join with it
+    can split a hub's edges. Rounds are cut by scratch tables, and the number of
+    rounds is logarithmic; the result is the same.
     """
     def star(e: DataFrame, large: bool) -> DataFrame:
         both = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         out = both.join(least, "u")
         if large:
             return out.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
@@ -285,6 +325,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     now = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = mark(now)
+    if seen[0] <= LOCAL_EDGES:
+        return cut(map_arrow(now.coalesce(1), settled, "node long, component long"))
     while seen[0]:
         then, now = now, cut(star(star(now, True), False))
         drop(then)

@@ -89,7 +89,7 @@ def marked(data: np.ndarray, off: np.ndarray, length: int, known: np.ndarray) ->
 
 def passages(docs: DataFrame, groups: int, replies: DataFrame, length: int) -> DataFrame:
     fields = passages_fields(length)
-    width = 2 * length - GRAM
+    width, bits = 2 * length - GRAM, S.bucket_bits(docs.sparkSession)
 
     def extract(rows: pa.Table, told: pa.Table) -> pa.Table:
         known = np.unique(S.unpack([told], A.REPLY)["key"])
@@ -118,7 +118,7 @@ def passages(docs: DataFrame, groups: int, replies: DataFrame, length: int) -> D
         spread = np.where(is_told == 1, K.mix(x["doc"].view(np.uint64).copy()), x["key"])
         text = x["text"].view(np.uint8).reshape(-1, width).copy()
         text[is_told == 1] = 0
-        return A.as_table(S.pack(S.bucket_of(spread), {"doc": x["doc"], "at": x["at"], "count": x["count"], "told": is_told, "text": text.view(fields["text"])[:, 0]}), fields)
+        return A.as_table(S.pack(S.bucket_of(spread, bits), {"doc": x["doc"], "at": x["at"], "count": x["count"], "told": is_told, "text": text.view(fields["text"])[:, 0]}), fields)
 
     return A.meet_text(docs, groups, replies, extract, S.packed_schema(fields))
 

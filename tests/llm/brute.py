@@ -14,7 +14,7 @@ def words(text, lower=False):
     return WORD.findall(t.translate(FOLD) if lower else t)
 
 
-def removed_lines(rows, least=3):
+def removed_lines(rows, least=1):
     """Sets of (doc_id, line) that have an earlier line with a Jaccard index of 0.8 or more."""
     lines = [(d, i, frozenset(words(x))) for d, t in rows if d is not None for i, x in enumerate((t or "").split("\n"))]
     lines = sorted((x for x in lines if len(x[2]) >= least), key=lambda x: x[:2])
