@@ -43,7 +43,8 @@ def groups_for(docs: DataFrame) -> int:
 
 
 def with_group(docs: DataFrame, groups: int) -> DataFrame:
-    return docs.select(F.pmod(F.col("doc_id").cast("long"), F.lit(groups)).cast("int").alias("bucket"), F.col("doc_id").cast("long"), "text")
+    own = F.coalesce(F.pmod(F.col("doc_id").cast("long"), F.lit(groups)), F.pmod(F.xxhash64("text"), F.lit(groups)))  # rows without a doc_id are spread
+    return docs.select(own.cast("int").alias("bucket"), F.col("doc_id").cast("long"), "text")
 
 
 def once(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
@@ -132,8 +133,8 @@ def among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
 
 
 def ids_of(table: pa.Table) -> np.ndarray:
-    """doc_id as numpy; null where it is null is -1 and never has an answer."""
-    return table.column("doc_id").fill_null(-1).to_numpy()
+    """doc_id as numpy; null is the least long, which never has an answer."""
+    return table.column("doc_id").fill_null(-(1 << 63)).to_numpy()
 
 
 def as_table(batches: Iterator[pa.RecordBatch], fields: dict[str, str]) -> pa.Table:

@@ -168,8 +168,6 @@ def slide_max(a: np.ndarray, w: int) -> np.ndarray:
 
 def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string or binary column; null is empty."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
     if column.null_count:
         column = column.fill_null("" if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else b"")
     wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
@@ -189,10 +187,13 @@ def runs(off: np.ndarray, most: int = CHUNK) -> Iterator[tuple[int, int]]:
 
 
 def pieces(column: pa.Array, most: int = CHUNK) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first document, one past the last, bytes, offsets from 0) of each run of a column."""
-    data, off = column_bytes(column)
-    for i, j in runs(off, most):
-        yield i, j, data[off[i] : off[j]], off[i : j + 1] - off[i]
+    """(first document, one past the last, bytes, offsets from 0) of each run of a column, chunk by chunk."""
+    base = 0
+    for chunk in column.chunks if isinstance(column, pa.ChunkedArray) else [column]:
+        data, off = column_bytes(chunk)
+        for i, j in runs(off, most):
+            yield base + i, base + j, data[off[i] : off[j]], off[i : j + 1] - off[i]
+        base += len(chunk)
 
 
 def covered(n: int, starts: np.ndarray, length: int | np.ndarray) -> np.ndarray:

@@ -6,13 +6,12 @@ documents mark the passages that can match at all; each marked passage travels
 once, with the suffix starts that the anchor stands for, to the bucket of its
 anchor. There passages arrive in batches by doc_id; a passage that came before,
 byte for byte, is settled at once. A batch gets a suffix array (its suffixes in
-the order of their first two bytes, then of a fingerprint of all L bytes, as
-nothing but equality at L bytes is asked of it; equal ones collapse to the least
-document), is scanned against
-the arrays of the existing levels, and becomes a level itself; while the two
-last levels are of like size they merge into one, so that n batches leave about
-log2(n) levels, each suffix is merged log2(n) times at most, and a new batch
-meets log2(n) arrays.
+the order of their first L bytes; equal ones collapse to the least document), is
+scanned in order against the arrays of the existing levels, and becomes a level
+itself; while the two last levels are of like size they merge into one, so that
+n batches leave about log2(n) levels, each suffix is merged log2(n) times at
+most, and a new batch meets log2(n) arrays. Hashes only find passages that may
+match: what removes bytes has been compared byte for byte.
 
 A suffix that is found in a level or in its own batch under a smaller doc_id
 removes the bytes it covers.
@@ -109,14 +108,13 @@ def passages(docs: DataFrame, groups: int, replies: DataFrame, length: int) -> D
         if not len(x["key"]):
             return A.as_table(iter(()), fields)
         # of equal passages in the documents of this group those of the least document stand for all
+        text = x["text"].view(np.uint8).reshape(-1, width).copy()
         order = np.lexsort((x["doc"], x["same"]))
-        doc, same = x["doc"][order], x["same"][order]
-        edges = S.group_edges(same)
-        lead = np.repeat(doc[edges[:-1]], np.diff(edges))
-        is_told = np.zeros(len(doc), np.uint8)
-        is_told[order] = doc != lead
+        edges = S.group_edges(x["same"][order])
+        lead = np.empty(len(order), np.int64)
+        lead[order] = np.repeat(order[edges[:-1]], np.diff(edges))
+        is_told = ((x["doc"] != x["doc"][lead]) & (x["count"] == x["count"][lead]) & (text == text[lead]).all(axis=1)).astype(np.uint8)
         spread = np.where(is_told == 1, K.mix(x["doc"].view(np.uint64).copy()), x["key"])
-        text = x["text"].view(np.uint8).reshape(-1, width).copy()
         text[is_told == 1] = 0
         return A.as_table(S.pack(S.bucket_of(spread, bits), {"doc": x["doc"], "at": x["at"], "count": x["count"], "told": is_told, "text": text.view(fields["text"])[:, 0]}), fields)
 
@@ -124,38 +122,29 @@ def passages(docs: DataFrame, groups: int, replies: DataFrame, length: int) -> D
 
 
 class Level:
-    """A suffix array: distinct suffixes in order, with the least document of each."""
-
-    def __init__(self, key: np.ndarray, name: np.ndarray, doc: np.ndarray):
-        order = np.argsort(key, kind="stable")
-        k, n = key[order], name[order]
-        same_key = k[1:] == k[:-1]
-        if (same_key & (n[1:] != n[:-1])).any():  # then equal names need not be neighbours
-            order = np.lexsort((name, key))
-            k, n = key[order], name[order]
-            same_key = k[1:] == k[:-1]
-        new = np.ones(len(k), bool)
-        new[1:] = ~(same_key & (n[1:] == n[:-1]))
+    """A suffix array: distinct suffixes in the order of their bytes, with the least document of each."""
+
+    def __init__(self, suffix: np.ndarray, doc: np.ndarray):
+        order = np.argsort(suffix, kind="stable")  # merges runs that are in order already
+        s = suffix[order]
+        new = np.ones(len(s), bool)
+        new[1:] = s[1:] != s[:-1]
         at = np.flatnonzero(new)
-        self.key, self.name = k[at], n[at]
+        self.suffix = s[at]
         self.doc = np.minimum.reduceat(doc[order], at) if len(at) else doc
-        self.of = np.empty(len(k), np.int64)  # which distinct suffix each given one is
+        self.of = np.empty(len(s), np.int64)  # which distinct suffix each given one is
         self.of[order] = np.cumsum(new) - 1
 
     def __len__(self) -> int:
-        return len(self.key)
+        return len(self.suffix)
 
     def scan(self, batch: Level) -> np.ndarray:
-        """The least document here of each distinct suffix of a batch, or the greatest long."""
+        """The least document here of each distinct suffix of a batch, or the greatest long; both arrays are passed in order."""
         out = np.full(len(batch), np.iinfo(np.int64).max)
-        left, at = np.arange(len(batch)), np.searchsorted(self.key, batch.key)
-        while len(left):
-            ok = at < len(self)
-            ok[ok] = self.key[at[ok]] == batch.key[left[ok]]
-            left, at = left[ok], at[ok]
-            hit = self.name[at] == batch.name[left]
-            out[left[hit]] = self.doc[at[hit]]
-            left, at = left[~hit], at[~hit] + 1
+        if len(self):
+            at = np.minimum(np.searchsorted(self.suffix, batch.suffix), len(self) - 1)
+            hit = self.suffix[at] == batch.suffix
+            out[hit] = self.doc[at[hit]]
         return out
 
 
@@ -165,47 +154,39 @@ class Family:
     def __init__(self) -> None:
         self.levels: list[Level] = []
 
-    def add(self, key: np.ndarray, name: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    def add(self, suffix: np.ndarray, doc: np.ndarray) -> np.ndarray:
         """The least document so far of each suffix of a new batch, which then joins the family."""
-        own = Level(key, name, doc)
+        own = Level(suffix, doc)
         least, of = own.doc, own.of
         for level in self.levels:
             least = np.minimum(least, level.scan(own))
         self.levels.append(own)
         while len(self.levels) > 1 and len(self.levels[-2]) < 2 * len(self.levels[-1]):
             b, a = self.levels.pop(), self.levels.pop()
-            self.levels.append(Level(*(np.concatenate([getattr(a, c), getattr(b, c)]) for c in ("key", "name", "doc"))))
+            self.levels.append(Level(np.concatenate([a.suffix, b.suffix]), np.concatenate([a.doc, b.doc])))
         return least[of]
 
 
-def suffixes(text: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(passage, order key, fingerprint) of each suffix start of the passages (rows of bytes)."""
-    n, width = text.shape
-    which = np.repeat(np.arange(n), count)
+def suffixes(text: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, first `length` bytes) of each suffix start of the passages (rows of bytes)."""
+    which = np.repeat(np.arange(len(text)), count)
     start = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
-    flat = text.reshape(-1)
-    at = which * width + start
-    # rows are short, so the powers stay few: prefix sums by row
-    p, inverse = K.powers(K.WORD_BASE, width + 1)
-    sums = np.zeros((n, width + 1), np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * p[:width], axis=1, out=sums[:, 1:])
-    name = K.mix((sums[which, start + length] - sums[which, start]) * inverse[start])
-    key = (flat[at].astype(np.uint64) << np.uint64(56)) | (flat[at + 1].astype(np.uint64) << np.uint64(48)) | (name >> np.uint64(16))
-    return which, key, name
-
-
-def collapsed(text: np.ndarray, count: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """For each passage, in the order of doc, the first passage with the same bytes."""
+    windows = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)
+    # byte strings of one length: their order is that of their bytes, NUL included
+    return which, np.ascontiguousarray(windows[which, start]).view(f"S{length}")[:, 0]
+
+
+def collapsed(text: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """For each passage the first one with the same bytes."""
     p, _ = K.powers(K.BYTE_BASE, text.shape[1] + 1)
     same = np.zeros(len(text), np.uint64)
     for c in range(text.shape[1]):
         same += (text[:, c].astype(np.uint64) + np.uint64(1)) * p[c]
-    same = K.mix(same ^ (count.astype(np.uint64) << np.uint64(56)))
     order = np.argsort(same, kind="stable")
     edges = S.group_edges(same[order])
     first = np.empty(len(text), np.int64)
     first[order] = np.repeat(order[edges[:-1]], np.diff(edges))
-    return first
+    return np.where((count[first] == count) & (text[first] == text).all(axis=1), first, np.arange(len(text)))
 
 
 def verdicts(packed: DataFrame, groups: int, length: int) -> DataFrame:
@@ -236,15 +217,15 @@ def verdicts(packed: DataFrame, groups: int, length: int) -> DataFrame:
 def seen_before(text: np.ndarray, count: np.ndarray, doc: np.ndarray, length: int) -> np.ndarray:
     """For each passage, in the order of doc, the suffix starts (as bits) that an earlier document also has."""
     # a passage that is here already, byte for byte, needs no suffix array: all its suffixes have been seen
-    first = collapsed(text, count, doc)
+    first = collapsed(text, count)
     lead = np.flatnonzero(first == np.arange(len(doc)))
     mask = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
     mask[lead] = 0
     family = Family()
     for i in range(0, len(lead), BATCH):
         sel = lead[i : i + BATCH]
-        which, key, name = suffixes(text[sel], count[sel], length)
-        hit = family.add(key, name, doc[sel][which]) < doc[sel][which]
+        which, suffix = suffixes(text[sel], count[sel], length)
+        hit = family.add(suffix, doc[sel][which]) < doc[sel][which]
         bit = np.uint64(1) << (np.arange(len(which)) - np.repeat(np.cumsum(count[sel]) - count[sel], count[sel])).astype(np.uint64)
         found = np.zeros(len(sel), np.uint64)
         np.bitwise_or.at(found, which[hit], bit[hit])

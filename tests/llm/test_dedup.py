@@ -137,8 +137,10 @@ def test_substring_query(spark, sf):
 
 def test_longest_repeats(docs, rows):
     got = collections.defaultdict(set)
-    for r in substring_dedup.longest_repeats(docs).collect():
+    out = substring_dedup.longest_repeats(docs).collect()
+    for r in out:
         got[r["level_words"]].add((r["doc_id"], r["start_word"]))
+    assert len(out) == sum(map(len, got.values()))
     size = 13
     while True:
         where = collections.defaultdict(set)
