@@ -137,6 +137,11 @@ def ids_of(table: pa.Table) -> np.ndarray:
     return table.column("doc_id").fill_null(-(1 << 63)).to_numpy()
 
 
+def with_id(rows: pa.Table) -> pa.Table:
+    """The rows that have a doc_id: the others neither remove nor lose anything."""
+    return rows.filter(rows.column("doc_id").is_valid())
+
+
 def as_table(batches: Iterator[pa.RecordBatch], fields: dict[str, str]) -> pa.Table:
     schema = pa.schema([("bucket", pa.int32()), *((k, pa.binary()) for k in fields)])
     return pa.Table.from_batches([b.cast(schema) for b in batches], schema)

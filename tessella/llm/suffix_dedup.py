@@ -91,6 +91,7 @@ def passages(docs: DataFrame, groups: int, replies: DataFrame, length: int) -> D
     width, bits = 2 * length - GRAM, S.bucket_bits(docs.sparkSession)
 
     def extract(rows: pa.Table, told: pa.Table) -> pa.Table:
+        rows = A.with_id(rows)
         known = np.unique(S.unpack([told], A.REPLY)["key"])
         held = S.Gather({"key": "u8", "same": "u8", "doc": "i8", "at": "u4", "count": "u1", "text": fields["text"]})
         ids = A.ids_of(rows)
