@@ -115,7 +115,7 @@ def passages(docs: DataFrame, groups: int, replies: DataFrame, length: int) -> D
         lead = np.empty(len(order), np.int64)
         lead[order] = np.repeat(order[edges[:-1]], np.diff(edges))
         is_told = ((x["doc"] != x["doc"][lead]) & (x["count"] == x["count"][lead]) & (text == text[lead]).all(axis=1)).astype(np.uint8)
-        spread = np.where(is_told == 1, K.mix(x["doc"].view(np.uint64).copy()), x["key"])
+        spread = np.where(is_told == 1, K.mix(x["doc"].view(np.uint64).copy()), K.salted(x["key"], 61))
         text[is_told == 1] = 0
         return A.as_table(S.pack(S.bucket_of(spread, bits), {"doc": x["doc"], "at": x["at"], "count": x["count"], "told": is_told, "text": text.view(fields["text"])[:, 0]}), fields)
 
