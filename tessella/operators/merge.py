@@ -32,8 +32,9 @@ def conflicts(df: DataFrame, key: list[str], star: Column, kwargs: Column, path:
 
 
 def duplicates(df: DataFrame, key: list[str], line: str) -> DataFrame:
-    """Keys defined more than once, with their lines in order."""
-    return df.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_list(line)).alias("lines")).where("n > 1")
+    """A row for each definition of a key that has several: key, line, n (how many). Keys are counted before their lines travel."""
+    several = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df.join(several, key).select(*key, line, "n")
 
 
 def last_definition(df: DataFrame, key: list[str], order: Column, value: str) -> DataFrame:

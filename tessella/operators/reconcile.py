@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -46,22 +48,28 @@ def with_home(comments: DataFrame, entries: DataFrame, path: str) -> DataFrame:
     return comments.join(entries.select(path).distinct(), path, "left_semi")
 
 
-def closure(edges: DataFrame, seeds: DataFrame, rounds: int = 64) -> DataFrame:
-    """(root, node) for all nodes that references reach from the seeds.
+def checkpoints(spark: SparkSession) -> None:
+    """Use spark.checkpoint.dir for checkpoints; a folder of our own only on one machine."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir() is not None:
+        return
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if at is None and not sc.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    sc.setCheckpointDir(at or tempfile.mkdtemp(prefix="tessella-closure-"))
+
+
+def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(root, node) for all nodes that references reach from the seeds, at any depth.
 
     edges: src, dst; seeds: root. Each round extends only what the last one found
-    (semi-naive) and is cut by a checkpoint, so cycles end and plans stay short.
+    (semi-naive) and is cut by a checkpoint, so cycles end and plans stay short;
+    rounds go on until one finds nothing.
     """
-    spark = edges.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None) is None and spark.sparkContext.getCheckpointDir() is None:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessella-closure-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    checkpoints(edges.sparkSession)
     found = seeds.select("root", F.col("root").alias("node")).distinct().checkpoint()
     new = found
-    for _ in range(rounds):
+    while True:
         step = new.join(edges, new["node"] == edges["src"]).select("root", F.col("dst").alias("node")).distinct()
         new = step.join(found, ["root", "node"], "left_anti").checkpoint()
         if not new.limit(1).count():

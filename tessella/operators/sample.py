@@ -11,10 +11,25 @@ def draw(id_: Column, seed: str) -> Column:
 
 
 def balanced(df: DataFrame, label: str, id_: str, ratio: int = 3, seed: str = "b") -> DataFrame:
-    """All of the rarer label and at most `ratio` times as many of the other, by hash."""
-    rank = F.row_number().over(Window.partitionBy(label).orderBy(draw(F.col(id_), seed), id_))
-    least = df.groupBy(label).count().agg(F.min("count").alias("_least"))
-    return df.withColumn("_rank", rank).join(F.broadcast(least)).where(F.col("_rank") <= F.col("_least") * ratio).drop("_rank", "_least")
+    """All of the rarer label and at most `ratio` times as many of the other, by hash.
+
+    Hashes are counted in 4096 bins by label: lower bins stay whole, and only the
+    rows of the bin in which a label reaches its number are ranked.
+    """
+    bin_ = F.conv(F.substring(draw(F.col(id_), seed), 1, 3), 16, 10).cast("int")
+    counts = df.groupBy(F.col(label).alias("_label"), bin_.alias("_bin")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.partitionBy("_label").orderBy("_bin")
+    total = counts.groupBy("_label").agg(F.sum("_n").alias("_all"))
+    most = total.agg((F.min("_all") * ratio).alias("_most"))
+    edge = counts.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).crossJoin(F.broadcast(most))
+    # what each label may still take of its bins: all, some, none; at most 4096 rows a label
+    edge = edge.select("_label", "_bin", (F.col("_most") - F.col("_before")).alias("_left"), "_n").where("_left > 0")
+    x = df.withColumn("_bin", bin_)
+    x = x.join(F.broadcast(edge), (x[label].eqNullSafe(F.col("_label"))) & (x["_bin"] == edge["_bin"])).drop(edge["_bin"])
+    whole, part = x.where("_n <= _left"), x.where("_n > _left")
+    rank = F.row_number().over(Window.partitionBy("_label").orderBy(draw(F.col(id_), seed), id_))
+    part = part.withColumn("_rank", rank).where("_rank <= _left").drop("_rank")
+    return whole.unionByName(part).select(*df.columns)
 
 
 def group_split(df: DataFrame, group: str, train: int = 80, val: int = 10, seed: str = "s") -> DataFrame:

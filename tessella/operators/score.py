@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+BINS = 4096
+
+
 def margin(vector: Column, weights: list[float], bias: float = 0.0) -> Column:
     """w . x + b over an array column, without a UDF."""
     w = F.array(*[F.lit(float(x)) for x in weights])
@@ -15,8 +19,26 @@ def margin(vector: Column, weights: list[float], bias: float = 0.0) -> Column:
 
 
 def threshold(df: DataFrame, value: Column, share: float) -> DataFrame:
-    """theta: the lower quantile of |value|: the value of rank floor(share * (n - 1))."""
-    return df.select(F.abs(value).alias("a")).agg(F.expr(f"percentile_disc({share}) within group (order by a)").alias("theta"))
+    """theta: the lower quantile of |value|: the value of rank ceil(share * n), null values apart.
+
+    Counts in BINS bins find the one that holds the rank, again and again, until
+    the bin has few values; only those are sorted. No task sees all values.
+    """
+    spark, x = df.sparkSession, df.select(F.abs(value).cast("double").alias("a")).where("a is not null")
+    low, high, n = x.agg(F.min("a"), F.max("a"), F.count("a")).first()
+    rank, few = max(math.ceil(round(share * n, 9)), 1), 10_000
+    while n > few and high > low:
+        width = (high - low) / BINS
+        place = F.least(F.floor((F.col("a") - low) / width), F.lit(BINS - 1))
+        counts = sorted(tuple(r) for r in x.groupBy(place.alias("b")).agg(F.count("a"), F.min("a"), F.max("a")).collect())
+        for _, n, first, last in counts:
+            if rank <= n:
+                break
+            rank -= n
+        x, low, high = x.where(F.col("a").between(first, last)), first, last
+    if not n:
+        return spark.createDataFrame([(None,)], "theta double")
+    return x.orderBy("a").limit(rank).agg(F.max("a").alias("theta")) if high > low else spark.createDataFrame([(low,)], "theta double")
 
 
 def revoted(df: DataFrame, key: list[str], score: Callable[[Column], Column], theta: float, most: int) -> DataFrame:

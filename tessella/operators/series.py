@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.reconcile import checkpoints
+from tessella.session import ship
+
 
 def binned(df: DataFrame, by: list[str], ts: str, seconds: int, bins: int) -> DataFrame:
     """Counts in fixed bins from the first time of all; the last bin takes all that follows."""
@@ -47,16 +53,39 @@ def chosen(df: DataFrame, by: list[str], value: str, rank: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.max_by(value, rank).alias("chosen"), F.count(F.lit(1)).alias("points"))
 
 
-def chunks(df: DataFrame, id_: str, rows: str, budget: int) -> DataFrame:
-    """Greedy chunks of ordered (doc_id, n_chars) rows: a chunk closes before the row that would pass the budget."""
-    folded = F.aggregate(
-        rows,
-        F.struct(F.lit(0).cast("bigint").alias("size"), F.lit(0).alias("chunk"), F.array().cast("array<struct<doc_id:bigint,chunk:int>>").alias("out")),
-        lambda acc, r: F.struct(
-            F.when((acc["size"] > 0) & (acc["size"] + r["n_chars"] > budget), r["n_chars"]).otherwise(acc["size"] + r["n_chars"]).cast("bigint").alias("size"),
-            F.when((acc["size"] > 0) & (acc["size"] + r["n_chars"] > budget), acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk"),
-            F.concat(acc["out"], F.array(F.struct(r["doc_id"].cast("bigint").alias("doc_id"), F.when((acc["size"] > 0) & (acc["size"] + r["n_chars"] > budget), acc["chunk"] + 1).otherwise(acc["chunk"]).alias("chunk")))).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return df.select(id_, F.explode(folded).alias("c")).select(id_, "c.doc_id", "c.chunk")
+def ranked(df: DataFrame, key: str) -> DataFrame:
+    """rank: the dense rank of each row's key, from 1. Distinct keys are sorted by range, and ranges start where the ones before end."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keys = df.select(key).distinct().repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id())
+    checkpoints(df.sparkSession)
+    keys = keys.checkpoint()
+    sizes = sorted(tuple(r) for r in keys.groupBy(F.shiftright("_id", 33)).agg(F.count(F.lit(1))).collect())  # one row a range
+    first = F.create_map(*[F.lit(x) for p, at in zip([p for p, _ in sizes], itertools.accumulate((c for _, c in sizes), initial=0)) for x in (p, at)]) if sizes else F.create_map(F.lit(0), F.lit(0))
+    rank = F.col("_id") - F.shiftleft(F.shiftright("_id", 33), 33) + F.element_at(first, F.shiftright("_id", 33)) + 1
+    return df.join(keys.select(key, rank.cast("bigint").alias("rank")), key)
+
+
+def numbered_chunks(df: DataFrame, by: str, order: list[str], size: str, budget: int) -> DataFrame:
+    """Greedy chunks of the ordered rows of each group: a chunk closes before the row that would pass the budget.
+
+    Chunks reset the sum, so each row needs the one before it: rows are sorted
+    within their group and pass in Arrow batches, with a sum and a number held.
+    """
+    ship(df.sparkSession)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = df.select(by, *order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size")).repartition(n, by).sortWithinPartitions(by, *order)
+
+    def walk(batches):
+        group, held, chunk = object(), 0, 0
+        for b in batches:
+            out = []
+            for g, s in zip(b.column(0).to_pylist(), b.column(len(order) + 1).to_pylist(), strict=True):
+                if g != group:
+                    group, held, chunk = g, 0, 0
+                elif held and held + s > budget:
+                    held, chunk = 0, chunk + 1
+                held += s
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(order) + 1], pa.array(out, pa.int32())], [by, *order, "chunk"])
+
+    return x.mapInArrow(walk, ", ".join([*(f"{c} {t}" for c, t in x.dtypes if c != "_size"), "chunk int"]))

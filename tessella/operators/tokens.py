@@ -1,4 +1,8 @@
-"""Operators over token sequences: (id, idx, token) rows, one partition of a window per text."""
+"""Operators over token sequences: a text is one row with an array of its tokens, and its context is found inside that row.
+
+Nothing is shuffled to see a token's neighbours; rows of tokens appear where an
+operator returns them, by one explode at its end.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +10,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import text as T
+from tessella.operators import brackets as B
+from tessella.session import ship
+
+
+def sequences(df: DataFrame, id_: str, text: str) -> DataFrame:
+    """(id, tokens) of every text that has a token."""
+    ship(df.sparkSession)
+    return df.select(id_, T.tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
 
 
 def token_stream(df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -13,38 +25,43 @@ def token_stream(df: DataFrame, id_: str, text: str) -> DataFrame:
     return df.select(id_, F.posexplode(T.tokens(F.col(text))).alias("idx", "token"))
 
 
-def _by(id_: str) -> Window:
-    return Window.partitionBy(id_).orderBy("idx")
+def with_codes(df: DataFrame) -> DataFrame:
+    """codes: what the bracket kernels need to know of the tokens."""
+    return df.withColumn("codes", B.codes(F.col("tokens")))
 
 
-def step(token: Column) -> Column:
-    return F.when(token.isin(*T.OPEN), 1).when(token.isin(*T.CLOSE), -1).otherwise(0)
+def with_depth(df: DataFrame) -> DataFrame:
+    """depth: by token, the open brackets before it, never under 0 however many close."""
+    return with_codes(df).withColumn("depth", B.depth("codes"))
 
 
-def with_depth(tokens: DataFrame, id_: str) -> DataFrame:
-    """depth: open brackets before each token, never under 0 however many close.
+def exploded(df: DataFrame, id_: str, *arrays: str) -> DataFrame:
+    """(id, idx, token, ...): a row for each token, with what other arrays have of it."""
+    rows = F.posexplode(F.arrays_zip("tokens", *arrays)).alias("idx", "_t")
+    return df.select(id_, rows).select(id_, "idx", F.col("_t.tokens").alias("token"), *[F.col(f"_t.{a}").alias(a) for a in arrays])
 
-    The clamped sum is the running sum less the running minimum (0 at most): no
-    state machine, so it stays two window sums over one sort.
-    """
-    running = tokens.withColumn("_s", F.sum(step(F.col("token"))).over(_by(id_)))
-    low = F.least(F.lit(0), F.min("_s").over(_by(id_)))
-    after = running.withColumn("_a", F.col("_s") - low)
-    return after.withColumn("depth", F.lag("_a", 1, 0).over(_by(id_)).cast("int")).drop("_s", "_a")
 
+def matching(df: DataFrame) -> DataFrame:
+    """pairs: (open_idx, close_idx, level) of the brackets that close."""
+    return with_codes(df).withColumn("pairs", B.pairs("codes"))
 
-def matching(tokens: DataFrame, id_: str) -> DataFrame:
-    """(id, open_idx, close_idx): brackets and what closes them, for balanced texts: neighbours on one level."""
-    level = F.when(step(F.col("token")) > 0, F.col("depth")).otherwise(F.col("depth") - 1)
-    b = with_depth(tokens, id_).where(step(F.col("token")) != 0).withColumn("level", level)
-    w = Window.partitionBy(id_, "level").orderBy("idx")
-    x = b.withColumn("close_idx", F.lead("idx").over(w)).withColumn("_next", F.lead("token").over(w))
-    return x.where(F.col("token").isin(*T.OPEN) & F.col("_next").isin(*T.CLOSE)).select(id_, F.col("idx").alias("open_idx"), "close_idx", "level")
+
+def framed(tokens: Column, before: int, after: int) -> Column:
+    """By token a struct of idx, token, and its neighbours before and after as arrays, shorter at the ends."""
+    return F.transform(
+        tokens,
+        lambda t, i: F.struct(
+            i.alias("idx"),
+            t.alias("token"),
+            F.slice(tokens, F.greatest(F.lit(1), i - before + 1), F.least(F.lit(before), i)).alias("before"),
+            F.slice(tokens, i + 2, F.lit(after)).alias("after"),
+        ),
+    )
 
 
-def framed(tokens: DataFrame, id_: str, before: int, after: int) -> DataFrame:
-    """before and after: the neighbouring tokens as arrays, shorter at the ends."""
-    return tokens.withColumn("before", F.collect_list("token").over(_by(id_).rowsBetween(-before, -1))).withColumn("after", F.collect_list("token").over(_by(id_).rowsBetween(1, after)))
+def windows(df: DataFrame, id_: str, before: int, after: int) -> DataFrame:
+    """(id, idx, token, before, after): a row for each token."""
+    return df.select(id_, F.explode(framed(F.col("tokens"), before, after)).alias("w")).select(id_, "w.*")
 
 
 def slots(context: Column, size: int) -> Column:
@@ -52,15 +69,28 @@ def slots(context: Column, size: int) -> Column:
     return F.concat(F.array_repeat(F.lit(None).cast("string"), F.greatest(F.lit(0), size - F.size(context))), context)
 
 
-def relative_depth(tokens: DataFrame, id_: str, most: int = 5) -> DataFrame:
-    """outward: how many brackets deeper the text is at each token than at its shallowest so far, clipped at `most`."""
-    x = with_depth(tokens, id_)
-    low = F.min("depth").over(_by(id_).rowsBetween(-12, 0))
-    return x.withColumn("outward", F.least(F.lit(most), F.col("depth") - low))
+def outward_depths(df: DataFrame, id_: str, focus: str, before: int = 6, after: int = 3, most: int = 5) -> DataFrame:
+    """(id, idx, before, after): around each token `focus`, the depths of its neighbours, walked outward from its own and clipped to 0..most.
+
+    Both brackets of a pair have the level outside it, as seen from the focus.
+    """
+    x = with_depth(df).withColumn("level", B.unclamped("codes"))
+    walk = lambda part, own, base: F.transform(part, lambda s: F.greatest(F.lit(0), F.least(F.lit(most), own + s - base)))
+    at = F.transform(
+        F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == focus),
+        lambda i: F.struct(
+            i.alias("idx"),
+            walk(F.slice("level", F.greatest(F.lit(1), i - before + 1), F.least(F.lit(before), i)), F.get("depth", i), F.get("level", i)).alias("before"),
+            walk(F.slice("level", i + 2, F.lit(after)), F.get("depth", i), F.get("level", i)).alias("after"),
+        ),
+    )
+    return x.select(id_, F.explode(at).alias("f")).select(id_, "f.*")
 
 
-def bigrams(tokens: DataFrame, id_: str) -> DataFrame:
-    return tokens.withColumn("previous", F.lag("token", 1, "<BOF>").over(_by(id_)))
+def bigrams(df: DataFrame, id_: str) -> DataFrame:
+    """(id, previous, token): each token with the one before it, <BOF> at the start."""
+    pairs = F.zip_with(F.concat(F.array(F.lit("<BOF>")), F.slice("tokens", 1, F.size("tokens") - 1)), "tokens", lambda p, t: F.struct(p.alias("previous"), t.alias("token")))
+    return df.select(id_, F.explode(pairs).alias("b")).select(id_, "b.*")
 
 
 def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
@@ -70,51 +100,63 @@ def runs(df: DataFrame, by: list[str], order: list[str], value: str) -> DataFram
     return df.withColumn("_new", new).withColumn("run", F.sum("_new").over(w)).groupBy(*by, "run", value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_level_parts(text: Column, separator: str = ",") -> Column:
-    """A text split at separators outside brackets."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    folded = F.aggregate(
-        chars,
-        F.struct(F.array(F.lit("")).alias("parts"), F.lit(0).alias("depth")),
-        lambda acc, c: F.when((c == separator) & (acc["depth"] == 0), F.struct(F.concat(acc["parts"], F.array(F.lit(""))).alias("parts"), acc["depth"].alias("depth"))).otherwise(
-            F.struct(
-                F.concat(F.slice(acc["parts"], 1, F.size(acc["parts"]) - 1), F.array(F.concat(F.element_at(acc["parts"], -1), c))).alias("parts"),
-                F.greatest(F.lit(0), acc["depth"] + step(c)).alias("depth"),
-            )
-        ),
-    )
-    return folded["parts"]
+def top_level_parts(df: DataFrame, text: str) -> DataFrame:
+    """parts: a text split at the commas outside brackets."""
+    ship(df.sparkSession)
+    return df.withColumn("parts", B.top_level_parts(text))
 
 
-def enclosing(tokens: DataFrame, brackets: DataFrame, id_: str) -> DataFrame:
-    """Each token with the innermost bracket pair around it: a containment join on (id, interval)."""
-    t, b = tokens.alias("t"), brackets.alias("b")
-    inside = (F.col(f"t.{id_}") == F.col(f"b.{id_}")) & (F.col("b.open_idx") < F.col("t.idx")) & (F.col("t.idx") < F.col("b.close_idx"))
-    return t.join(b, inside).groupBy(F.col(f"t.{id_}").alias(id_), F.col("t.idx").alias("idx")).agg(F.max("b.open_idx").alias("open_idx"))
+def enclosing(df: DataFrame) -> DataFrame:
+    """open_idx: by token, the opening bracket of the innermost pair around it, or -1."""
+    return with_codes(df).withColumn("open_idx", B.enclosing("codes"))
 
 
-def after_assignment(tokens: DataFrame, id_: str) -> DataFrame:
-    """in_value: whether on the token's level, since the last comma or opening bracket, an '=' came before."""
-    x = with_depth(tokens, id_)
-    w = Window.partitionBy(id_, "depth").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    last = lambda sign: F.max(F.when(F.col("token") == sign, F.col("idx"))).over(w)
-    opened = F.max(F.when(F.col("token").isin(*T.OPEN), F.col("idx"))).over(_by(id_).rowsBetween(Window.unboundedPreceding, -1))
-    eq = F.coalesce(last("="), F.lit(-1))
-    return x.withColumn("in_value", (eq > F.coalesce(last(","), F.lit(-1))) & ((F.col("depth") == 0) | (eq > F.coalesce(opened, F.lit(-1)))))
+def after_assignment(df: DataFrame) -> DataFrame:
+    """in_value: by token, whether on its level, since the last comma or opening bracket, an '=' came before."""
+    return with_codes(df).withColumn("in_value", B.in_value("codes"))
 
 
-def hashed_features(tokens: DataFrame, id_: str, buckets: int, before: int = 6, after: int = 3) -> DataFrame:
+def hashed_features(df: DataFrame, id_: str, buckets: int, before: int = 6, after: int = 3) -> DataFrame:
     """(id, bucket, value): weights 1 / (1 + distance) of the tokens around each token, summed by hash bucket, tanh.
 
-    Offsets come from shifted windows' arrays, one sort per text; the sums are
-    partial before they shuffle.
+    Each token is a neighbour at every offset at which there is a token to
+    neighbour; sums are partial before the one shuffle.
     """
     from tessella.functions.hashing import bucket
 
-    x = framed(tokens, id_, before, after)
-    near = F.concat(
-        F.transform("before", lambda t, i: F.struct(t.alias("token"), (i - F.size("before")).alias("d"))),
-        F.transform("after", lambda t, i: F.struct(t.alias("token"), (i + 1).alias("d"))),
-    )
-    f = x.select(id_, F.explode(near).alias("f")).select(id_, bucket(F.concat(F.lit("tok@"), F.col("f.d").cast("string"), F.lit(":"), F.col("f.token")), buckets).alias("bucket"), F.abs("f.d").alias("d"))
+    offsets = F.array(*[F.lit(d) for d in range(-before, after + 1) if d])
+    x = df.select(id_, F.size("tokens").alias("_n"), F.posexplode("tokens").alias("idx", "token"))
+    f = x.select(id_, "token", F.explode(F.filter(offsets, lambda d: (F.col("idx") - d >= 0) & (F.col("idx") - d < F.col("_n")))).alias("d"))
+    f = f.select(id_, bucket(F.concat(F.lit("tok@"), F.col("d").cast("string"), F.lit(":"), F.col("token")), buckets).alias("bucket"), F.abs("d").alias("d"))
     return f.groupBy(id_, "bucket").agg(F.sum(F.lit(1.0) / (1 + F.col("d"))).alias("w")).select(id_, "bucket", F.round(F.tanh(F.col("w") / 100), 9).alias("value"))
+
+
+def slot_features(df: DataFrame, id_: str, focus: str, before: int = 6, after: int = 3) -> DataFrame:
+    """(id, idx, slot, feature): what each neighbour of a token `focus` tells, by slot in source order.
+
+    tok: the token; tok@d: with its offset; type@d: its class; depth@d: its
+    outward depth; bi@d: with the token before it, <BOF> at the start of the text.
+    """
+    x = with_depth(df).withColumn("level", B.unclamped("codes"))
+    offsets = [d for d in range(-before, after + 1) if d]
+
+    def one(i: Column, d: int) -> Column:
+        j, at = i + d, str(d)
+        token, prev = F.get("tokens", j), F.coalesce(F.get("tokens", j - 1), F.lit("<BOF>"))
+        deep = F.greatest(F.lit(0), F.least(F.lit(5), F.get("depth", i) + F.get("level", j) - F.get("level", i)))
+        kind = F.when(~token.rlike(r"^[A-Za-z0-9_]"), "OP").when(token.rlike(r"^[0-9]"), "NUMBER").otherwise("NAME")
+        names = [F.concat(F.lit("tok:"), token), F.concat(F.lit(f"tok@{at}:"), token), F.concat(F.lit(f"type@{at}:"), kind), F.concat(F.lit(f"depth@{at}:"), deep.cast("string")), F.concat(F.lit(f"bi@{at}:"), prev, F.lit("\x1f"), token)]
+        return F.when((j >= 0) & (j < F.size("tokens")), F.transform(F.array(*names), lambda f: F.struct(i.alias("idx"), F.lit(offsets.index(d)).alias("slot"), f.alias("feature")))).otherwise(F.array())
+
+    at = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == focus)
+    rows = F.flatten(F.transform(at, lambda i: F.concat(*[one(i, d) for d in offsets])))
+    return x.select(id_, F.explode(rows).alias("f")).select(id_, "f.*")
+
+
+def ngram_decay(df: DataFrame, id_: str, focus: str, n: int, before: int, tau: float) -> DataFrame:
+    """(id, gram, weight): n-grams before a token `focus`, weighing exp(-distance of their last token / tau)."""
+    ends = [d for d in range(1, before - n + 2)]
+    at = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == focus)
+    gram = lambda i, d: F.struct(F.array_join(F.slice("tokens", i - d - n + 2, F.lit(n)), " ").alias("gram"), F.exp(F.lit(-d / tau)).alias("weight"))
+    rows = F.flatten(F.transform(at, lambda i: F.concat(*[F.when(i - d - n + 1 >= 0, F.array(gram(i, d))).otherwise(F.array()) for d in ends])))
+    return df.select(id_, F.explode(rows).alias("g")).select(id_, "g.*")

@@ -39,9 +39,9 @@ def extract(files: DataFrame, o: Options) -> Extraction:
 
 def gate(e: Extraction, o: Options) -> list[str]:
     """Messages that stop a run: conflicts always, unreadable files unless errors are allowed."""
-    said = [f"key `{r['key']}` has several {r['kind']}s" for r in e.conflicts.orderBy("key").limit(100).collect()]
+    said = [f"key `{r['key']}` has several {r['kind']}s" for r in e.conflicts.orderBy("key").collect()]
     if not o.allow_errors:
-        said += [f"{r['path']}: {r['error']}" for r in e.diagnostics.orderBy("path").limit(100).collect()]
+        said += [f"{r['path']}: {r['error']}" for r in e.diagnostics.orderBy("path").collect()]
     return said
 
 
@@ -112,7 +112,7 @@ def run(spark: SparkSession, code: str, locales: str, o: Options) -> dict:
     names = spark.createDataFrame([(p, lang, p[len(f"{locales}/{lang}/") :]) for lang, p in paths], "path string, locale string, short string")
     stored = fluent.entries(S.decoded(listed).join(names, "path").select("locale", F.col("short").alias("path"), "text"))
     bad = [f"{r['locale']}/{r['path']}: {r['error']}" for r in stored.where("error is not null").collect()]
-    twice = M.duplicates(stored.where("name is not null"), ["locale", "name"], "position").orderBy("locale", "name").limit(100).collect()
+    twice = M.duplicates(stored.where("name is not null"), ["locale", "name"], "position").select("locale", "name", "n").distinct().orderBy("locale", "name").collect()
     stopped += bad + [f"{r['locale']}: `{r['name']}` is defined {r['n']} times" for r in twice]
     if stopped:
         return {"exit": 1, "messages": stopped}

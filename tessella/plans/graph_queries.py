@@ -26,20 +26,20 @@ def merge_conflicts(spark, d):
     return M.conflicts(table(spark, d, "lineitem"), ["l_partkey"], F.col("l_returnflag") == "R", F.col("l_linestatus"), F.col("l_suppkey") % 3)
 
 
-RECONCILE = """with code as (select lang locale, doc_id k, source path, (n_chars % 5)::varchar kwargs from documents where doc_id % 4 <> 0),
- stored as (select lang locale, doc_id k, case when doc_id % 7 = 0 then 'old' else source end path, (case when doc_id % 11 = 0 then n_chars + 1 else n_chars end % 5)::varchar kwargs from documents where doc_id % 5 <> 0),
+RECONCILE = """with code as (select lang locale, doc_id k, source path, (n_chars % 5)::varchar kwargs from documents where n_chars >= 300),
+ stored as (select lang locale, doc_id k, case when doc_id % 7 = 0 then 'old' else source end path, (case when doc_id % 11 = 0 then n_chars + 1 else n_chars end % 5)::varchar kwargs from documents where doc_id in (select doc_id from labels)),
  marked as (select d.lang locale, d.doc_id k from documents d join labels l using (doc_id) where l.quality = 1 group by all),
  r as (select coalesce(a.locale, b.locale) locale, coalesce(a.k, b.k) k, case when b.k is null then 'added' when a.k is null then case when m.k is not null then 'kept' else 'commented' end when a.path is distinct from b.path then 'moved' when a.kwargs is distinct from b.kwargs then 'updated' else 'same' end status
   from code a full join stored b on a.locale = b.locale and a.k = b.k left join marked m on m.locale = coalesce(a.locale, b.locale) and m.k = coalesce(a.k, b.k))"""
 
 
 def reconciled(spark, d):
-    """Residues of doc_id stand for what code and catalogue each lack; both sides are whole tables' keys."""
+    """Code asks for all longer documents, the catalogue has all labelled ones; every seventh moved, every eleventh changed."""
     docs = table(spark, d, "documents")
-    code = docs.where("doc_id % 4 <> 0").select(F.col("lang").alias("locale"), F.col("doc_id").alias("key"), F.col("source").alias("path"), (F.col("n_chars") % 5).cast("string").alias("kwargs"))
+    code = docs.where("n_chars >= 300").select(F.col("lang").alias("locale"), F.col("doc_id").alias("key"), F.col("source").alias("path"), (F.col("n_chars") % 5).cast("string").alias("kwargs"))
     old = F.when(F.col("doc_id") % 7 == 0, "old").otherwise(F.col("source"))
     n = F.when(F.col("doc_id") % 11 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
-    stored = docs.where("doc_id % 5 <> 0").select(F.col("lang").alias("locale"), F.col("doc_id").alias("key"), old.alias("path"), (n % 5).cast("string").alias("kwargs"))
+    stored = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.col("lang").alias("locale"), F.col("doc_id").alias("key"), old.alias("path"), (n % 5).cast("string").alias("kwargs"))
     marked = docs.join(table(spark, d, "labels").where("quality = 1"), "doc_id").select(F.col("lang").alias("locale"), F.col("doc_id").alias("key"))
     return R.reconcile(code, stored, marked)
 
@@ -54,12 +54,12 @@ def reconcile_statistics(spark, d):
     return R.statistics(reconciled(spark, d))
 
 
-@query("audit_diff", "select coalesce(a.o_orderkey, b.o_orderkey) o_orderkey, case when b.o_orderkey is null then 'missing' when a.o_orderkey is null then 'invented' else 'differs' end verdict from (select o_orderkey, o_orderstatus s, o_orderpriority p from orders where o_orderkey % 10 <> 1) a full join (select o_orderkey, o_orderstatus s, case when o_orderkey % 6 = 0 then null else o_orderpriority end p from orders where o_orderkey % 10 <> 2) b on a.o_orderkey = b.o_orderkey where a.o_orderkey is null or b.o_orderkey is null or a.s is distinct from b.s or a.p is distinct from b.p")
+@query("audit_diff", "select coalesce(a.o_orderkey, b.o_orderkey) o_orderkey, case when b.o_orderkey is null then 'missing' when a.o_orderkey is null then 'invented' else 'differs' end verdict from (select o_orderkey, o_orderstatus s, o_orderpriority p from orders where o_totalprice >= 50000) a full join (select o_orderkey, o_orderstatus s, case when o_orderkey % 6 = 0 then null else o_orderpriority end p from orders where o_orderstatus <> 'P') b on a.o_orderkey = b.o_orderkey where a.o_orderkey is null or b.o_orderkey is null or a.s is distinct from b.s or a.p is distinct from b.p")
 def audit_diff(spark, d):
     o = table(spark, d, "orders")
     p = F.when(F.col("o_orderkey") % 6 != 0, F.col("o_orderpriority"))
-    a = o.where("o_orderkey % 10 <> 1").select("o_orderkey", F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
-    b = o.where("o_orderkey % 10 <> 2").select("o_orderkey", F.col("o_orderstatus").alias("s"), p.alias("p"))
+    a = o.where("o_totalprice >= 50000").select("o_orderkey", F.col("o_orderstatus").alias("s"), F.col("o_orderpriority").alias("p"))
+    b = o.where("o_orderstatus <> 'P'").select("o_orderkey", F.col("o_orderstatus").alias("s"), p.alias("p"))
     return M.diff(a, b, ["o_orderkey"], ["s", "p"])
 
 
@@ -77,7 +77,7 @@ def stale_keys(spark, d):
     return R.stale(c.select("c_custkey"), code, needed, c.where("c_mktsegment = 'BUILDING'"), ["c_custkey"])
 
 
-@query("duplicate_definitions", "select md5(text) text_md5, count(*) n, list_sort(list(doc_id)) as lines from documents where text is not null group by text having count(*) > 1")
+@query("duplicate_definitions", "select md5(text) text_md5, doc_id, n from (select text, doc_id, count(*) over (partition by text) n from documents where text is not null) where n > 1")
 def duplicate_definitions(spark, d):
     x = table(spark, d, "documents").where("text is not null").select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
     return M.duplicates(x, ["text_md5"], "doc_id")
@@ -204,9 +204,9 @@ def set_ops_suite(spark, d):
     return out
 
 
-@query("tree_diff", "select coalesce(a.page_id, b.page_id) page_id, case when b.page_id is null then 'missing' when a.page_id is null then 'invented' else 'differs' end verdict from (select page_id, sha256(html) h from pages where page_id % 9 <> 0) a full join (select page_id, sha256(case when page_id % 4 = 0 then html || ' ' else html end) h from pages where page_id % 8 <> 0) b on a.page_id = b.page_id where a.h is distinct from b.h")
+@query("tree_diff", "select coalesce(a.page_id, b.page_id) page_id, case when b.page_id is null then 'missing' when a.page_id is null then 'invented' else 'differs' end verdict from (select page_id, sha256(html) h from pages where length(html) >= 300) a full join (select page_id, sha256(case when page_id % 4 = 0 then html || ' ' else html end) h from pages where url not like '%?%') b on a.page_id = b.page_id where a.h is distinct from b.h")
 def tree_diff(spark, d):
     p = table(spark, d, "pages")
-    a = p.where("page_id % 9 <> 0").select("page_id", F.sha2("html", 256).alias("h"))
-    b = p.where("page_id % 8 <> 0").select("page_id", F.sha2(F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")), 256).alias("h"))
+    a = p.where("length(html) >= 300").select("page_id", F.sha2("html", 256).alias("h"))
+    b = p.where("url not like '%?%'").select("page_id", F.sha2(F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit(" "))).otherwise(F.col("html")), 256).alias("h"))
     return M.diff(a, b, ["page_id"], ["h"])

@@ -112,10 +112,12 @@ def feature_modes(spark, d):
     return table(spark, d, "embeddings").select("vec_id", F.round(total("binary"), 6).alias("n_on"), F.round(total("log1p"), 4).alias("logs"), F.size(S.feature_modes(e, "both")).cast("bigint").alias("width"))
 
 
-@query("bit_pack", "select vec_id, list_sum([case when embedding[i] > 0 then (1::bigint << (i - 1)) else 0 end for i in range(1, 33)])::bigint bits, bit_count(list_sum([case when embedding[i] > 0 then (1::bigint << (i - 1)) else 0 end for i in range(1, 33)])::bigint)::int n from embeddings")
+@query("bit_pack", "select vec_id, list_sum([case when embedding[i] > 0 then (1::bigint << ((i - 1) % 32)) else 0 end for i in range(32 * w + 1, 32 * w + 33)])::bigint bits, bit_count(list_sum([case when embedding[i] > 0 then (1::bigint << ((i - 1) % 32)) else 0 end for i in range(32 * w + 1, 32 * w + 33)])::bigint)::int n, w::int word from embeddings, unnest(range(0, (len(embedding) + 31) // 32)) u(w)")
 def bit_pack(spark, d):
-    bits = S.packed(F.transform(F.slice("embedding", 1, 32), lambda x: x > 0))
-    return table(spark, d, "embeddings").select("vec_id", bits.alias("bits")).select("vec_id", "bits", F.bit_count("bits").alias("n"))
+    """All dimensions, 32 a word."""
+    words = F.transform(F.sequence(F.lit(0), F.ceil(F.size("embedding") / 32).cast("int") - 1), lambda w: S.packed(F.transform(F.slice("embedding", w * 32 + 1, F.lit(32)), lambda x: x > 0)))
+    x = table(spark, d, "embeddings").select("vec_id", F.posexplode(words).alias("word", "bits"))
+    return x.select("vec_id", "word", "bits", F.bit_count("bits").alias("n"))
 
 
 @query("active_fraction_masked", "select label, round(avg(f), 9) active, round(coalesce(avg(f) filter (f > 0.4), 0), 9) active_non_empty from (select label, list_sum([case when e > 0 then 1 else 0 end for e in embedding]) / len(embedding)::double f from embeddings) group by label")

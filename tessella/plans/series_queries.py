@@ -60,6 +60,12 @@ def run_counters(spark, d):
     return table(spark, d, "documents").agg(F.count(F.lit(1)).alias("walked"), F.count_if(F.col("text").contains("|")).alias("prefiltered"), F.count_distinct("source").alias("sources"), F.sum(F.length("text")).alias("characters"))
 
 
-@query("greedy_chunks")
+@query(
+    "greedy_chunks",
+    """with recursive o as (select source, doc_id, coalesce(n_chars, 0) s, row_number() over (partition by source order by doc_id) r from documents),
+    c(source, r, doc_id, held, chunk) as (select source, r, doc_id, s::bigint, 0 from o where r = 1 union all
+     select o.source, o.r, o.doc_id, case when c.held > 0 and c.held + o.s > 20000 then o.s else c.held + o.s end, case when c.held > 0 and c.held + o.s > 20000 then c.chunk + 1 else c.chunk end from c join o on o.source = c.source and o.r = c.r + 1)
+    select source, doc_id, chunk from c""",
+)
 def greedy_chunks(spark, d):
-    return S.chunks(table(spark, d, "documents").groupBy("source").agg(F.array_sort(F.collect_list(F.struct("doc_id", "n_chars"))).alias("rows")), "source", "rows", 20_000)
+    return S.numbered_chunks(table(spark, d, "documents"), "source", ["doc_id"], "n_chars", 20_000)

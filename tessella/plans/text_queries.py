@@ -34,11 +34,11 @@ def ignore_rules_last_match(spark, d):
 
 @query("path_component_sort", "select page_id, list_filter(regexp_split_to_array(url, '[\\\\/]+'), lambda x: x <> '')[2] host, len(list_filter(regexp_split_to_array(url, '[\\\\/]+'), lambda x: x <> '')) depth, dense_rank() over (order by list_filter(regexp_split_to_array(url, '[\\\\/]+'), lambda x: x <> '')) rank from pages")
 def path_component_sort(spark, d):
-    from pyspark.sql import Window
+    from tessella.operators.series import ranked
 
     p = T.path_components(F.col("url"))
-    # a rank over all rows is the report asked for; rows are few columns wide
-    return table(spark, d, "pages").select("page_id", F.get(p, 1).alias("host"), F.size(p).cast("bigint").alias("depth"), p.alias("p")).select("page_id", "host", "depth", F.dense_rank().over(Window.orderBy("p")).cast("bigint").alias("rank"))
+    x = table(spark, d, "pages").select("page_id", F.get(p, 1).alias("host"), F.size(p).cast("bigint").alias("depth"), p.alias("p"))
+    return ranked(x, "p").select("page_id", "host", "depth", "rank")
 
 
 @query("token_stream", f"select doc_id, count(*) n, max(idx) last, count(distinct token) kinds from ({TOKENS}) group by doc_id")
@@ -60,7 +60,7 @@ DEPTHS = f"""select page_id, idx, token, coalesce(lag(s - least(0, low), 1) over
 
 @query("bracket_depth_clamped", f"select page_id, max(depth)::int deepest, sum(depth)::bigint total, count(*) n from ({DEPTHS}) group by page_id")
 def bracket_depth_clamped(spark, d):
-    x = K.with_depth(K.token_stream(table(spark, d, "pages"), "page_id", "html"), "page_id")
+    x = K.exploded(K.with_depth(K.sequences(table(spark, d, "pages"), "page_id", "html")), "page_id", "depth")
     return x.groupBy("page_id").agg(F.max("depth").alias("deepest"), F.sum("depth").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
@@ -70,7 +70,7 @@ def bracket_depth_clamped(spark, d):
     from (select *, case when {STEP} > 0 then depth else depth - 1 end as level from ({DEPTHS}) where {STEP} <> 0)) where token in ('(', '[', '{{') and nxt in (')', ']', '}}') group by page_id""",
 )
 def matching_brackets(spark, d):
-    x = K.matching(K.token_stream(table(spark, d, "pages"), "page_id", "html"), "page_id")
+    x = K.matching(K.sequences(table(spark, d, "pages"), "page_id", "html")).select("page_id", F.explode("pairs").alias("p")).select("page_id", "p.*")
     return x.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("close_idx") - F.col("open_idx")).cast("bigint").alias("width"))
 
 
@@ -82,14 +82,14 @@ CONV_TOKENS = "select conv_id, turn, u.idx, u.token from (select conv_id, turn,
     f"select doc_id, sum(len(b))::bigint before_n, sum(len(a))::bigint after_n, count(*) n, min(array_to_string(b, ' ')) first_before from (select doc_id, coalesce(list(token) over (partition by doc_id order by idx rows between 6 preceding and 1 preceding), []) b, coalesce(list(token) over (partition by doc_id order by idx rows between 1 following and 3 following), []) a from ({TOKENS})) group by doc_id",
 )
 def context_window_6_3(spark, d):
-    x = K.framed(K.token_stream(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 6, 3)
+    x = K.windows(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 6, 3)
     return x.groupBy("doc_id").agg(F.sum(F.size("before")).alias("before_n"), F.sum(F.size("after")).alias("after_n"), F.count(F.lit(1)).alias("n"), F.min(F.array_join("before", " ")).alias("first_before"))
 
 
-@query("bigram_counts", f"select p as previous, token, count(*) n from (select lag(token, 1, '<BOF>') over (partition by doc_id order by idx) p, token from ({TOKENS})) group by all having count(*) >= 20")
+@query("bigram_counts", f"select p as previous, token, count(*) n from (select lag(token, 1, '<BOF>') over (partition by doc_id order by idx) p, token from ({TOKENS})) group by all")
 def bigram_counts(spark, d):
-    x = K.bigrams(K.token_stream(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
-    return x.groupBy("previous", "token").agg(F.count(F.lit(1)).alias("n")).where("n >= 20")
+    x = K.bigrams(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    return x.groupBy("previous", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -101,10 +101,15 @@ def adjacent_runs(spark, d):
     return x.groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("runs"), F.max("n").alias("longest"))
 
 
-@query("top_level_split", "select conv_id, turn, len(string_split(regexp_replace(text, '\\([^()]*\\)|\\[[^\\[\\]]*\\]', '', 'g'), ','))::bigint parts from conversations where text not like '%{%' and text not like '%((%' and text is not null")
+PART_TOKENS = "select conv_id, turn, u.idx, u.token from (select conv_id, turn, unnest([{'idx': i, 'token': l[i]} for i in range(1, len(l) + 1)]) u from (select conv_id, turn, regexp_extract_all(text, '[()\\[\\]{},]') l from conversations where text is not null))"
+PART_DEPTHS = DEPTHS.replace("page_id", "conv_id, turn").replace(PAGE_TOKENS.replace("page_id", "conv_id, turn"), PART_TOKENS)
+
+
+@query("top_level_split", f"select c.conv_id, c.turn, 1 + count(p.idx) parts, length(c.text) - count(p.idx) as length from conversations c left join (select * from ({PART_DEPTHS}) where token = ',' and depth = 0) p on p.conv_id = c.conv_id and p.turn = c.turn where c.text is not null group by c.conv_id, c.turn, c.text")
 def top_level_split(spark, d):
-    x = table(spark, d, "conversations").where("text not like '%{%' and text not like '%((%' and text is not null")
-    return x.select("conv_id", "turn", F.size(K.top_level_parts(F.col("text"))).cast("bigint").alias("parts"))
+    x = K.top_level_parts(table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", "text"), "text")
+    length = F.aggregate("parts", F.lit(0).cast("bigint"), lambda a, p: a + F.length(p))
+    return x.select("conv_id", "turn", F.size("parts").cast("bigint").alias("parts"), length.alias("length"))
 
 
 @query(
@@ -114,8 +119,8 @@ def top_level_split(spark, d):
     select page_id, count(*) inside, sum(o)::bigint opens from (select t.page_id, t.idx, max(b.open_idx) o from t join b on t.page_id = b.page_id and b.open_idx < t.idx and t.idx < b.close_idx group by all) group by page_id""",
 )
 def call_containment_innermost(spark, d):
-    t = K.token_stream(table(spark, d, "pages"), "page_id", "html")
-    return K.enclosing(t, K.matching(t, "page_id"), "page_id").groupBy("page_id").agg(F.count(F.lit(1)).alias("inside"), F.sum("open_idx").cast("bigint").alias("opens"))
+    t = K.enclosing(K.sequences(table(spark, d, "pages"), "page_id", "html")).select("page_id", F.explode(F.filter("open_idx", lambda i: i >= 0)).alias("open_idx"))
+    return t.groupBy("page_id").agg(F.count(F.lit(1)).alias("inside"), F.sum("open_idx").cast("bigint").alias("opens"))
 
 
 @query(
@@ -125,7 +130,7 @@ def call_containment_innermost(spark, d):
     window lv as (partition by page_id, depth order by idx rows between unbounded preceding and 1 preceding), al as (partition by page_id order by idx rows between unbounded preceding and 1 preceding)) group by page_id""",
 )
 def inside_assignment(spark, d):
-    x = K.after_assignment(K.token_stream(table(spark, d, "pages"), "page_id", "html"), "page_id")
+    x = K.exploded(K.after_assignment(K.sequences(table(spark, d, "pages"), "page_id", "html")), "page_id", "in_value")
     return x.groupBy("page_id").agg(F.count_if("in_value").alias("n"))
 
 
@@ -136,13 +141,18 @@ def inside_assignment(spark, d):
     (select doc_id, coalesce(list(token) over (partition by doc_id order by idx rows between 6 preceding and 1 preceding), []) b, coalesce(list(token) over (partition by doc_id order by idx rows between 1 following and 3 following), []) a from ({TOKENS}))) group by all)""",
 )
 def hashed_features_tanh(spark, d):
-    return K.hashed_features(K.token_stream(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 64)
+    return K.hashed_features(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 64)
 
 
-@query("ngram_decay_features", f"select doc_id, round(sum(exp(-d / 3.0::double)), 6) w, count(*) n from (select doc_id, idx % 12 d, lag(token) over (partition by doc_id order by idx) || ' ' || token g from ({TOKENS})) where g like 'the %' group by doc_id")
+@query(
+    "ngram_decay_features",
+    f"""with w as (select doc_id, token, lag(token, 1) over p a, lag(token, 2) over p b, lag(token, 3) over p c, lag(token, 4) over p e, lag(token, 5) over p f, lag(token, 6) over p g from ({TOKENS}) window p as (partition by doc_id order by idx)),
+    u as (select doc_id, unnest([{{'g': b || ' ' || a, 'd': 1}}, {{'g': c || ' ' || b, 'd': 2}}, {{'g': e || ' ' || c, 'd': 3}}, {{'g': f || ' ' || e, 'd': 4}}, {{'g': g || ' ' || f, 'd': 5}}]) x from w where token = ',')
+    select doc_id, x.g gram, round(sum(exp(-x.d / 3.0::double)), 9) weight, count(*) n from u where x.g is not null group by all""",
+)
 def ngram_decay_features(spark, d):
-    x = K.bigrams(K.token_stream(table(spark, d, "documents"), "doc_id", "text"), "doc_id").where("idx > 0 and previous = 'the'")
-    return x.groupBy("doc_id").agg(F.round(F.sum(F.exp(-(F.col("idx") % 12) / 3.0)), 6).alias("w"), F.count(F.lit(1)).alias("n"))
+    x = K.ngram_decay(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", ",", 2, 6, 3.0)
+    return x.groupBy("doc_id", "gram").agg(F.round(F.sum("weight"), 9).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
 @query("trial_seed_sha256", """select doc_id, (('0x' || substr(h,15,2) || substr(h,13,2) || substr(h,11,2) || substr(h,9,2) || substr(h,7,2) || substr(h,5,2) || substr(h,3,2) || substr(h,1,2))::ubigint)::decimal(20,0) seed,
@@ -208,12 +218,12 @@ def text_locations(spark, d):
     return x.select("doc_id", e["line"].cast("bigint").alias("line"), e["column"].cast("bigint").alias("col"), F.when(F.col("text").contains("|"), "a").otherwise("b").alias("mark"))
 
 
-@query("cache_probe", "select a.doc_id, case when b.doc_id is null then 'miss' else 'hit' end state from (select doc_id, sha256(coalesce(text, chr(0)) || chr(31) || coalesce(lang, chr(0))) f from documents) a left join (select doc_id, sha256(coalesce(text, chr(0)) || chr(31) || coalesce(case when doc_id % 3 = 0 then 'xx' else lang end, chr(0))) f from documents where doc_id % 5 <> 0) b on a.doc_id = b.doc_id and a.f = b.f")
+@query("cache_probe", "select a.doc_id, case when b.doc_id is null then 'miss' else 'hit' end state from (select doc_id, sha256(coalesce(text, chr(0)) || chr(31) || coalesce(lang, chr(0))) f from documents) a left join (select doc_id, sha256(coalesce(text, chr(0)) || chr(31) || coalesce(case when doc_id % 3 = 0 then 'xx' else lang end, chr(0))) f from documents where doc_id in (select doc_id from labels)) b on a.doc_id = b.doc_id and a.f = b.f")
 def cache_probe(spark, d):
-    """doc_id % 5 and % 3 here stand for a stale cache, not for a subset of the work: every document is probed."""
+    """Every document is probed; the cache holds the labelled ones, of which every third is out of date."""
     docs = table(spark, d, "documents")
     now = docs.select("doc_id", hashing.fingerprint(F.col("text"), F.col("lang")).alias("f"))
-    stored = docs.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("_id"), hashing.fingerprint(F.col("text"), F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang"))).alias("_f"))
+    stored = docs.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("_id"), hashing.fingerprint(F.col("text"), F.when(F.col("doc_id") % 3 == 0, "xx").otherwise(F.col("lang"))).alias("_f"))
     x = now.join(stored, (now["doc_id"] == stored["_id"]) & (now["f"] == stored["_f"]), "left")
     return x.select("doc_id", F.when(F.col("_id").isNull(), "miss").otherwise("hit").alias("state"))
 
@@ -230,11 +240,31 @@ def log_lines(spark, d):
     f"select doc_id, count(*) n, count(s[1]) first_slot, count(s[6]) last_slot, max(s[6]) top from (select doc_id, list_resize([], greatest(0, 6 - len(b))) || b s from (select doc_id, coalesce(list(token) over (partition by doc_id order by idx rows between 6 preceding and 1 preceding), []) b from ({TOKENS}))) group by doc_id",
 )
 def slot_context(spark, d):
-    x = K.framed(K.token_stream(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 6, 3).select("doc_id", K.slots(F.col("before"), 6).alias("s"))
+    x = K.windows(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 6, 0).select("doc_id", K.slots(F.col("before"), 6).alias("s"))
     return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.get("s", 0)).alias("first_slot"), F.count(F.get("s", 5)).alias("last_slot"), F.max(F.get("s", 5)).alias("top"))
 
 
-@query("relative_depth", f"select page_id, max(o)::int deepest, sum(o)::bigint total from (select page_id, least(5, depth - min(depth) over (partition by page_id order by idx rows between 12 preceding and current row)) o from ({DEPTHS})) group by page_id")
+@query(
+    "relative_depth",
+    f"""with t as (select *, s + least({STEP}, 0) level from (select page_id, idx, token, depth, coalesce(sum({STEP}) over (partition by page_id order by idx rows between unbounded preceding and 1 preceding), 0) s from ({DEPTHS}))),
+    w as (select page_id, token, depth - level base, coalesce(list(level) over (partition by page_id order by idx rows between 6 preceding and 1 preceding), []) || coalesce(list(level) over (partition by page_id order by idx rows between 1 following and 3 following), []) near from t)
+    select page_id, count(*) n, sum(list_sum([greatest(0, least(5, base + x)) for x in near]))::bigint total, max(list_max([greatest(0, least(5, base + x)) for x in near]))::int deepest from w where token = '=' group by page_id""",
+)
 def relative_depth(spark, d):
-    x = K.relative_depth(K.token_stream(table(spark, d, "pages"), "page_id", "html"), "page_id")
-    return x.groupBy("page_id").agg(F.max("outward").alias("deepest"), F.sum("outward").alias("total"))
+    x = K.outward_depths(K.sequences(table(spark, d, "pages"), "page_id", "html"), "page_id", "=").select("page_id", F.concat("before", "after").alias("near"))
+    return x.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("near", F.lit(0).cast("bigint"), lambda a, v: a + v)).alias("total"), F.max(F.array_max("near")).alias("deepest"))
+
+
+DOC_DEPTHS = DEPTHS.replace("page_id", "doc_id").replace(PAGE_TOKENS.replace("page_id", "doc_id"), TOKENS)
+SLOT_JOIN = f"""with t as (select *, s + least({STEP}, 0) level, lag(token, 1, '<BOF>') over (partition by doc_id order by idx) prev from (select doc_id, idx, token, depth, coalesce(sum({STEP}) over (partition by doc_id order by idx rows between unbounded preceding and 1 preceding), 0) s from ({DOC_DEPTHS}))),
+ c as (select f.doc_id, f.idx, n.token, n.prev, n.idx - f.idx o, greatest(0, least(5, f.depth + n.level - f.level)) deep from t f join t n on n.doc_id = f.doc_id and n.idx between f.idx - 6 and f.idx + 3 and n.idx <> f.idx where f.token = ';'),
+ k as (select *, case when not regexp_matches(token, '^[A-Za-z0-9_]') then 'OP' when regexp_matches(token, '^[0-9]') then 'NUMBER' else 'NAME' end kind, case when o < 0 then o + 6 else o + 5 end slot from c)"""
+
+
+@query(
+    "slot_features",
+    f"{SLOT_JOIN} select slot, feature, count(*) n from (select slot, unnest(['tok:' || token, 'tok@' || o || ':' || token, 'type@' || o || ':' || kind, 'depth@' || o || ':' || deep, 'bi@' || o || ':' || prev || chr(31) || token]) feature from k) group by all",
+)
+def slot_features(spark, d):
+    x = K.slot_features(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", ";")
+    return x.groupBy(F.col("slot").cast("bigint").alias("slot"), "feature").agg(F.count(F.lit(1)).alias("n"))

@@ -20,38 +20,50 @@ def changed(files: DataFrame, cache: DataFrame, key: str, columns: list[str]) ->
 def incremental(spark: SparkSession, source: DataFrame, key: str, columns: list[str], work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
     """A query that runs `work` on new or changed rows of a stream of files and replaces their results in a table.
 
-    target holds (key, fp, results); every batch reads it, does what the cache
-    lacks, and writes the next version beside it, so a failed batch changes nothing.
+    target holds (key, fp, results); batch n reads the last version before v(n+1),
+    does what the cache lacks, and writes v(n+1) beside it. A failed batch leaves
+    no finished version; a replayed one finds its own and has nothing to do. The
+    version before the last stays for readers, older ones go.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        last = _versions(spark, target)
+        done = [v for v in _versions(spark, target) if v <= n + 1]
+        last = max(done, default=None)
+        if last == n + 1:
+            return
         rows = df.withColumn("fp", fingerprint(*[F.col(c) for c in columns]))
         if last is None:
             out = work(rows)
         else:
             cache = spark.read.parquet(f"{target}/v{last}")
             todo = rows.join(cache.select(key, "fp"), [key, "fp"], "left_anti")
-            done = work(todo)
-            out = done.unionByName(cache.join(todo.select(key), key, "left_anti"))
+            out = work(todo).unionByName(cache.join(todo.select(key), key, "left_anti"))
         out.write.mode("overwrite").parquet(f"{target}/v{n + 1}")
+        for v in done:
+            if v != last:
+                _remove(spark, f"{target}/v{v}")
 
     return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _versions(spark: SparkSession, target: str) -> int | None:
+def _versions(spark: SparkSession, target: str) -> list[int]:
+    """The numbers of the finished versions of a table."""
     jvm = spark._jvm
     path = jvm.org.apache.hadoop.fs.Path(target)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        return None
+        return []
     names = [s.getPath().getName() for s in fs.listStatus(path)]
-    done = [int(n[1:]) for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
-    return max(done, default=None)
+    return [int(n[1:]) for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def latest(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/v{_versions(spark, target)}")
+    return spark.read.parquet(f"{target}/v{max(_versions(spark, target))}")
 
 
 def binned(stream: DataFrame, ts: str, by: list[str], width: str, late: str) -> DataFrame:

@@ -16,7 +16,7 @@ from tessella.streaming import incremental
 def test_depth_is_the_clamped_loop(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
     got = {}
-    for r in tokens.with_depth(tokens.token_stream(df, "id", "text"), "id").orderBy("id", "idx").collect():
+    for r in tokens.exploded(tokens.with_depth(tokens.sequences(df, "id", "text")), "id", "depth").orderBy("id", "idx").collect():
         got.setdefault(r["id"], []).append(r["depth"])
     import re
 
@@ -83,8 +83,58 @@ def test_revote_only_unsure(spark):
 
 
 def test_chunks_are_greedy(spark):
-    df = spark.createDataFrame([("s", [(1, 5), (2, 5), (3, 1), (4, 20), (5, 1)])], "s string, rows array<struct<doc_id:bigint,n_chars:bigint>>")
-    assert [r["chunk"] for r in series.chunks(df, "s", "rows", 10).orderBy("doc_id").collect()] == [0, 0, 1, 2, 3]
+    df = spark.createDataFrame([("s", 1, 5), ("s", 2, 5), ("s", 3, 1), ("s", 4, 20), ("s", 5, 1), ("t", 1, 20), (None, 2, None)], "s string, i int, n int").repartition(3)
+    got = {(r["s"], r["i"]): r["chunk"] for r in series.numbered_chunks(df, "s", ["i"], "n", 10).collect()}
+    assert got == {("s", 1): 0, ("s", 2): 0, ("s", 3): 1, ("s", 4): 2, ("s", 5): 3, ("t", 1): 0, (None, 2): 0}
+
+
+def test_closure_of_a_long_chain(spark):
+    e = spark.createDataFrame([(i, i + 1) for i in range(70)], "src int, dst int")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert reconcile.closure(e, spark.createDataFrame([(0,)], "root int")).count() == 71
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_threshold_of_many_values(spark):
+    df = spark.range(60_000).select(((F.col("id") * 7919) % 60_000).cast("double").alias("v"))
+    for share in (0.1, 0.5, 1.0):
+        want = df.agg(F.expr(f"percentile_disc({share}) within group (order by v)")).first()[0]
+        assert score.threshold(df, F.col("v"), share).first()["theta"] == want
+    assert score.threshold(df.where("false"), F.col("v"), 0.1).first()["theta"] is None
+    assert score.threshold(spark.range(20_000).select(F.lit(3.0).alias("v")), F.col("v"), 0.1).first()["theta"] == 3.0
+
+
+@settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.text("()[]{}a=,", max_size=30), min_size=1, max_size=20))
+def test_brackets_of_unbalanced_texts(spark, texts):
+    """Pairs, the pair around a token, values and parts as a stack finds them."""
+    import re
+
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    x = tokens.matching(tokens.after_assignment(tokens.enclosing(tokens.sequences(df, "id", "text"))))
+    got = {r["id"]: r for r in tokens.top_level_parts(df.join(x, "id", "left"), "text").collect()}
+    for i, t in enumerate(texts):
+        toks, stack, pairs, cuts, last, opened, value = re.findall(T.TOKEN, t), [], [], 0, {}, -1, []
+        for k, c in enumerate(toks):
+            level = len(stack)
+            eq, comma = (last.get((level, s), -1) for s in "=,")
+            value.append(eq > comma and (level == 0 or eq > opened))
+            last[level, c] = k
+            cuts += c == "," and not stack
+            if c in "([{":
+                stack.append(k)
+                opened = k
+            elif c in ")]}" and stack:
+                pairs.append((stack.pop(), k))
+        r = got[i]
+        assert len(r["parts"]) == cuts + 1 and ",".join(r["parts"]) == t
+        if toks:
+            assert [(p["open_idx"], p["close_idx"]) for p in r["pairs"]] == sorted(pairs)
+            assert r["open_idx"] == [max((a for a, b in pairs if a < k < b), default=-1) for k in range(len(toks))]
+            assert r["in_value"] == value
 
 
 def test_graph_rules(spark):
@@ -109,6 +159,13 @@ def test_incremental_stream(spark, tmp_path):
         incremental.incremental(spark, read(), "path", ["text"], work, target, str(tmp_path / "ck")).awaitTermination()
     assert seen == [2, 1]
     assert {r["path"]: r["n"] for r in incremental.latest(spark, target).collect()} == {"a": 2, "b": 3}
+    # the last batch is replayed, once with its version finished and once without
+    for lose in ([], ["v2/_SUCCESS"]):
+        for p in [*(tmp_path / "ck" / "commits").glob("*1*"), *(tmp_path / "out" / x for x in lose)]:
+            p.unlink()
+        incremental.incremental(spark, read(), "path", ["text"], work, target, str(tmp_path / "ck")).awaitTermination()
+        assert {r["path"]: r["n"] for r in incremental.latest(spark, target).collect()} == {"a": 2, "b": 3}
+    assert seen == [2, 1, 1]
 
 
 def test_binned_stream(spark, tmp_path):
