@@ -15,9 +15,9 @@ from tessella.session import ship
 
 
 def sequences(df: DataFrame, id_: str, text: str) -> DataFrame:
-    """(id, tokens) of every text that has a token."""
+    """(id, tokens) of every text; texts without tokens have an empty array."""
     ship(df.sparkSession)
-    return df.select(id_, T.tokens(F.col(text)).alias("tokens")).where(F.size("tokens") > 0)
+    return df.select(id_, T.tokens(F.col(text)).alias("tokens"))
 
 
 def token_stream(df: DataFrame, id_: str, text: str) -> DataFrame:
@@ -126,7 +126,7 @@ def hashed_features(df: DataFrame, id_: str, buckets: int, before: int = 6, afte
 
     offsets = F.array(*[F.lit(d) for d in range(-before, after + 1) if d])
     x = df.select(id_, F.size("tokens").alias("_n"), F.posexplode("tokens").alias("idx", "token"))
-    f = x.select(id_, "token", F.explode(F.filter(offsets, lambda d: (F.col("idx") - d >= 0) & (F.col("idx") - d < F.col("_n")))).alias("d"))
+    f = x.select(id_, "idx", "_n", "token", F.explode(offsets).alias("d")).where((F.col("idx") - F.col("d") >= 0) & (F.col("idx") - F.col("d") < F.col("_n")))
     f = f.select(id_, bucket(F.concat(F.lit("tok@"), F.col("d").cast("string"), F.lit(":"), F.col("token")), buckets).alias("bucket"), F.abs("d").alias("d"))
     return f.groupBy(id_, "bucket").agg(F.sum(F.lit(1.0) / (1 + F.col("d"))).alias("w")).select(id_, "bucket", F.round(F.tanh(F.col("w") / 100), 9).alias("value"))
 

@@ -9,7 +9,7 @@ from tessella.functions import hashing
 from tessella.operators import network, training
 from tessella.operators import sample as B
 from tessella.plans import extract as X
-from tessella.plans.registry import query, table
+from tessella.plans.registry import query, spread, table
 from tessella.sources import fluent, python_code
 from tessella.sources.options import Options
 
@@ -89,12 +89,21 @@ def small_network(seed: int = 5, n_in: int = 16, n: int = 40) -> network.Network
 
 @query("lif_simulate")
 def lif_simulate(spark, d):
-    """Every embedding as one trial: its first 32 dimensions are two puffs of 16 inputs."""
+    """Every embedding as one trial: its dimensions are puffs of 16 inputs each."""
     e = F.transform("embedding", lambda x: F.least(F.lit(1.0), F.abs(x)).cast("double"))
-    x = table(spark, d, "embeddings").select(F.col("vec_id").alias("trial"), F.col("vec_id").alias("seed"), F.array(F.slice(e, 1, 16), F.slice(e, 17, 16)).alias("puffs"))
+    puffs = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 16).cast("int") - 1), lambda k: F.slice(e, k * 16 + 1, F.lit(16)))
+    x = spread(table(spark, d, "embeddings")).select(F.col("vec_id").alias("trial"), F.col("vec_id").alias("seed"), puffs.alias("puffs"))
     return network.trials(x, small_network(), network.Params(puff=10.0, silence=5.0))
 
 
+@query("lif_odour")
+def lif_odour(spark, d):
+    """One-odour mode: the first 16 dimensions of each embedding as the input of a whole trial."""
+    e = F.transform(F.slice("embedding", 1, 16), lambda x: F.least(F.lit(1.0), F.abs(x)).cast("double"))
+    x = spread(table(spark, d, "embeddings")).select(F.col("vec_id").alias("trial"), F.col("vec_id").alias("seed"), e.alias("odour"))
+    return network.odours(x, small_network(), network.Params(puff=20.0, silence=5.0))
+
+
 @query("delta_rule_fit")
 def delta_rule_fit(spark, d):
     x = B.group_split(table(spark, d, "embeddings"), "vec_id").withColumn("y", F.col("label") == 0)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import hashing, text as T
 from tessella.operators import tokens as K
-from tessella.plans.registry import query, table
+from tessella.plans.registry import query, spread, table
 
 TOKENS = "select doc_id, u.idx, u.token from (select doc_id, unnest([{'idx': i - 1, 'token': l[i]} for i in range(1, len(l) + 1)]) u from (select doc_id, regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_]+|[^\\sA-Za-z0-9_]') l from documents))"
 KEYWORDS = ", ".join(f"'{k}'" for k in T.KEYWORDS)
@@ -43,12 +43,12 @@ def path_component_sort(spark, d):
 
 @query("token_stream", f"select doc_id, count(*) n, max(idx) last, count(distinct token) kinds from ({TOKENS}) group by doc_id")
 def token_stream(spark, d):
-    return K.token_stream(table(spark, d, "documents"), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("idx").cast("bigint").alias("last"), F.count_distinct("token").alias("kinds"))
+    return K.token_stream(spread(table(spark, d, "documents")), "doc_id", "text").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max("idx").cast("bigint").alias("last"), F.count_distinct("token").alias("kinds"))
 
 
 @query("token_class_counts", f"select class, count(*) n from (select {CLASS} as class from ({TOKENS})) group by class")
 def token_class_counts(spark, d):
-    x = K.token_stream(table(spark, d, "documents"), "doc_id", "text")
+    x = K.token_stream(spread(table(spark, d, "documents")), "doc_id", "text")
     return x.groupBy(T.token_class(F.col("token")).alias("class")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -60,7 +60,7 @@ DEPTHS = f"""select page_id, idx, token, coalesce(lag(s - least(0, low), 1) over
 
 @query("bracket_depth_clamped", f"select page_id, max(depth)::int deepest, sum(depth)::bigint total, count(*) n from ({DEPTHS}) group by page_id")
 def bracket_depth_clamped(spark, d):
-    x = K.exploded(K.with_depth(K.sequences(table(spark, d, "pages"), "page_id", "html")), "page_id", "depth")
+    x = K.exploded(K.with_depth(K.sequences(spread(table(spark, d, "pages")), "page_id", "html")), "page_id", "depth")
     return x.groupBy("page_id").agg(F.max("depth").alias("deepest"), F.sum("depth").alias("total"), F.count(F.lit(1)).alias("n"))
 
 
@@ -70,7 +70,7 @@ def bracket_depth_clamped(spark, d):
     from (select *, case when {STEP} > 0 then depth else depth - 1 end as level from ({DEPTHS}) where {STEP} <> 0)) where token in ('(', '[', '{{') and nxt in (')', ']', '}}') group by page_id""",
 )
 def matching_brackets(spark, d):
-    x = K.matching(K.sequences(table(spark, d, "pages"), "page_id", "html")).select("page_id", F.explode("pairs").alias("p")).select("page_id", "p.*")
+    x = K.matching(K.sequences(spread(table(spark, d, "pages")), "page_id", "html")).select("page_id", F.explode("pairs").alias("p")).select("page_id", "p.*")
     return x.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("close_idx") - F.col("open_idx")).cast("bigint").alias("width"))
 
 
@@ -82,13 +82,13 @@ CONV_TOKENS = "select conv_id, turn, u.idx, u.token from (select conv_id, turn,
     f"select doc_id, sum(len(b))::bigint before_n, sum(len(a))::bigint after_n, count(*) n, min(array_to_string(b, ' ')) first_before from (select doc_id, coalesce(list(token) over (partition by doc_id order by idx rows between 6 preceding and 1 preceding), []) b, coalesce(list(token) over (partition by doc_id order by idx rows between 1 following and 3 following), []) a from ({TOKENS})) group by doc_id",
 )
 def context_window_6_3(spark, d):
-    x = K.windows(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 6, 3)
+    x = K.windows(K.sequences(spread(table(spark, d, "documents")), "doc_id", "text"), "doc_id", 6, 3)
     return x.groupBy("doc_id").agg(F.sum(F.size("before")).alias("before_n"), F.sum(F.size("after")).alias("after_n"), F.count(F.lit(1)).alias("n"), F.min(F.array_join("before", " ")).alias("first_before"))
 
 
 @query("bigram_counts", f"select p as previous, token, count(*) n from (select lag(token, 1, '<BOF>') over (partition by doc_id order by idx) p, token from ({TOKENS})) group by all")
 def bigram_counts(spark, d):
-    x = K.bigrams(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
+    x = K.bigrams(K.sequences(spread(table(spark, d, "documents")), "doc_id", "text"), "doc_id")
     return x.groupBy("previous", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -119,7 +119,7 @@ def top_level_split(spark, d):
     select page_id, count(*) inside, sum(o)::bigint opens from (select t.page_id, t.idx, max(b.open_idx) o from t join b on t.page_id = b.page_id and b.open_idx < t.idx and t.idx < b.close_idx group by all) group by page_id""",
 )
 def call_containment_innermost(spark, d):
-    t = K.enclosing(K.sequences(table(spark, d, "pages"), "page_id", "html")).select("page_id", F.explode(F.filter("open_idx", lambda i: i >= 0)).alias("open_idx"))
+    t = K.enclosing(K.sequences(spread(table(spark, d, "pages")), "page_id", "html")).select("page_id", F.explode(F.filter("open_idx", lambda i: i >= 0)).alias("open_idx"))
     return t.groupBy("page_id").agg(F.count(F.lit(1)).alias("inside"), F.sum("open_idx").cast("bigint").alias("opens"))
 
 
@@ -130,7 +130,7 @@ def call_containment_innermost(spark, d):
     window lv as (partition by page_id, depth order by idx rows between unbounded preceding and 1 preceding), al as (partition by page_id order by idx rows between unbounded preceding and 1 preceding)) group by page_id""",
 )
 def inside_assignment(spark, d):
-    x = K.exploded(K.after_assignment(K.sequences(table(spark, d, "pages"), "page_id", "html")), "page_id", "in_value")
+    x = K.exploded(K.after_assignment(K.sequences(spread(table(spark, d, "pages")), "page_id", "html")), "page_id", "in_value")
     return x.groupBy("page_id").agg(F.count_if("in_value").alias("n"))
 
 
@@ -141,7 +141,7 @@ def inside_assignment(spark, d):
     (select doc_id, coalesce(list(token) over (partition by doc_id order by idx rows between 6 preceding and 1 preceding), []) b, coalesce(list(token) over (partition by doc_id order by idx rows between 1 following and 3 following), []) a from ({TOKENS}))) group by all)""",
 )
 def hashed_features_tanh(spark, d):
-    return K.hashed_features(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 64)
+    return K.hashed_features(K.sequences(spread(table(spark, d, "documents")), "doc_id", "text"), "doc_id", 64)
 
 
 @query(
@@ -151,7 +151,7 @@ def hashed_features_tanh(spark, d):
     select doc_id, x.g gram, round(sum(exp(-x.d / 3.0::double)), 9) weight, count(*) n from u where x.g is not null group by all""",
 )
 def ngram_decay_features(spark, d):
-    x = K.ngram_decay(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", ",", 2, 6, 3.0)
+    x = K.ngram_decay(K.sequences(spread(table(spark, d, "documents")), "doc_id", "text"), "doc_id", ",", 2, 6, 3.0)
     return x.groupBy("doc_id", "gram").agg(F.round(F.sum("weight"), 9).alias("weight"), F.count(F.lit(1)).alias("n"))
 
 
@@ -240,7 +240,7 @@ def log_lines(spark, d):
     f"select doc_id, count(*) n, count(s[1]) first_slot, count(s[6]) last_slot, max(s[6]) top from (select doc_id, list_resize([], greatest(0, 6 - len(b))) || b s from (select doc_id, coalesce(list(token) over (partition by doc_id order by idx rows between 6 preceding and 1 preceding), []) b from ({TOKENS}))) group by doc_id",
 )
 def slot_context(spark, d):
-    x = K.windows(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", 6, 0).select("doc_id", K.slots(F.col("before"), 6).alias("s"))
+    x = K.windows(K.sequences(spread(table(spark, d, "documents")), "doc_id", "text"), "doc_id", 6, 0).select("doc_id", K.slots(F.col("before"), 6).alias("s"))
     return x.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count(F.get("s", 0)).alias("first_slot"), F.count(F.get("s", 5)).alias("last_slot"), F.max(F.get("s", 5)).alias("top"))
 
 
@@ -251,7 +251,7 @@ def slot_context(spark, d):
     select page_id, count(*) n, sum(list_sum([greatest(0, least(5, base + x)) for x in near]))::bigint total, max(list_max([greatest(0, least(5, base + x)) for x in near]))::int deepest from w where token = '=' group by page_id""",
 )
 def relative_depth(spark, d):
-    x = K.outward_depths(K.sequences(table(spark, d, "pages"), "page_id", "html"), "page_id", "=").select("page_id", F.concat("before", "after").alias("near"))
+    x = K.outward_depths(K.sequences(spread(table(spark, d, "pages")), "page_id", "html"), "page_id", "=").select("page_id", F.concat("before", "after").alias("near"))
     return x.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.aggregate("near", F.lit(0).cast("bigint"), lambda a, v: a + v)).alias("total"), F.max(F.array_max("near")).alias("deepest"))
 
 
@@ -266,5 +266,5 @@ SLOT_JOIN = f"""with t as (select *, s + least({STEP}, 0) level, lag(token, 1, '
     f"{SLOT_JOIN} select slot, feature, count(*) n from (select slot, unnest(['tok:' || token, 'tok@' || o || ':' || token, 'type@' || o || ':' || kind, 'depth@' || o || ':' || deep, 'bi@' || o || ':' || prev || chr(31) || token]) feature from k) group by all",
 )
 def slot_features(spark, d):
-    x = K.slot_features(K.sequences(table(spark, d, "documents"), "doc_id", "text"), "doc_id", ";")
+    x = K.slot_features(K.sequences(spread(table(spark, d, "documents")), "doc_id", "text"), "doc_id", ";")
     return x.groupBy(F.col("slot").cast("bigint").alias("slot"), "feature").agg(F.count(F.lit(1)).alias("n"))

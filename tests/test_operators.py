@@ -66,6 +66,22 @@ def test_network_is_deterministic_and_silent_without_input(spark):
     assert a.max() <= np.ceil((p.puff + p.silence) / p.refractory)
     with pytest.raises(ValueError):
         network.Params(dt=0.3).steps(1.0)
+    with pytest.raises(ValueError):
+        network.simulate_batch(net, np.full((1, 1, 16), 1.5), np.array([1]), p)
+
+
+def test_batches_are_trials_of_their_own(spark):
+    net, p = small_network(), network.Params(puff=10.0, silence=5.0)
+    rng = np.random.default_rng(3)
+    puffs, seeds = rng.random((9, 3, 16)), np.arange(9)
+    counts, spikes = network.simulate_batch(net, puffs, seeds, p, events=True)
+    for k in range(9):
+        assert (counts[k] == network.simulate(net, puffs[k], k, p)).all()
+    assert counts.sum() == spikes.shape[1] > 0
+    df = spark.createDataFrame([(int(k), int(k), [[float(v) for v in x] for x in puffs[k]][: 1 + k % 3]) for k in range(9)], "trial long, seed long, puffs array<array<double>>").repartition(2)
+    got = {(r["trial"], r["puff"], r["neuron"]): r["n"] for r in network.trials(df, net, p).collect()}
+    want = {(k, int(b), int(i)): int(c[b, i]) for k in range(9) for c in [network.simulate(net, puffs[k][: 1 + k % 3], k, p)] for b, i in zip(*np.nonzero(c))}
+    assert got == want and network.raster(df, net, p).count() == sum(want.values())
 
 
 def test_delta_rule_learns_and_stops_early():
