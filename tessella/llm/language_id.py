@@ -82,6 +82,31 @@ class Network:
         return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
+def gradients(net: Network, x: np.ndarray, y: np.ndarray) -> list[np.ndarray]:
+    """Of the mean loss over windows x of languages y: embedding, filters, bias, output, output bias."""
+    n = len(x)
+    raw, places = net.pooled(x, net.tables(), True)
+    hidden = np.maximum(raw, 0)
+    z = hidden @ net.out + net.out_bias
+    z = np.exp(z - z.max(axis=1, keepdims=True))
+    dz = z / z.sum(axis=1, keepdims=True)
+    dz[np.arange(n), y] -= 1
+    dz /= n
+    dh = (dz @ net.out.T) * (raw > 0)
+    d_embed, d_filters = np.zeros_like(net.embed), []
+    for k, f in enumerate(net.filters):
+        g = dh[:, k * FILTERS : (k + 1) * FILTERS]
+        d = np.zeros_like(f)
+        for j in range(len(f)):
+            bytes_ = x[np.arange(n)[:, None], places[k] + j]  # (n, FILTERS)
+            e = net.embed[bytes_]  # (n, FILTERS, EMBED)
+            d[j] = np.einsum("nf,nfe->ef", g, e)
+            np.add.at(d_embed, bytes_, g[:, :, None] * f[j].T[None])
+        d_filters.append(d)
+    d_embed[0] = 0
+    return [d_embed, *d_filters, dh.sum(axis=0), hidden.T @ dz, dz.sum(axis=0)]
+
+
 def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 7) -> Network:
     """Softmax regression on max-pooled filters by Adam; x: (n, WINDOW) bytes, y: language numbers."""
     rng = np.random.default_rng(seed)
@@ -92,28 +117,7 @@ def train(x: np.ndarray, y: np.ndarray, langs: list[str], seed: int = 7) -> Netw
     for _ in range(EPOCHS):
         perm = rng.permutation(len(x))
         for i in range(0, len(x), BATCH):
-            xb, yb = x[perm[i : i + BATCH]], y[perm[i : i + BATCH]]
-            n = len(xb)
-            raw, places = net.pooled(xb, net.tables(), True)
-            hidden = np.maximum(raw, 0)
-            z = hidden @ net.out + net.out_bias
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            dz = z / z.sum(axis=1, keepdims=True)
-            dz[np.arange(n), yb] -= 1
-            dz /= n
-            dh = (dz @ net.out.T) * (raw > 0)
-            d_embed, d_filters = np.zeros_like(net.embed), []
-            for k, f in enumerate(net.filters):
-                g = dh[:, k * FILTERS : (k + 1) * FILTERS]
-                d = np.zeros_like(f)
-                for j in range(len(f)):
-                    bytes_ = xb[np.arange(n)[:, None], places[k] + j]  # (n, FILTERS)
-                    e = net.embed[bytes_]  # (n, FILTERS, EMBED)
-                    d[j] = np.einsum("nf,nfe->ef", g, e)
-                    np.add.at(d_embed, bytes_, g[:, :, None] * f[j].T[None])
-                d_filters.append(d)
-            d_embed[0] = 0
-            grads = [d_embed, *d_filters, dh.sum(axis=0), hidden.T @ dz, dz.sum(axis=0)]
+            grads = gradients(net, x[perm[i : i + BATCH]], y[perm[i : i + BATCH]])
             step += 1
             for p, g, a, b in zip(params, grads, m, v, strict=True):
                 a *= 0.9

@@ -6,6 +6,34 @@ from tessella.llm.quality import RULES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
+LINES = f"""
+with t as (select doc_id, string_split(text, chr(10)) s from documents where text is not null),
+ l as (select doc_id, i - 1 i, doc_id * 1000000 + i - 1 pos, list_sort(list_distinct({WORDS.replace("coalesce(text, '')", "s[i]")})) w from (select doc_id, s, unnest(range(1, len(s) + 1)) i from t)),
+ c as (select w, len(w) n, min(pos) first, row_number() over () c from l where len(w) > 0 group by w),
+ f as (select x, count(*) k from (select unnest(w) x from c) group by x),
+ r as (select c, n, first, x, row_number() over (partition by c order by k, x) p from (select c, n, first, unnest(w) x from c) join f using (x)),
+ q as (select * from r where p <= n - ceil(4 * n / 5.0) + 1),
+ y as (select distinct a.c, b.c d from q a join q b using (x) where a.c < b.c and 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+ o as (select y.c, y.d, a.first a, b.first b, a.n + b.n n, len(list_intersect(a.w, b.w)) k from y join c a on a.c = y.c join c b on b.c = y.d),
+ z as (select c, b as first from o where 5 * k >= 4 * (n - k) union all select d, a from o where 5 * k >= 4 * (n - k)),
+ m as (select c, min(first) first from (select c, first from z union all select c, first from c) group by c),
+ g as (select l.doc_id, list(l.i order by l.i) removed from l join c using (w) join m on m.c = c.c where l.pos > m.first group by l.doc_id)
+select d.doc_id, case when text is null then 0 else len(string_split(text, chr(10))) end::bigint n_lines, coalesce(len(g.removed), 0)::bigint n_removed, coalesce(g.removed, [])::bigint[] removed_lines from documents d left join g on g.doc_id = d.doc_id
+"""
+
+SUFFIX = """
+with d as (select doc_id, row_number() over () r, hex(encode(coalesce(text, ''))) h from documents),
+ p as (select doc_id, r, unnest(range(0, length(h) // 2 - 49)) i, h from d where length(h) >= 100),
+ k as (select doc_id, r, i, md5_number(substr(h, 2 * i + 1, 100)) w from p),
+ f as (select w, min(doc_id) m from k group by w having min(doc_id) < max(doc_id)),
+ s as (select k.r, k.i, lag(k.i) over (partition by k.r order by k.i) before from k join f using (w) where k.doc_id > f.m),
+ v as (select r, i, count(*) filter (before is null or i - before > 50) over (partition by r order by i) span from s),
+ u as (select r, span, min(i) a, max(i) + 50 b from v group by all),
+ g as (select r, a, b, lag(b, 1, 0) over (partition by r order by a) after from u),
+ n as (select r, sum(b - a)::bigint removed, count(*) spans, string_agg(substr(d.h, 2 * after + 1, 2 * (a - after)), '' order by a) kept, max(b) last from g join d using (r) group by r)
+select doc_id, (length(h) // 2)::bigint n_bytes, coalesce(removed, 0)::bigint n_removed, coalesce(spans, 0)::bigint n_spans, sha256(unhex(case when n.r is null then h else kept || substr(h, 2 * last + 1) end)) kept_sha256 from d left join n using (r)
+"""
+
 SUBSTRING = f"""
 with d as (select doc_id, row_number() over () r, {WORDS} w from documents),
  p as (select doc_id, r, unnest(range(1, len(w) - 11)) i, w from d where len(w) >= 13),
@@ -62,4 +90,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_quality_rules": quality_sql(), "op5_substring_dedup": SUBSTRING, "op9_minhash_near_dedup": NEAR, "op10_warc": WARC}
+    return {"op1_line_dedup": LINES, "op2_quality_rules": quality_sql(), "op4_suffix_array_dedup": SUFFIX, "op5_substring_dedup": SUBSTRING, "op9_minhash_near_dedup": NEAR, "op10_warc": WARC}

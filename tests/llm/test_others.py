@@ -104,6 +104,49 @@ def test_mixing_edges(docs, rows, empty):
     assert {r["source"] for r in out} == {"src0", "src1", ""}
 
 
+def test_mixing_against_raking(spark, sf, monkeypatch):
+    """Weights, probabilities and draws of an independent raking, on the driver and on the cluster."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    cells = {}
+    for way in (mixing.DRIVER_CELLS, 0):
+        monkeypatch.setattr(mixing, "DRIVER_CELLS", way)
+        out = mixing.calibrated(d).toPandas()
+        cells = out.groupby(["source", "lang", "topic"]).n_tokens.sum().to_dict()
+        fitted = brute.raked(cells, [mixing.Mix().powers[m] for m in mixing.MARGINS])
+        total = sum(cells.values())
+        weight = {k: fitted[k] * total / v if v else 0.0 for k, v in cells.items()}
+        c = brute.scaled(list(cells.values()), [weight[k] for k in cells], total / 2)
+        key = list(zip(out.source, out.lang, out.topic))
+        assert np.allclose(out.weight, [weight[k] for k in key], rtol=1e-6)
+        assert np.allclose(out.probability, [min(1.0, c * weight[k]) for k in key], rtol=1e-6)
+        assert abs(out.sampled.mean() - out.probability.mean()) < 0.12
+
+
+def test_stage_names_that_clash(spark, docs):
+    """Columns named as the stages' own stay as they are."""
+    names = ["row", "lines", "same", "left", "stops", "_h", "_text", "_lines", "probability", "weight", "topic", "n_tokens", "component", "mix_topic", "_row"]
+    odd = docs.drop("weight").withColumns({n: F.col("doc_id").cast("string") for n in names})
+    for name, stage in corpus_pipeline.STAGES[1:3]:
+        out = stage(spark, odd, "")
+        assert out.columns == odd.columns and out.where("doc_id is not null and (row <> cast(doc_id as string) or lines <> row or _lines <> row or component <> row)").count() == 0, name
+    out = mixing.stage(spark, odd, "")
+    assert out.columns == [c for c in odd.columns if c not in ("probability", "weight", "mix_topic")] + ["mix_topic", "weight", "probability"]
+    assert out.where("n_tokens <> cast(doc_id as string) or topic <> cast(doc_id as string) or mix_topic <> topic").count() == 0 and out.count() > 0
+
+
+def test_stages_on_awkward_and_empty_tables(spark, docs, empty, labels, tmp_path):
+    """The pipeline's stages in a row on nulls, repeated rows, long and empty texts, and on no rows at all."""
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, ITEM), (None, "x"), (2, None)], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    for start in (docs, empty):
+        now = start.drop("weight")
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            names, before = now.columns, now.count()
+            now = spread.cut(stage(spark, now, str(tmp_path)))
+            assert now.count() <= before and (now.columns == names or i == 4)
+            assert start is empty or before == 0 or now.count() > 0
+
+
 def test_mixing_repeats(spark, sf):
     d = spark.read.parquet(f"{sf}/documents.parquet")
     a = {r["doc_id"] for r in mixing.calibrated(d).where("sampled").collect()}
@@ -173,6 +216,49 @@ def test_weights_of_least_loss():
     assert np.abs(w[7] - [0.9, -0.2, 0.5]).max() < 0.1 and (w[:7] == context_mixing.START).all()
 
 
+def test_scores_against_naive_mixing(spark):
+    """Every count, mixed prediction and loss of a small model, one decision at a time; long texts run by run."""
+    rng = random.Random(21)
+    texts = [prose(rng, 12, 30) for _ in range(40)] + ["", "NUL \x00 é Ab", prose(rng, 30, 20)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model, *_ = context_mixing.fit(train)
+    pairs = np.zeros((256, 256), np.int64)
+    for t in texts:
+        sym = [0] + [max(b, 1) for b in t.translate(brute.FOLD).encode()] + [0]
+        for a, b in zip(sym, sym[1:]):
+            pairs[a, b] += 1
+    code, length = context_mixing.huffman(pairs)
+    orders, bits = [o for o, *_ in context_mixing.ORDERS], model.table_bits
+    counts = [{} for _ in orders]
+    for t in texts:
+        for before, node, _, bit in brute.paths(t, code, length):
+            for c, o, b in zip(counts, orders, bits):
+                s = brute.slot(before, node, o, b)[0] & ((1 << b) - 1)
+                c.setdefault(s, [0, 0])[bit] += 1
+
+    def stretched(n):
+        x = math.log((n[1] + context_mixing.PRIOR) / (n[0] + context_mixing.PRIOR)) * context_mixing.SCALE
+        return 0 if x == 0 else int(math.copysign(min(max(round(abs(x)), 1), 127), x))
+
+    for t in ("never seen before", texts[0], "", "é!"):
+        lost = 0.0
+        for before, node, depth, bit in brute.paths(t, code, length):
+            st = [stretched(c.get(brute.slot(before, node, o, b)[0] & ((1 << b) - 1), (0, 0))) for c, o, b in zip(counts, orders, bits)]
+            gate = sum((x != 0) << k for k, x in enumerate(st))
+            x = sum(w / context_mixing.SCALE * s for w, s in zip(model.weights[gate], st))
+            at = int((min(max(x, -context_mixing.LIMIT), context_mixing.LIMIT) + context_mixing.LIMIT) * context_mixing.STEP)
+            lost += float(model.refined[gate, min(depth, 7), at, bit])
+        raw = np.frombuffer(t.encode(), np.uint8)
+        assert abs(model.bits(raw, np.array([0, len(raw)]))[0] - lost) < 0.05 * max(lost, 1)
+    raw = np.frombuffer((" ".join(texts) * 20).encode(), np.uint8)
+    whole, run = model.bits(raw, np.array([0, len(raw)])), context_mixing.RUN
+    try:
+        context_mixing.RUN = 1000
+        assert np.allclose(model.bits(raw, np.array([0, len(raw)])), whole)
+    finally:
+        context_mixing.RUN = run
+
+
 def test_probabilities_sum_to_one():
     """Over all bytes after a context: the decisions of a tree are a proper code."""
     code, length = context_mixing.huffman(np.random.default_rng(1).integers(0, 1000, (256, 256)))
@@ -207,6 +293,33 @@ def test_language_edges(spark, docs, empty):
     assert language_id.identify(empty, net).count() == 0
 
 
+def test_convolution_and_gradient():
+    """Responses by plain loops, and gradients by finite differences."""
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(1, 256, (5, 12)).astype(np.uint8), np.array([0, 1, 2, 1, 0])
+    net = language_id.train(x, y, ["a", "b", "c"])
+    loss = lambda: -net.log_probabilities(x, [[net.embed @ tap for tap in f] for f in net.filters])[np.arange(5), y].mean()
+    for row in x[:2]:
+        hidden = []
+        for f in net.filters:
+            for k in range(language_id.FILTERS):
+                hidden.append(max(sum(float(net.embed[row[i + j]] @ f[j][:, k]) for j in range(len(f))) for i in range(len(row) - len(f) + 1)))
+        z = np.maximum(np.array(hidden) + net.bias, 0) @ net.out + net.out_bias
+        z -= z.max()
+        assert np.allclose(net.log_probabilities(row[None], net.tables())[0], z - np.log(np.exp(z).sum()), atol=1e-4)
+    params = [net.embed, *net.filters, net.bias, net.out, net.out_bias]
+    for p, g in zip(params, language_id.gradients(net, x, y)):
+        flat, grad = p.reshape(-1), g.reshape(-1)
+        for i in np.argsort(-np.abs(grad))[:6]:
+            keep, h = flat[i], 1e-5
+            flat[i] = keep + h
+            up = loss()
+            flat[i] = keep - h
+            down = loss()
+            flat[i] = keep
+            assert abs((up - down) / (2 * h) - grad[i]) < 1e-3 + 0.05 * abs(grad[i])
+
+
 def test_gradient_learns():
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.integers(97, 105, (80, 64)), rng.integers(110, 120, (80, 64))]).astype(np.uint8)
@@ -272,6 +385,23 @@ def test_copies_of_numbers_and_short_items(spark):
     assert found(spark, texts, items) == {(0, 1), (2, 2), (3, 3), (4, 5)}
 
 
+def test_leaks_against_naive_templates(spark):
+    """Copies and altered copies among other text, as plain loops over templates find them."""
+    rng = random.Random(31)
+    names, kinds = ["Anna", "Bob", "Élise", "Carl May"], ["apples", "pears", "km", "hours"]
+    made = lambda: " ".join(rng.choice(["the", "a", "of", "sold", "gave", "to", "then", "and.", "who", str(rng.randrange(30)) + " " + rng.choice(kinds), rng.choice(names), "3.5", "why?"]) for _ in range(rng.randrange(2, 30)))
+    items = [(i, made()) for i in range(25)]
+    texts = []
+    for i in range(120):
+        t = rng.choice(items)[1].split()
+        for _ in range(rng.choice([0, 0, 1, 2, 6])):
+            k = rng.randrange(len(t))
+            t[k] = str(rng.randrange(30)) if t[k].isdigit() else rng.choice(["the", "Dora", "of", t[k]])
+        texts.append(f"{made()} {' '.join(t)} {made()}" if i % 4 else " ".join(t))
+    want = {(d, i) for d, t in enumerate(texts) for i, x in items if brute.leaks(t, x, set(decontamination.UNITS))}
+    assert found(spark, texts, items) == want and len(want) > 60
+
+
 def test_blocks_of_the_benchmark(spark, monkeypatch):
     rng = random.Random(11)
     items = [(i, prose(rng, 30)) for i in range(40)] + [(50, None), (51, "too short"), (52, "five words are quite enough"), (None, "nobody asks for this one item")]
