@@ -29,6 +29,20 @@ def sniff_seed(seed: Column, n: Column) -> Column:
     return F.expr(f"cast((cast({_sql(seed)} as decimal(38,0)) + {_sql(n)}) % {TWO64} as decimal(20,0))") if isinstance(seed, str) else ((seed.cast("decimal(38,0)") + n.cast("decimal(38,0)")) % F.lit(TWO64).cast("decimal(38,0)")).cast("decimal(20,0)")
 
 
+def salted_seed(seed: Column, salt: int, tag: bytes = b"salt") -> Column:
+    """Another stream for the same seed: xor with the first 8 bytes, little-endian, of SHA-256 of salt and tag; salt 0 changes nothing."""
+    if salt == 0:
+        return seed
+    mask = int.from_bytes(hashlib.sha256(salt.to_bytes(8, "little", signed=True) + tag).digest()[:8], "little", signed=True)
+    bits = F.conv(seed.cast("string"), 10, -10).cast("bigint").bitwiseXOR(F.lit(mask).cast("bigint"))
+    return F.conv(F.hex(bits), 16, 10).cast("decimal(20,0)")
+
+
+def argument_index(candidate: Column, argument: Column) -> Column:
+    """A number for an argument of a candidate, apart from those of candidates."""
+    return F.lit(1_000_000).cast("bigint") + candidate * 1000 + argument
+
+
 def _sql(x) -> str:
     return str(x)
 

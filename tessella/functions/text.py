@@ -164,3 +164,16 @@ def sign_of(transmitter: Column) -> Column:
 
 def described(kind: Column, text: Column, line: Column, column: Column) -> Column:
     return F.format_string("%s %s at %d:%d", kind, text, line, column)
+
+
+def update_section(text: Column, name: str, body: Column, skeleton: str = "") -> Column:
+    """text with body between the markers of a section; markers that are missing come at the end, all else stays.
+
+    Null text is the skeleton.
+    """
+    start, end = F.lit(f"<!-- {name}:start -->"), F.lit(f"<!-- {name}:end -->")
+    old = F.coalesce(text, F.lit(skeleton))
+    block = F.concat(start, F.lit("\n"), F.regexp_replace(body, r"\s+$", ""), F.lit("\n"), end)
+    a, b = F.instr(old, f"<!-- {name}:start -->"), F.instr(old, f"<!-- {name}:end -->")
+    inside = F.concat(F.substring(old, F.lit(1), a - 1), block, F.substring(old, b + F.length(end), F.length(old)))
+    return F.when((a > 0) & (b > 0), inside).otherwise(F.concat(F.regexp_replace(old, r"\s+$", ""), F.lit("\n\n"), block, F.lit("\n")))

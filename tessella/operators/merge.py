@@ -24,6 +24,12 @@ def merge_occurrences(df: DataFrame, key: list[str], star: Column, location: Col
     )
 
 
+def merge_by_file(df: DataFrame, file: list[str], key: list[str], star: Column, location: Column, kwargs: Column, path: Column) -> DataFrame:
+    """merge_occurrences in two levels: the occurrences of each file first, then what the files have; occurrences in files that repeat a key count once a file."""
+    one = merge_occurrences(df.withColumn("_star", star), [*file, *key], F.col("_star"), location, kwargs, path)
+    return merge_occurrences(one, key, F.col("unknown_at").isNotNull() & (F.col("unknown_at") == F.col("location")), F.col("location"), F.col("kwargs"), F.col("path"))
+
+
 def conflicts(df: DataFrame, key: list[str], star: Column, kwargs: Column, path: Column) -> DataFrame:
     """Keys that occur with different paths, or without `**` with different kwargs."""
     x = df.groupBy(*key).agg(F.count_distinct(path).alias("paths"), F.count_distinct(F.when(~star, kwargs)).alias("kwargs_sets"))

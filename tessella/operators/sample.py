@@ -51,11 +51,12 @@ def replicated(df: DataFrame, seeds: list[int]) -> DataFrame:
     return df.withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
 
 
-def pairs(df: DataFrame, id_: str, n: int, seed: str = "p") -> DataFrame:
-    """All pairs i < j of the n rows with the least hashes: a bounded sample of pairs."""
+def pairs(df: DataFrame, id_: str, n: int, seed: str = "p", differ: str | None = None) -> DataFrame:
+    """All pairs i < j of the n rows with the least hashes: a bounded sample of pairs; differ: a column whose values must differ."""
     few = df.orderBy(draw(F.col(id_), seed), id_).limit(n)
     a, b = few.alias("a"), few.alias("b")
-    return a.join(b, F.col(f"a.{id_}") < F.col(f"b.{id_}"))
+    on = F.col(f"a.{id_}") < F.col(f"b.{id_}")
+    return a.join(b, on & ~F.col(f"a.{differ}").eqNullSafe(F.col(f"b.{differ}")) if differ else on)
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -89,5 +89,12 @@ def packed(bits: Column) -> Column:
     return F.aggregate(F.transform(bits, lambda b, i: F.when(b, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint"))), F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseOR(x))
 
 
-def jaccard(a: Column, b: Column) -> Column:
-    return F.size(F.array_intersect(a, b)) / F.greatest(F.size(F.array_union(a, b)), F.lit(1))
+def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
+    """empty: what two empty sets are to each other."""
+    both = F.size(F.array_union(a, b))
+    return F.when(both > 0, F.size(F.array_intersect(a, b)) / both).otherwise(F.lit(empty))
+
+
+def members(candidates: Column, known: Column) -> Column:
+    """Of each name of an array, whether it is in another one."""
+    return F.transform(candidates, lambda x: F.struct(x.alias("name"), F.array_contains(known, x).alias("known")))

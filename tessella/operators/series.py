@@ -35,6 +35,11 @@ def shares(df: DataFrame, family: str, member: str) -> DataFrame:
     return x.join(F.broadcast(total)).select(family, "n", (F.col("n") / F.col("_total")).alias("share"), "members")
 
 
+def family_rates(df: DataFrame, by: list[str], rate: str) -> DataFrame:
+    """By group: the largest rate, and the median of the rates that aren't 0."""
+    return df.groupBy(*by).agg(F.max(rate).alias("max_rate"), F.median(F.when(F.col(rate) > 0, F.col(rate))).alias("median_active"), F.avg((F.col(rate) > 0).cast("double")).alias("active"))
+
+
 def early_stop(df: DataFrame, step: str, value: str, patience: int) -> DataFrame:
     """since: steps since the best value so far; stop: whether that reaches the patience. One row for each step of one run."""
     before = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)

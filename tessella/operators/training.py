@@ -5,9 +5,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.session import ship
+
 EPS = 1e-7
 
 
@@ -56,6 +59,21 @@ def fit(x: np.ndarray, y: np.ndarray, xv: np.ndarray, yv: np.ndarray, rate: floa
     return best
 
 
+def probe(df: DataFrame, variants: dict[str, Column], label: str, split: str, most: int = 20_000) -> DataFrame:
+    """(variant, rows, epochs, f1): a linear probe on each encoding of the rows; at most `most` rows, those with the least hashes, are fitted."""
+    few = df.orderBy(F.xxhash64(*[c for c, t in df.dtypes if not t.startswith("array")]), F.col(label)).limit(most)
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("variant"), v.cast("array<double>").alias("x")) for n, v in variants.items()]))
+    rows = few.select(F.col(label).alias("y"), F.col(split).alias("split"), each.alias("e")).select("y", "split", "e.*")
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        x, y, train = np.stack(part["x"]), part["y"].to_numpy(bool), (part["split"] == "train").to_numpy()
+        r = fit(x[train], y[train], x[~train], y[~train])
+        return pd.DataFrame({"variant": part["variant"].iloc[:1], "rows": [len(part)], "epochs": [r.epochs], "f1": [float(r.f1)]})
+
+    ship(df.sparkSession)
+    return rows.groupBy("variant").applyInPandas(run, "variant string, rows long, epochs int, f1 double")
+
+
 def fit_table(df: DataFrame, vector: str, label: str, split: str, most: int = 200_000) -> Readout:
     """Fit on a bounded, hash-ordered sample of labelled rows (most, of each split)."""
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tessella.functions import hashing
 from tessella.operators import network, training
 from tessella.operators import sample as B
+from tessella.operators import score as S
 from tessella.plans import extract as X
 from tessella.plans.registry import query, spread, table
-from tessella.sources import fluent, python_code
+from tessella.sources import fluent, generated, python_code
 from tessella.sources.options import Options
 
 #: A small program of our own with the shapes that matter.
@@ -44,19 +45,51 @@ def sources(spark):
     return spark.createDataFrame(files, "file_idx int, path string, text string, error string")
 
 
+def made(spark, d):
+    """The program above, and one made by the number of every page."""
+    seeds = spread(table(spark, d, "pages").select(F.col("page_id").alias("seed")))
+    return sources(spark).unionByName(generated.corpus(seeds.select((F.col("seed") + 3).alias("seed")), "seed", Options()))
+
+
 @query("python_occurrences")
 def python_occurrences(spark, d):
-    return python_code.occurrences(sources(spark), Options())
+    return python_code.occurrences(made(spark, d), Options())
 
 
 @query("python_candidates")
 def python_candidates(spark, d):
-    return python_code.candidates(sources(spark).where("file_idx = 0"))
+    return python_code.candidates(made(spark, d).where("file_idx <> 1"), Options())
+
+
+@query("candidate_labels")
+def candidate_labels(spark, d):
+    """Every occurrence with the one candidate that stands for it."""
+    files = made(spark, d).where("file_idx <> 1")
+    return python_code.labelled(python_code.candidates(files, Options()), python_code.occurrences(files, Options()).where("key is not null"))
+
+
+@query("lif_grid")
+def lif_grid(spark, d):
+    """Active share, largest count and median of active neurons of every point of a grid, over a sample of trials."""
+    e = F.transform(F.slice("embedding", 1, 16), lambda x: F.least(F.lit(1.0), F.abs(x)).cast("double"))
+    x = table(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(64)
+    x = x.select(F.col("vec_id").alias("trial"), F.col("vec_id").alias("seed"), F.array(e).alias("puffs"))
+    net = small_network()
+    out = network.grid(x, net, network.Params(puff=10.0, silence=5.0), [0.5, 1.0, 2.0], [0.0, 1.0, 4.0])
+    return out.groupBy("scale", "inhibition").agg((F.count(F.lit(1)) / (64 * net.n)).alias("active"), F.max("n").alias("most"), F.median("n").alias("median_active"))
+
+
+@query("proxy_probe")
+def proxy_probe(spark, d):
+    """A linear probe on three encodings of the embeddings."""
+    x = B.group_split(table(spark, d, "embeddings"), "vec_id").withColumn("y", F.col("label") == 0)
+    e = F.transform("embedding", lambda v: F.greatest(v, F.lit(0.0)).cast("double"))
+    return training.probe(x, {m: S.feature_modes(e, m) for m in ("binary", "log1p", "both")}, "y", "split")
 
 
 @query("extract_merged_keys")
 def extract_merged_keys(spark, d):
-    return X.extract(sources(spark), Options()).keys.select("key", "kwargs", "path", "occurrences", F.col("unknown_at").isNotNull().alias("unknown"))
+    return X.extract(made(spark, d), Options()).keys.select("key", "kwargs", "path", "occurrences", F.col("unknown_at").isNotNull().alias("unknown"))
 
 
 @query("fluent_entries")
@@ -68,7 +101,7 @@ def fluent_entries(spark, d):
 def reconcile_catalogue(spark, d):
     o = Options()
     entries = fluent.entries(spark.createDataFrame([("en", "_default.ftl", CATALOGUE)], "locale string, path string, text string"))
-    return X.reconcile(X.extract(sources(spark), o).keys, entries, o)
+    return X.reconcile(X.extract(made(spark, d), o).keys, entries, o)
 
 
 @query("blake_bucket")

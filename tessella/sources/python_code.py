@@ -10,12 +10,13 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessella.session import ship
 from tessella.sources.options import Options
 
 OCCURRENCE = "file_idx int, path string, key string, kwargs array<string>, entry_path string, line int, col int, is_star boolean, error string"
-CANDIDATE = "file_idx int, cand_idx int, kind string, text string, line int, col int, depth int, first_positional boolean, in_kwargs boolean, before array<string>, focus array<string>, after array<string>"
+CANDIDATE = "file_idx int, cand_idx int, kind string, text string, line int, col int, depth int, first_positional boolean, in_kwargs boolean, before array<string>, focus array<string>, after array<string>, key_name string, call_line int, call_col int"
 BEFORE, AFTER = 12, 6
 
 
@@ -95,8 +96,17 @@ def occurrences(files: DataFrame, o: Options) -> DataFrame:
 SKIP = {tokenize.NL, tokenize.COMMENT, tokenize.ENCODING, tokenize.INDENT, tokenize.DEDENT}
 
 
-def candidates_in(text: str) -> Iterator[tuple]:
-    """Strings right after '(' or ',' and dotted names right before '(': all that could be a key, with their context."""
+def chain_key(names: list[str], o: Options) -> str | None:
+    """The key that a dotted name would ask for; None for a bare name and name.get, whose key is an argument."""
+    rest = names[2:] if len(names) > 1 and names[0] in o.prefixes and names[1] in o.names else names[1:]
+    return "-".join(rest) if rest and rest != ["get"] else None
+
+
+def candidates_in(text: str, o: Options = Options()) -> Iterator[tuple]:
+    """Strings right after '(' or ',' and dotted names right before '(': all that could be a key, with their context.
+
+    Both have the place of the call they belong to, where its dotted name starts.
+    """
     toks = [t for t in tokenize.generate_tokens(io.StringIO(text).readline) if t.type not in SKIP]
     words = [t.string for t in toks]
     depth, stack, opened, levels = 0, [], [], []
@@ -127,9 +137,28 @@ def candidates_in(text: str) -> Iterator[tuple]:
                 return False
             i = opened[i]
 
+    def chain_start(i: int) -> int | None:
+        """Where the dotted name right before the '(' at i starts."""
+        if not i or toks[i - 1].type != tokenize.NAME or keyword.iskeyword(words[i - 1]):
+            return None
+        start = i - 1
+        while start >= 2 and words[start - 1] == "." and toks[start - 2].type == tokenize.NAME and not keyword.iskeyword(words[start - 2]):
+            start -= 2
+        return start
+
+    def literal(parts: list[str]) -> str | None:
+        try:
+            value = ast.literal_eval(" ".join(parts))
+        except (ValueError, SyntaxError):
+            return None
+        return value if isinstance(value, str) else None
+
     def row(kind: str, a: int, b: int, shown: str) -> tuple:
         first = kind == "string" and words[a - 1] == "("
-        return kind, shown, toks[a].start[0], toks[a].start[1] + 1, levels[a], first, in_value(a), words[max(0, a - BEFORE) : a], words[a:b], words[b : b + AFTER]
+        call = a if kind == "chain" else chain_start(opened[a]) if opened[a] is not None and words[opened[a]] == "(" else None
+        key = chain_key(words[a:b:2], o) if kind == "chain" else literal(words[a:b])
+        at = (None, None) if call is None else (toks[call].start[0], toks[call].start[1] + 1)
+        return kind, shown, toks[a].start[0], toks[a].start[1] + 1, levels[a], first, in_value(a), words[max(0, a - BEFORE) : a], words[a:b], words[b : b + AFTER], key, *at
 
     for i, t in enumerate(toks):
         if t.type == tokenize.STRING and i and words[i - 1] in ("(", ",") and not t.string[:1] in "bB":
@@ -137,20 +166,36 @@ def candidates_in(text: str) -> Iterator[tuple]:
             while end < len(toks) and toks[end].type == tokenize.STRING:
                 end += 1
             yield row("string", i, end, t.string)
-        elif t.string == "(" and i and toks[i - 1].type == tokenize.NAME and not keyword.iskeyword(words[i - 1]):
-            start = i - 1
-            while start >= 2 and words[start - 1] == "." and toks[start - 2].type == tokenize.NAME and not keyword.iskeyword(words[start - 2]):
-                start -= 2
+        elif t.string == "(" and (start := chain_start(i)) is not None:
             yield row("chain", start, i, "".join(words[start:i]))
 
 
-def candidates(files: DataFrame) -> DataFrame:
+def labelled(candidates: DataFrame, occurrences: DataFrame) -> DataFrame:
+    """(file_idx, line, col, key, cand_idx): the candidate of each occurrence, at the same call.
+
+    A dotted name with a key of its own must be that key; else it is the first
+    string argument. Not exactly one such candidate is an error when rows are read.
+    """
+    at = candidates.where("call_line is not null").select("file_idx", F.col("call_line").alias("line"), F.col("call_col").alias("col"), "kind", "key_name", "cand_idx", "first_positional")
+    chain = at.where("kind = 'chain'").select("file_idx", "line", "col", F.col("key_name").alias("_chain"), F.col("cand_idx").alias("_which"))
+    x = occurrences.select("file_idx", "line", "col", "key").join(chain, ["file_idx", "line", "col"], "left")
+    strings = at.where("kind = 'string' and first_positional").select("file_idx", "line", "col", F.col("key_name").alias("key"), F.col("cand_idx").alias("_string"))
+    x = x.join(strings, ["file_idx", "line", "col", "key"], "left")
+    mine = F.when(F.col("_chain").isNull(), F.col("_string")).when(F.col("_chain") == F.col("key"), F.col("_which"))
+    n = x.groupBy("file_idx", "line", "col", "key").agg(F.count(mine).alias("_n"), F.min(mine).alias("cand_idx"))
+    one = F.assert_true(F.col("_n") == 1, F.concat(F.lit("not one candidate for "), F.col("key")))
+    return n.withColumn("_ok", one).where("_ok is null").drop("_n", "_ok")
+
+
+def candidates(files: DataFrame, o: Options | None = None) -> DataFrame:
+    o = o or Options()
     ship(files.sparkSession)
     columns = [x.split()[0] for x in CANDIDATE.split(", ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(idx, n, *c) for idx, text in zip(batch["file_idx"], batch["text"], strict=True) if text for n, c in enumerate(candidates_in(text))]
-            yield pd.DataFrame(rows, columns=columns)
+            rows = [(idx, n, *c) for idx, text in zip(batch["file_idx"], batch["text"], strict=True) if text for n, c in enumerate(candidates_in(text, o))]
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.astype({"call_line": "Int32", "call_col": "Int32"})
 
     return files.where("text is not null").select("file_idx", "text").mapInPandas(run, CANDIDATE)

@@ -205,3 +205,55 @@ def test_hash_order(spark):
     assert sorted(ordered(keys)) == sorted(keys) and ordered(keys + keys) == ordered(keys) and string_hash(b"k1") != string_hash(b"k2")
     df = spark.createDataFrame([("x", k, i) for i, k in enumerate(["en", "uk", "pl", "en"])], "g string, k string, i int")
     assert [r["k"] for r in with_ordinal(df, ["g"], "k", ["i"]).orderBy("ordinal").collect()] == ["uk", "pl", "en"]
+
+
+def test_hooks(spark):
+    import pandas as pd
+
+    from tessella.operators import hooks
+
+    df = spark.createDataFrame([(i % 3, i, float(i)) for i in range(30)], "k int, i int, v double").repartition(4)
+    out = hooks.encoded(df, ["v"], lambda x: x["v"] * 2, "double").collect()
+    assert all(r["code"] == 2 * r["v"] for r in out) and len(out) == 30
+    want = {k: sum(float(i) for i in range(30) if i % 3 == k) for k in range(3)}
+    add = lambda a, r: a + r.v
+    for kw in ({}, {"reduce": lambda a, b: a + b, "parts": 4}):
+        assert {r["k"]: r["value"] for r in hooks.folded(df, ["k"], ["i"], add, 0.0, "double", **kw).collect()} == want
+    last = hooks.folded(df, ["k"], ["i"], lambda a, r: r.i, 0, "int")
+    assert {r["k"]: r["value"] for r in last.collect()} == {0: 27, 1: 28, 2: 29}
+    names = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c")], "k int, name string")
+    assert hooks.looked_up(df, names, ["k"], "unknown").count() == 30
+    with pytest.raises(Exception, match="unknown: 2"):
+        hooks.looked_up(df, names.where("k < 2"), ["k"], "unknown").collect()
+    got = hooks.loaded(spark, lambda i: pd.DataFrame({"i": [i, i]}), 5, "i long").collect()
+    assert sorted(r["i"] for r in got) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 4]
+
+
+def test_observer_hears_batches(spark, tmp_path):
+    import time
+
+    from tessella.streaming import observer
+
+    said = []
+    listener = observer.Observer(lambda *x: said.append(x))
+    spark.streams.addListener(listener)
+    try:
+        spark.range(5).coalesce(1).write.json(str(tmp_path / "in"))
+        q = spark.readStream.schema("id long").json(str(tmp_path / "in")).writeStream.format("memory").queryName("heard").trigger(availableNow=True).start()
+        q.awaitTermination()
+        for _ in range(100):
+            if any(x[0] == "ended" for x in said):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(listener)
+    assert said[0][0] == "started" and ("batch", "heard", 0, 5) in said and said[-1][0] == "ended"
+
+
+def test_nodes_in_two_groups_are_an_error(spark):
+    from tessella.operators import build
+
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(2,)], "k int")
+    with pytest.raises(Exception, match="two groups"):
+        build.tagged({"a": a, "b": b}, "k").collect()
+    assert [r["index"] for r in build.numbered(build.tagged({"a": a, "b": b.selectExpr("k + 5 as k")}, "k"), "k").orderBy("k").collect()] == [0, 1, 2]

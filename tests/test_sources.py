@@ -129,3 +129,30 @@ def test_end_to_end(spark, tmp_path):
     put(tmp_path, "app/three.py", 'i18n.get("same", _path="elsewhere")\n')
     stopped = X.run(spark, str(tmp_path / "app"), str(tmp_path / "loc"), Options())
     assert stopped["exit"] == 1 and "same" in stopped["messages"][0]
+
+
+def test_made_programs_compile_and_their_keys_have_one_candidate(spark):
+    from tessella.sources import generated, python_code
+    from tessella.sources.options import Options
+
+    texts = [generated.program(i) for i in range(60)]
+    assert texts == [generated.program(i) for i in range(60)] and len(set(texts)) == 60
+    files = generated.corpus(spark.range(60).withColumnRenamed("id", "seed"), "seed", Options())
+    found = python_code.occurrences(files, Options())
+    assert found.where("error is not null").count() == 0 and found.count() > 30
+    out = python_code.labelled(python_code.candidates(files, Options()), found)
+    assert out.count() == found.select("file_idx", "line", "col", "key").distinct().count()
+
+
+def test_tables_from_files(spark, tmp_path):
+    import numpy as np
+
+    from tessella.sources import tables
+
+    (tmp_path / "a.tsv").write_text("id\tname\n1\tx y\n2\t\n")
+    assert [(r["id"], r["name"]) for r in tables.read_tsv(spark, str(tmp_path / "a.tsv"), "id int, name string").collect()] == [(1, "x y"), (2, None)]
+    (tmp_path / "a.jsonl").write_text('{"id": 1, "v": [1.5]}\n{"id": 2, "v": []}\n')
+    assert [(r["id"], r["v"]) for r in tables.read_jsonl(spark, str(tmp_path / "a.jsonl"), "id int, v array<double>").collect()] == [(1, [1.5]), (2, [])]
+    np.savez(tmp_path / "a.npz", id=np.arange(3), v=np.ones((3, 2)))
+    got = tables.read_npz(spark, str(tmp_path / "a.npz"), {"id": "long", "v": "array<double>"}).orderBy("id").collect()
+    assert [(r["id"], r["v"]) for r in got] == [(i, [1.0, 1.0]) for i in range(3)]
