@@ -156,6 +156,17 @@ def test_longest_repeats(docs, rows):
         size *= 2
 
 
+def test_longest_repeats_of_repeated_rows(spark):
+    """Rows that repeat a doc_id, with one text or two, neither multiply the answers nor count as another document."""
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(1, text)] * 3 + [(1, "x " + text), (2, text), (3, None)], "doc_id long, text string")
+    got = collections.Counter(tuple(r) for r in substring_dedup.longest_repeats(df).collect())
+    want = [(size, d, i) for size in (13, 26, 52) for d in (1, 2) for i in range(60 - size + 1 + (d == 1))]
+    assert got == collections.Counter(want)
+    alone = spark.createDataFrame([(1, text)] * 3, "doc_id long, text string")
+    assert substring_dedup.longest_repeats(alone).count() == 0
+
+
 def check_groups(got, rows, num, den):
     comp = brute.components(rows, num, den)
     want = sorted((repr(d), len(brute.shingles(t)), repr(comp.get(d)), d is None or comp[d] == d) for d, t in rows)
