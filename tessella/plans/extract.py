@@ -46,18 +46,24 @@ def gate(e: Extraction, o: Options) -> list[str]:
 
 
 def variables(entries: DataFrame) -> DataFrame:
-    """(locale, name, variables, needed): variables of each entry and of the messages it refers to, at any depth.
+    """(locale, name, variables, needed): variables of each message's value and of the parts it refers to, at any depth.
 
-    Variables inside terms don't count; what a message refers to is needed as long as it is.
+    A part is a value or an attribute, seen from the caller or from inside a term:
+    there variables are the term's own and don't count. What a message refers to,
+    through terms too, is needed as long as it is.
     """
-    edges = entries.where("name is not null").select(F.concat_ws("\x1f", "locale", "name").alias("src"), F.explode("refs").alias("ref"), "locale")
-    edges = edges.select("src", F.concat_ws("\x1f", "locale", F.substring_index("ref", ".", 1)).alias("dst"))
-    roots = entries.where("entry_type = 'message'").select(F.concat_ws("\x1f", "locale", "name").alias("root"))
-    reach = R.closure(edges.where(~F.split("dst", "\x1f")[1].startswith("-")), roots)
-    held = entries.where("name is not null").select(F.concat_ws("\x1f", "locale", "name").alias("node"), "variables")
-    sets = reach.join(held, "node").groupBy("root").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("variables")))).alias("variables"), F.collect_set(F.when(F.col("node") != F.col("root"), F.col("node"))).alias("needed"))
-    parts = F.split("root", "\x1f")
-    return sets.select(parts[0].alias("locale"), parts[1].alias("name"), "variables", F.transform("needed", lambda x: F.substring_index(x, "\x1f", -1)).alias("needed"))
+    node = lambda name, scope: F.concat_ws("\x1f", "locale", name, scope)
+    own = entries.where("name is not null")
+    inner = own.select("locale", "name", F.explode("attributes").alias("a")).select("locale", F.concat_ws(".", "name", "a.name").alias("name"), "a.variables", "a.refs")
+    part = own.select("locale", "name", "variables", "refs").unionByName(inner).withColumn("scope", F.explode(F.array(F.lit("caller"), F.lit("term"))))
+    edges = part.select("locale", "scope", node("name", "scope").alias("src"), F.explode("refs").alias("ref"))
+    edges = edges.select("src", node("ref", F.when(F.col("ref").startswith("-"), "term").otherwise(F.col("scope"))).alias("dst"))
+    reach = R.closure(edges, entries.where("entry_type = 'message'").select(node("name", F.lit("caller")).alias("root")))
+    held = part.where("scope = 'caller'").select(node("name", "scope").alias("node"), "variables")
+    name = lambda c: F.substring_index(F.split(c, "\x1f")[1], ".", 1)
+    needed = F.when((name("node") != name("root")) & ~name("node").startswith("-"), name("node"))
+    sets = reach.join(held, "node", "left").groupBy("root").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("variables")))).alias("variables"), F.collect_set(needed).alias("needed"))
+    return sets.select(F.split("root", "\x1f")[0].alias("locale"), name("root").alias("name"), "variables", "needed")
 
 
 def reconcile(keys: DataFrame, entries: DataFrame, o: Options) -> DataFrame:

@@ -13,9 +13,10 @@ from tessella.session import ship
 
 HEAD = re.compile(r"(-?[A-Za-z][\w-]*)[ ]*=")
 ATTRIBUTE = re.compile(r"[ ]+\.([A-Za-z][\w-]*)[ ]*=")
-REFERENCE = re.compile(r"\{\s*(?:(\$[\w-]+)|(-[A-Za-z][\w-]*)|([A-Za-z][\w-]*))(?:\.([A-Za-z][\w-]*))?")
-VARIABLE = re.compile(r"\$([\w-]+)")
-ENTRY = "locale string, path string, position int, entry_type string, name string, text string, comment string, variables array<string>, refs array<string>, error string"
+#: What stands inside braces: strings, variables, terms, names (with `call`: functions and named arguments), arrows, braces.
+TOKEN = re.compile(r'"(?:[^"\\\n]|\\.)*"|\$(?P<variable>[A-Za-z][\w-]*)|(?P<ref>-?[A-Za-z][\w-]*(?:\.[A-Za-z][\w-]*)?)(?P<call>\s*[(:])?|->|.', re.S)
+VARIANT = re.compile(r"\s*\*?\[\s*[\w.-]+\s*\]")
+ENTRY = "locale string, path string, position int, entry_type string, name string, text string, comment string, variables array<string>, refs array<string>, attributes array<struct<name:string,variables:array<string>,refs:array<string>>>, error string"
 
 
 @dataclass
@@ -25,8 +26,59 @@ class Entry:
     text: str
     position: int
     comment: str | None = None
-    variables: list[str] = field(default_factory=list)
+    variables: list[str] = field(default_factory=list)  # of the value, not of the attributes
     refs: list[str] = field(default_factory=list)  # 'name', '-term', each with '.attribute' if it has one
+    attributes: list[dict] = field(default_factory=list)  # name, variables, refs
+
+
+class Pattern:
+    """Variables and references of a pattern: inside braces only, in variants too, not in strings."""
+
+    def __init__(self, text: str):
+        self.text, self.variables, self.refs = text, set(), []
+        self.read(0, False)
+
+    def read(self, at: int, variant: bool) -> int:
+        """The place after a pattern; a variant ends before the next one or its closing brace."""
+        while at < len(self.text):
+            c = self.text[at]
+            if c == "{":
+                at = self.placeable(at + 1)
+            elif c == "}" and not variant:
+                raise ValueError("unbalanced braces")
+            elif c == "}" or (variant and c == "\n" and VARIANT.match(self.text, at)):
+                return at
+            else:
+                at += 1
+        return at
+
+    def placeable(self, at: int) -> int:
+        while token := TOKEN.match(self.text, at):
+            at = token.end()
+            if token[0] == "}":
+                return at
+            if token[0] == "{":
+                at = self.placeable(at)
+            elif token[0] == "->":
+                while variant := VARIANT.match(self.text, at):
+                    at = self.read(variant.end(), True)
+            elif token["variable"]:
+                self.variables.add(token["variable"])
+            elif token["ref"] and (not token["call"] or token["ref"][0] == "-"):
+                self.refs.append(token["ref"])
+        raise ValueError("unbalanced braces")
+
+
+def parts(text: str) -> Iterator[tuple[str | None, str]]:
+    """(None, value) and (name, value) of each attribute of an entry."""
+    name, held = None, []
+    for n, line in enumerate(text.split("\n")):
+        head = ATTRIBUTE.match(line) if n else HEAD.match(line)
+        if head and n:
+            yield name, "\n".join(held)
+            name, held = head[1], []
+        held.append(line[head.end() :] if head else line)
+    yield name, "\n".join(held)
 
 
 def parse(source: str) -> list[Entry]:
@@ -57,10 +109,15 @@ def parse(source: str) -> list[Entry]:
     for e in out:
         if e.kind == "comment":
             continue
-        if e.text.count("{") != e.text.count("}"):
-            raise ValueError(f"{e.name}: unbalanced braces")
-        e.variables = sorted(set(VARIABLE.findall(e.text)))
-        e.refs = [(m[2] or m[3]) + (f".{m[4]}" if m[4] else "") for m in REFERENCE.finditer(e.text) if not m[1] and not re.fullmatch(r"[A-Z][A-Z_-]*", m[3] or "")]
+        for name, value in parts(e.text):
+            try:
+                read = Pattern(value)
+            except (ValueError, RecursionError) as error:
+                raise ValueError(f"{e.name}: {error}") from None
+            if name is None:
+                e.variables, e.refs = sorted(read.variables), read.refs
+            else:
+                e.attributes.append({"name": name, "variables": sorted(read.variables), "refs": read.refs})
     return out
 
 
@@ -79,16 +136,16 @@ def serialize(entries: list[Entry]) -> str:
 def entries(files: DataFrame) -> DataFrame:
     """files: locale, path, text -> a row for each entry, or one with an error for a file that doesn't parse."""
     ship(files.sparkSession)
-    columns = [x.split()[0] for x in ENTRY.split(", ")]
+    columns = files.sparkSession.createDataFrame([], ENTRY).columns
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for locale, path, text in zip(batch["locale"], batch["path"], batch["text"], strict=True):
                 try:
-                    rows += [(locale, path, e.position, e.kind, e.name, e.text, e.comment, e.variables, e.refs, None) for e in parse(text)]
+                    rows += [(locale, path, e.position, e.kind, e.name, e.text, e.comment, e.variables, e.refs, e.attributes, None) for e in parse(text)]
                 except ValueError as e:
-                    rows.append((locale, path, 0, "junk", None, None, None, [], [], str(e)))
+                    rows.append((locale, path, 0, "junk", None, None, None, [], [], [], str(e)))
             yield pd.DataFrame(rows, columns=columns)
 
     return files.select("locale", "path", "text").mapInPandas(run, ENTRY)

@@ -117,6 +117,31 @@ def test_fluent_round_trip():
         fluent.parse("= nothing")
 
 
+def test_fluent_patterns():
+    text = 'a = Costs $5 { "{ $no }" } { NUMBER($n, style: "x") ->\n    [one] $plain { $one }\n   *[other] { b.title } { -t(case: $arg) }\n }\n    .hint = { $hint } { c }\n'
+    (a,) = fluent.parse(text)
+    assert a.variables == ["arg", "n", "one"] and a.refs == ["b.title", "-t"]
+    assert a.attributes == [{"name": "hint", "variables": ["hint"], "refs": ["c"]}]
+    for bad in ("a = { $x", "a = x }", "a = { $n ->\n    [one] x"):
+        with pytest.raises(ValueError):
+            fluent.parse(bad)
+
+
+def test_variables_by_part_and_scope(spark):
+    """Own attributes and variables inside terms don't count; attributes referred to do, and so do arguments given to terms."""
+    text = "a = { b.title } { -t(case: $arg) } { lost }\n    .own = { $own }\nb = { $value }\n    .title = { $title } { a }\nc = { $inside }\n-t = { $case } { c }\n    .x = { $never }\nd = { c }\n"
+    files = spark.createDataFrame([("en", "f.ftl", text), ("de", "f.ftl", "c = { $anders }\nd = { c }\n")], "locale string, path string, text string")
+    got = {(r["locale"], r["name"]): (r["variables"], sorted(r["needed"])) for r in X.variables(fluent.entries(files)).collect()}
+    assert got == {
+        ("en", "a"): (["arg", "title"], ["b", "c", "lost"]),
+        ("en", "b"): (["value"], []),
+        ("en", "c"): (["inside"], []),
+        ("en", "d"): (["inside"], ["c"]),
+        ("de", "c"): (["anders"], []),
+        ("de", "d"): (["anders"], ["c"]),
+    }
+
+
 def test_end_to_end(spark, tmp_path):
     put(tmp_path, "app/one.py", 'i18n.get("hello-user", name=1)\ni18n.menu.main(_path="wallet")\n')
     put(tmp_path, "app/two.py", 'i18n.get("same")\ni18n.get("changed", a=1)\n')
