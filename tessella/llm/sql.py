@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import zlib
+
+from tessella.llm import secrets
 from tessella.llm.quality import RULES
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -64,6 +67,50 @@ select page_id, octet_length(encode(h))::bigint payload_bytes,
 """
 
 
+#: crc32 of a decimal number: the remainder of each byte, folded over its digits.
+_BYTES = [zlib.crc32(bytes([b ^ 0xFF])) ^ 0xFF000000 for b in range(256)]
+_CRC = f"xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)), lambda a, b: xor(a >> 8, ({_BYTES}::bigint[])[1 + (xor(a, b) & 255)])))"
+
+PERIODIC = f"""
+with a as (select doc_id, row_number() over () r, {WORDS} w, case when doc_id is null then 1 else {_CRC} end h from documents),
+ b as (select *, len(w) n, h // 10 g from a),
+ c as (select *, case when h % 10 = 0 and n > 0 then g % n else n end a from b),
+ d as (select doc_id, r, n, case when a = n then w else [w[1 + case when i < a then i else a + (i - a) % (1 + (n - a) // (3 + g % 8)) end] for i in range(0, n)] end w from c),
+ q as (select r, n, w, unnest(range(1, n // 4 + 1)) q from d where n >= 6),
+ j as (select r, q, w, unnest(range(0, (n - 1) // q)) j from q),
+ k as (select r, q, j, j - row_number() over (partition by r, q order by j) z from j where w[j * q + 1] = w[(j + 1) * q + 1]),
+ l as (select r, q, min(j) j0, max(j) j1 from k group by r, q, z having count(*) >= (greatest(6, 4 * q) - q) // q),
+ m as (select r, q, d.w, unnest(range(greatest((j0 - 1) * q + 1, 0), least((j1 + 1) * q, n - q))) i from l join d using (r)),
+ o as (select distinct r, q, i from m where w[i + 1] = w[i + q + 1]),
+ p as (select r, q, i, i - row_number() over (partition by r, q order by i) z from o),
+ s as (select r, q, min(i) s, count(*) + q n from p group by r, q, z having count(*) >= greatest(6, 4 * q) - q),
+ t as (select r, s, n, min(q) q from s group by r, s, n),
+ u as (select r, count(*) n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' order by s, q) listed, first(s order by n desc, s, q) s, first(n order by n desc, s, q) n, first(q order by n desc, s, q) q from t group by r),
+ v as (select distinct r, unnest(range(s + q, s + n)) i from t),
+ x as (select r, unnest(range(0, n)) i, unnest(w) w from d),
+ y as (select r, string_agg(w, ' ' order by i) t from x anti join v using (r, i) group by r)
+select d.doc_id, coalesce(u.n_runs, 0)::bigint n_runs, u.s::bigint as start, u.n::bigint as length, u.q::bigint as period, (1000 * u.n // u.q)::bigint exponent_milli, sha256(coalesce(listed, '')) runs_sha256, sha256(coalesce(y.t, '')) collapsed_sha256, d.n::bigint n_words from d left join u using (r) left join y using (r)
+"""
+
+
+def secrets_sql() -> str:
+    """Matches by the expressions; their places from the lengths of what lies between them."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    each = " union all ".join(f"select r, {i} i, '{r.kind}' kind, {quoted(r.keep)} keep, regexp_extract_all(t, {quoted(r.find)}) m, string_split_regex(t, {quoted(r.find)}) s from d where regexp_matches(t, {quoted(r.keep)})" for i, r in enumerate(secrets.RULES))
+    kept = " or ".join(f"(i = {i} and regexp_full_match(m, {quoted(r.keep)}))" for i, r in enumerate(secrets.RULES))
+    base = len(secrets.BASE)
+    counts = ", ".join(f"coalesce(n{i}, 0)::bigint n_{r.kind}" for i, r in enumerate(secrets.BASE))
+    return f"""
+with d as (select doc_id, row_number() over () r, coalesce(text, '') t from documents),
+ e as ({each}),
+ f as (select r, i, kind, unnest(range(1, len(m) + 1)) k, unnest(m) m, unnest(s[:len(m)]) s from e),
+ g as (select r, i, kind, m, (sum(length(s) + length(m)) over (partition by r, i order by k))::bigint stop from f),
+ h as (select r, i, kind || ':' || (stop - length(m)) || ':' || stop x, stop - length(m) as start from g where {kept}),
+ n as (select r, {", ".join(f"count(*) filter (i = {i}) n{i}" for i in range(base))}, string_agg(x, ',' order by start, i) filter (i < {base}) base, string_agg(x, ',' order by start, i) spans from h group by r)
+select doc_id, {counts}, sha256(coalesce(base, '')) base_sha256, coalesce(spans, '') spans from d left join n using (r)
+"""
+
+
 def quality_sql(alpha: float = 0.02, delta: float = 0.05) -> str:
     """Base rules, the exact binomial tests of the fixed grids, and the verdict."""
     signals = {r.name: "case when {1} > 0 then {0} / {1}::double else 0 end".format(*r.signal.split(" / ")) for r in RULES}
@@ -90,4 +137,4 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES, "op2_quality_rules": quality_sql(), "op4_suffix_array_dedup": SUFFIX, "op5_substring_dedup": SUBSTRING, "op9_minhash_near_dedup": NEAR, "op10_warc": WARC}
+    return {"op1_line_dedup": LINES, "op2_quality_rules": quality_sql(), "op4_suffix_array_dedup": SUFFIX, "op5_substring_dedup": SUBSTRING, "op9_minhash_near_dedup": NEAR, "op10_warc": WARC, "op11_periodic_runs": PERIODIC, "op12_secret_scan": secrets_sql()}
