@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def merge_occurrences(df: DataFrame, key: list[str], star: Column, location: Column, kwargs: Column, path: Column) -> DataFrame:
-    """One row for each key: the winning kwargs and path, and whether kwargs are unknown.
+def merge_occurrences(df: DataFrame, key: list[str], star: Column, location: Column, kwargs: Column, path: Column, also: dict[str, Column] | None = None) -> DataFrame:
+    """One row for each key: the winning kwargs and path, where the first `**` is, and what else is to be counted (also).
 
     The winner is the earliest occurrence without `**`, else the earliest of all:
     the minimum of (star, location), so partial aggregates merge in any order.
@@ -21,13 +21,27 @@ def merge_occurrences(df: DataFrame, key: list[str], star: Column, location: Col
         F.min(rank)["location"].alias("location"),
         F.min(F.when(star, location)).alias("unknown_at"),
         F.count(F.lit(1)).alias("occurrences"),
+        *[c.alias(n) for n, c in (also or {}).items()],
     )
 
 
 def merge_by_file(df: DataFrame, file: list[str], key: list[str], star: Column, location: Column, kwargs: Column, path: Column) -> DataFrame:
-    """merge_occurrences in two levels: the occurrences of each file first, then what the files have; occurrences in files that repeat a key count once a file."""
-    one = merge_occurrences(df.withColumn("_star", star), [*file, *key], F.col("_star"), location, kwargs, path)
-    return merge_occurrences(one, key, F.col("unknown_at").isNotNull() & (F.col("unknown_at") == F.col("location")), F.col("location"), F.col("kwargs"), F.col("path"))
+    """merge_occurrences in two levels: what each file has, then what the files have together, with the same result.
+
+    A file's own winner is without `**` if any of its occurrences is, so the
+    second level compares winners by that; the first `**` and the counts of all
+    files are carried along.
+    """
+    one = merge_occurrences(df, [*file, *key], star, location, kwargs, path, {"star": F.min(star)})
+    rank = F.struct("star", "location")
+    return one.groupBy(*key).agg(
+        F.min_by("kwargs", rank).alias("kwargs"),
+        F.min_by("path", rank).alias("path"),
+        F.min(rank)["location"].alias("location"),
+        F.min("unknown_at").alias("unknown_at"),
+        F.sum("occurrences").alias("occurrences"),
+        F.count(F.lit(1)).alias("files"),
+    )
 
 
 def conflicts(df: DataFrame, key: list[str], star: Column, kwargs: Column, path: Column) -> DataFrame:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tessella.functions.hashing import fingerprint
 
@@ -17,53 +18,95 @@ def changed(files: DataFrame, cache: DataFrame, key: str, columns: list[str]) ->
     return now.join(known, [key, "fp"], "left_anti"), cache.join(now.select(key, "fp"), [key, "fp"], "left_semi")
 
 
-def incremental(spark: SparkSession, source: DataFrame, key: str, columns: list[str], work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str):
-    """A query that runs `work` on new or changed rows of a stream of files and replaces their results in a table.
+class Versions(StatefulProcessor):
+    """Per key: the fingerprint, the version and the order of what was last passed on.
 
-    target holds (key, fp, results); batch n reads the last version before v(n+1),
-    does what the cache lacks, and writes v(n+1) beside it. A failed batch leaves
-    no finished version; a replayed one finds its own and has nothing to do. The
-    version before the last stays for readers, older ones go.
+    Of the rows of a key in one batch the last in order counts, then the greatest
+    fingerprint; rows from before what is known are late and change nothing. With
+    timers, a key whose last row is behind the watermark leaves as if it was removed.
     """
 
-    def batch(df: DataFrame, n: int) -> None:
-        done = [v for v in _versions(spark, target) if v <= n + 1]
-        last = max(done, default=None)
-        if last == n + 1:
+    def __init__(self, key: str, rest: list[str], timers: bool):
+        self.key, self.rest, self.timers = key, rest, timers
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.known = handle.getValueState("known", "fp string, version long, at long, gone boolean")
+
+    def handleInputRows(self, key, rows, timerValues):
+        last = max(rows, key=lambda r: (r["_at"], r["fp"]))
+        fp, version, at, gone = self.known.get() if self.known.exists() else (None, 0, None, True)
+        if at is not None and last["_at"] < at:
             return
-        rows = df.withColumn("fp", fingerprint(*[F.col(c) for c in columns]))
-        if last is None:
-            out = work(rows)
-        else:
-            cache = spark.read.parquet(f"{target}/v{last}")
-            todo = rows.join(cache.select(key, "fp"), [key, "fp"], "left_anti")
-            out = work(todo).unionByName(cache.join(todo.select(key), key, "left_anti"))
-        out.write.mode("overwrite").parquet(f"{target}/v{n + 1}")
-        for v in done:
-            if v != last:
-                _remove(spark, f"{target}/v{v}")
-
-    return source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-
-
-def _versions(spark: SparkSession, target: str) -> list[int]:
-    """The numbers of the finished versions of a table."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(target)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return [int(n[1:]) for n in names if n.startswith("v") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{target}/{n}/_SUCCESS"))]
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def latest(spark: SparkSession, target: str) -> DataFrame:
-    return spark.read.parquet(f"{target}/v{max(_versions(spark, target))}")
+        if self.timers:
+            for t in list(self.handle.listTimers()):
+                self.handle.deleteTimer(t)
+            if not last["gone"]:
+                self.handle.registerTimer(last["_at"] // 1000)
+        now = None if last["gone"] else last["fp"]
+        if now == fp and last["gone"] == gone:
+            self.known.update((fp, version, last["_at"], gone))
+            return
+        self.known.update((now, version + 1, last["_at"], last["gone"]))
+        yield self.change(key, last, now, version + 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        _, version, at, _ = self.known.get()
+        self.known.update((None, version + 1, at, True))
+        yield self.change(key, None, None, version + 1)
+
+    def change(self, key, row, fp, version):
+        return Row(**{self.key: key[0]}, **{c: row and row[c] for c in self.rest}, fp=fp, version=version, gone=fp is None)
+
+    def close(self) -> None:
+        return
+
+
+def changes(stream: DataFrame, key: str, columns: list[str], at: Column, removed: Column | None = None, ttl: int | None = None) -> DataFrame:
+    """The rows of a stream that are new, changed or removed: its columns, fp, version (from 1) and gone.
+
+    key: what a row is known by (rows without one are left out); columns: what its
+    fingerprint covers; at: when that was so, in microseconds, such as when a file
+    was written; removed: whether a row says that its key is gone; ttl: a key is
+    gone too, with null in all other columns, once rows come that are so many
+    milliseconds newer than its last one. A gone key may come back later.
+    """
+    rest = [c for c in stream.columns if c != key]
+    x = stream.where(F.col(key).isNotNull()).withColumns({"fp": fingerprint(*[F.col(c) for c in columns]), "_at": at.cast("long"), "gone": F.coalesce(removed, F.lit(False)) if removed is not None else F.lit(False)})
+    types = dict(stream.dtypes)
+    schema = ", ".join([f"`{c}` {types[c]}" for c in (key, *rest)] + ["fp string", "version long", "gone boolean"])
+    if ttl is not None:
+        x = x.withColumn("_seen", F.timestamp_micros("_at")).withWatermark("_seen", f"{ttl} milliseconds")
+    return x.groupBy(key).transformWithState(Versions(key, rest, ttl is not None), schema, "append", "None" if ttl is None else "EventTime")
+
+
+STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def incremental(changed: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, partition_by: tuple[str, ...] = (), name: str | None = None) -> StreamingQuery:
+    """A started query that appends what `work` makes of `changes` to a table of Parquet files, and ends when nothing new is left.
+
+    work gives one row for each row it gets, with the key, version and gone. A batch
+    writes its own changes only; a failed or repeated one is not seen twice, as the
+    sink lists the files of finished batches. `latest` reads what holds now.
+    """
+    spark = changed.sparkSession
+    before = spark.conf.get(STORE)
+    spark.conf.set(STORE, ROCKS)
+    try:
+        out = work(changed).writeStream.format("parquet").outputMode("append").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        out = out.partitionBy(*partition_by) if partition_by else out
+        return (out.queryName(name) if name else out).start()
+    finally:
+        spark.conf.set(STORE, before)
+
+
+def latest(spark: SparkSession, target: str, key: str) -> DataFrame:
+    """The last version of each key, without those that are gone."""
+    x = spark.read.parquet(target)
+    newest = x.groupBy(F.col(key).alias("_k")).agg(F.max("version").alias("_v"))
+    return x.join(newest, (F.col(key) == F.col("_k")) & (F.col("version") == F.col("_v"))).where("not gone").select(*x.columns)
 
 
 def binned(stream: DataFrame, ts: str, by: list[str], width: str, late: str) -> DataFrame:

@@ -159,29 +159,66 @@ def test_graph_rules(spark):
     assert got == {"unknown source": 1, "unknown target": 0, "self loop": 1, "no weight": 1, "repeated pair": 1}
 
 
-def test_incremental_stream(spark, tmp_path):
+@pytest.fixture()
+def growing(spark, tmp_path):
+    """put(rows) adds a file of (path, text, at, gone) rows; run() takes what is new and gives (rows appended, what holds now)."""
     src, target = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
-    schema = "path string, text string"
-    read = lambda: spark.readStream.schema(schema).json(str(src))
-    seen = []
-
-    def work(df):
-        seen.append(df.count())
-        return df.select("path", "fp", F.length("text").alias("n"))
-
-    for n, rows in enumerate([[("a", "xx"), ("b", "y")], [("a", "xx"), ("b", "yyy")]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(src))
-        incremental.incremental(spark, read(), "path", ["text"], work, target, str(tmp_path / "ck")).awaitTermination()
-    assert seen == [2, 1]
-    assert {r["path"]: r["n"] for r in incremental.latest(spark, target).collect()} == {"a": 2, "b": 3}
-    # the last batch is replayed, once with its version finished and once without
-    for lose in ([], ["v2/_SUCCESS"]):
-        for p in [*(tmp_path / "ck" / "commits").glob("*1*"), *(tmp_path / "out" / x for x in lose)]:
-            p.unlink()
-        incremental.incremental(spark, read(), "path", ["text"], work, target, str(tmp_path / "ck")).awaitTermination()
-        assert {r["path"]: r["n"] for r in incremental.latest(spark, target).collect()} == {"a": 2, "b": 3}
-    assert seen == [2, 1, 1]
+    schema = "path string, text string, at long, gone boolean"
+
+    def put(*rows):
+        spark.createDataFrame([(*r, None)[:4] for r in rows], schema).coalesce(1).write.mode("append").json(str(src))
+
+    def run(ttl=None):
+        before = spark.read.parquet(target).count() if list((tmp_path / "out").glob("**/*.parquet")) else 0
+        conf = spark.conf.get(incremental.STORE)
+        stream = spark.readStream.schema(schema).json(str(src)).withColumnRenamed("gone", "deleted")
+        changed = incremental.changes(stream, "path", ["text"], F.col("at"), F.col("deleted"), ttl)
+        incremental.incremental(changed, lambda x: x.select("path", "version", "gone", F.length("text").alias("n")), target, str(tmp_path / "ck")).awaitTermination()
+        assert spark.conf.get(incremental.STORE) == conf
+        return spark.read.parquet(target).count() - before, {r["path"]: (r["n"], r["version"]) for r in incremental.latest(spark, target, "path").collect()}
+
+    return put, run
+
+
+def test_incremental_stream(growing):
+    """Only changes are written: new and changed keys, the last row of a key in a batch, removed keys and those that come back."""
+    put, run = growing
+    put(("a", "xx", 1), ("b", "y", 1), ("b", "yyyyy", 3), ("b", "yy", 2), (None, "lost", 1))
+    assert run() == (2, {"a": (2, 1), "b": (5, 1)})
+    assert run() == (0, {"a": (2, 1), "b": (5, 1)})
+    put(("a", "xx", 5), ("b", "yyy", 5), ("c", "", 5))
+    assert run() == (2, {"a": (2, 1), "b": (3, 2), "c": (0, 1)})
+    put(("b", "late", 4), ("c", None, 6, True), ("d", None, 6, True))
+    assert run() == (1, {"a": (2, 1), "b": (3, 2)})
+    put(("c", "back", 7))
+    assert run() == (1, {"a": (2, 1), "b": (3, 2), "c": (4, 3)})
+
+
+def test_incremental_replay(spark, growing, tmp_path):
+    """A batch whose commit is lost runs again and changes nothing."""
+    put, run = growing
+    put(("a", "xx", 1))
+    run()
+    put(("a", "xxx", 2), ("b", "y", 2))
+    want = run()[1]
+    for p in (tmp_path / "ck" / "commits").glob("*1*"):
+        p.unlink()
+    assert run() == (0, want)
+
+
+def test_incremental_timeout(growing):
+    """A key that newer files don't mention any more leaves after its time, and may come back."""
+    put, run = growing
+    second = 1_000_000
+    put(("a", "xx", 10 * second), ("b", "y", 11 * second))
+    assert run(ttl=5000) == (2, {"a": (2, 1), "b": (1, 1)})
+    put(("a", "xx", 14 * second))
+    assert run(ttl=5000) == (0, {"a": (2, 1), "b": (1, 1)})
+    put(("a", "xx", 20 * second), ("c", "z", 18 * second))
+    assert run(ttl=5000) == (2, {"a": (2, 1), "c": (1, 1)})
+    put(("b", "y", 21 * second))
+    assert run(ttl=5000) == (1, {"a": (2, 1), "b": (1, 3), "c": (1, 1)})
 
 
 def test_binned_stream(spark, tmp_path):
