@@ -80,10 +80,11 @@ def orphans_by_type(spark, d):
 
 
 @query("merge_by_file", """with o as (select l_suppkey f, l_partkey k, l_returnflag = 'R' star, l_orderkey o, l_linenumber n, l_linestatus kw, (l_suppkey % 7)::varchar p from lineitem)
- select k l_partkey, arg_min(kw, (star, o, n)) kwargs, arg_min(p, (star, o, n)) path, count(distinct f) occurrences from o group by k""")
+ select k l_partkey, arg_min(kw, (star, o, n)) kwargs, arg_min(p, (star, o, n)) path, arg_min(o, (star, o, n)) first_order, arg_min(o, (o, n)) filter (star) unknown_order, min(n) filter (star and o = u) unknown_line, count(*) occurrences, count(distinct f) files
+ from (select *, min(o) filter (star) over (partition by k) u from o) group by k""")
 def merge_by_file(spark, d):
     x = M.merge_by_file(table(spark, d, "lineitem"), ["l_suppkey"], ["l_partkey"], F.col("l_returnflag") == "R", F.struct("l_orderkey", "l_linenumber"), F.col("l_linestatus"), (F.col("l_suppkey") % 7).cast("string"))
-    return x.select("l_partkey", "kwargs", "path", "occurrences")
+    return x.select("l_partkey", "kwargs", "path", F.col("location.l_orderkey").alias("first_order"), F.col("unknown_at.l_orderkey").alias("unknown_order"), F.col("unknown_at.l_linenumber").alias("unknown_line"), "occurrences", "files")
 
 
 FAMILIES = {"english": ["the", "and", "of"], "german": ["der", "und", "nicht"], "romance": ["que", "le", "el"], "none": ["qqqqq"]}
