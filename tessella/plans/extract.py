@@ -10,8 +10,7 @@ from pyspark.sql import functions as F
 from tessella.functions import text as T
 from tessella.operators import merge as M
 from tessella.operators import reconcile as R
-from tessella.sources import files as S
-from tessella.sources import fluent, python_code
+from tessella.sources import fluent, python_code, tree
 from tessella.sources.options import Options
 
 
@@ -23,9 +22,9 @@ class Extraction:
 
 
 def read_code(spark: SparkSession, root: str, o: Options) -> DataFrame:
-    paths = S.walk(root, ".py", sorted(o.exclude))
-    files = S.mentions(S.scan(spark, paths), sorted(o.names | o.prefixes))
-    return S.decoded(files)
+    """The Python files that mention any of the names, by their whole paths."""
+    files = tree.tree(spark, root, ".py", sorted(o.exclude), (".ignore", ".gitignore"), sorted(o.names | o.prefixes))
+    return files.withColumn("path", F.when(F.col("path") == "", root).otherwise(F.concat(F.lit(f"{root.rstrip('/')}/"), "path")))
 
 
 def extract(files: DataFrame, o: Options) -> Extraction:
@@ -108,15 +107,22 @@ def rendered(keys: DataFrame, entries: DataFrame, status: DataFrame, o: Options)
     return R.serialized(out, ["locale", "path"], ["position", "tie"], "text").select("locale", "path", T.line_endings(F.concat("content", F.lit("\n")), o.line_endings).alias("content"))
 
 
+def read_catalogues(spark: SparkSession, root: str, o: Options) -> DataFrame:
+    """(locale, path, text, error) of the files of each locale's folder; a folder that isn't there yet has none."""
+    out = None
+    for lang in o.locales:
+        one = tree.tree(spark, f"{root}/{lang}", ".ftl", (), (".ignore", ".gitignore")).select(F.lit(lang).alias("locale"), "path", "text", "error")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def run(spark: SparkSession, code: str, locales: str, o: Options) -> dict:
     """Extract, reconcile and write; statistics by locale. Nothing is written if the gate has something to say."""
     e = extract(read_code(spark, code, o), o)
     e.keys.persist()
     stopped = gate(e, o)
-    paths = [(lang, p) for lang in o.locales for p in S.walk(f"{locales}/{lang}", ".ftl", (), (".ignore", ".gitignore"))] if not stopped else []
-    listed = S.scan(spark, [p for _, p in paths])
-    names = spark.createDataFrame([(p, lang, p[len(f"{locales}/{lang}/") :]) for lang, p in paths], "path string, locale string, short string")
-    stored = fluent.entries(S.decoded(listed).join(names, "path").select("locale", F.col("short").alias("path"), "text"))
+    there = read_catalogues(spark, locales, o)
+    stored = fluent.entries(there)
     bad = [f"{r['locale']}/{r['path']}: {r['error']}" for r in stored.where("error is not null").collect()]
     twice = M.duplicates(stored.where("name is not null"), ["locale", "name"], "position").select("locale", "name", "n").distinct().orderBy("locale", "name").collect()
     stopped += bad + [f"{r['locale']}: `{r['name']}` is defined {r['n']} times" for r in twice]
@@ -125,5 +131,8 @@ def run(spark: SparkSession, code: str, locales: str, o: Options) -> dict:
     status = reconcile(e.keys, stored, o).persist()
     stats = {r["locale"]: r.asDict() for r in R.statistics(status).collect()}
     files = rendered(e.keys, stored, status, o).select(F.concat_ws("/", "locale", "path").alias("path"), "content")
-    written = 0 if o.dry_run else S.write_changed(files, locales).where("written").count()
+    changed = files.join(there.select(F.concat_ws("/", "locale", "path").alias("path"), F.col("text").alias("content")), ["path", "content"], "left_anti").persist()
+    written = 0 if o.dry_run else changed.count()
+    if written:
+        tree.write_tree(changed, locales)
     return {"exit": 0, "messages": [], "statistics": stats, "written": written}

@@ -1,111 +1,12 @@
-"""Files in and out: walks with ignore rules, typed read errors, writes that only touch what changed."""
+"""Saved state with a checksum, and datasets by split; trees of files are in tree.py."""
 
 from __future__ import annotations
 
 import hashlib
-import os
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.session import ship
-from tessella.sources.ignore import Rule, excluding, ignored, parsed
-
-
-def walk(root: str, extension: str, exclude: list[str] = (), ignore_files: tuple[str, ...] = ()) -> list[str]:
-    """Paths under root in component order. Excludes decide first, then the deepest ignore file that says something, then hidden names go."""
-    if os.path.isfile(root):
-        return [root] if root.endswith(extension) else []
-    top, found = excluding(list(exclude)), []
-
-    def visit(folder: str, parts: tuple[str, ...], layers: list[tuple[int, list[Rule]]]) -> None:
-        for name in ignore_files:
-            at = os.path.join(folder, name)
-            if os.path.isfile(at):
-                with open(at, encoding="utf-8", errors="replace") as f:
-                    layers = [*layers, (len(parts), parsed(f.readlines()))]
-        for entry in os.scandir(folder):
-            here = (*parts, entry.name)
-            folder_entry = entry.is_dir(follow_symlinks=False)
-            said = ignored("/".join(here), folder_entry, top)
-            for depth, rules in reversed(layers):
-                if said is None:
-                    said = ignored("/".join(here[depth:]), folder_entry, rules)
-            if said or (said is None and entry.name.startswith(".")):
-                continue
-            if folder_entry:
-                visit(entry.path, here, layers)
-            elif entry.name.endswith(extension):
-                found.append(here)
-
-    visit(root, (), [])
-    return [os.path.join(root, *p) for p in sorted(found)]
-
-
-def scan(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(file_idx, path, content, error): files read on the executors; what can't be read has an error, not an exception.
-
-    Spark's own file source hides names with a leading underscore, so paths are listed first.
-    """
-    ship(spark)
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = []
-            for idx, path in zip(batch["file_idx"], batch["path"], strict=True):
-                try:
-                    with open(path, "rb") as f:
-                        rows.append((idx, path, f.read(), None))
-                except OSError as e:
-                    rows.append((idx, path, None, f"read-error: {e.strerror}"))
-            yield pd.DataFrame(rows, columns=["file_idx", "path", "content", "error"])
-
-    listed = spark.createDataFrame([(i, p) for i, p in enumerate(paths)], "file_idx int, path string")
-    n = max(1, min(len(paths) // 64, 4096))
-    return listed.repartition(n, "file_idx").mapInPandas(read, "file_idx int, path string, content binary, error string")
-
-
-def mentions(files: DataFrame, names: list[str]) -> DataFrame:
-    """Files whose bytes hold any of the names; asked before anything is parsed."""
-    has = F.lit(False)
-    for n in names:
-        has = has | F.contains(F.col("content"), F.lit(n.encode()))
-    return files.where(F.col("error").isNotNull() | has)
-
-
-def decoded(files: DataFrame) -> DataFrame:
-    """text for valid UTF-8, else error 'invalid-utf8'."""
-    raw = F.col("content").cast("string")
-    ok = F.is_valid_utf8(raw)
-    return files.withColumn("text", F.when(F.col("error").isNull() & ok, raw)).withColumn("error", F.coalesce("error", F.when(~ok, F.lit("invalid-utf8"))))
-
-
-def write_changed(files: DataFrame, root: str) -> DataFrame:
-    """(path, written): each (path, content) row as a file under root, only where its bytes differ; replaced in one step."""
-    ship(files.sparkSession)
-
-    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            done = []
-            for path, content in zip(batch["path"], batch["content"], strict=True):
-                raw, full = content.encode(), os.path.join(root, path)
-                try:
-                    with open(full, "rb") as f:
-                        same = f.read() == raw
-                except FileNotFoundError:
-                    same = False
-                if not same:
-                    os.makedirs(os.path.dirname(full) or ".", exist_ok=True)
-                    with open(f"{full}.part", "wb") as f:
-                        f.write(raw)
-                    os.replace(f"{full}.part", full)
-                done.append((path, not same))
-            yield pd.DataFrame(done, columns=["path", "written"])
-
-    return files.select("path", "content").mapInPandas(put, "path string, written boolean")
-
 
 def save_state(df: DataFrame, path: str) -> str:
     """A table with a checksum of its rows beside it, so that a damaged copy is found out."""

@@ -4,7 +4,7 @@ import pytest
 
 from tessella.plans import extract as X
 from tessella.sources import files as S
-from tessella.sources import fluent, python_code
+from tessella.sources import fluent, python_code, tree
 from tessella.sources.ignore import compiled, excluding, ignored, parsed
 from tessella.sources.options import Options, find_config, load_config, sample_config
 
@@ -16,11 +16,15 @@ def put(root, name, text):
 
 
 def test_walk_order_and_rules(tmp_path):
-    for n in ("a/b.py", "a.py", "_x.py", ".hidden/c.py", "skip/d.py", "keep/skip.py", "keep/deep/e.py", "n.txt"):
+    for n in ("a/b.py", "a.py", "_x.py", ".hidden/c.py", "skip/d.py", "keep/skip.py", "keep/deep/e.py", "n.txt", "skip2/f.py"):
         put(tmp_path, n, "x")
     put(tmp_path, "keep/.ignore", "*.py\n!e.py\n")
-    got = [os.path.relpath(p, tmp_path) for p in S.walk(str(tmp_path), ".py", ["skip/**"], (".ignore",))]
-    assert got == ["_x.py", "a/b.py", "a.py", "keep/deep/e.py"]
+    (tmp_path / "link").symlink_to(tmp_path / "a")
+    (tmp_path / "a" / "round").symlink_to(tmp_path)
+    got = ["/".join(p) for p, _ in tree.listed(str(tmp_path), ".py", ["skip/**", "!.hidden"], (".ignore",))]
+    assert got == ["_x.py", "a/b.py", "a.py", "keep/deep/e.py", "link/b.py", "skip2/f.py"]
+    assert tree.listed(str(tmp_path / "none"), ".py") == [] and tree.listed(str(tmp_path / "n.txt"), ".py") == []
+    assert tree.listed(str(tmp_path / "a.py"), ".py") == [((), 1)]
 
 
 def test_globs_and_last_match():
@@ -36,19 +40,67 @@ def test_globs_and_last_match():
 
 
 def test_typed_read_errors(spark, tmp_path):
-    put(tmp_path, "ok.py", "i18n.a()")
+    put(tmp_path, "ok/__init__.py", "i18n.a()")
     put(tmp_path, "bad.py", b"i18n \xff")
     put(tmp_path, "none.py", "x = 1")
-    paths = [str(tmp_path / n) for n in ("ok.py", "bad.py", "none.py", "missing.py")]
-    rows = {os.path.basename(r["path"]): r["error"] for r in S.decoded(S.mentions(S.scan(spark, paths), ["i18n"])).collect()}
-    assert rows["ok.py"] is None and rows["bad.py"] == "invalid-utf8" and rows["missing.py"].startswith("read-error") and "none.py" not in rows
+    (tmp_path / "dangling.py").symlink_to(tmp_path / "nowhere")
+    rows = {r["path"]: (r["text"], r["error"]) for r in tree.tree(spark, str(tmp_path), ".py", mentions=["i18n", "L"]).collect()}
+    assert rows == {"ok/__init__.py": ("i18n.a()", None), "bad.py": (None, "invalid-utf8")}
+    assert tree.tree(spark, str(tmp_path / "missing"), ".py").count() == 0
+
+
+def test_file_gone_after_planning(tmp_path):
+    """A file that goes between planning and reading is an error of its own, not of the scan."""
+    put(tmp_path, "a.py", "x")
+    reader = tree.TreeReader({"path": str(tmp_path), "extension": ".py"})
+    (share,) = reader.partitions()
+    (tmp_path / "a.py").unlink()
+    ((i, path, text, error),) = reader.read(share)
+    assert (i, path, text) == (0, "a.py", None) and error.startswith("read-error")
+
+
+def test_filters_reach_the_scan(spark, tmp_path, capsys):
+    for n, text in (("a/x.py", "i18n one"), ("a/y.py", "two"), ("b/x.py", "i18n three")):
+        put(tmp_path, n, text)
+    before = spark.conf.get(tree.PUSH)
+    spark.conf.set(tree.PUSH, "true")
+    try:
+        df = tree.tree(spark, str(tmp_path), ".py").where("contains(text, 'i18n') and startswith(path, 'a/')")
+        df.explain("formatted")
+        plan = capsys.readouterr().out
+        assert "StringContains(text,i18n)" in plan and "StringStartsWith(path,a/)" in plan
+        assert [r["path"] for r in df.collect()] == ["a/x.py"]
+    finally:
+        spark.conf.set(tree.PUSH, before)
+
+
+def test_many_files_make_many_shares(tmp_path, monkeypatch):
+    monkeypatch.setattr(tree, "SHARE_FILES", 3)
+    for i in range(10):
+        put(tmp_path, f"d{i % 4}/f{i}.py", "x")
+    shares = tree.TreeReader({"path": str(tmp_path)}).partitions()
+    assert len(shares) == 4 and sorted(i for s in shares for i, _ in s.files) == list(range(10))
 
 
 def test_write_only_what_changed(spark, tmp_path):
     df = spark.createDataFrame([("en/a.ftl", "x\n"), ("en/b/c.ftl", "y\n")], "path string, content string")
-    assert {r["written"] for r in S.write_changed(df, str(tmp_path)).collect()} == {True}
-    assert {r["written"] for r in S.write_changed(df, str(tmp_path)).collect()} == {False}
+    tree.write_tree(df, str(tmp_path))
     assert (tmp_path / "en/b/c.ftl").read_text() == "y\n"
+    when = (tmp_path / "en/a.ftl").stat().st_mtime_ns
+    tree.write_tree(spark.createDataFrame([("en/a.ftl", "x\n"), ("en/b/c.ftl", "z\n")], df.schema), str(tmp_path))
+    assert (tmp_path / "en/a.ftl").stat().st_mtime_ns == when and (tmp_path / "en/b/c.ftl").read_text() == "z\n"
+    assert sorted(p.name for p in tmp_path.rglob("*") if p.is_file()) == ["a.ftl", "c.ftl"]
+
+
+def test_a_failing_task_leaves_the_old_tree(spark, tmp_path):
+    """One task of several fails after others have written: every byte stays, and nothing is left beside."""
+    old = {f"f{i}.txt": f"old {i}" for i in range(20)}
+    for n, text in old.items():
+        put(tmp_path, n, text)
+    new = spark.range(20).repartition(4).selectExpr("concat('f', id, '.txt') path", "if(id = 13, raise_error('no'), concat('new ', id)) content")
+    with pytest.raises(Exception, match="no"):
+        tree.write_tree(new, str(tmp_path))
+    assert {p.name: p.read_text() for p in tmp_path.iterdir()} == old
 
 
 def test_state_checksum(spark, tmp_path):
