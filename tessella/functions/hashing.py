@@ -58,37 +58,5 @@ def blake_bucket(feature: pd.Series, n: pd.Series, salt: pd.Series, k: pd.Series
     out = []
     for f, size, s, i in zip(feature, n, salt, k, strict=True):
         raw = f if not i else f"{f}\x1e{i}"
-        out.append(int.from_bytes(hashlib.blake2b(raw.encode(), digest_size=8, key=s.encode()[:64]).digest(), "little") % size)
+        out.append(int.from_bytes(hashlib.blake2b(raw.encode(), digest_size=8, salt=s.encode()[:16]).digest(), "little") % size)
     return pd.Series(out, dtype="int32")
-
-
-MASK = (1 << 64) - 1
-#: Fixed values of the 64-bit folded-multiply string hash.
-SEED1, SEED2, PREVENT, KEY = 0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0, 0xF1357AEA2E62A9C5
-
-
-def fold(x: int, y: int) -> int:
-    p = x * y
-    return (p & MASK) ^ (p >> 64)
-
-
-def string_hash(raw: bytes) -> int:
-    """Folded-multiply hash of a byte string with its length, then one multiply-add and a rotation by 26."""
-    n, a, b = len(raw), SEED1, SEED2
-    word = lambda i, k: int.from_bytes(raw[i : i + k], "little")
-    if n >= 17:
-        i = 0
-        while i < n - 16:
-            a, b = b, fold(a ^ word(i, 8), PREVENT ^ word(i + 8, 8))
-            i += 16
-        a, b = a ^ word(n - 16, 8), b ^ word(n - 8, 8)
-    elif n >= 8:
-        a, b = a ^ word(0, 8), b ^ word(n - 8, 8)
-    elif n >= 4:
-        a, b = a ^ word(0, 4), b ^ word(n - 4, 4)
-    elif n:
-        a, b = a ^ raw[0], b ^ ((raw[n - 1] << 8) | raw[n // 2])
-    h = fold(a, b) ^ n
-    h = ((0 + h) * KEY) & MASK
-    h = ((h + 0xFF) * KEY) & MASK
-    return ((h << 26) | (h >> 38)) & MASK

@@ -19,32 +19,52 @@ def encoded(df: DataFrame, columns: list[str], encoder: Callable[[pd.DataFrame],
     return df.mapInPandas(run, ", ".join([*(f"{c} {t}" for c, t in df.dtypes), f"{name} {type_}"]))
 
 
-def folded(df: DataFrame, key: list[str], order: list[str], fold: Callable, start, type_: str, parts: int = 64, reduce: Callable | None = None) -> DataFrame:
-    """(key, value): fold(value, row) over the rows of each key in an order.
+def folded(df: DataFrame, key: list[str], order: list[str], fold: Callable, start, type_: str, neutral=None, reduce: Callable | None = None) -> DataFrame:
+    """(key, value): fold(value, row) over the rows of each key in an order that tells them apart, from a start.
 
-    With reduce, one for which neither order nor grouping matters, a key's rows
-    are folded in `parts` parts by hash first, so one key may have any number of rows.
+    With reduce, which must be associative but need not commute, and a value that
+    is neutral to it, a key may have any number of rows: rows are dealt out by
+    ranges of key and order, each range folds its rows from the neutral value, and
+    a key's few ranges are reduced from left to right, after the start.
     """
-
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        value = start
-        for row in rows.sort_values(order).itertuples(index=False):
-            value = fold(value, row)
-        return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in key}, **({"_part": [rows["_part"].iloc[0]]} if reduce else {}), "value": [value]})
-
     types = dict(df.dtypes)
     schema = ", ".join(f"{k} {types[k]}" for k in key)
     if reduce is None:
+
+        def one(rows: pd.DataFrame) -> pd.DataFrame:
+            value = start
+            for row in rows.sort_values(order).itertuples(index=False):
+                value = fold(value, row)
+            return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in key}, "value": [value]})
+
         return df.groupBy(*key).applyInPandas(one, f"{schema}, value {type_}")
 
+    def ranges(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, value, part = None, None, None
+        done = []
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                this = tuple(getattr(row, k) for k in key)
+                if this != now:
+                    if now is not None:
+                        done.append((*now, part, value))
+                    now, value, part = this, neutral, row.range_no
+                value = fold(value, row)
+            if done:
+                yield pd.DataFrame(done, columns=[*key, "range_no", "value"])
+                done = []
+        if now is not None:
+            yield pd.DataFrame([(*now, part, value)], columns=[*key, "range_no", "value"])
+
     def join(rows: pd.DataFrame) -> pd.DataFrame:
-        value = None
-        for v in rows.sort_values("_part")["value"]:
-            value = v if value is None else reduce(value, v)
+        value = start
+        for v in rows.sort_values("range_no")["value"]:
+            value = reduce(value, v)
         return pd.DataFrame({**{k: [rows[k].iloc[0]] for k in key}, "value": [value]})
 
-    x = df.withColumn("_part", F.pmod(F.xxhash64(*order), F.lit(parts)).cast("int"))
-    return x.groupBy(*key, "_part").applyInPandas(one, f"{schema}, _part int, value {type_}").groupBy(*key).applyInPandas(join, f"{schema}, value {type_}")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    x = df.repartitionByRange(n, *key, *order).sortWithinPartitions(*key, *order).withColumn("range_no", F.spark_partition_id())
+    return x.mapInPandas(ranges, f"{schema}, range_no int, value {type_}").groupBy(*key).applyInPandas(join, f"{schema}, value {type_}")
 
 
 def looked_up(df: DataFrame, entries: DataFrame, key: list[str], missing: str) -> DataFrame:

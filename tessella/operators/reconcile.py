@@ -33,13 +33,19 @@ def reconcile(code: DataFrame, stored: DataFrame, keep: DataFrame | None = None)
     return x.select("locale", "key", F.when((F.col("status") == "stale") & F.col("_kept"), "kept").when(F.col("status") == "stale", "commented").otherwise(F.col("status")).alias("status"))
 
 
-def statistics(reconciled: DataFrame) -> DataFrame:
+def statistics(reconciled: DataFrame, commenting: bool = True) -> DataFrame:
+    """Counts by locale: the entries that are there afterwards, and those updated, added and commented.
+
+    A moved or changed entry is written anew and its old form is commented, so it
+    counts as both. A run that only warns leaves all entries and adds new keys only.
+    """
     s = F.col("status")
+    again = s.isin("updated", "moved")
     return reconciled.groupBy("locale").agg(
-        F.count_if(s != "added").alias("stored"),
-        F.count_if(s.isin("updated", "moved")).alias("updated"),
+        (F.count_if(s != "commented") if commenting else F.count(F.lit(1))).alias("stored"),
+        F.count_if(again).alias("updated"),
         F.count_if(s == "added").alias("added"),
-        F.count_if(s == "commented").alias("commented"),
+        F.count_if((s == "commented") | again).alias("commented"),
     )
 
 

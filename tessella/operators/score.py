@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -98,3 +99,21 @@ def jaccard(a: Column, b: Column, empty: float = 0.0) -> Column:
 def members(candidates: Column, known: Column) -> Column:
     """Of each name of an array, whether it is in another one."""
     return F.transform(candidates, lambda x: F.struct(x.alias("name"), F.array_contains(known, x).alias("known")))
+
+
+@dataclass(frozen=True)
+class Membrane:
+    """Fixed values of a leaky unit: time constants in ms, threshold over rest in mV, mV for a unit of weight."""
+
+    tau_m: float
+    tau_syn: float
+    threshold: float
+    unit: float
+
+
+def threshold_scale(mean_weight: Column, p: Membrane) -> Column:
+    """The scale of weights from which one input of mean weight lifts a unit from rest over its threshold, in closed form."""
+    m, s = p.tau_m, p.tau_syn
+    peak_at = m * s / (m - s) * math.log(m / s)
+    peak = s / (m - s) * (math.exp(-peak_at / m) - math.exp(-peak_at / s))
+    return F.lit(p.threshold) / (F.lit(p.unit) * mean_weight * F.lit(peak))

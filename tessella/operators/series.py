@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators import prefix
 from tessella.operators.reconcile import checkpoints
 from tessella.session import ship
 
@@ -36,16 +38,25 @@ def shares(df: DataFrame, family: str, member: str) -> DataFrame:
 
 
 def family_rates(df: DataFrame, by: list[str], rate: str) -> DataFrame:
-    """By group: the largest rate, and the median of the rates that aren't 0."""
-    return df.groupBy(*by).agg(F.max(rate).alias("max_rate"), F.median(F.when(F.col(rate) > 0, F.col(rate))).alias("median_active"), F.avg((F.col(rate) > 0).cast("double")).alias("active"))
+    """By group: the largest rate, the share of rates that aren't 0, and their median."""
+    x = df.groupBy(*by).agg(F.max(rate).alias("max_rate"), F.avg((F.col(rate) > 0).cast("double")).alias("active"))
+    m = prefix.medians(df.where(F.col(rate) > 0), by, rate, "median_active").withColumnsRenamed({c: f"_of_{c}" for c in by})
+    return x.join(m, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]), "left").select(*by, "max_rate", "median_active", "active")
+
+
+def profile(df: DataFrame, by: list[str], value: str, conditional: Column, silent: Column) -> DataFrame:
+    """By group: rows, mean and exact median of a value, mean of a conditional column (null where it doesn't apply), silent rows."""
+    x = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), F.avg(conditional).alias("conditional_mean"), F.count_if(silent).alias("silent"))
+    m = prefix.medians(df, by, value, "median").withColumnsRenamed({c: f"_of_{c}" for c in by})
+    return x.join(m, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_of_{c}")) for c in by]), "left").select(*by, "n", "mean", "median", "conditional_mean", "silent")
 
 
 def early_stop(df: DataFrame, step: str, value: str, patience: int) -> DataFrame:
-    """since: steps since the best value so far; stop: whether that reaches the patience. One row for each step of one run."""
-    before = Window.orderBy(step).rowsBetween(Window.unboundedPreceding, -1)
-    x = df.withColumn("_best", F.max(value).over(before))
-    x = x.withColumn("_at", F.max(F.when(F.col("_best").isNull() | (F.col(value) > F.col("_best")), F.col(step))).over(Window.orderBy(step)))
-    since = F.col(step) - F.col("_at")
+    """since: steps since the best value so far; stop: whether that reaches the patience. One row for each step of one run of any length."""
+    x = prefix.running(df.select(step, value), [F.col(step)], {"_best": (F.col(value), "max")})
+    x = x.withColumn("_new", F.when(F.col("_best").isNull() | (F.col(value) > F.col("_best")), F.col(step)))
+    x = prefix.running(x, [F.col(step)], {"_before": (F.col("_new"), "max")})
+    since = F.col(step) - F.coalesce("_new", "_before")
     return x.select(step, value, since.alias("since"), (since >= patience).alias("stop"))
 
 
@@ -59,26 +70,32 @@ def chosen(df: DataFrame, by: list[str], value: str, rank: Column) -> DataFrame:
 
 
 def ranked(df: DataFrame, key: str) -> DataFrame:
-    """rank: the dense rank of each row's key, from 1. Distinct keys are sorted by range, and ranges start where the ones before end."""
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keys = df.select(key).distinct().repartitionByRange(n, key).sortWithinPartitions(key).withColumn("_id", F.monotonically_increasing_id())
-    checkpoints(df.sparkSession)
-    keys = keys.checkpoint()
-    sizes = sorted(tuple(r) for r in keys.groupBy(F.shiftright("_id", 33)).agg(F.count(F.lit(1))).collect())  # one row a range
-    first = F.create_map(*[F.lit(x) for p, at in zip([p for p, _ in sizes], itertools.accumulate((c for _, c in sizes), initial=0)) for x in (p, at)]) if sizes else F.create_map(F.lit(0), F.lit(0))
-    rank = F.col("_id") - F.shiftleft(F.shiftright("_id", 33), 33) + F.element_at(first, F.shiftright("_id", 33)) + 1
-    return df.join(keys.select(key, rank.cast("bigint").alias("rank")), key)
+    """rank: the dense rank of each row's key, from 1."""
+    keys = prefix.numbered(df.select(key).distinct(), [F.col(key)], "rank")
+    return df.join(keys.select(key, (F.col("rank") + 1).cast("bigint").alias("rank")), key)
+
+
+#: Rows of a group that one task walks over; larger groups are chunked by all tasks.
+WALKED = 1 << 20
 
 
 def numbered_chunks(df: DataFrame, by: str, order: list[str], size: str, budget: int) -> DataFrame:
     """Greedy chunks of the ordered rows of each group: a chunk closes before the row that would pass the budget.
 
-    Chunks reset the sum, so each row needs the one before it: rows are sorted
-    within their group and pass in Arrow batches, with a sum and a number held.
+    Chunks reset the sum, so each row needs the one before it. Groups of up to
+    WALKED rows are sorted and pass in Arrow batches, with a sum and a number
+    held; larger ones are chunked by pointers, with the same result.
     """
     ship(df.sparkSession)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = df.select(by, *order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size")).repartition(n, by).sortWithinPartitions(by, *order)
+    df = df.select(by, *order, F.coalesce(F.col(size), F.lit(0)).cast("bigint").alias("_size"))
+    large = df.groupBy(F.col(by).alias("_g")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > WALKED).select("_g")
+    checkpoints(df.sparkSession)
+    large = large.checkpoint()
+    some = large.limit(1).count() > 0
+    split = prefix.greedy_chunks(df.join(large, F.col(by) == F.col("_g"), "left_semi"), by, order, "_size", budget).drop("_size") if some else None
+    df = df.join(large, F.col(by) == F.col("_g"), "left_anti") if some else df
+    x = df.repartition(n, by).sortWithinPartitions(by, *order)
 
     def walk(batches):
         group, held, chunk = object(), 0, 0
@@ -93,4 +110,5 @@ def numbered_chunks(df: DataFrame, by: str, order: list[str], size: str, budget:
                 out.append(chunk)
             yield pa.RecordBatch.from_arrays([*b.columns[: len(order) + 1], pa.array(out, pa.int32())], [by, *order, "chunk"])
 
-    return x.mapInArrow(walk, ", ".join([*(f"{c} {t}" for c, t in x.dtypes if c != "_size"), "chunk int"]))
+    walked = x.mapInArrow(walk, ", ".join([*(f"{c} {t}" for c, t in x.dtypes if c != "_size"), "chunk int"]))
+    return walked if split is None else walked.unionByName(split)

@@ -131,25 +131,42 @@ def hashed_features(df: DataFrame, id_: str, buckets: int, before: int = 6, afte
     return f.groupBy(id_, "bucket").agg(F.sum(F.lit(1.0) / (1 + F.col("d"))).alias("w")).select(id_, "bucket", F.round(F.tanh(F.col("w") / 100), 9).alias("value"))
 
 
+#: Slots that a focus of several elements may take, and the greatest depth that is told apart: fixed values.
+FOCUS_SLOTS, MOST_DEPTH = 4, 5
+
+
 def slot_features(df: DataFrame, id_: str, focus: str, before: int = 6, after: int = 3) -> DataFrame:
-    """(id, idx, slot, feature): what each neighbour of a token `focus` tells, by slot in source order.
+    """(id, idx, slot, feature): what a token `focus` and each of its neighbours tell, by slot in source order.
 
-    tok: the token; tok@d: with its offset; type@d: its class; depth@d: its
-    outward depth; bi@d: with the token before it, <BOF> at the start of the text.
+    Neighbours: tok, the token; tok@d, with its offset; type@d, its class; depth@d,
+    its outward depth; bi@d, with the token before it, <BOF> at the start of the
+    text. The focus has the slots after those before it: its first holds the same
+    as focus_*, the last is the summary: length, kind and depth of the focus, and
+    whether it comes first in brackets or after an equals sign.
     """
     x = with_depth(df).withColumn("level", B.unclamped("codes"))
     offsets = [d for d in range(-before, after + 1) if d]
-
-    def one(i: Column, d: int) -> Column:
-        j, at = i + d, str(d)
-        token, prev = F.get("tokens", j), F.coalesce(F.get("tokens", j - 1), F.lit("<BOF>"))
-        deep = F.greatest(F.lit(0), F.least(F.lit(5), F.get("depth", i) + F.get("level", j) - F.get("level", i)))
-        kind = F.when(~token.rlike(r"^[A-Za-z0-9_]"), "OP").when(token.rlike(r"^[0-9]"), "NUMBER").otherwise("NAME")
-        names = [F.concat(F.lit("tok:"), token), F.concat(F.lit(f"tok@{at}:"), token), F.concat(F.lit(f"type@{at}:"), kind), F.concat(F.lit(f"depth@{at}:"), deep.cast("string")), F.concat(F.lit(f"bi@{at}:"), prev, F.lit("\x1f"), token)]
-        return F.when((j >= 0) & (j < F.size("tokens")), F.transform(F.array(*names), lambda f: F.struct(i.alias("idx"), F.lit(offsets.index(d)).alias("slot"), f.alias("feature")))).otherwise(F.array())
+    name = lambda tag, *values: F.concat(F.lit(f"{tag}:"), *[v if isinstance(v, Column) else F.lit(v) for v in values])
+    kind = lambda token: F.when(~token.rlike(r"^[A-Za-z0-9_]"), "OP").when(token.rlike(r"^[0-9]"), "NUMBER").otherwise("NAME")
+    depth = lambda c: F.greatest(F.lit(0), F.least(F.lit(MOST_DEPTH), c)).cast("string")
+    rows_of = lambda i, slot, names: F.transform(F.array(*names), lambda f: F.struct(i.alias("idx"), F.lit(slot).alias("slot"), f.alias("feature")))
+    before_of = lambda j: F.coalesce(F.get("tokens", j - 1), F.lit("<BOF>"))
+
+    def neighbour(i: Column, d: int) -> Column:
+        j, token = i + d, F.get("tokens", i + d)
+        deep = depth(F.get("depth", i) + F.get("level", j) - F.get("level", i))
+        names = [name("tok", token), name(f"tok@{d}", token), name(f"type@{d}", kind(token)), name(f"depth@{d}", deep), name(f"bi@{d}", before_of(j), "\x1f", token)]
+        return F.when((j >= 0) & (j < F.size("tokens")), rows_of(i, d + before if d < 0 else d + before + FOCUS_SLOTS, names)).otherwise(F.array())
+
+    def own(i: Column) -> list[Column]:
+        token, deep = F.get("tokens", i), depth(F.get("depth", i))
+        flag = lambda c: F.when(c, "1").otherwise("0")
+        element = [name("focus_tok@0", token), name("focus_tok", token), name("focus_type@0", kind(token)), name("focus_bi@0", before_of(i), "\x1f", token), name("focus_depth@0", deep)]
+        summary = [F.lit("focus_len:1"), name("kind", kind(token)), name("first_positional", flag(before_of(i) == "(")), name("in_kwargs", flag(before_of(i) == "=")), name("depth", deep)]
+        return [rows_of(i, before, element), rows_of(i, before + FOCUS_SLOTS, summary)]
 
     at = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == focus)
-    rows = F.flatten(F.transform(at, lambda i: F.concat(*[one(i, d) for d in offsets])))
+    rows = F.flatten(F.transform(at, lambda i: F.concat(*[neighbour(i, d) for d in offsets], *own(i))))
     return x.select(id_, F.explode(rows).alias("f")).select(id_, "f.*")
 
 

@@ -11,7 +11,6 @@ from tessella.functions import hashing
 from tessella.functions import text as T
 from tessella.operators import build as B
 from tessella.operators import merge as M
-from tessella.operators import network
 from tessella.operators import sample as P
 from tessella.operators import score as S
 from tessella.operators import series
@@ -138,13 +137,13 @@ def salted_seeds(spark, d):
     return table(spark, d, "pages").select("page_id", hashing.salted_seed(seed, 7).alias("seed"), hashing.argument_index(F.col("page_id"), F.lit(3)).alias("argument"))
 
 
-P0 = network.Params()
+P0 = S.Membrane(20.0, 5.0, 7.0, 0.275)
 PEAK_AT = P0.tau_m * P0.tau_syn / (P0.tau_m - P0.tau_syn) * math.log(P0.tau_m / P0.tau_syn)
 
 
 @query("threshold_scale", f"select l_suppkey, round({P0.threshold}::double / ({P0.unit}::double * avg(l_quantity) * ({P0.tau_syn}::double / ({P0.tau_m}::double - {P0.tau_syn}::double) * (exp(-{PEAK_AT!r}::double / {P0.tau_m}::double) - exp(-{PEAK_AT!r}::double / {P0.tau_syn}::double)))), 9) scale from lineitem group by l_suppkey")
 def threshold_scale(spark, d):
-    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(network.threshold_scale(F.avg("l_quantity"), P0), 9).alias("scale"))
+    return table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(S.threshold_scale(F.avg("l_quantity"), P0), 9).alias("scale"))
 
 
 @query("rate_metrics", "select l_suppkey, max(r) max_rate, median(r) filter (r > 0) median_active, round(avg((r > 0)::int), 9) active from (select l_suppkey, greatest(l_quantity - 25, 0) r from lineitem) group by l_suppkey")

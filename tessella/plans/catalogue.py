@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tessella.plans import build_queries, engine_queries, graph_queries, score_queries, series_queries, text_queries  # noqa: F401  they register themselves
+from tessella.plans import build_queries, engine_queries, graph_queries, order_queries, score_queries, series_queries, text_queries  # noqa: F401  they register themselves
 from tessella.plans.registry import QUERIES, SQL
 
 

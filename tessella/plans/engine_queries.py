@@ -1,4 +1,4 @@
-"""Operators without SQL: code extraction, catalogues, simulation, training."""
+"""Code extraction, catalogues and training."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.functions import hashing
-from tessella.operators import network, training
+from tessella.operators import training
 from tessella.operators import sample as B
 from tessella.operators import score as S
 from tessella.plans import extract as X
@@ -68,21 +68,10 @@ def candidate_labels(spark, d):
     return python_code.labelled(python_code.candidates(files, Options()), python_code.occurrences(files, Options()).where("key is not null"))
 
 
-@query("lif_grid")
-def lif_grid(spark, d):
-    """Active share, largest count and median of active neurons of every point of a grid, over a sample of trials."""
-    e = F.transform(F.slice("embedding", 1, 16), lambda x: F.least(F.lit(1.0), F.abs(x)).cast("double"))
-    x = table(spark, d, "embeddings").orderBy(F.xxhash64("vec_id"), "vec_id").limit(64)
-    x = x.select(F.col("vec_id").alias("trial"), F.col("vec_id").alias("seed"), F.array(e).alias("puffs"))
-    net = small_network()
-    out = network.grid(x, net, network.Params(puff=10.0, silence=5.0), [0.5, 1.0, 2.0], [0.0, 1.0, 4.0])
-    return out.groupBy("scale", "inhibition").agg((F.count(F.lit(1)) / (64 * net.n)).alias("active"), F.max("n").alias("most"), F.median("n").alias("median_active"))
-
-
 @query("proxy_probe")
 def proxy_probe(spark, d):
     """A linear probe on three encodings of the embeddings."""
-    x = B.group_split(table(spark, d, "embeddings"), "vec_id").withColumn("y", F.col("label") == 0)
+    x = B.group_split(table(spark, d, "embeddings"), "vec_id").withColumn("y", F.col("embedding")[0] + F.col("embedding")[1] > 0)
     e = F.transform("embedding", lambda v: F.greatest(v, F.lit(0.0)).cast("double"))
     return training.probe(x, {m: S.feature_modes(e, m) for m in ("binary", "log1p", "both")}, "y", "split")
 
@@ -92,9 +81,21 @@ def extract_merged_keys(spark, d):
     return X.extract(made(spark, d), Options()).keys.select("key", "kwargs", "path", "occurrences", F.col("unknown_at").isNotNull().alias("unknown"))
 
 
-@query("fluent_entries")
+LINK = '<a href="/([A-Za-z][A-Za-z0-9_-]*)">([^<{}]*[^<{} ][^<{}]*)</a>'
+
+
+@query(
+    "fluent_entries",
+    f"""with p as (select page_id, regexp_extract_all(html, '{LINK}', 1) k, regexp_extract_all(html, '{LINK}', 2) v from pages),
+     e as (select page_id, unnest(range(1, len(k) + 1)) i, unnest(k) k, unnest(v) v from p)
+     select 'p' || page_id path, (2 * i)::int as "position", k as name, k || ' = ' || trim(v) as "text", 'Link ' || i as "comment" from e""",
+)
 def fluent_entries(spark, d):
-    return fluent.entries(spark.createDataFrame([("en", "_default.ftl", CATALOGUE), ("en", "junk.ftl", "= nothing")], "locale string, path string, text string"))
+    """The links of every page, written as a catalogue of its own and read back entry by entry."""
+    both = F.arrays_zip(*[F.regexp_extract_all("html", F.lit(LINK), F.lit(i)).alias(n) for i, n in ((1, "k"), (2, "v"))])
+    lines = F.transform(both, lambda x, i: F.concat(F.lit("# Link "), (i + 1).cast("string"), F.lit("\n"), x["k"], F.lit(" = "), F.trim(x["v"])))
+    files = table(spark, d, "pages").where("html is not null").select(F.lit("en").alias("locale"), F.concat(F.lit("p"), "page_id").alias("path"), F.array_join(lines, "\n").alias("text"))
+    return fluent.entries(files).select("path", "position", "name", "text", "comment")
 
 
 @query("reconcile_catalogue")
@@ -109,44 +110,10 @@ def blake_bucket(spark, d):
     return table(spark, d, "part").select("p_partkey", hashing.blake_bucket(F.col("p_name"), F.lit(124), F.lit("v1"), F.lit(0)).alias("bucket"))
 
 
-def small_network(seed: int = 5, n_in: int = 16, n: int = 40) -> network.Network:
-    """A synthetic graph by rule: every neuron listens to 6 inputs, the last one inhibits all."""
-    rng = np.random.default_rng(seed)
-    pre = np.concatenate([rng.permutation(n_in)[:6] for _ in range(n)])
-    post = np.repeat(np.arange(n), 6)
-    weight = np.full(len(pre), 120.0)
-    inhibit = n_in + n - 1
-    pre, post, weight = np.append(pre, np.full(n - 1, inhibit)), np.append(post, np.arange(n - 1)), np.append(weight, np.full(n - 1, -60.0))
-    return network.Network(n_in, n, pre, post, weight)
-
-
-@query("lif_simulate")
-def lif_simulate(spark, d):
-    """Every embedding as one trial: its dimensions are puffs of 16 inputs each."""
-    e = F.transform("embedding", lambda x: F.least(F.lit(1.0), F.abs(x)).cast("double"))
-    puffs = F.transform(F.sequence(F.lit(0), F.floor(F.size("embedding") / 16).cast("int") - 1), lambda k: F.slice(e, k * 16 + 1, F.lit(16)))
-    x = spread(table(spark, d, "embeddings")).select(F.col("vec_id").alias("trial"), F.col("vec_id").alias("seed"), puffs.alias("puffs"))
-    return network.trials(x, small_network(), network.Params(puff=10.0, silence=5.0))
-
-
-@query("lif_odour")
-def lif_odour(spark, d):
-    """One-odour mode: the first 16 dimensions of each embedding as the input of a whole trial."""
-    e = F.transform(F.slice("embedding", 1, 16), lambda x: F.least(F.lit(1.0), F.abs(x)).cast("double"))
-    x = spread(table(spark, d, "embeddings")).select(F.col("vec_id").alias("trial"), F.col("vec_id").alias("seed"), e.alias("odour"))
-    return network.odours(x, small_network(), network.Params(puff=20.0, silence=5.0))
-
-
 @query("delta_rule_fit")
 def delta_rule_fit(spark, d):
-    x = B.group_split(table(spark, d, "embeddings"), "vec_id").withColumn("y", F.col("label") == 0)
-    r = training.fit_table(x, "embedding", "y", "split")
-    return spark.createDataFrame([(r.epochs, float(r.f1), float(np.abs(r.w).sum()))], "epochs int, f1 double, weight double")
-
-
-@query("hash_iteration_order")
-def hash_iteration_order(spark, d):
-    """The order in which a table lists the event types of each user, added as they first came."""
-    from tessella.operators.hash_order import with_ordinal
-
-    return with_ordinal(table(spark, d, "events"), ["user_id"], "event_type", ["ts", "event_id"])
+    """Readouts of whether each of four sums of neighbouring dimensions is positive, over all embeddings."""
+    x = B.group_split(table(spark, d, "embeddings"), "vec_id").select("embedding", "split", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("wanted"))
+    y = F.aggregate(F.slice("embedding", F.col("wanted") * 4 + 1, F.lit(4)), F.lit(0.0), lambda a, v: a + v) > 0
+    found = training.fit(x.withColumn("y", y), "wanted", "embedding", "y", "split", rate=20.0, epochs=20)
+    return spark.createDataFrame([(k, r.epochs, round(r.f1, 6), round(float(np.abs(r.w).sum()), 6)) for k, r in found.items()], "wanted int, epochs int, f1 double, weight double")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import text as T
 from tessella.operators import merge as M
+from tessella.operators import prefix, reach
 from tessella.operators import reconcile as R
 from tessella.sources import fluent, python_code, tree
 from tessella.sources.options import Options
@@ -57,12 +58,20 @@ def variables(entries: DataFrame) -> DataFrame:
     part = own.select("locale", "name", "variables", "refs").unionByName(inner).withColumn("scope", F.explode(F.array(F.lit("caller"), F.lit("term"))))
     edges = part.select("locale", "scope", node("name", "scope").alias("src"), F.explode("refs").alias("ref"))
     edges = edges.select("src", node("ref", F.when(F.col("ref").startswith("-"), "term").otherwise(F.col("scope"))).alias("dst"))
-    reach = R.closure(edges, entries.where("entry_type = 'message'").select(node("name", F.lit("caller")).alias("root")))
-    held = part.where("scope = 'caller'").select(node("name", "scope").alias("node"), "variables")
-    name = lambda c: F.substring_index(F.split(c, "\x1f")[1], ".", 1)
-    needed = F.when((name("node") != name("root")) & ~name("node").startswith("-"), name("node"))
-    sets = reach.join(held, "node", "left").groupBy("root").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("variables")))).alias("variables"), F.collect_set(needed).alias("needed"))
-    return sets.select(F.split("root", "\x1f")[0].alias("locale"), name("root").alias("name"), "variables", "needed")
+    roots = entries.where("entry_type = 'message'").select(node("name", F.lit("caller")).alias("name")).distinct()
+    held = part.where("scope = 'caller'").select(node("name", "scope").alias("name"), F.explode(F.transform("variables", lambda v: F.struct(F.lit("variable").alias("kind"), v.alias("what")))).alias("value"))
+    of = lambda c: F.substring_index(F.split(c, "\x1f")[1], ".", 1)
+    # what is needed is every message that is reached, whether or not it has entries
+    ends = edges.select(F.explode(F.array("src", "dst")).alias("name")).unionByName(roots).distinct()
+    values = held.unionByName(ends.where(~of("name").startswith("-")).select("name", F.struct(F.lit("needed").alias("kind"), of("name").alias("what")).alias("value")))
+    ids = prefix.numbered(ends.unionByName(held.select("name")).distinct(), [F.col("name")], "node").persist()
+    src, dst = (ids.withColumnsRenamed({"name": c, "node": f"_{c}"}) for c in ("src", "dst"))
+    numbered = edges.join(src, "src").join(dst, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
+    part_of, sets = reach.gathered(numbered, values.join(ids, "name").select("node", "value"))
+    got = roots.join(ids, "name").join(part_of, "node").join(sets, "component", "left")
+    is_needed = (F.col("value.kind") == "needed") & (F.col("value.what") != of("name"))
+    out = got.groupBy("name").agg(F.array_sort(F.collect_set(F.when(F.col("value.kind") == "variable", F.col("value.what")))).alias("variables"), F.collect_set(F.when(is_needed, F.col("value.what"))).alias("needed"))
+    return out.select(F.split("name", "\x1f")[0].alias("locale"), of("name").alias("name"), "variables", "needed")
 
 
 def reconcile(keys: DataFrame, entries: DataFrame, o: Options) -> DataFrame:

@@ -49,7 +49,7 @@ def reconcile_full_outer(spark, d):
     return reconciled(spark, d).select("locale", F.col("key").alias("doc_id"), "status")
 
 
-@query("reconcile_statistics", RECONCILE + " select locale, count(*) filter (status <> 'added') stored, count(*) filter (status in ('updated', 'moved')) updated, count(*) filter (status = 'added') added, count(*) filter (status = 'commented') commented from r group by locale")
+@query("reconcile_statistics", RECONCILE + " select locale, count(*) filter (status <> 'commented') stored, count(*) filter (status in ('updated', 'moved')) updated, count(*) filter (status = 'added') added, count(*) filter (status in ('commented', 'updated', 'moved')) commented from r group by locale")
 def reconcile_statistics(spark, d):
     return R.statistics(reconciled(spark, d))
 
@@ -69,12 +69,11 @@ def semi_bucket_attach(spark, d):
     return R.with_home(table(spark, d, "customer"), orders, "c_custkey").select("c_custkey", "c_mktsegment")
 
 
-@query("stale_keys", "select c_custkey from customer where c_custkey not in (select o_custkey from orders) and c_nationkey not in (select n_nationkey from nation where n_regionkey = 1) and c_mktsegment <> 'BUILDING'")
+@query("stale_keys", "select p_partkey from part where p_partkey not in (select l_partkey from lineitem where l_returnflag = 'R' and l_quantity > 45) and p_partkey not in (select l_partkey from lineitem where l_discount > 0.095) and p_size <> 1")
 def stale_keys(spark, d):
-    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    code = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    needed = c.join(table(spark, d, "nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("c_nationkey")), "c_nationkey", "left_semi")
-    return R.stale(c.select("c_custkey"), code, needed, c.where("c_mktsegment = 'BUILDING'"), ["c_custkey"])
+    """Parts that no large return uses, no great discount needs and no mark keeps."""
+    p, li = table(spark, d, "part"), table(spark, d, "lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    return R.stale(p.select("p_partkey"), li.where("l_returnflag = 'R' and l_quantity > 45"), li.where("l_discount > 0.095"), p.where("p_size = 1"), ["p_partkey"])
 
 
 @query("duplicate_definitions", "select md5(text) text_md5, doc_id, n from (select text, doc_id, count(*) over (partition by text) n from documents where text is not null) where n > 1")

@@ -21,10 +21,14 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+#: Splits up to which a scan may be dealt out again; at 128 MB a split that moves 2 GB at most.
+FEW_SPLITS = 16
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """A scan of fewer splits than there are cores, dealt out to all of them; a larger one is left as it is."""
+    """A scan of very few splits, such as one file of one row group, dealt out to all cores; any other is left as it is."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < min(cores, FEW_SPLITS) else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -183,11 +183,13 @@ def comment_out(spark, d):
 
 @query(
     "marker_parse",
-    """select conv_id, turn, list_sort(list_distinct(case when turn % 3 = 0 then ['all'] when turn % 3 = 1 then ['stale', lower(role)] else ['untranslated'] end)) marker from conversations""",
+    r"""with d as (select doc_id, [x for x in regexp_split_to_array(lower(string_split(text, chr(10))[1]), '[\s,]+') if x <> ''] names from documents where text is not null)
+    select doc_id, case when len(names) = 0 then ['all'] else list_sort(list_distinct(names)) end marker from d""",
 )
 def marker_parse(spark, d):
-    note = F.when(F.col("turn") % 3 == 0, "about this\nExtract: IGNORE").when(F.col("turn") % 3 == 1, F.concat(F.lit("extract: ignore Stale,  "), F.col("role"))).otherwise("ignore\nextract: ignored")
-    return table(spark, d, "conversations").select("conv_id", "turn", T.ignore_marker(note).alias("marker"))
+    """The first line of every document as the names that a marker opts out of."""
+    note = F.concat(F.lit("about this\n Extract: IGNORE "), F.split("text", "\n")[0])
+    return table(spark, d, "documents").where("text is not null").select("doc_id", T.ignore_marker(note).alias("marker"))
 
 
 @query(
@@ -257,14 +259,15 @@ def relative_depth(spark, d):
 
 DOC_DEPTHS = DEPTHS.replace("page_id", "doc_id").replace(PAGE_TOKENS.replace("page_id", "doc_id"), TOKENS)
 SLOT_JOIN = f"""with t as (select *, s + least({STEP}, 0) level, lag(token, 1, '<BOF>') over (partition by doc_id order by idx) prev from (select doc_id, idx, token, depth, coalesce(sum({STEP}) over (partition by doc_id order by idx rows between unbounded preceding and 1 preceding), 0) s from ({DOC_DEPTHS}))),
- c as (select f.doc_id, f.idx, n.token, n.prev, n.idx - f.idx o, greatest(0, least(5, f.depth + n.level - f.level)) deep from t f join t n on n.doc_id = f.doc_id and n.idx between f.idx - 6 and f.idx + 3 and n.idx <> f.idx where f.token = ';'),
- k as (select *, case when not regexp_matches(token, '^[A-Za-z0-9_]') then 'OP' when regexp_matches(token, '^[0-9]') then 'NUMBER' else 'NAME' end kind, case when o < 0 then o + 6 else o + 5 end slot from c)"""
+ c as (select f.doc_id, f.idx, n.token, n.prev, n.idx - f.idx o, greatest(0, least(5, f.depth + n.level - f.level)) deep from t f join t n on n.doc_id = f.doc_id and n.idx between f.idx - 6 and f.idx + 3 and n.idx <> f.idx where f.token = '('),
+ k as (select *, case when not regexp_matches(token, '^[A-Za-z0-9_]') then 'OP' when regexp_matches(token, '^[0-9]') then 'NUMBER' else 'NAME' end kind, case when o < 0 then o + 6 else o + 10 end slot from c),
+ m as (select prev, greatest(0, least(5, depth)) deep from t where token = '(')"""
 
 
 @query(
     "slot_features",
-    f"{SLOT_JOIN} select slot, feature, count(*) n from (select slot, unnest(['tok:' || token, 'tok@' || o || ':' || token, 'type@' || o || ':' || kind, 'depth@' || o || ':' || deep, 'bi@' || o || ':' || prev || chr(31) || token]) feature from k) group by all",
+    f"{SLOT_JOIN} select slot, feature, count(*) n from (select slot, unnest(['tok:' || token, 'tok@' || o || ':' || token, 'type@' || o || ':' || kind, 'depth@' || o || ':' || deep, 'bi@' || o || ':' || prev || chr(31) || token]) feature from k union all select 6, unnest(['focus_tok@0:(', 'focus_tok:(', 'focus_type@0:OP', 'focus_bi@0:' || prev || chr(31) || '(', 'focus_depth@0:' || deep]) from m union all select 10, unnest(['focus_len:1', 'kind:OP', 'first_positional:' || (prev = '(')::int, 'in_kwargs:' || (prev = '=')::int, 'depth:' || deep]) from m) group by all",
 )
 def slot_features(spark, d):
-    x = K.slot_features(K.sequences(spread(table(spark, d, "documents")), "doc_id", "text"), "doc_id", ";")
+    x = K.slot_features(K.sequences(spread(table(spark, d, "documents")), "doc_id", "text"), "doc_id", "(")
     return x.groupBy(F.col("slot").cast("bigint").alias("slot"), "feature").agg(F.count(F.lit(1)).alias("n"))

@@ -10,22 +10,30 @@ from pyspark.sql.streaming import StreamingQueryListener
 
 
 class Observer(StreamingQueryListener):
-    """Tells a function of each start, batch and end of every stream: (event, query name, batch, rows)."""
+    """Tells a function of each start, batch and end of every stream: (event, query name, batch, rows).
+
+    The end has the last batch and the rows of all batches.
+    """
 
     def __init__(self, tell: Callable[[str, str | None, int | None, int | None], None]):
         self.tell = tell
+        self.runs: dict[str, tuple[str | None, int | None, int]] = {}  # name, last batch and rows of each run that is going on
 
     def onQueryStarted(self, event) -> None:
+        self.runs[str(event.runId)] = (event.name, None, 0)
         self.tell("started", event.name, None, None)
 
     def onQueryProgress(self, event) -> None:
-        self.tell("batch", event.progress.name, event.progress.batchId, event.progress.numInputRows)
+        p = event.progress
+        _, _, rows = self.runs.get(str(p.runId), (p.name, None, 0))
+        self.runs[str(p.runId)] = (p.name, p.batchId, rows + p.numInputRows)
+        self.tell("batch", p.name, p.batchId, p.numInputRows)
 
     def onQueryIdle(self, event) -> None:
         return
 
     def onQueryTerminated(self, event) -> None:
-        self.tell("failed" if event.exception else "ended", None, None, None)
+        self.tell("failed" if event.exception else "ended", *self.runs.pop(str(event.runId), (None, None, 0)))
 
 
 def in_order(results: DataFrame, by: list[str], ordinal: str, value: str) -> DataFrame:

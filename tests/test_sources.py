@@ -199,7 +199,7 @@ def test_end_to_end(spark, tmp_path):
     put(tmp_path, "app/two.py", 'i18n.get("same")\ni18n.get("changed", a=1)\n')
     put(tmp_path, "loc/en/_default.ftl", "same = Same { ref }\nref = Ref\nchanged = Old { $b }\ngone = Gone\n# extract: ignore stale\nmarked = Stays\n")
     out = X.run(spark, str(tmp_path / "app"), str(tmp_path / "loc"), Options())
-    assert out["exit"] == 0 and out["statistics"]["en"]["added"] == 2 and out["statistics"]["en"]["updated"] == 1 and out["statistics"]["en"]["commented"] == 1
+    assert out["exit"] == 0 and out["statistics"]["en"]["added"] == 2 and out["statistics"]["en"]["updated"] == 1 and out["statistics"]["en"]["commented"] == 2
     text = (tmp_path / "loc/en/_default.ftl").read_text()
     assert "same = Same { ref }" in text and "ref = Ref" in text and "changed = changed{ $a }" in text and "# gone = Gone" in text and "\nmarked = Stays" in text and "hello-user = hello-user{ $name }" in text
     assert (tmp_path / "loc/en/wallet/_default.ftl").read_text() == "menu-main = menu-main\n"
