@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -51,6 +51,22 @@ def conflicts(df: DataFrame, key: list[str], star: Column, kwargs: Column, path:
     return x.where("paths > 1 or kwargs_sets > 1").withColumn("kind", kind)
 
 
+def conflicting(df: DataFrame, key: list[str], star: Column, location: Column, kwargs: Column, path: Column) -> DataFrame:
+    """As conflicts, with the two earliest values that differ and where they are: key, kind, first, other, first_at, other_at.
+
+    Paths are compared over all occurrences, kwargs over those without `**`. Of
+    each value the earliest place counts, and two values of a key are kept.
+    """
+    out = None
+    for kind, rows, value in (("path", df, path), ("kwargs", df.where(~star), F.array_join(kwargs, ", "))):
+        one = rows.groupBy(*key, F.coalesce(value, F.lit("")).alias("value")).agg(F.min(location).alias("at"))
+        two = one.withColumn("_r", F.row_number().over(Window.partitionBy(*key).orderBy("at"))).where("_r <= 2")
+        pair = two.groupBy(*key).agg(*[F.max(F.when(F.col("_r") == i, F.col(c))).alias(n) for c, i, n in (("value", 1, "first"), ("value", 2, "other"), ("at", 1, "first_at"), ("at", 2, "other_at"))])
+        pair = pair.where("other_at is not null").withColumn("kind", F.lit(kind))
+        out = pair if out is None else out.unionByName(pair)
+    return out
+
+
 def duplicates(df: DataFrame, key: list[str], line: str) -> DataFrame:
     """A row for each definition of a key that has several: key, line, n (how many). Keys are counted before their lines travel."""
     several = df.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -84,10 +84,10 @@ def closure(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     return found
 
 
-def serialized(df: DataFrame, by: list[str], order: list[str], text: str, separator: str = "\n") -> DataFrame:
-    """One text for each group, its entries in order."""
+def serialized(df: DataFrame, by: list[str], order: list[str], text: str, separator: str = "\n", *also: Column) -> DataFrame:
+    """One text for each group, its entries in order, and further aggregates. A group is one file, so it fits in memory."""
     rows = F.array_sort(F.collect_list(F.struct(*order, text)))
-    return df.groupBy(*by).agg(F.array_join(F.transform(rows, lambda x: x[text]), separator).alias("content"))
+    return df.groupBy(*by).agg(F.array_join(F.transform(rows, lambda x: x[text]), separator).alias("content"), *also)
 
 
 def stale(stored: DataFrame, code: DataFrame, needed: DataFrame, marked: DataFrame, key: list[str]) -> DataFrame:

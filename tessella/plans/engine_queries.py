@@ -115,5 +115,5 @@ def delta_rule_fit(spark, d):
     """Readouts of whether each of four sums of neighbouring dimensions is positive, over all embeddings."""
     x = B.group_split(table(spark, d, "embeddings"), "vec_id").select("embedding", "split", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("wanted"))
     y = F.aggregate(F.slice("embedding", F.col("wanted") * 4 + 1, F.lit(4)), F.lit(0.0), lambda a, v: a + v) > 0
-    found = training.fit(x.withColumn("y", y), "wanted", "embedding", "y", "split", rate=20.0, epochs=20)
+    found = training.fit(x.withColumn("y", y), "wanted", "embedding", "y", "split", rate=6.0, epochs=30, patience=30)
     return spark.createDataFrame([(k, r.epochs, round(r.f1, 6), round(float(np.abs(r.w).sum()), 6)) for k, r in found.items()], "wanted int, epochs int, f1 double, weight double")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,8 +18,9 @@ from tessella.sources.options import Options
 @dataclass
 class Extraction:
     keys: DataFrame  # key, kwargs, path, location, unknown_at, occurrences
-    diagnostics: DataFrame  # path, error
-    conflicts: DataFrame  # key, kind
+    diagnostics: DataFrame  # path, line, col, error
+    conflicts: DataFrame  # key, kind, first, other, first_at, other_at
+    files: DataFrame  # path of the files that have a key
 
 
 def read_code(spark: SparkSession, root: str, o: Options) -> DataFrame:
@@ -32,17 +33,36 @@ def extract(files: DataFrame, o: Options) -> Extraction:
     """files: file_idx, path, text, error. The kwargs and path of a key are those of its winning occurrence."""
     found = python_code.occurrences(files, o)
     ok = found.where("key is not null")
-    location = F.struct(T.path_components(F.col("path")).alias("parts"), "line", "col")
+    location = F.struct(T.path_components(F.col("path")).alias("parts"), "line", "col", "path")
     keys = M.merge_occurrences(ok, ["key"], F.col("is_star"), location, F.col("kwargs"), F.col("entry_path"))
-    return Extraction(keys, found.where("error is not null").select("path", "line", "error"), M.conflicts(ok, ["key"], F.col("is_star"), F.col("kwargs"), F.col("entry_path")))
+    diagnostics = found.where("error is not null").select("path", "line", "col", "error")
+    return Extraction(keys, diagnostics, M.conflicting(ok, ["key"], F.col("is_star"), location, F.col("kwargs"), F.col("entry_path")), ok.select("path").distinct())
 
 
-def gate(e: Extraction, o: Options) -> list[str]:
-    """Messages that stop a run: conflicts always, unreadable files unless errors are allowed."""
-    said = [f"key `{r['key']}` has several {r['kind']}s" for r in e.conflicts.orderBy("key").collect()]
-    if not o.allow_errors:
-        said += [f"{r['path']}: {r['error']}" for r in e.diagnostics.orderBy("path").collect()]
-    return said
+#: Problems that are shown; all are counted.
+SHOWN = 50
+
+
+def problems(e: Extraction) -> DataFrame:
+    """(allowed, key, message): what is wrong with the sources; allowed tells whether a run may go on all the same."""
+    at = lambda c: F.concat_ws(":", f"{c}.path", f"{c}.line", f"{c}.col")
+    tag, said = (F.when(F.col("kind") == "path", a).otherwise(b) for a, b in (("key-path-conflict", "key-message-conflict"), ("has different paths", "is used with different keyword arguments")))
+    message = F.concat(F.lit("["), tag, F.lit("] Fluent key "), "key", F.lit(" "), said, F.lit(": "), "first", F.lit(" and "), "other", F.lit(" ("), at("first_at"), F.lit(", "), at("other_at"), F.lit(")"))
+    place = F.concat_ws(":", "path", F.when(F.col("line") > 0, F.col("line")), F.when(F.col("line") > 0, F.col("col")))
+    detail = F.regexp_extract("error", "^[^:]*: ?(.*)$", 1)
+    what = F.when(F.col("error").startswith("parse-error"), F.concat(F.lit("Failed to parse Python file: "), detail)).when(F.col("error") == "invalid-utf8", "Python file is not valid UTF-8").otherwise(F.concat(F.lit("Failed to read Python file: "), detail))
+    return e.conflicts.select(F.lit(False).alias("allowed"), "key", message.alias("message")).unionByName(e.diagnostics.select(F.lit(True).alias("allowed"), F.col("path").alias("key"), F.concat(F.lit("["), F.substring_index("error", ":", 1), F.lit("] "), what, F.lit(" ("), place, F.lit(")")).alias("message")))
+
+
+def gate(e: Extraction, o: Options) -> tuple[int, list[str], list[str]]:
+    """(problems that stop a run, the first of their messages, the first of what is skipped): conflicts always stop it, unreadable files unless allowed."""
+    found = problems(e).persist()
+    stops = found.where(~F.col("allowed") | F.lit(not o.allow_errors))
+    first = lambda x: [r["message"] for r in x.orderBy("key", "message").limit(SHOWN).collect()]
+    n = stops.count()
+    out = n, first(stops) if n else [], first(found.where("allowed")) if o.allow_errors else []
+    found.unpersist()
+    return out
 
 
 def variables(entries: DataFrame) -> DataFrame:
@@ -93,27 +113,29 @@ def reconcile(keys: DataFrame, entries: DataFrame, o: Options) -> DataFrame:
 
 
 def rendered(keys: DataFrame, entries: DataFrame, status: DataFrame, o: Options) -> DataFrame:
-    """(locale, path, content): the catalogue files after reconciliation."""
-    stay = entries.join(status.where("status in ('same', 'kept')").select("locale", F.col("key").alias("name")), ["locale", "name"], "left_semi")
-    old = entries.join(status.where("status in ('moved', 'updated', 'commented')").select("locale", F.col("key").alias("name")), ["locale", "name"], "left_semi").where("entry_type = 'message'")
-    note = F.when(F.col("comment").isNotNull(), F.concat(F.array_join(F.transform(F.split("comment", "\n"), lambda x: F.concat(F.lit("# "), x)), "\n"), F.lit("\n"))).otherwise("")
-    full = F.concat(note, "text")
-    new = status.where("status in ('added', 'moved', 'updated')").join(keys, "key").select("locale", "path", F.lit(1 << 30).alias("position"), F.col("key").alias("tie"), F.concat("key", F.lit(" = "), T.placeholder_text(F.col("key"), F.col("kwargs"))).alias("text"))
-    rows = [
-        stay.where("entry_type = 'message'").select("locale", "path", "position", F.col("name").alias("tie"), full.alias("text")),
-        entries.where("entry_type = 'term'").select("locale", "path", "position", F.col("name").alias("tie"), full.alias("text")),
-        (new if o.comment_mode == "comment" else new.join(old.select("locale", F.col("name").alias("tie")), ["locale", "tie"], "left_anti")).select("locale", "path", "position", "tie", "text"),
-    ]
-    if o.comment_mode == "comment":
-        rows.append(old.select("locale", "path", "position", F.col("name").alias("tie"), T.commented(full).alias("text")))
-    else:
-        rows.append(old.join(status.where("status <> 'commented'").select("locale", F.col("key").alias("name")), ["locale", "name"], "left_anti").select("locale", "path", "position", F.col("name").alias("tie"), full.alias("text")))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    free = entries.where("entry_type = 'comment'").select("locale", "path", "position", F.lit("").alias("tie"), F.concat("text", F.lit("\n")).alias("text"))
-    out = out.unionByName(R.with_home(free.withColumn("home", F.concat_ws("\x1f", "locale", "path")), out.withColumn("home", F.concat_ws("\x1f", "locale", "path")), "home").drop("home"))
-    return R.serialized(out, ["locale", "path"], ["position", "tie"], "text").select("locale", "path", T.line_endings(F.concat("content", F.lit("\n")), o.line_endings).alias("content"))
+    """(locale, path, content): the catalogue files after reconciliation.
+
+    Entries keep their places, commented ones too; new ones follow, by key. A
+    comment stands between blank lines, but for the start of a file. A file
+    without any entry is left alone.
+    """
+    commenting = o.comment_mode == "comment"
+    of = lambda kinds: status.where(F.col("status").isin(*kinds)).select("locale", F.col("key").alias("name"))
+    gone = ("commented", "moved", "updated")
+    named = entries.where("entry_type in ('message', 'term')")
+    dropped = named.where("entry_type = 'message'").join(of(gone), ["locale", "name"], "left_semi")
+    stay = named.join(of(gone), ["locale", "name"], "left_anti").unionByName(entries.where("entry_type = 'term'").join(of(gone), ["locale", "name"], "left_semi"))
+    note = F.when(F.col("comment").isNotNull(), F.concat(F.array_join(F.transform(F.split("comment", "\n"), lambda x: F.rtrim(F.concat(F.lit("# "), x))), "\n"), F.lit("\n"))).otherwise("")
+    full, line = F.concat(note, "text"), lambda c: F.concat(c, F.lit("\n"))
+    apart = lambda c: F.concat(F.lit("\n"), c, F.lit("\n\n"))
+    row = lambda df, text: df.select("locale", "path", "position", F.col("name").alias("tie"), text.alias("text"), F.lit(True).alias("entry"))
+    new = status.where(F.col("status").isin("added", "moved", "updated") if commenting else F.col("status") == "added").join(keys, "key")
+    new = new.select("locale", "path", F.lit(1 << 30).alias("position"), F.col("key").alias("name"), F.concat("key", F.lit(" = "), T.placeholder_text(F.col("key"), F.col("kwargs"))).alias("text"))
+    free = entries.where("entry_type = 'comment'").select("locale", "path", "position", F.lit("").alias("tie"), apart(F.col("text")).alias("text"), F.lit(False).alias("entry"))
+    out = row(stay, line(full)).unionByName(row(dropped, apart(T.commented(full)) if commenting else line(full))).unionByName(row(new, line(F.col("text")))).unionByName(free)
+    files = R.serialized(out, ["locale", "path"], ["position", "tie"], "text", "", F.max("entry").alias("entries")).where("entries")
+    body = F.regexp_replace("content", "^\n", "")
+    return files.select("locale", "path", T.line_endings(body, o.line_endings).alias("content"))
 
 
 def read_catalogues(spark: SparkSession, root: str, o: Options) -> DataFrame:
@@ -125,23 +147,46 @@ def read_catalogues(spark: SparkSession, root: str, o: Options) -> DataFrame:
     return out
 
 
-def run(spark: SparkSession, code: str, locales: str, o: Options) -> dict:
-    """Extract, reconcile and write; statistics by locale. Nothing is written if the gate has something to say."""
+@dataclass
+class Outcome:
+    exit: int
+    problems: int = 0
+    messages: list[str] = field(default_factory=list)  # the first problems
+    warnings: list[str] = field(default_factory=list)
+    py_files: int = 0
+    keys: int = 0
+    ftl_files: dict[str, int] = field(default_factory=dict)
+    statistics: dict[str, dict] = field(default_factory=dict)
+    written: int = 0
+
+
+def run(spark: SparkSession, code: str, locales: str, o: Options) -> Outcome:
+    """Extract, reconcile and write. Nothing is written if the sources or the catalogues have problems."""
     e = extract(read_code(spark, code, o), o)
-    e.keys.persist()
-    stopped = gate(e, o)
-    there = read_catalogues(spark, locales, o)
-    stored = fluent.entries(there)
-    bad = [f"{r['locale']}/{r['path']}: {r['error']}" for r in stored.where("error is not null").collect()]
-    twice = M.duplicates(stored.where("name is not null"), ["locale", "name"], "position").select("locale", "name", "n").distinct().orderBy("locale", "name").collect()
-    stopped += bad + [f"{r['locale']}: `{r['name']}` is defined {r['n']} times" for r in twice]
-    if stopped:
-        return {"exit": 1, "messages": stopped}
+    n, first, skipped = gate(e, o)
+    if n:
+        return Outcome(1, n, first)
+    e.keys = e.keys.persist()
+    there = read_catalogues(spark, locales, o).persist()
+    stored = fluent.entries(there.where("error is null")).persist()
+    bad = stored.where("error is not null").select(F.concat_ws("/", "locale", "path").alias("at"), "error").unionByName(there.where("error is not null").select(F.concat_ws("/", "locale", "path").alias("at"), "error"))
+    twice = M.duplicates(stored.where("entry_type = 'message'"), ["locale", "name"], "position").select("locale", "name", "n").distinct()
+    wrong = bad.select(F.concat("at", F.lit(": "), "error").alias("message")).unionByName(twice.select(F.concat("locale", F.lit(": `"), "name", F.lit("` is defined "), F.col("n").cast("string"), F.lit(" times")).alias("message"))).persist()
+    n = wrong.count()
+    if n:
+        return Outcome(1, n, [r[0] for r in wrong.orderBy("message").limit(SHOWN).collect()])
     status = reconcile(e.keys, stored, o).persist()
-    stats = {r["locale"]: r.asDict() for r in R.statistics(status).collect()}
+    commenting = o.comment_mode == "comment"
+    zero = {"stored": 0, "updated": 0, "added": 0, "commented": 0}
+    stats = {x: dict(zero) for x in o.locales} | {r["locale"]: {k: r[k] for k in zero} for r in R.statistics(status, commenting).collect()}
+    out = Outcome(0, 0, [], [f"Skipping Python file: {x}" for x in skipped], e.files.count(), e.keys.count(), {x: 0 for x in o.locales} | {r["locale"]: r["count"] for r in there.groupBy("locale").count().collect()}, stats)
+    if not commenting:
+        stays = stored.where("entry_type = 'message'").join(status.where("status in ('commented', 'moved', 'updated')").select("locale", F.col("key").alias("name")), ["locale", "name"], "left_semi")
+        out.warnings += [f"Key `{r['name']}` in `{locales}/{r['locale']}/{r['path']}` is not in code (kwargs mismatch or missing)." for r in stays.orderBy("locale", "path", "position").limit(SHOWN).collect()]
     files = rendered(e.keys, stored, status, o).select(F.concat_ws("/", "locale", "path").alias("path"), "content")
     changed = files.join(there.select(F.concat_ws("/", "locale", "path").alias("path"), F.col("text").alias("content")), ["path", "content"], "left_anti").persist()
-    written = 0 if o.dry_run else changed.count()
-    if written:
-        tree.write_tree(changed, locales)
-    return {"exit": 0, "messages": [], "statistics": stats, "written": written}
+    if not o.dry_run:
+        out.written = changed.count()
+        if out.written:
+            tree.write_tree(changed, locales)
+    return out

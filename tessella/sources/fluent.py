@@ -85,9 +85,11 @@ def parse(source: str) -> list[Entry]:
     """Entries in order; a line that belongs to nothing raises ValueError with its number."""
     out: list[Entry] = []
     comment: list[str] = []
+    blank = 0  # blank lines since the last line of an entry; they are part of it if it goes on
     for n, line in enumerate(re.split(r"\r\n|\n|\r", source), 1):
         if line.startswith("#"):
             comment.append(line)
+            blank = 0
             continue
         head = HEAD.match(line)
         if head:
@@ -98,12 +100,16 @@ def parse(source: str) -> list[Entry]:
             out.append(Entry("term" if name[0] == "-" else "message", name, line, n, note))
             comment = []
         elif line.strip() and line[0] in " }" and out and out[-1].kind != "comment" and not comment:
-            out[-1].text += "\n" + line
+            out[-1].text += "\n" * (blank + 1) + line
         elif line.strip():
             raise ValueError(f"line {n}: expected an entry")
-        elif comment:
-            out.append(Entry("comment", None, "\n".join(comment), n))
-            comment = []
+        else:
+            blank += 1
+            if comment:
+                out.append(Entry("comment", None, "\n".join(comment), n))
+                comment = []
+            continue
+        blank = 0
     if comment:
         out.append(Entry("comment", None, "\n".join(comment), len(source)))
     for e in out:

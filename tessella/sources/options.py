@@ -7,13 +7,28 @@ from dataclasses import dataclass, fields, replace
 from pathlib import Path
 
 
+#: Default names and globs, and what options are called in a configuration file and on the command line.
+NAMES = frozenset({"i18n", "L", "LazyProxy", "LazyFilter"})
+IGNORED_ATTRIBUTES = frozenset({"set_locale", "use_locale", "use_context", "set_context"})
+EXCLUDED = frozenset({"**/.venv/**", "**/venv/**", "**/.git/**", "**/__pycache__/**", "**/.pytest_cache/**"})
+CALLED = {
+    "names": "i18n-keys",
+    "prefixes": "i18n-keys-prefix",
+    "exclude": "exclude-dirs",
+    "locales": "languages",
+    "default_file": "default-ftl-file",
+    "comment_mode": "comment-keys-mode",
+    "allow_errors": "allow-parse-errors",
+}
+
+
 @dataclass(frozen=True)
 class Options:
-    names: frozenset[str] = frozenset({"i18n", "L", "LazyProxy", "LazyFilter"})
-    prefixes: frozenset[str] = frozenset({"self", "cls"})
-    ignore_attributes: frozenset[str] = frozenset({"set_locale", "use_locale", "use_context", "set_context"})
-    ignore_kwargs: frozenset[str] = frozenset({"when"})
-    exclude: frozenset[str] = frozenset()
+    names: frozenset[str] = NAMES
+    prefixes: frozenset[str] = frozenset()
+    ignore_attributes: frozenset[str] = IGNORED_ATTRIBUTES
+    ignore_kwargs: frozenset[str] = frozenset()
+    exclude: frozenset[str] = EXCLUDED
     locales: tuple[str, ...] = ("en",)
     default_file: str = "_default.ftl"
     line_endings: str = "default"
@@ -21,13 +36,15 @@ class Options:
     marker: str = "extract:"
     allow_errors: bool = False
     dry_run: bool = False
+    code_path: str = ""
+    locales_path: str = ""
 
     def resolved(self, config: dict, given: dict) -> Options:
         """Values of `given` win over `config`; a list under <name>-append joins the set instead of replacing it."""
         out = self
         for source in (config, given):
             for f in fields(self):
-                key = f.name.replace("_", "-")
+                key = called(f.name)
                 old = getattr(self, f.name)
                 if key in source:
                     value = source[key]
@@ -39,6 +56,11 @@ class Options:
         return out
 
 
+def called(field: str) -> str:
+    """What a field is called in a configuration file."""
+    return CALLED.get(field, field.replace("_", "-"))
+
+
 def find_config(start: str, name: str = "pyproject.toml") -> Path | None:
     """The nearest file of this name in a folder or above."""
     here = Path(start).resolve()
@@ -46,15 +68,17 @@ def find_config(start: str, name: str = "pyproject.toml") -> Path | None:
 
 
 def load_config(path: Path | None, section: str = "extract") -> dict:
-    """The options of [tool.<section>], checked by type."""
+    """The options of [tool.<section>], a name that may have dots, checked by type; paths are relative to the file's folder."""
     if path is None:
         return {}
     with path.open("rb") as f:
-        found = tomllib.load(f).get("tool", {}).get(section, {})
+        found = tomllib.load(f).get("tool", {})
+    for part in section.split("."):
+        found = found.get(part, {})
     for key, value in found.items():
         if not isinstance(value, (str, bool, list)) or (isinstance(value, list) and not all(isinstance(x, str) for x in value)):
             raise ValueError(f"{path}: {key} must be text, a switch or a list of texts")
-    return found
+    return {k: str(path.parent / v) if k in ("code-path", "locales-path") else v for k, v in found.items()}
 
 
 def sample_config(section: str = "extract") -> str:
@@ -63,5 +87,5 @@ def sample_config(section: str = "extract") -> str:
     for f in fields(d):
         v = getattr(d, f.name)
         shown = sorted(v) if isinstance(v, frozenset) else list(v) if isinstance(v, tuple) else v
-        lines.append(f"{f.name.replace('_', '-')} = {str(shown).lower() if isinstance(shown, bool) else repr(shown).replace(chr(39), chr(34))}")
+        lines.append(f"{called(f.name)} = {str(shown).lower() if isinstance(shown, bool) else repr(shown).replace(chr(39), chr(34))}")
     return "\n".join(lines) + "\n"

@@ -241,6 +241,11 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(SourceTree)
 
 
+def whole(path: str) -> str:
+    """The path as other processes understand it, whose working folder may be another."""
+    return path if "://" in path else os.path.abspath(path)
+
+
 PUSH = "spark.sql.python.filterPushdown.enabled"
 
 
@@ -248,10 +253,10 @@ def tree(spark: SparkSession, root: str, extension: str, exclude: list[str] = ()
     """(file_idx, path, text, error) of the files under a folder; filters are pushed if the session pushes them to Python sources."""
     register(spark)
     lists = {"exclude": exclude, "ignore_files": ignore_files, "mentions": mentions}
-    return spark.read.format("source_tree").option("extension", extension).option("push", spark.conf.get(PUSH, "false")).options(**{n: json.dumps(sorted(v)) for n, v in lists.items()}).load(root)
+    return spark.read.format("source_tree").option("extension", extension).option("push", spark.conf.get(PUSH, "false")).options(**{n: json.dumps(sorted(v)) for n, v in lists.items()}).load(whole(root))
 
 
 def write_tree(files: DataFrame, root: str) -> None:
     """Put (path, content) rows under a folder, all of them or none; files with equal bytes stay untouched."""
     register(files.sparkSession)
-    files.select("path", "content").write.format("source_tree").mode("append").save(root)
+    files.select("path", "content").write.format("source_tree").mode("append").save(whole(root))

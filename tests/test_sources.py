@@ -113,14 +113,17 @@ def test_state_checksum(spark, tmp_path):
 
 
 def test_options(tmp_path):
-    put(tmp_path, "pyproject.toml", '[tool.extract]\nnames = ["t"]\nignore-kwargs-append = ["x"]\nline-endings = "lf"\n')
+    put(tmp_path, "pyproject.toml", '[tool.extract]\ni18n-keys = ["t"]\nignore-kwargs = ["when"]\nignore-kwargs-append = ["x"]\nline-endings = "lf"\ncode-path = "src"\n[tool.a.b]\nlanguages = ["uk"]\n')
     (tmp_path / "a/b").mkdir(parents=True)
     found = find_config(str(tmp_path / "a/b"))
-    o = Options().resolved(load_config(found), {"line-endings": "cr", "names-append": ["u"]})
-    assert o.names == {"t", "u"} and o.ignore_kwargs == {"when", "x"} and o.line_endings == "cr"
+    o = Options().resolved(load_config(found), {"line-endings": "cr", "i18n-keys-append": ["u"]})
+    assert o.names == {"t", "u"} and o.ignore_kwargs == {"when", "x"} and o.line_endings == "cr" and o.code_path == str(tmp_path / "src")
+    assert Options().resolved(load_config(found, "a.b"), {}).locales == ("uk",) and load_config(found, "none.at.all") == {}
     with pytest.raises(ValueError):
         Options().resolved({}, {"line-endings": "no"})
-    assert "[tool.extract]" in sample_config()
+    assert "[tool.extract]" in sample_config() and "i18n-keys-prefix = []" in sample_config()
+    put(tmp_path, "sample.toml", sample_config())
+    assert Options().resolved(load_config(tmp_path / "sample.toml"), {}).names == Options().names
 
 
 CODE = """
@@ -136,8 +139,11 @@ i18n.get(*a)
 """
 
 
+OWN = Options(prefixes=frozenset({"self"}), ignore_kwargs=frozenset({"when"}))
+
+
 def test_occurrences():
-    got = [(k, kw, p, star) for k, kw, p, _, _, star in python_code.occurrences_in(CODE, Options())]
+    got = [(k, kw, p, star) for k, kw, p, _, _, star in python_code.occurrences_in(CODE, OWN)]
     assert got == [
         ("hello", ["name"], None, False),
         ("a-b", ["y", "z"], "f", False),
@@ -151,7 +157,7 @@ def test_occurrences():
 
 def test_candidates_find_every_occurrence():
     spots = {(c[2], c[0]) for c in python_code.candidates_in(CODE)}
-    for _, _, _, line, _, _ in python_code.occurrences_in(CODE, Options()):
+    for _, _, _, line, _, _ in python_code.occurrences_in(CODE, OWN):
         assert (line, "string") in spots or (line, "chain") in spots
     first = next(c for c in python_code.candidates_in('f(a, "x", k="y", g=h("z"))') if c[0] == "string")
     assert first[1] == '"x"' and first[4] == 1 and not first[5] and not first[6]
@@ -194,20 +200,6 @@ def test_variables_by_part_and_scope(spark):
     }
 
 
-def test_end_to_end(spark, tmp_path):
-    put(tmp_path, "app/one.py", 'i18n.get("hello-user", name=1)\ni18n.menu.main(_path="wallet")\n')
-    put(tmp_path, "app/two.py", 'i18n.get("same")\ni18n.get("changed", a=1)\n')
-    put(tmp_path, "loc/en/_default.ftl", "same = Same { ref }\nref = Ref\nchanged = Old { $b }\ngone = Gone\n# extract: ignore stale\nmarked = Stays\n")
-    out = X.run(spark, str(tmp_path / "app"), str(tmp_path / "loc"), Options())
-    assert out["exit"] == 0 and out["statistics"]["en"]["added"] == 2 and out["statistics"]["en"]["updated"] == 1 and out["statistics"]["en"]["commented"] == 2
-    text = (tmp_path / "loc/en/_default.ftl").read_text()
-    assert "same = Same { ref }" in text and "ref = Ref" in text and "changed = changed{ $a }" in text and "# gone = Gone" in text and "\nmarked = Stays" in text and "hello-user = hello-user{ $name }" in text
-    assert (tmp_path / "loc/en/wallet/_default.ftl").read_text() == "menu-main = menu-main\n"
-    put(tmp_path, "app/three.py", 'i18n.get("same", _path="elsewhere")\n')
-    stopped = X.run(spark, str(tmp_path / "app"), str(tmp_path / "loc"), Options())
-    assert stopped["exit"] == 1 and "same" in stopped["messages"][0]
-
-
 def test_made_programs_compile_and_their_keys_have_one_candidate(spark):
     from tessella.sources import generated, python_code
     from tessella.sources.options import Options
