@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.operators import hooks, prefix, reach, series
+from tessella.functions import tables
+from tessella.operators import counters, hooks, prefix, reach, series
 from tessella.plans.registry import query, table
 
 FOLLOWS = """e(src, dst) as (select distinct l_partkey, after from (select l_partkey, l_quantity, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) after from lineitem) where l_quantity >= 49 and after is not null)"""
@@ -78,3 +79,31 @@ def slot_profile(spark, d):
     """Means, conditional means and exact medians by slot and flag, and of all flags together."""
     li = table(spark, d, "lineitem").select(F.col("l_linenumber").alias("slot"), F.explode(F.array("l_returnflag", F.lit("all"))).alias("flag"), "l_extendedprice", "l_quantity", "l_discount")
     return series.profile(li, ["slot", "flag"], "l_extendedprice", F.when(F.col("l_discount") > 0.05, F.col("l_quantity")), F.col("l_quantity") == 0).withColumns({c: F.round(c, 6) for c in ("mean", "conditional_mean")})
+
+
+@query(
+    "string_candidates",
+    r"""with l as (select page_id, regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_-]*)?[ ]*([(\[{,=:])[ ]*"([^"\n]*)"', 1) a, regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_-]*)?[ ]*([(\[{,=:])[ ]*"([^"\n]*)"', 2) b, regexp_extract_all(html, '([A-Za-z_][A-Za-z0-9_-]*)?[ ]*([(\[{,=:])[ ]*"([^"\n]*)"', 3) c from pages)
+     select page_id, (unnest(range(1, len(a) + 1)) - 1)::int idx, nullif(unnest(a), '') as name, unnest(b) sign, unnest(c) as "string" from l""",
+)
+def string_candidates(spark, d):
+    """The strings after brackets, commas and equals signs in the pages' source, by a table function in SQL."""
+    tables.register(spark)
+    pages = table(spark, d, "pages").select("page_id", "html")
+    return spark.sql("select * from string_candidates(table(select page_id, html from {pages}) partition by (page_id), 'html')", pages=pages)
+
+
+@query(
+    "observed_counters",
+    "select count(*) walked, count(*) filter (contains(text, '|')) prefiltered, count(*) filter (contains(text, '|') and n_chars >= 300) judged, coalesce(sum(length(text)) filter (contains(text, '|') and n_chars >= 300), 0)::bigint characters from documents",
+)
+def observed_counters(spark, d):
+    """What each step of a run let through, counted by the run itself: one scan and no job beside it."""
+    c = counters.Counters()
+    walked = c.tap(table(spark, d, "documents").select("text", "n_chars"), "walked")
+    named = c.tap(walked.where(F.contains("text", F.lit("|"))), "prefiltered")
+    judged = c.tap(named.where("n_chars >= 300"), "judged", characters=F.length("text"))
+    judged.write.format("noop").mode("overwrite").save()
+    got = c.read()
+    row = (got["walked"]["rows"], got["prefiltered"]["rows"], got["judged"]["rows"], got["judged"]["characters"])
+    return spark.createDataFrame([row], "walked long, prefiltered long, judged long, characters long")

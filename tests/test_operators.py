@@ -279,6 +279,61 @@ def test_merge_by_file_is_the_merge_of_all(spark):
     assert two.where("k = 'both'").first()["unknown_at"] == 1
 
 
+def test_live_board(spark, tmp_path):
+    """Events that come twice, late or in a final report count once; a run whose time is over is reported and forgotten."""
+    from tessella.streaming import live
+
+    src = tmp_path / "in"
+    schema = "run string, event long, kind string, amount double, at timestamp"
+    conf = spark.conf.get(incremental.STORE)
+
+    def put(*rows):
+        spark.createDataFrame([(r, e, k, a, f"2024-01-01 00:{m:02d}:00") for r, e, k, a, m in rows], "run string, event long, kind string, amount double, at string").coalesce(1).write.mode("append").json(str(src))
+
+    def run():
+        seen = []
+        spark.conf.set(incremental.STORE, incremental.ROCKS)
+        try:
+            b = live.board(spark.readStream.schema(schema).json(str(src)), "run", "event", "kind", F.col("amount"), "at", "10 minutes")
+            b.writeStream.outputMode("update").foreachBatch(lambda df, n: seen.extend(df.collect())).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start().awaitTermination()
+        finally:
+            spark.conf.set(incremental.STORE, conf)
+        return sorted((r["run"], r["kind"], r["n"], r["amount"], r["done"]) for r in seen)
+
+    put(("a", 1, "file", 2.0, 1), ("a", 1, "file", 2.0, 1), ("a", 2, "file", 3.0, 4), ("a", 3, "error", None, 3), ("b", 1, "file", 1.0, 5), (None, 9, "file", 1.0, 5))
+    assert run() == [("a", "error", 1, 0.0, False), ("a", "file", 2, 5.0, False), ("b", "file", 1, 1.0, False)]
+    put(("a", 2, "file", 3.0, 4), ("a", 4, "file", 1.0, 2), ("b", 1, "file", 1.0, 5))  # a repeat, a late one, a repeat
+    assert run() == [("a", "file", 3, 6.0, False)]
+    put(("c", 1, "file", 1.0, 30))
+    assert run() == [("a", "error", 1, 0.0, True), ("a", "file", 3, 6.0, True), ("b", "file", 1, 1.0, True), ("c", "file", 1, 1.0, False)]
+    put(("c", 2, "file", 1.0, 31))
+    assert run() == [("c", "file", 2, 2.0, False)]
+
+
+def test_string_candidates_in_sql(spark):
+    from tessella.functions import tables
+
+    tables.register(spark)
+    df = spark.createDataFrame([(1, "x", 'f("a", k="b") ["c" d "no" e: "é"'), (2, "y", None), (3, "z", "")], "id int, tag string, body string")
+    got = spark.sql("select * from string_candidates(table(select * from {df}) partition by (id), 'body')", df=df)
+    assert got.columns == ["id", "tag", "idx", "name", "sign", "string"]
+    assert sorted(map(tuple, got.collect())) == [(1, "x", 0, "f", "(", "a"), (1, "x", 1, "k", "=", "b"), (1, "x", 2, None, "[", "c"), (1, "x", 3, "e", ":", "é")]
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("select * from string_candidates(table(select * from {df}) partition by (id), 'none')", df=df)
+
+
+def test_counters_ride_along(spark):
+    """Each tap has what a count of its own would give, from one job."""
+    from tessella.operators.counters import Counters
+
+    c = Counters()
+    df = c.tap(spark.range(100), "all", total=F.col("id"))
+    some = c.tap(df.where("id % 3 = 0"), "some")
+    none = c.tap(some.where("id < 0"), "none", total=F.col("id"))
+    none.write.format("noop").mode("overwrite").save()
+    assert c.read() == {"all": {"rows": 100, "total": 4950}, "some": {"rows": 34}, "none": {"rows": 0, "total": 0}}
+
+
 def test_observer_hears_batches(spark, tmp_path):
     import time
 
