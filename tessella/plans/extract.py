@@ -48,9 +48,11 @@ def problems(e: Extraction) -> DataFrame:
     at = lambda c: F.concat_ws(":", f"{c}.path", f"{c}.line", f"{c}.col")
     tag, said = (F.when(F.col("kind") == "path", a).otherwise(b) for a, b in (("key-path-conflict", "key-message-conflict"), ("has different paths", "is used with different keyword arguments")))
     message = F.concat(F.lit("["), tag, F.lit("] Fluent key "), "key", F.lit(" "), said, F.lit(": "), "first", F.lit(" and "), "other", F.lit(" ("), at("first_at"), F.lit(", "), at("other_at"), F.lit(")"))
-    place = F.concat_ws(":", "path", F.when(F.col("line") > 0, F.col("line")), F.when(F.col("line") > 0, F.col("col")))
-    detail = F.regexp_extract("error", "^[^:]*: ?(.*)$", 1)
-    what = F.when(F.col("error").startswith("parse-error"), F.concat(F.lit("Failed to parse Python file: "), detail)).when(F.col("error") == "invalid-utf8", "Python file is not valid UTF-8").otherwise(F.concat(F.lit("Failed to read Python file: "), detail))
+    own = F.regexp_extract("error", "[(]([0-9]+:[0-9]+)[)]$", 1)
+    place = F.concat_ws(":", "path", F.when(F.col("line") > 0, F.concat_ws(":", "line", "col")).when(own != "", own))
+    detail = F.regexp_extract("error", "^[^:]*: ?(.*?)(?: [(][0-9]+:[0-9]+[)])?$", 1)
+    kind = F.substring_index("error", ":", 1)
+    what = F.concat(F.when(kind == "parse-error", "Failed to parse Python file: ").when(kind == "invalid-utf8", "Python file is not valid UTF-8: ").otherwise("Failed to read Python file: "), detail)
     return e.conflicts.select(F.lit(False).alias("allowed"), "key", message.alias("message")).unionByName(e.diagnostics.select(F.lit(True).alias("allowed"), F.col("path").alias("key"), F.concat(F.lit("["), F.substring_index("error", ":", 1), F.lit("] "), what, F.lit(" ("), place, F.lit(")")).alias("message")))
 
 

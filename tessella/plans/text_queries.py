@@ -194,22 +194,23 @@ def marker_parse(spark, d):
 
 @query(
     "scalar_text_suite",
-    """select p_partkey, regexp_extract(p_name || '_x', '([A-Z]{1,4}\\d*[a-z]*)[_ ]', 1) glomerulus, 'k' || '{ $' || lower(p_brand) || ' }' || '{ $' || 'zz' || ' }' placeholder, regexp_replace((p_partkey * 12345)::varchar, '(\\d)((\\d{3})+)$', '\\1\\2') is not null spaced,
+    """select p_partkey, regexp_extract(p_name || '_x', '([A-Z]{1,4}\\d*[a-z]*)[_ ]', 1) glomerulus, 'k' || '{ $' || lower(p_brand) || ' }' || '{ $' || 'zz' || ' }' placeholder, replace(format('{:,}', p_partkey * 12345), ',', ' ') spaced,
     p_size || ' part' || case when p_size = 1 then '' else 's' end as counted, repeat('#', (p_size * 20 / 50.0)::double::bigint::int - case when (p_size * 20 / 50.0)::double::bigint > (p_size * 20 / 50.0)::double then 1 else 0 end) || repeat('.', 20 - ((p_size * 20 / 50.0)::double::bigint::int - case when (p_size * 20 / 50.0)::double::bigint > (p_size * 20 / 50.0)::double then 1 else 0 end)) bar,
-    printf('%s %s at %d:%d', p_type, p_name, p_size, 3) described, case when lower(p_type) like '%gaba%' then -1 else 0 end sign, 'took <time>' as scrubbed from part""",
+    printf('%s %s at %d:%d', p_type, p_name, p_size, 3) described, case when p_type = 'ECONOMY' then -1 when p_type = 'SMALL' then -1 when p_size > 25 then 1 else 0 end sign, 'took <time>, then <time> for ' || p_name as scrubbed from part""",
 )
 def scalar_text_suite(spark, d):
-    sign = F.when(F.lower("p_type").contains("gaba"), "gaba")
+    known = F.when(F.col("p_type") == "ECONOMY", "Gaba; acetylcholine").when(F.col("p_type") == "SMALL", "acetylcholine-negative, glutamate")
+    best = F.when(F.col("p_size") > 25, "ACETYLCHOLINE").otherwise("serotonin")
     return table(spark, d, "part").select(
         "p_partkey",
         T.glomerulus(F.concat("p_name", F.lit("_x"))).alias("glomerulus"),
         T.placeholder_text(F.lit("k"), F.array(F.lit("zz"), F.lower("p_brand"))).alias("placeholder"),
-        T.thousands(F.col("p_partkey") * 12345).isNotNull().alias("spaced"),
+        T.thousands(F.col("p_partkey") * 12345).alias("spaced"),
         T.counted(F.col("p_size"), "part").alias("counted"),
         T.bar(F.col("p_size"), F.lit(50)).alias("bar"),
         T.described(F.col("p_type"), F.col("p_name"), F.col("p_size"), F.lit(3)).alias("described"),
-        T.sign_of(T.primary_transmitter(F.lit("x-negative"), sign)).alias("sign"),
-        T.scrubbed(F.concat(F.lit("took "), F.col("p_size").cast("string"), F.lit(" ms"))).alias("scrubbed"),
+        T.sign_of(T.primary_transmitter(known, best)).alias("sign"),
+        T.scrubbed(F.concat(F.lit("took "), F.col("p_retailprice").cast("string"), F.lit("s, then "), F.col("p_size").cast("string"), F.lit(" ms for "), "p_name")).alias("scrubbed"),
     )
 
 

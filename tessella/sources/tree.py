@@ -112,6 +112,13 @@ def listed(root: str, extension: str, exclude: list[str] = (), ignore_files: tup
     return sorted(out)
 
 
+def undecodable(data: bytes, e: UnicodeDecodeError) -> str:
+    """What is wrong from which byte on, and its line and column."""
+    what = "incomplete utf-8 byte sequence" if e.reason == "unexpected end of data" else f"invalid utf-8 sequence of {e.end - e.start} bytes"
+    line = data[: e.start].rpartition(b"\n")[2].decode()
+    return f"invalid-utf8: {what} from index {e.start} ({data.count(bytes([10]), 0, e.start) + 1}:{len(line) + 1})"
+
+
 class Share(InputPartition):
     def __init__(self, files: list[tuple[int, str]]):
         self.files = files
@@ -157,9 +164,9 @@ class TreeReader(DataSourceReader):
                 continue
             try:
                 yield i, path, data.decode(), None
-            except UnicodeDecodeError:
+            except UnicodeDecodeError as e:
                 if not all_of:
-                    yield i, path, None, "invalid-utf8"
+                    yield i, path, None, undecodable(data, e)
 
 
 class PushingReader(TreeReader):

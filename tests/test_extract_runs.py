@@ -101,13 +101,13 @@ def test_warning_and_dry_runs(project):
 
 def test_conflicts_and_unreadable_files(project):
     put, run, read = project
-    put(app__a_py='i18n.get("p", _path="x.ftl")\ni18n.get("kw", a=1)\n', app__b_py='\ni18n.get("p", _path="y.ftl"); i18n.get("kw", b=1)\ni18n.get("kw", **z)\n', app__c_py="i18n.get('x'\n", app__d_py=b"i18n \xff\n")
+    put(app__a_py='i18n.get("p", _path="x.ftl")\ni18n.get("kw", a=1)\n', app__b_py='\ni18n.get("p", _path="y.ftl"); i18n.get("kw", b=1)\ni18n.get("kw", **z)\n', app__c_py="i18n.get('x'\n", app__d_py="é1\n".encode() + b"i \xff i18n\n")
     code, log = run()
     assert code == 1 and read("en/x.ftl") is None
     at = log.index("[ERROR cli] Extraction aborted: 4 problems found, no .ftl files were written.")
     assert log[at + 1].startswith("      - [parse-error] Failed to parse Python file: ") and log[at + 1].endswith("(app/c.py:1:9)")
     assert log[at + 2 : at + 5] == [
-        "      - [invalid-utf8] Python file is not valid UTF-8 (app/d.py)",
+        "      - [invalid-utf8] Python file is not valid UTF-8: invalid utf-8 sequence of 1 bytes from index 6 (app/d.py:2:3)",
         "      - [key-message-conflict] Fluent key kw is used with different keyword arguments: a and b (app/a.py:2:1, app/b.py:2:31)",
         "      - [key-path-conflict] Fluent key p has different paths: x.ftl and y.ftl (app/a.py:1:1, app/b.py:2:1)",
     ]

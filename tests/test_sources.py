@@ -42,10 +42,11 @@ def test_globs_and_last_match():
 def test_typed_read_errors(spark, tmp_path):
     put(tmp_path, "ok/__init__.py", "i18n.a()")
     put(tmp_path, "bad.py", b"i18n \xff")
+    put(tmp_path, "cut.py", b"i18n\n\xc3\xa9x\xe2\x82")
     put(tmp_path, "none.py", "x = 1")
     (tmp_path / "dangling.py").symlink_to(tmp_path / "nowhere")
     rows = {r["path"]: (r["text"], r["error"]) for r in tree.tree(spark, str(tmp_path), ".py", mentions=["i18n", "L"]).collect()}
-    assert rows == {"ok/__init__.py": ("i18n.a()", None), "bad.py": (None, "invalid-utf8")}
+    assert rows == {"ok/__init__.py": ("i18n.a()", None), "bad.py": (None, "invalid-utf8: invalid utf-8 sequence of 1 bytes from index 5 (1:6)"), "cut.py": (None, "invalid-utf8: incomplete utf-8 byte sequence from index 8 (2:3)")}
     assert tree.tree(spark, str(tmp_path / "missing"), ".py").count() == 0
 
 
