@@ -63,6 +63,8 @@ DIGIT = np.zeros(256, bool)
 DIGIT[ord("0") : ord("9") + 1] = True
 POINT = np.zeros(256, bool)
 POINT[[ord("."), ord(",")]] = True
+#: Code points that are capital letters, of any script of the first plane.
+UPPER = np.array([chr(c).isupper() for c in range(1 << 16)])
 STOP = np.zeros(256, bool)
 STOP[[ord(c) for c in ".!?:;\n\r\"|>([{"]] = True
 
@@ -73,6 +75,15 @@ def unit_hashes() -> np.ndarray:
     return np.unique(K.Prefix(np.frombuffer(b"".join(raw), np.uint8), K.BYTE_BASE).spans(off[:-1], off[1:]))
 
 
+def starts_upper(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Whether the code point at each start is a capital letter (UTF-8 of one to three bytes)."""
+    byte = [data[np.minimum(start + i, len(data) - 1)].astype(np.int32) for i in range(3)]
+    lead = byte[0]
+    two, three = ((lead & 0x1F) << 6) | (byte[1] & 0x3F), ((lead & 0x0F) << 12) | ((byte[1] & 0x3F) << 6) | (byte[2] & 0x3F)
+    point = np.where(lead < 0x80, lead, np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, 0)))
+    return UPPER[point]
+
+
 class Template:
     """Tokens of a run of documents: word (placeholder or hash), slot (the value's hash, 0 for a word), first (offsets by document)."""
 
@@ -105,10 +116,7 @@ class Template:
         slot[number | unit] = h[number | unit]
         keep = np.ones(n, bool)
         if view == NAMES:
-            lead = data[start]
-            second = data[np.minimum(start + 1, len(data) - 1)]
-            upper = ((lead >= 65) & (lead <= 90)) | ((lead == 0xC3) & (second >= 0x80) & (second <= 0x9E))
-            name = upper & joined & ~number & ~unit
+            name = starts_upper(data, start) & joined & ~number & ~unit
             more = name.copy()
             more[1:] &= name[:-1]
             more[0] = False

@@ -7,9 +7,9 @@ collapse at prediction into one table of 256 rows for each filter tap, so a
 convolution is a sum of look-ups. A document's whole text is cut into windows;
 their log-probabilities are averaged, weighted by their letters.
 
-Training reads a bounded sample of labelled documents: MAX_DOCS in all, an
-equal number for each language, those with the least hashes of their text, and
-of each at most WINDOWS windows spread over the whole text. Prediction reads
+Training reads a bounded sample of labelled texts: MAX_DOCS in all, an equal
+number for each language, those with the least hashes, each text once, and of
+each at most WINDOWS windows spread over the whole text. Prediction reads
 the text and nothing else.
 
 Defined cases: null text, or text without a letter, is `und` with score 0; with
@@ -26,7 +26,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.llm import kernels as K
@@ -143,10 +143,20 @@ def remainder(mod: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % mod
 
 
-def sample(docs: DataFrame, max_docs: int) -> list[tuple[str, str]]:
-    """(language, text): an equal number for each language, at most max_docs in all; by the hash of the text."""
-    labelled = docs.where("lang is not null and text is not null and text <> ''")
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+def spread_windows(data: np.ndarray) -> np.ndarray:
+    """At most WINDOWS windows of one text, over its whole length."""
+    x, _ = cut_windows(data, np.array([0, len(data)]))
+    return x[np.unique(np.linspace(0, len(x) - 1, WINDOWS).astype(int))]
+
+
+def sample(docs: DataFrame, max_docs: int) -> list[tuple[str, np.ndarray]]:
+    """(language, windows): an equal number of different texts for each language, at most max_docs in all; by the hash of the text.
+
+    Copies count once, whatever share of a language they are. Windows are cut
+    where texts are read; so many bytes for each text sampled come back, no text.
+    """
+    labelled = docs.where("lang is not null and text is not null and text <> ''").select("lang", "text", F.xxhash64("text").alias("key"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.count_distinct("key")).collect()}
     if not counts:
         return []
     each = max(1, max_docs // len(counts))
@@ -154,12 +164,18 @@ def sample(docs: DataFrame, max_docs: int) -> list[tuple[str, str]]:
     share = F.lit(1.0)
     for lang, n in sorted(counts.items()):
         share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2.0 * each / n + 20.0 / n))).otherwise(share)
-    h = (F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)).alias("h")
-    rows = labelled.select("lang", h, "text").where(F.col("h") < share).collect()
-    out: list[tuple[str, str]] = []
-    for lang in sorted(counts):
-        out += [(r["lang"], r["text"]) for r in sorted((r for r in rows if r["lang"] == lang), key=lambda r: (r["h"], r["text"]))[:each]]
-    return out
+    h = (F.pmod("key", F.lit(1 << 30)) / float(1 << 30)).alias("h")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, off = K.column_bytes(batch.column("text"))
+            held = [spread_windows(data[a:b]).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(held, pa.binary())], ["lang", "h", "key", "windows"])
+
+    few = S.map_arrow(labelled.select("lang", h, "key", "text").where(F.col("h") < share), cut, "lang string, h double, key long, windows binary")
+    least = Window.partitionBy("lang").orderBy("h", "key")
+    rows = few.dropDuplicates(["lang", "key"]).withColumn("_r", F.row_number().over(least)).where(F.col("_r") <= each)
+    return [(r["lang"], np.frombuffer(r["windows"], np.uint8).reshape(-1, WINDOW)) for r in rows.orderBy("lang", "_r").collect()]
 
 
 def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Network | None:
@@ -168,14 +184,7 @@ def fit(docs: DataFrame, max_docs: int = MAX_DOCS) -> Network | None:
     if not rows:
         return None
     langs = sorted({lang for lang, _ in rows})
-    xs, ys = [], []
-    for lang, text in rows:
-        raw = np.frombuffer(text.encode(), np.uint8)
-        x, _ = cut_windows(raw, np.array([0, len(raw)]))
-        x = x[np.unique(np.linspace(0, len(x) - 1, WINDOWS).astype(int))]
-        xs.append(x)
-        ys.append(np.full(len(x), langs.index(lang)))
-    return train(np.concatenate(xs), np.concatenate(ys), langs)
+    return train(np.concatenate([x for _, x in rows]), np.concatenate([np.full(len(x), langs.index(lang)) for lang, x in rows]), langs)
 
 
 def has_letter(data: np.ndarray, off: np.ndarray) -> np.ndarray:

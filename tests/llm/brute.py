@@ -191,7 +191,7 @@ def template(text, view, units):
             out.append(["<number>", low, False])
         elif prev and prev[0] == "<number>" and low in units:
             out.append(["<unit>", low, False])
-        elif view == 0 and not first and not set(gap) & set('.!?:;\n\r"|>([{') and ("A" <= t[0] <= "Z" or "À" <= t[0] <= "Þ"):
+        elif view == 0 and not first and not set(gap) & set('.!?:;\n\r"|>([{') and t[0].isupper():
             if prev[2]:
                 prev[1] = tuple(sorted((*prev[1], low)))
             else:

@@ -285,14 +285,30 @@ def test_language_query(spark, sf):
 
 def test_language_edges(spark, docs, empty):
     odd = spark.createDataFrame([(1, None, "en"), (2, "", "en"), (3, "12 + 4 = ?", "de"), (4, "日本語", "ja"), (5, "the the the", "en"), (6, "der die das", "de"), (7, "x" * 100_000, "en"), (None, "the", None)], "doc_id bigint, text string, lang string")
+    odd = odd.unionByName(odd.where("doc_id = 5")).selectExpr("*", "0.5 score", "'x' lang_pred", "1 windows")
     net = language_id.fit(odd)
+    assert sorted(r["lang_pred"] for r in language_id.identify(odd, net).where("doc_id = 5").collect()) == [language_id.identify(odd, net).where("doc_id = 5").first()["lang_pred"]] * 2
     out = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in language_id.identify(odd, net).collect()}
-    assert out[1] == out[2] == out[3] == ("und", 0.0) and out[4][0] in net.langs and len(out) == 8
+    assert out[1] == out[2] == out[3] == ("und", 0.0) and out[4][0] in net.langs and len(out) == 8 and language_id.identify(odd, net).count() == 9
     assert language_id.fit(empty) is None
     assert {r["lang_pred"] for r in language_id.identify(odd, None).collect()} == {"und"}
     assert language_id.identify(empty, net).count() == 0
 
 
+def test_language_sample_takes_each_text_once(spark):
+    """A text that is most of a language's rows is one of the sample, and only windows come back."""
+    rng = random.Random(8)
+    texts = [(f"{prose(rng, 300)} {i}", "en") for i in range(60)] + [(f"{prose(rng, 20)} x{i}", "de") for i in range(30)]
+    rows = texts + [(texts[0][0], "en")] * 400 + [(texts[70][0], "de")] * 50 + [(texts[0][0], "de"), (None, "en"), ("", "en"), ("lost", None)]
+    got = language_id.sample(spark.createDataFrame(rows, "text string, lang string").repartition(5), 40)
+    assert [lang for lang, _ in got] == ["de"] * 20 + ["en"] * 20
+    windows = {x.tobytes() for lang, x in got if lang == "en"}
+    assert len(windows) == 20 and windows <= {language_id.spread_windows(np.frombuffer(t.encode(), np.uint8)).tobytes() for t, lang in texts if lang == "en"}
+    assert all(x.shape[0] <= language_id.WINDOWS and x.shape[1] == language_id.WINDOW for _, x in got)
+    everything = language_id.sample(spark.createDataFrame(rows, "text string, lang string"), 100_000)
+    assert len(everything) == 60 + 31
+
+
 def test_convolution_and_gradient():
     """Responses by plain loops, and gradients by finite differences."""
     rng = np.random.default_rng(4)
@@ -353,6 +369,21 @@ def test_templates(spark):
     assert got == {(0, 1), (1, 1), (2, 1)}
 
 
+def test_names_of_any_script(spark):
+    """Names start with a capital of whatever script; letters without case are no names."""
+    item = "gdzie Łukasz Żak kupuje 12 jabłek i 3 gruszki po 5 zł, ile płaci Łukasz Żak w sklepie u Škoda razem?"
+    texts = [
+        "gdzie Marek Nowak kupuje 40 jabłek i 7 gruszki po 9 zł, ile płaci Marek Nowak w sklepie u Peter razem?",
+        "gdzie Łucja Święta kupuje 4 jabłek i 8 gruszki po 2 zł, ile płaci Łucja Święta w sklepie u Šimon razem?",
+        "gdzie Борис Жуков kupuje 4 jabłek i 8 gruszki po 2 zł, ile płaci Борис Жуков w sklepie u Ζωή razem?",
+        "gdzie łucja święta kupuje 4 jabłek i 8 gruszki po 2 zł, lecz płaci łucja nic",
+    ]
+    assert found(spark, texts, ((1, item),)) == {(0, 1), (1, 1), (2, 1)}
+    raw = np.frombuffer("aAéÉłŁжЖ日ǅ1".encode(), np.uint8)
+    start = np.flatnonzero((raw & 0xC0) != 0x80)
+    assert decontamination.starts_upper(raw, start).tolist() == [c.isupper() for c in "aAéÉłŁжЖ日ǅ1"]
+
+
 def test_slots_that_become_equal_or_conflict(spark):
     """Different numbers may become equal; one altered of two equal numbers costs its own windows only."""
     rng = random.Random(10)
