@@ -42,9 +42,12 @@ def group_split(df: DataFrame, group: str, train: int = 80, val: int = 10, seed:
 
 
 def capped(df: DataFrame, positive: Column, id_: str, budget: int, seed: str = "c") -> DataFrame:
-    """All positive rows, and of the others those with the least hashes until the budget is full."""
-    n = df.where(positive).count()
-    return df.where(positive).unionByName(df.where(~positive).orderBy(draw(F.col(id_), seed), id_).limit(max(0, budget - n)))
+    """All positive rows, and of the others those with the least hashes until the budget is full; one plan, `budget` rows ranked."""
+    kept = df.where(positive)
+    taken = kept.agg(F.count(F.lit(1)).alias("_taken"))
+    order = [draw(F.col(id_), seed), F.col(id_)]
+    few = df.where(~positive).orderBy(*order).limit(budget).withColumn("_rank", F.row_number().over(Window.orderBy(*order)))
+    return kept.unionByName(few.crossJoin(F.broadcast(taken)).where(F.col("_rank") <= budget - F.col("_taken")).select(*df.columns))
 
 
 def replicated(df: DataFrame, seeds: list[int]) -> DataFrame:

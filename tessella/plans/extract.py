@@ -149,6 +149,15 @@ def read_catalogues(spark: SparkSession, root: str, o: Options) -> DataFrame:
     return out
 
 
+def defined_twice(stored: DataFrame) -> DataFrame:
+    """(message) for each message or term that a locale defines more than once, with all places."""
+    rows = M.duplicates(stored.where("name is not null").withColumn("at", F.struct(T.path_components(F.col("path")).alias("parts"), "position", "path")), ["locale", "name"], "at")
+    places = F.transform(F.array_sort(F.collect_list("at")), lambda x: F.concat("locale", F.lit("/"), x["path"], F.lit(":"), x["position"].cast("string")))
+    x = rows.groupBy("locale", "name").agg(places.alias("places"))
+    listed = F.concat(F.array_join(F.slice("places", 1, F.size("places") - 1), ", "), F.lit(" and "), F.element_at("places", -1))
+    return x.select(F.concat(F.lit("Fluent key "), "name", F.lit(" is defined more than once in locale "), "locale", F.lit(": "), listed).alias("message"))
+
+
 @dataclass
 class Outcome:
     exit: int
@@ -171,9 +180,10 @@ def run(spark: SparkSession, code: str, locales: str, o: Options) -> Outcome:
     e.keys = e.keys.persist()
     there = read_catalogues(spark, locales, o).persist()
     stored = fluent.entries(there.where("error is null")).persist()
-    bad = stored.where("error is not null").select(F.concat_ws("/", "locale", "path").alias("at"), "error").unionByName(there.where("error is not null").select(F.concat_ws("/", "locale", "path").alias("at"), "error"))
-    twice = M.duplicates(stored.where("entry_type = 'message'"), ["locale", "name"], "position").select("locale", "name", "n").distinct()
-    wrong = bad.select(F.concat("at", F.lit(": "), "error").alias("message")).unionByName(twice.select(F.concat("locale", F.lit(": `"), "name", F.lit("` is defined "), F.col("n").cast("string"), F.lit(" times")).alias("message"))).persist()
+    at = F.concat_ws("/", F.lit(locales), "locale", "path")
+    bad = stored.where("error is not null").select(F.concat(F.lit("Failed to parse FTL file "), at, F.lit(":"), "error").alias("message"))
+    unread = there.where("error is not null").select(F.concat(F.lit("Failed to read FTL file "), at, F.lit(": "), "error").alias("message"))
+    wrong = bad.unionByName(unread).unionByName(defined_twice(stored)).persist()
     n = wrong.count()
     if n:
         return Outcome(1, n, [r[0] for r in wrong.orderBy("message").limit(SHOWN).collect()])

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import tables
-from tessella.operators import counters, hooks, prefix, reach, series
+from tessella.operators import counters, hooks, prefix, reach, series, sparse
 from tessella.plans.registry import query, table
 
 FOLLOWS = """e(src, dst) as (select distinct l_partkey, after from (select l_partkey, l_quantity, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_quantity) after from lineitem) where l_quantity >= 49 and after is not null)"""
@@ -107,3 +107,23 @@ def observed_counters(spark, d):
     got = c.read()
     row = (got["walked"]["rows"], got["prefiltered"]["rows"], got["judged"]["rows"], got["judged"]["characters"])
     return spark.createDataFrame([row], "walked long, prefiltered long, judged long, characters long")
+
+
+@query(
+    "sparse_gather",
+    """with e as (select vec_id, label, unnest(range(0, len(embedding))) col, unnest(embedding) x from embeddings), m as (select max(vec_id) + 1 n from embeddings),
+     s as (select vec_id as "row", col, ln(1 + x::double) v from e where x > 0 union all select vec_id + n, col, x::double from e, m where x > 0 and label % 2 = 1),
+     w as (select conv_id as "at", (conv_id * 7 + turn) % (2 * n) as "row" from conversations, m where role = 'user')
+     select "at", count(*) entries, round(sum(v / (1 + col)), 6) product from w join s using ("row") group by "at\"""",
+)
+def sparse_gather(spark, d):
+    """Two sparse views of the embeddings, stacked; the rows that conversations name, gathered and weighed."""
+    e = table(spark, d, "embeddings")
+    n = e.agg(F.max("vec_id") + 1).first()[0] or 0
+    logs = sparse.built(e, "vec_id", F.col("embedding"), F.log1p(F.col("x").cast("double")))
+    plain = sparse.built(e.where("label % 2 = 1"), "vec_id", F.col("embedding"))
+    wanted = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("at"), ((F.col("conv_id") * 7 + F.col("turn")) % (2 * n)).alias("row"))
+    rows = sparse.gathered(sparse.stacked([(logs, n), (plain, n)]), wanted)
+    weights = spark.range(4096).select(F.col("id").cast("int").alias("col"), (F.lit(1.0) / (1 + F.col("id"))).alias("weight"))
+    x = rows.groupBy("row").agg(F.count(F.lit(1)).alias("entries"))
+    return x.join(sparse.times(rows, F.broadcast(weights)), "row").select(F.col("row").alias("at"), "entries", F.round("product", 6).alias("product"))

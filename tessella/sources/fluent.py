@@ -81,15 +81,32 @@ def parts(text: str) -> Iterator[tuple[str | None, str]]:
     yield name, "\n".join(held)
 
 
+#: A further line that starts so is not text of a value.
+NO_TEXT = re.compile(r"[ ]*[.*\[}]")
+
+
+def has_text(value: str) -> bool:
+    """Whether a value says anything: on its first line, or on a later one that can be text."""
+    first, *rest = value.split("\n")
+    return bool(first.strip()) or any(x.strip() and not NO_TEXT.match(x) for x in rest)
+
+
 def parse(source: str) -> list[Entry]:
-    """Entries in order; a line that belongs to nothing raises ValueError with its number."""
+    """Entries in order; ValueError has place and kind of the first problem and how many more there are.
+
+    What can't be read runs on to the next line that starts an entry or a comment,
+    and is one problem, also where it follows an entry that is one itself.
+    """
     out: list[Entry] = []
     comment: list[str] = []
+    problems: list[tuple[int, str]] = []
+    after: dict[int, Entry | None] = {}  # line of a problem: the entry before it
     blank = 0  # blank lines since the last line of an entry; they are part of it if it goes on
+    lost = False
     for n, line in enumerate(re.split(r"\r\n|\n|\r", source), 1):
         if line.startswith("#"):
             comment.append(line)
-            blank = 0
+            blank, lost = 0, False
             continue
         head = HEAD.match(line)
         if head:
@@ -98,32 +115,45 @@ def parse(source: str) -> list[Entry]:
             if comment and note is None:
                 out.append(Entry("comment", None, "\n".join(comment), n))
             out.append(Entry("term" if name[0] == "-" else "message", name, line, n, note))
-            comment = []
-        elif line.strip() and line[0] in " }" and out and out[-1].kind != "comment" and not comment:
-            out[-1].text += "\n" * (blank + 1) + line
-        elif line.strip():
-            raise ValueError(f"line {n}: expected an entry")
-        else:
+            comment, lost = [], False
+        elif not line.strip():
             blank += 1
             if comment:
                 out.append(Entry("comment", None, "\n".join(comment), n))
                 comment = []
             continue
+        elif line[0] in " }" and out and out[-1].kind != "comment" and not comment and not lost:
+            out[-1].text += "\n" * (blank + 1) + line
+        elif not lost:
+            problems.append((n, "Expected an entry start"))
+            after[n] = out[-1] if out and not comment else None
+            lost = True
         blank = 0
     if comment:
         out.append(Entry("comment", None, "\n".join(comment), len(source)))
     for e in out:
         if e.kind == "comment":
             continue
+        wrong = None
         for name, value in parts(e.text):
             try:
                 read = Pattern(value)
             except (ValueError, RecursionError) as error:
-                raise ValueError(f"{e.name}: {error}") from None
+                wrong = f"{error} in \"{e.name}\""
+                break
             if name is None:
                 e.variables, e.refs = sorted(read.variables), read.refs
+                bare = not has_text(value)
             else:
                 e.attributes.append({"name": name, "variables": sorted(read.variables), "refs": read.refs})
+        if wrong is None and bare and (e.kind == "term" or not e.attributes):
+            wrong = f"Expected a {e.kind} field for \"{e.name.lstrip('-')}\""
+        if wrong is not None:
+            problems = [(n, what) for n, what in problems if after.get(n) is not e] + [(e.position, wrong)]
+    if problems:
+        line, what = min(problems)
+        more = f" (and {len(problems) - 1} more)" if len(problems) > 1 else ""
+        raise ValueError(f"{line}:1: {what}{more}")
     return out
 
 

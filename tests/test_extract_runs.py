@@ -123,10 +123,18 @@ def test_skipped_files_comment_their_keys(project):
 
 
 def test_broken_catalogues(project):
+    """All problems of catalogues at once: what a file holds first and how much more, and every place of a key that is there twice."""
     put, run, read = project
-    put(app__a_py='i18n.get("a")\n', locales__en___default_ftl="a = A\n= nothing\n", locales__en__b_ftl="t = 1\n", locales__en__c_ftl="t = 2\n")
+    put(app__a_py='i18n.get("a")\n', locales__en___default_ftl="a = A\nempty =\n  .attr\n= nothing\nb = B\n\n? odd\nstill odd\n", locales__en__b_ftl="t = 1\n-u = x\n", locales__en__c_ftl="x = { $y\n", locales__en__d__e_ftl="t = 2\n\nt = 3\n-u = y\n", locales__en__f_ftl=b"t = \xff")
     code, log = run()
-    assert code == 1 and any("line 2" in x for x in log) and any("`t` is defined 2 times" in x for x in log) and read("en/b.ftl") == "t = 1\n"
+    assert code == 1 and read("en/b.ftl") == "t = 1\n-u = x\n"
+    assert log[log.index("[ERROR cli] Extraction aborted: 5 problems found, no .ftl files were written.") + 1 :] == [
+        '      - Failed to parse FTL file locales/en/_default.ftl:2:1: Expected a message field for "empty" (and 1 more)',
+        '      - Failed to parse FTL file locales/en/c.ftl:1:1: unbalanced braces in "x"',
+        "      - Failed to read FTL file locales/en/f.ftl: invalid-utf8: invalid utf-8 sequence of 1 bytes from index 4 (1:5)",
+        "      - Fluent key -u is defined more than once in locale en: en/b.ftl:2 and en/d/e.ftl:4",
+        "      - Fluent key t is defined more than once in locale en: en/b.ftl:1, en/d/e.ftl:1 and en/d/e.ftl:3",
+    ]
 
 
 @pytest.mark.parametrize("mode,end", [("crlf", "\r\n"), ("cr", "\r"), ("lf", "\n")])
