@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from jobs.common import command_line, log
 from tessella.operators import merge, reconcile
+from tessella.operators.counters import Counters
 from tessella.sources.ignore import Rule, verdict
 
 STATUS = {"added": "missing", "commented": "stale", "same": "untranslated", "updated": "translated"}
@@ -80,10 +81,15 @@ def written(df: DataFrame, path: str, files: int) -> DataFrame:
 
 
 def run(spark: SparkSession, config: dict, pages: str, out: str) -> int:
-    found = occurrences(spark.read.parquet(pages), config)
+    counts = Counters()
+    found = counts.tap(occurrences(counts.tap(spark.read.parquet(pages), "pages"), config), "occurrences")
     catalogue = written(messages(found), f"{out}/messages", config["files_per_locale"])
+    seen = counts.read()
+    # without any occurrence adaptive execution drops the taps
+    n_pages = seen["pages"]["rows"] if seen["pages"] else spark.read.parquet(pages).count()
+    log.info("read %d pages of %s: %d occurrences of messages", n_pages, pages, seen["occurrences"]["rows"] if seen["occurrences"] else 0)
     for r in catalogue.groupBy("locale").agg(F.count(F.lit(1)).alias("keys"), F.sum("occurrences").alias("n")).orderBy("locale").collect():
-        log.info("read %s: locale %s has %d keys in %d occurrences", pages, r["locale"], r["keys"], r["n"])
+        log.info("wrote %s/messages: locale %s has %d keys in %d occurrences", out, r["locale"], r["keys"], r["n"])
     several = catalogue.where((F.col("locale") == config["source_locale"]) & (F.col("variants") > 1))
     n = several.count()
     for r in several.orderBy(F.desc("variants"), "key").limit(5).collect():

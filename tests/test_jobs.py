@@ -61,6 +61,25 @@ def test_messages_of_a_growing_folder(spark, sf, tmp_path, caplog):
     assert {p.name for p in (tmp_path / "out").glob("locale=*")} >= {"locale=en", "locale=und"}
 
 
+def test_a_run_that_was_cut_off(spark, sf, tmp_path):
+    """Batches of one file each; the second run is stopped before its last batch is committed, and the third ends it."""
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    config = configuration(HERE / "document_messages.json") | {"files_per_trigger": 1}
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    docs.where("doc_id < 90").repartition(3).write.parquet(src)
+    document_messages.run(spark, config, src, out, ck)
+    docs.where("doc_id >= 90 and doc_id < 120").repartition(2).write.mode("append").parquet(src)
+    document_messages.run(spark, config, src, out, ck)
+    want = sorted(map(repr, document_messages.current(spark, out).collect()))
+    last = max(int(p.name) for p in (tmp_path / "ck" / "commits").glob("[0-9]*"))
+    assert last == 4 and len(want) == 120
+    for p in (tmp_path / "ck" / "commits").glob(f"*{last}*"):  # the commit and its checksum
+        p.unlink()
+    document_messages.run(spark, config, src, out, ck)
+    assert sorted(map(repr, document_messages.current(spark, out).collect())) == want
+    assert document_messages.result(spark, out).count() == 120
+
+
 def pages(spark, rows):
     return spark.createDataFrame(rows, "page_id long, url string, html string")
 

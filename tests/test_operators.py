@@ -332,6 +332,9 @@ def test_counters_ride_along(spark):
     none = c.tap(some.where("id < 0"), "none", total=F.col("id"))
     none.write.format("noop").mode("overwrite").save()
     assert c.read() == {"all": {"rows": 100, "total": 4950}, "some": {"rows": 34}, "none": {"rows": 0, "total": 0}}
+    c = Counters()
+    c.tap(spark.range(9).where("id > 10"), "dropped").groupBy("id").count().write.format("noop").mode("overwrite").save()
+    assert c.read() in ({"dropped": None}, {"dropped": {"rows": 0}})
 
 
 def test_observer_hears_batches(spark, tmp_path):
