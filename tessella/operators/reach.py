@@ -7,6 +7,7 @@ along the edges between components, each (component, value) once.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,8 @@ from tessella.session import ship
 
 #: Edges that one task settles (24 MB of ids); more are settled by rounds of joins.
 LOCAL_EDGES = 1 << 20
+#: Rounds whose results are kept side by side before they are written as one, so that plans stay short.
+UNIONS = 8
 
 
 def strong(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
@@ -152,9 +155,11 @@ def gathered(edges: DataFrame, values: DataFrame) -> tuple[DataFrame, DataFrame]
     between = between.where("_a <> _b").select("_a", "_b").distinct().checkpoint()
     found = values.join(part, "node").where("value is not null").select("component", "value").distinct().checkpoint()
     new = found
-    while True:
+    for n in itertools.count(1):
         step = new.join(between, new["component"] == between["_b"]).select(F.col("_a").alias("component"), "value").distinct()
         new = step.join(found, ["component", "value"], "left_anti").checkpoint()
         if not new.limit(1).count():
             return part, found
         found = found.unionByName(new)
+        if n % UNIONS == 0:
+            found = found.checkpoint()

@@ -19,6 +19,11 @@ def test_imports_without_the_corpus_parts(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op1') or n == 'pipeline' for n in q); assert e.oracle_sql()"
     env = os.environ | {"PYTHONPATH": ""}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=env)
+    # folders that only hold caches, or a package that can't be imported, are left out too
+    (tmp_path / "r" / "tessella" / "llm" / "__pycache__").mkdir(parents=True)
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=env)
+    (tmp_path / "r" / "tessella" / "llm" / "__init__.py").write_text("import a_module_that_is_not_there\n")
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", check=True, env=env)
 
 
 def test_library_does_not_import_the_corpus_parts():
