@@ -43,6 +43,8 @@ COUNTERS = 1 << 23
 FIELDS = {"key": "u8", "doc": "i8", "line": "u4", "size": "u4", "pos": "u4", "b1": "u8", "b2": "u8"}
 #: Lists of lines under one word that are longer are first searched from a few of their lines.
 PAIRED = 256
+#: Bytes of text whose entries a task holds here; their sorting and packing takes eight times as much.
+FLUSH = 12 << 20
 PAIRS = 1 << 19
 BLOCK = 8192
 
@@ -65,7 +67,7 @@ def counters(docs: DataFrame) -> np.ndarray:
             for _, _, data, off in K.pieces(batch.column(0)):
                 held.append((K.words(data, off).hash & np.uint64(COUNTERS - 1)).astype(np.int32))
                 size += len(data)
-                if size > S.FLUSH:
+                if size > FLUSH:
                     settle()
                     size = 0
         settle()
@@ -209,7 +211,7 @@ def prefixes(docs: DataFrame, rarity: np.ndarray, num: int, den: int, least: int
                     s2=np.add.reduceat(K.salted(x.word, 33), at),
                 )
                 count += n
-                if held.bytes > S.FLUSH:
+                if held.bytes > FLUSH:
                     yield from flush()
         yield from flush()
 
