@@ -8,6 +8,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 ROOT = Path(__file__).resolve().parent
@@ -43,3 +44,8 @@ def ship(spark: SparkSession) -> None:
             z.write(p, Path("tessella") / p.relative_to(ROOT))
     sc.addPyFile(str(target))
     sc._tessella_shipped = True
+
+
+def by_value(module: str) -> None:
+    """Send what a module defines along with each use, for Python processes that ship doesn't reach: those that plan stateful queries."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from tessella.functions.hashing import fingerprint
-from tessella.session import ship
+from tessella.session import by_value
 
 
 def changed(files: DataFrame, cache: DataFrame, key: str, columns: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +72,7 @@ def changes(stream: DataFrame, key: str, columns: list[str], at: Column, removed
     gone too, with null in all other columns, once rows come that are so many
     milliseconds newer than its last one. A gone key may come back later.
     """
-    ship(stream.sparkSession)
+    by_value(__name__)
     rest = [c for c in stream.columns if c != key]
     x = stream.where(F.col(key).isNotNull()).withColumns({"fp": fingerprint(*[F.col(c) for c in columns]), "_at": at.cast("long"), "gone": F.coalesce(removed, F.lit(False)) if removed is not None else F.lit(False)})
     types = dict(stream.dtypes)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 
-from tessella.session import ship
+from tessella.session import by_value
 
 BOARD = "kind string, n long, amount double, last timestamp, done boolean"
 
@@ -72,7 +72,7 @@ def board(events: DataFrame, run: str, event: str, kind: str, amount: Column, at
     is over, such as '10 minutes'; events that are later than that are left out.
     Needs the RocksDB state store (incremental.ROCKS).
     """
-    ship(events.sparkSession)
+    by_value(__name__)
     x = events.select(F.col(run), F.col(event).cast("string").alias("_id"), F.col(kind).cast("string").alias("_kind"), F.coalesce(amount.cast("double"), F.lit(0.0)).alias("_amount"), F.col(at).cast("timestamp").alias("_at"))
     x = x.where(F.col(run).isNotNull() & F.col("_id").isNotNull() & F.col("_kind").isNotNull() & F.col("_at").isNotNull()).withColumn("_ms", F.unix_millis("_at"))
     return x.withWatermark("_at", quiet).groupBy(run).transformWithState(Board(run), f"`{run}` {dict(events.dtypes)[run]}, {BOARD}", "update", "EventTime")
