@@ -37,8 +37,8 @@ from tessella.llm.spread import map_arrow, parts
 
 #: Words whose ids a task holds at once; a longer document is a batch of its own.
 BATCH = 1 << 19
-#: Documents of more bytes are dealt out by lag ranges.
-LONG_BYTES = 1 << 20
+#: Documents of more bytes are dealt out by lag ranges; longer than nearly all, so that few ids travel.
+LONG_BYTES = 1 << 16
 
 RUN = pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())])
 RUNS = "array<struct<start:long,length:long,period:long>>"
