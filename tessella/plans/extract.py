@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,9 +30,12 @@ def read_code(spark: SparkSession, root: str, o: Options) -> DataFrame:
     return files.withColumn("path", F.when(F.col("path") == "", root).otherwise(F.concat(F.lit(f"{root.rstrip('/')}/"), "path")))
 
 
-def extract(files: DataFrame, o: Options) -> Extraction:
-    """files: file_idx, path, text, error. The kwargs and path of a key are those of its winning occurrence."""
-    found = python_code.occurrences(files, o)
+def extract(files: DataFrame, o: Options, kept: Callable[[DataFrame], DataFrame] = lambda df: df) -> Extraction:
+    """files: file_idx, path, text, error. The kwargs and path of a key are those of its winning occurrence.
+
+    kept: what is to be done with the occurrences, which all results are made of, such as to persist them.
+    """
+    found = kept(python_code.occurrences(files, o))
     ok = found.where("key is not null")
     location = F.struct(T.path_components(F.col("path")).alias("parts"), "line", "col", "path")
     keys = M.merge_occurrences(ok, ["key"], F.col("is_star"), location, F.col("kwargs"), F.col("entry_path"))
@@ -86,7 +90,7 @@ def variables(entries: DataFrame) -> DataFrame:
     # what is needed is every message that is reached, whether or not it has entries
     ends = edges.select(F.explode(F.array("src", "dst")).alias("name")).unionByName(roots).distinct()
     values = held.unionByName(ends.where(~of("name").startswith("-")).select("name", F.struct(F.lit("needed").alias("kind"), of("name").alias("what")).alias("value")))
-    ids = prefix.numbered(ends.unionByName(held.select("name")).distinct(), [F.col("name")], "node").persist()
+    ids = prefix.numbered(ends.unionByName(held.select("name")).distinct(), [F.col("name")], "node")
     src, dst = (ids.withColumnsRenamed({"name": c, "node": f"_{c}"}) for c in ("src", "dst"))
     numbered = edges.join(src, "src").join(dst, "dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst"))
     part_of, sets = reach.gathered(numbered, values.join(ids, "name").select("node", "value"))
@@ -173,21 +177,35 @@ class Outcome:
 
 def run(spark: SparkSession, code: str, locales: str, o: Options) -> Outcome:
     """Extract, reconcile and write. Nothing is written if the sources or the catalogues have problems."""
-    e = extract(read_code(spark, code, o), o)
+    held: list[DataFrame] = []
+
+    def kept(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return df
+
+    try:
+        return _run(spark, code, locales, o, kept)
+    finally:
+        for df in held:
+            df.unpersist()
+
+
+def _run(spark: SparkSession, code: str, locales: str, o: Options, kept: Callable[[DataFrame], DataFrame]) -> Outcome:
+    e = extract(read_code(spark, code, o), o, kept)
     n, first, skipped = gate(e, o)
     if n:
         return Outcome(1, n, first)
-    e.keys = e.keys.persist()
-    there = read_catalogues(spark, locales, o).persist()
-    stored = fluent.entries(there.where("error is null")).persist()
+    e.keys = kept(e.keys)
+    there = kept(read_catalogues(spark, locales, o))
+    stored = kept(fluent.entries(there.where("error is null")))
     at = F.concat_ws("/", F.lit(locales), "locale", "path")
     bad = stored.where("error is not null").select(F.concat(F.lit("Failed to parse FTL file "), at, F.lit(":"), "error").alias("message"))
     unread = there.where("error is not null").select(F.concat(F.lit("Failed to read FTL file "), at, F.lit(": "), "error").alias("message"))
-    wrong = bad.unionByName(unread).unionByName(defined_twice(stored)).persist()
+    wrong = kept(bad.unionByName(unread).unionByName(defined_twice(stored)))
     n = wrong.count()
     if n:
         return Outcome(1, n, [r[0] for r in wrong.orderBy("message").limit(SHOWN).collect()])
-    status = reconcile(e.keys, stored, o).persist()
+    status = kept(reconcile(e.keys, stored, o))
     commenting = o.comment_mode == "comment"
     zero = {"stored": 0, "updated": 0, "added": 0, "commented": 0}
     stats = {x: dict(zero) for x in o.locales} | {r["locale"]: {k: r[k] for k in zero} for r in R.statistics(status, commenting).collect()}
@@ -196,7 +214,7 @@ def run(spark: SparkSession, code: str, locales: str, o: Options) -> Outcome:
         stays = stored.where("entry_type = 'message'").join(status.where("status in ('commented', 'moved', 'updated')").select("locale", F.col("key").alias("name")), ["locale", "name"], "left_semi")
         out.warnings += [f"Key `{r['name']}` in `{locales}/{r['locale']}/{r['path']}` is not in code (kwargs mismatch or missing)." for r in stays.orderBy("locale", "path", "position").limit(SHOWN).collect()]
     files = rendered(e.keys, stored, status, o).select(F.concat_ws("/", "locale", "path").alias("path"), "content")
-    changed = files.join(there.select(F.concat_ws("/", "locale", "path").alias("path"), F.col("text").alias("content")), ["path", "content"], "left_anti").persist()
+    changed = kept(files.join(there.select(F.concat_ws("/", "locale", "path").alias("path"), F.col("text").alias("content")), ["path", "content"], "left_anti"))
     if not o.dry_run:
         out.written = changed.count()
         if out.written:
