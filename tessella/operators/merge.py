@@ -13,6 +13,7 @@ def merge_occurrences(df: DataFrame, key: list[str], star: Column, location: Col
 
     The winner is the earliest occurrence without `**`, else the earliest of all:
     the minimum of (star, location), so partial aggregates merge in any order.
+    Locations must differ within a key: which of two equal ones wins is open.
     """
     rank = F.struct(star.alias("star"), location.alias("location"))
     return df.groupBy(*key).agg(

@@ -15,7 +15,7 @@ from tessella.operators import sample as P
 from tessella.operators import score as S
 from tessella.operators import series
 from tessella.plans.graph_queries import PAIRS, pairs
-from tessella.plans.registry import query, table
+from tessella.plans.registry import query, stored, table
 from tessella.streaming import observer
 
 LEVELS = [5, 10, 20, 40, 60]
@@ -82,7 +82,7 @@ def orphans_by_type(spark, d):
  select k l_partkey, arg_min(kw, (star, o, n)) kwargs, arg_min(p, (star, o, n)) path, arg_min(o, (star, o, n)) first_order, arg_min(o, (o, n)) filter (star) unknown_order, min(n) filter (star and o = u) unknown_line, count(*) occurrences, count(distinct f) files
  from (select *, min(o) filter (star) over (partition by k) u from o) group by k""")
 def merge_by_file(spark, d):
-    x = M.merge_by_file(table(spark, d, "lineitem"), ["l_suppkey"], ["l_partkey"], F.col("l_returnflag") == "R", F.struct("l_orderkey", "l_linenumber"), F.col("l_linestatus"), (F.col("l_suppkey") % 7).cast("string"))
+    x = M.merge_by_file(table(spark, d, "lineitem"), ["l_suppkey"], ["l_partkey"], F.col("l_returnflag") == "R", F.struct("l_orderkey", "l_linenumber", *stored()), F.col("l_linestatus"), (F.col("l_suppkey") % 7).cast("string"))
     return x.select("l_partkey", "kwargs", "path", F.col("location.l_orderkey").alias("first_order"), F.col("unknown_at.l_orderkey").alias("unknown_order"), F.col("unknown_at.l_linenumber").alias("unknown_line"), "occurrences", "files")
 
 

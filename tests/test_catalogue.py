@@ -58,3 +58,22 @@ def test_partitions_dont_matter(spark, sf, name):
         assert rows(catalogue.queries()[name](spark, sf)) == one
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", ["occurrence_merge_winner", "merge_by_file"])
+def test_of_tied_occurrences_the_first_stored_wins(spark, tmp_path, name):
+    """Rows of one part with the same place, in one file and across files; the first and last of each differ."""
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_returnflag string, l_linestatus string"
+    for f in range(2):
+        made = [(1, part, 3 * part + 5 * f + i, 1, "RN"[part % 2], "OF"[(i + f) % 2]) for part in range(20) for i in range(3 if part % 3 else 1 + f)]
+        spark.createDataFrame(made, schema).coalesce(1).write.parquet(str(tmp_path / f"{f}"))
+    folder = tmp_path / "lineitem.parquet"
+    folder.mkdir()
+    for f in range(2):
+        next((tmp_path / f"{f}").glob("*.parquet")).rename(folder / f"part-{f}.parquet")
+    con = duckdb.connect(config={"threads": 1})
+    con.execute(f"create view lineitem as select * from '{folder}/*.parquet'")
+    r = con.execute(catalogue.oracle_sql()[name])
+    theirs = [c[0] for c in r.description]
+    expected = sorted(repr([plain(row[theirs.index(c)]) for c in sorted(theirs)]) for row in r.fetchall())
+    assert rows(catalogue.queries()[name](spark, str(tmp_path))) == (sorted(theirs), expected)
