@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tessella.operators import graph as G
 from tessella.operators import merge as M
 from tessella.operators import reconcile as R
-from tessella.plans.registry import query, table
+from tessella.plans.registry import query, stored, table
 
 
 @query(
@@ -17,7 +17,7 @@ from tessella.plans.registry import query, table
 )
 def occurrence_merge_winner(spark, d):
     li = table(spark, d, "lineitem")
-    x = M.merge_occurrences(li, ["l_partkey"], F.col("l_returnflag") == "R", F.struct("l_orderkey", "l_linenumber"), F.col("l_linestatus"), (F.col("l_suppkey") % 7).cast("string"))
+    x = M.merge_occurrences(li, ["l_partkey"], F.col("l_returnflag") == "R", F.struct("l_orderkey", "l_linenumber", *stored()), F.col("l_linestatus"), (F.col("l_suppkey") % 7).cast("string"))
     return x.select("l_partkey", "kwargs", "path", F.col("unknown_at.l_orderkey").alias("unknown_order"), "occurrences")
 
 
