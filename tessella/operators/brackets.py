@@ -6,6 +6,8 @@ work on the flat codes of a batch and the offsets of its texts.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,6 +25,38 @@ def codes(tokens: Column) -> Column:
     return F.transform(tokens, of).cast("array<tinyint>")
 
 
+#: Codes, or bytes of text, that a kernel takes at once: what it holds is some 100 times as many bytes, however large a batch is.
+PIECE = 1 << 18
+
+
+def offsets(v: pa.Array) -> np.ndarray:
+    """Where each list or text of a column starts, from 0; nulls are empty."""
+    size = pc.list_value_length(v) if pa.types.is_list(v.type) or pa.types.is_large_list(v.type) else pc.binary_length(v)
+    return np.concatenate([[0], np.cumsum(pc.fill_null(size, 0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+
+
+def by_pieces(kernel: Callable[[pa.Array], pa.Array], v: pa.Array) -> pa.Array:
+    """kernel over runs of whole rows of PIECE at most, a longer row by itself."""
+    off, out, i = offsets(v), [], 0
+    while i < len(v):
+        j = max(i + 1, int(np.searchsorted(off, off[i] + PIECE, side="right")) - 1)
+        out.append(kernel(v.slice(i, j - i)))
+        i = j
+    return pa.concat_arrays(out) if out else kernel(v)
+
+
+def pieced(kernel: Callable[[pa.Array], pa.Array]) -> Callable[[pa.Array], pa.Array]:
+    """A kernel that takes a batch by pieces."""
+
+    def run(v: pa.Array) -> pa.Array:
+        return by_pieces(kernel, v)
+
+    # what arrow_udf reads to tell its kind
+    run.__annotations__ = {"v": pa.Array, "return": pa.Array}
+    run.__name__, run.__doc__ = kernel.__name__, kernel.__doc__
+    return run
+
+
 def flat(v: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(values, offsets) of a list column; a null list is empty."""
     n = pc.fill_null(pc.list_value_length(v), 0).to_numpy(zero_copy_only=False)
@@ -83,12 +117,14 @@ def grouped(row: np.ndarray, level: np.ndarray) -> np.ndarray:
 
 
 @F.arrow_udf(ArrayType(IntegerType()))
+@pieced
 def depth(code: pa.Array) -> pa.Array:
     value, off = flat(code)
     return listed(pa.array(clamped(steps(value), off).astype(np.int32)), off)
 
 
 @F.arrow_udf(ArrayType(IntegerType()))
+@pieced
 def unclamped(code: pa.Array) -> pa.Array:
     """Brackets opened less closed before each token; closing ones count themselves, so both of a pair have one level."""
     value, off = flat(code)
@@ -97,6 +133,7 @@ def unclamped(code: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(ArrayType(StructType([StructField(n, IntegerType()) for n in ("open_idx", "close_idx", "level")])))
+@pieced
 def pairs(code: pa.Array) -> pa.Array:
     value, off = flat(code)
     a, b, level = matched(steps(value), off)
@@ -106,6 +143,7 @@ def pairs(code: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(ArrayType(IntegerType()))
+@pieced
 def enclosing(code: pa.Array) -> pa.Array:
     """The opening bracket of the innermost pair around each token, or -1."""
     value, off = flat(code)
@@ -126,6 +164,7 @@ def grouped_like(row: np.ndarray, level: np.ndarray, levels: np.ndarray) -> np.n
 
 
 @F.arrow_udf(ArrayType(BooleanType()))
+@pieced
 def in_value(code: pa.Array) -> pa.Array:
     """Whether on the token's level, since the last comma or opening bracket, an '=' came before."""
     value, off = flat(code)
@@ -139,6 +178,7 @@ def in_value(code: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(ArrayType(StringType()))
+@pieced
 def top_level_parts(text: pa.Array) -> pa.Array:
     """A text split at the commas outside brackets; null stays null."""
     held = text.fill_null("").cast(pa.large_string())
