@@ -365,3 +365,73 @@ def test_nodes_in_two_groups_are_an_error(spark):
     with pytest.raises(Exception, match="two groups"):
         build.tagged({"a": a, "b": b}, "k").collect()
     assert [r["index"] for r in build.numbered(build.tagged({"a": a, "b": b.selectExpr("k + 5 as k")}, "k"), "k").orderBy("k").collect()] == [0, 1, 2]
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["context_window_6_3", "slot_context", "token_stream"])
+def test_texts_sum_up_in_their_rows(spark, sf, name):
+    """No row of a token or window is made, so what is sorted and shuffled is a row a text."""
+    from tessella.plans import catalogue
+
+    assert "Generate" not in plan_of(catalogue.queries()[name](spark, sf))
+
+
+def test_hashed_features_travel_by_text(spark, sf):
+    """What is shuffled are a text's buckets: nothing is hashed in a row of its own."""
+    from tessella.plans import catalogue
+
+    assert "md5" not in plan_of(catalogue.queries()["hashed_features_tanh"](spark, sf))
+
+
+def test_window_and_slot_totals(spark):
+    """Against the windows one by one, with empty, null, short and repeated texts, and at pieces of few tokens."""
+    rows = [(1, "b a c"), (2, ""), (3, None), (4, "x"), (5, "a, b. c (d e) f g h i j"), (5, "z y"), (6, "one two " * 9)]
+    df = tokens.sequences(spark.createDataFrame(rows, "id long, text string").coalesce(1), "id", "text")
+    w = tokens.windows(df, "id", 6, 3)
+    want = w.groupBy("id").agg(F.sum(F.size("before")), F.sum(F.size("after")), F.count(F.lit(1)), F.min(F.array_join("before", " ")))
+    assert sorted(map(tuple, tokens.window_totals(df, "id", 6, 3).collect())) == sorted(map(tuple, want.collect()))
+    s = tokens.windows(df, "id", 6, 0).select("id", tokens.slots(F.col("before"), 6).alias("s"))
+    want = s.groupBy("id").agg(F.count(F.lit(1)), F.count(F.get("s", 0)), F.count(F.get("s", 5)), F.max(F.get("s", 5)))
+    assert sorted(map(tuple, tokens.slot_totals(df, "id", 6).collect())) == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("again", [False, True])
+def test_token_totals(spark, again):
+    """An id of several rows counts a token that they share once; null is an id."""
+    rows = [(1, "a b a"), (2, None), (3, ""), (None, "c c"), (4, "x y")] + [(4, "y z z z"), (None, "c d")] * again
+    df = spark.createDataFrame(rows, "id long, text string")
+    x = tokens.token_stream(df, "id", "text").groupBy("id").agg(F.count(F.lit(1)), F.max("idx").cast("long"), F.count_distinct("token"))
+    assert set(map(tuple, tokens.token_totals(df, "id", "text").collect())) == set(map(tuple, x.collect()))
+
+
+def test_bracket_kernels_take_a_batch_by_pieces(monkeypatch):
+    """Pieces of few codes give what the whole batch gives, and no kernel holds more at once than a piece or one text."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.operators import brackets as B
+
+    rng = np.random.default_rng(3)
+    code = pa.array([None if n % 9 == 8 else rng.choice([-1, 0, 1, 2, 3], rng.integers(0, 30)).tolist() for n in range(60)], pa.list_(pa.int8()))
+    text = pa.array([None if n % 9 == 8 else "".join(rng.choice(list("a,()[]é"), rng.integers(0, 30))) for n in range(60)])
+    kernels = [(B.depth, code), (B.unclamped, code), (B.pairs, code), (B.enclosing, code), (B.in_value, code), (B.top_level_parts, text)]
+    whole = [k.func(v).to_pylist() for k, v in kernels]
+    seen, rows_of = [], B.rows_of
+    monkeypatch.setattr(B, "PIECE", 40)
+    monkeypatch.setattr(B, "rows_of", lambda off: seen.append(off[-1]) or rows_of(off))
+    assert [k.func(v).to_pylist() for k, v in kernels] == whole
+    assert max(seen) <= 60
+
+
+def test_code_rows_are_made_by_few_files(monkeypatch):
+    """A batch of many files is handed on in parts."""
+    import pandas as pd
+
+    from tessella.sources import python_code
+
+    monkeypatch.setattr(python_code, "FILES", 4)
+    parts = list(python_code.by_files(iter([pd.DataFrame({"file_idx": range(10)}), pd.DataFrame({"file_idx": []})])))
+    assert [len(p) for p in parts] == [4, 4, 2]
