@@ -120,3 +120,22 @@ def test_no_edges(spark):
     assert reach.strong_components(e).count() == 0
     part, sets = reach.gathered(e, spark.createDataFrame([(1, "a"), (1, None)], "node long, value string"))
     assert [tuple(r) for r in part.collect()] == [(1, 1)] and [tuple(r) for r in sets.collect()] == [(1, "a")]
+
+
+def test_gathered_needs_few_rounds(spark, monkeypatch):
+    """Along a chain with branches and a hub, shortcuts save most rounds, and every node has all values behind it."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    n, calls, kept = 40, [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda self, *a, **k: calls.append(1) or kept(self, *a, **k))
+    pairs = [(i, i + 1) for i in range(n)] + [(100 + i, i) for i in range(0, n, 3)] + [(200 + i, 300) for i in range(9)] + [(300, 400 + i) for i in range(9)]
+    edges = spark.createDataFrame(pairs, "src long, dst long")
+    values = spark.createDataFrame([(v, str(v)) for v in sorted({x for p in pairs for x in p})], "node long, value string")
+    of, sets = reach.gathered(edges, values)
+    got = {(r["node"], r["value"]) for r in of.join(sets, "component").select("node", "value").collect()}
+    want, new = {(v, str(v)) for p in pairs for v in p}, True
+    while new:
+        new = {(a, v) for a, b in pairs for x, v in want if x == b} - want
+        want |= new
+    assert got == want
+    assert len(calls) < n
