@@ -135,6 +135,23 @@ def test_substring_query(spark, sf):
     check_words(queries.op5_substring_dedup(spark, sf).collect(), table(spark, sf))
 
 
+def test_substrings_double_to_the_end(spark, monkeypatch):
+    """What goes is settled where its doubling ends: a copy of 60 words by windows of 26 and 52 words, none by those of 13."""
+    seen, levels = [], substring_dedup.levels
+
+    def watched(*args):
+        for level in levels(*args):
+            seen.append((level[0], level[-1].count()))
+            yield level
+
+    monkeypatch.setattr(substring_dedup, "levels", watched)
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, "x " + text), (2, "y z"), (3, " ".join(text.split()[20:45]) + " end")]
+    check_words(substring_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect(), rows)
+    assert [size for size, _ in seen] == [13, 26, 52, 104]
+    assert seen[0][1] == 0 and seen[1][1] > 0 and seen[2][1] > 0 and seen[3][1] > 0
+
+
 def test_longest_repeats(docs, rows):
     got = collections.defaultdict(set)
     out = substring_dedup.longest_repeats(docs).collect()
