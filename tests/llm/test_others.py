@@ -206,6 +206,27 @@ def test_mixing_learns_from_distinct_texts(spark, monkeypatch):
         assert all(x.all(axis=1).mean() > 0.9 for x, _ in context_mixing.features(data, at, tree, counts, np.full(n, 1)))
 
 
+@pytest.mark.parametrize("most", [context_mixing.MIX_DOCS, 0])
+def test_mixing_learns_from_every_text(spark, monkeypatch, most):
+    """Every decision of every training text is in what the weights and the map learn from, in folds and in a small corpus."""
+    monkeypatch.setattr(context_mixing, "MIX_DOCS", most)
+    monkeypatch.setattr(context_mixing, "MIX_SHARE", 1 << 20)
+    maps, made = [], context_mixing.refined
+    monkeypatch.setattr(context_mixing, "refined", lambda seen, ones: maps.append((seen.sum(), ones.sum())) or made(seen, ones))
+    rng = random.Random(5)
+    texts = [prose(rng, 30, 40) for _ in range(200)] + ["long " * 20_000]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    model, *_ = context_mixing.fit(train)
+    seen = ones = 0
+    for t in texts:
+        raw = np.frombuffer(t.encode(), np.uint8)
+        for d in context_mixing.decisions(raw, np.array([0, len(raw)]), model.tree, model.table_bits):
+            seen, ones = seen + len(d), ones + int(d.bit.sum())
+    assert maps == [(seen, ones)]
+    again, *_ = context_mixing.fit(train.repartition(7))
+    assert np.allclose(again.weights, model.weights, atol=1e-5) and np.allclose(again.refined, model.refined, atol=1e-3)
+
+
 def test_weights_of_least_loss():
     rng = np.random.default_rng(3)
     x = np.rint(rng.normal(size=(20_000, 3)) * context_mixing.SCALE).astype(np.int8)
