@@ -7,6 +7,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -227,6 +228,66 @@ def test_mixing_learns_from_every_text(spark, monkeypatch, most):
     assert np.allclose(again.weights, model.weights, atol=1e-5) and np.allclose(again.refined, model.refined, atol=1e-3)
 
 
+def test_grams_have_the_decisions_of_texts(monkeypatch):
+    """Equal grams are looked at once and stand for all decisions of the texts, of every predictor; a long text goes run by run."""
+    rng = random.Random(8)
+    texts = [prose(rng, 30, 60) for _ in range(20)] + [None, "", "a", "bc", "NUL \x00 é Ab", "copied " * 3, "copied " * 3, "日本語 テキスト"]
+    tree = context_mixing.Tree.of(*context_mixing.huffman(np.random.default_rng(2).integers(0, 1000, (256, 256))))
+    bits = context_mixing.table_bits(0)
+    for name, size in (("HELD", 700), ("PIECE", 400), ("RUN", 1000)):
+        monkeypatch.setattr(context_mixing, name, size)
+    for some in (texts, [prose(rng, 900, 300)]):
+        fold = [i % 2 for i in range(len(some))]
+        found = {0: [], 1: []}
+        alone = {(f, k): [] for f in (0, 1) for k in range(len(bits))}
+        for f, held in context_mixing.held_grams(iter([pa.RecordBatch.from_arrays([pa.array(some, pa.string()), pa.array(fold, pa.int32())], ["text", "fold"])])):
+            g, n = context_mixing.distinct(held)
+            for rows, d in context_mixing.gram_decisions(g, tree, bits):
+                found[f].append(np.repeat(np.stack([d.steps, *d.slots], axis=1), np.repeat(n[rows], np.diff(d.first)), axis=0))
+            for k in range(len(bits)):
+                for rows, d in context_mixing.gram_decisions(g, tree, bits, k):
+                    alone[f, k].append(np.repeat(np.stack([d.steps, d.slots[0]], axis=1), np.repeat(n[rows], np.diff(d.first)), axis=0))
+        for f in set(fold):
+            want = []
+            for t, i in zip(some, fold):
+                raw = np.frombuffer((t or "").encode(), np.uint8)
+                want += [np.stack([d.steps, *d.slots], axis=1) for d in context_mixing.decisions(raw, np.array([0, len(raw)]), tree, bits) if i == f]
+            want = np.concatenate(want)
+            got = np.concatenate(found[f])
+            assert len(got) == len(want) and (np.unique(got, axis=0, return_counts=True)[1] == np.unique(want, axis=0, return_counts=True)[1]).all()
+            assert (np.unique(got, axis=0) == np.unique(want, axis=0)).all()
+            for k in range(len(bits)):
+                for a, b in zip(np.unique(np.concatenate(alone[f, k]), axis=0, return_counts=True), np.unique(want[:, [0, 1 + k]], axis=0, return_counts=True)):
+                    assert (a == b).all()
+
+
+def test_counts_travel_in_few_bytes(spark, monkeypatch):
+    """Tasks send about a byte for a context they have counted, not a table of words each, and the sums are exact, those over 16 bits too."""
+    sent, by_bucket = [], spread.by_bucket
+    monkeypatch.setattr(spread, "by_bucket", lambda df: sent.append(df) or by_bucket(df))
+    rng = random.Random(31)
+    texts = ["".join(rng.choices("abcdefghij ", k=6000)) for _ in range(120)] + ["long " * 20_000] * 5
+    tree, bits = context_mixing.Tree.of(*context_mixing.huffman(np.ones((256, 256)))), context_mixing.table_bits(0)
+    train = context_mixing.with_fold(spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)).localCheckpoint()
+    monkeypatch.setattr(context_mixing, "with_fold", lambda df: df)
+    folds = context_mixing.context_counts(train, tree, bits)
+    seen = 0
+    want = [[np.zeros((1 << b, 2), np.int64) for b in bits] for _ in folds]
+    for row in train.groupBy("fold", F.spark_partition_id().alias("task")).agg(F.collect_list("text").alias("texts")).collect():
+        own = [np.zeros((1 << b, 2), np.int64) for b in bits]
+        for t in row["texts"]:
+            raw = np.frombuffer(t.encode(), np.uint8)
+            for d in context_mixing.decisions(raw, np.array([0, len(raw)]), tree, bits):
+                for c, s in zip(own, d.slots):
+                    np.add.at(c, (s, d.bit.astype(int)), 1)
+        seen += sum(np.count_nonzero(c) for c in own)
+        for w, c in zip(want[row["fold"]], own):
+            w += c
+    assert all((a == b).all() for fold, w in zip(folds, want) for a, b in zip(fold, w)) and max(c.max() for w in want for c in w) > 1 << 16
+    (packed,) = sent
+    assert packed.select(sum(F.sum(F.length(c)) for c in packed.columns if c != "bucket")).first()[0] < 2 * seen
+
+
 def test_weights_of_least_loss():
     rng = np.random.default_rng(3)
     x = np.rint(rng.normal(size=(20_000, 3)) * context_mixing.SCALE).astype(np.int8)
