@@ -62,10 +62,11 @@ def once(x: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"key": key, "doc": doc, "kind": kind}
 
 
-def repeated(docs: DataFrame, grams: Units, groups: int) -> DataFrame:
+def repeated(docs: DataFrame, grams: Units, groups: int, piece: int = K.CHUNK) -> DataFrame:
     """Packed by group: (doc, key) of each anchor that occurs in two documents or more.
 
-    grams(data, off) gives (keys of the anchors, index of the document of each).
+    grams(data, off) gives (keys of the anchors, index of the document of each),
+    from `piece` bytes of text at a time.
     """
 
     bits = S.bucket_bits(docs.sparkSession)
@@ -81,7 +82,7 @@ def repeated(docs: DataFrame, grams: Units, groups: int) -> DataFrame:
 
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for i, j, data, off in K.pieces(batch.column(1)):
+            for i, j, data, off in K.pieces(batch.column(1), piece):
                 key, doc = grams(data, off)
                 held.add(len(data), key=key, doc=ids[i:j][doc])
                 if held.bytes > S.FLUSH:
@@ -113,13 +114,13 @@ def repeated(docs: DataFrame, grams: Units, groups: int) -> DataFrame:
     return S.map_arrow(S.by_bucket(packed), meet, S.packed_schema(REPLY))
 
 
-def meet_text(docs: DataFrame, groups: int, replies: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
-    """f(rows of a group: bucket, doc_id, text; packed replies to it), for every group."""
+def meet_text(docs: DataFrame, groups: int, replies: DataFrame, f: Callable[[pa.Table, pa.Table], pa.Table], schema: str, cycles: int = 2) -> DataFrame:
+    """f(rows of a group: bucket, doc_id, text; packed replies to it), for every group; cycles: see spread.give_back."""
     ship(docs.sparkSession)
 
     def tidy(rows: pa.Table, told: pa.Table) -> pa.Table:
         out = f(rows, told)
-        S.give_back()
+        S.give_back(cycles)
         return out
 
     return with_group(docs, groups).groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(tidy, schema)

@@ -5,7 +5,9 @@ bytes. Anchors (16-byte grams that are least in some window) which occur in two
 documents mark the passages that can match at all; each marked passage travels
 once, with the suffix starts that the anchor stands for, to the bucket of its
 anchor. There passages arrive in batches by doc_id; a passage that came before,
-byte for byte, is settled at once. A batch gets a suffix array (its suffixes in
+byte for byte, is settled at once, and of the others' suffixes those stay whose hash the
+bucket holds again: a text's chance likenesses are many more in a larger corpus,
+and go there. A batch gets a suffix array (its suffixes in
 the order of their first L bytes; equal ones collapse to the least document), is
 scanned in order against the arrays of the existing levels, and becomes a level
 itself; while the two last levels are of like size they merge into one, so that
@@ -40,6 +42,8 @@ from tessella.llm import spread as S
 GRAM = 16
 #: Passages of a batch.
 BATCH = 1 << 12
+#: Bytes of text at a time: their hashes stay in a core's cache.
+PIECE = 1 << 16
 
 
 def passages_fields(length: int) -> dict[str, str]:
@@ -58,53 +62,69 @@ def byte_grams(length: int):
     return grams
 
 
-def marked(data: np.ndarray, off: np.ndarray, length: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window start, number of starts, anchor key) of the runs of windows with one marked anchor."""
-    none = np.empty(0, np.int64)
-    h = K.Prefix(data, K.BYTE_BASE).windows(GRAM)
+def marked(data: np.ndarray, off: np.ndarray, length: int, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, K.Prefix]:
+    """(first window start, number of starts, anchor key) of the runs of windows with one marked anchor; the bytes' prefix sums."""
+    seq = K.Prefix(data, K.BYTE_BASE)
+    h = seq.windows(GRAM)
     at, least, ok = K.minimizers(h, off, GRAM, length)
     places = at[A.among(h[at], known)] if len(at) else at
     if not len(places):
-        return none, none, np.empty(0, np.uint64)
-    # windows whose least gram is marked: neighbours mostly share it, so only changes are looked up
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64), seq
+    # runs of whole windows whose least gram is the same
     change = np.ones(len(least), bool)
-    change[1:] = least[1:] != least[:-1]
-    where = np.flatnonzero(change)
-    hit = np.repeat(A.among(least[where], known), np.diff(np.append(where, len(least))))
-    p = np.flatnonzero(hit & ok)
-    least = least[p]
-    # the first place at or after p where a gram has this hash
-    n = np.searchsorted(places, p)
-    wrong = h[places[n]] != least if len(p) else np.empty(0, bool)
-    while wrong.any():
-        n[wrong] += 1
-        wrong[wrong] = h[places[n[wrong]]] != least[wrong]
-    anchor = places[n]
-    new = np.ones(len(p), bool)
-    new[1:] = (anchor[1:] != anchor[:-1]) | (p[1:] != p[:-1] + 1)
-    first = np.flatnonzero(new)
-    return p[first], np.diff(np.append(first, len(p))), least[first]
+    change[1:] = (least[1:] != least[:-1]) | (ok[1:] != ok[:-1])
+    p = np.flatnonzero(change)
+    end = np.append(p[1:], len(least))
+    hit = np.flatnonzero(ok[p] & A.among(least[p], known))
+    p, end, key = p[hit], end[hit], least[p[hit]]
+
+    def place(p: np.ndarray, key: np.ndarray) -> np.ndarray:
+        """The first place at or after p where a gram has this hash."""
+        n = np.searchsorted(places, p)
+        wrong = h[places[n]] != key
+        while wrong.any():
+            n[wrong] += 1
+            wrong[wrong] = h[places[n[wrong]]] != key[wrong]
+        return places[n]
+
+    several = end > place(p, key) + 1
+    count = end - p
+    if several.any():
+        # the gram comes again inside such runs: they are parted by its places
+        n = count[several]
+        each = np.repeat(p[several] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        held = np.repeat(key[several], n)
+        at = place(each, held)
+        new = np.ones(len(each), bool)
+        new[1:] = (at[1:] != at[:-1]) | (each[1:] != each[:-1] + 1)
+        first = np.flatnonzero(new)
+        p = np.concatenate([p[~several], each[first]])
+        count = np.concatenate([count[~several], np.diff(np.append(first, len(each)))])
+        key = np.concatenate([key[~several], held[first]])
+        order = np.argsort(p)
+        p, count, key = p[order], count[order], key[order]
+    return p, count, key, seq
 
 
 def passages(docs: DataFrame, groups: int, replies: DataFrame, length: int) -> DataFrame:
     fields = passages_fields(length)
     width, bits = 2 * length - GRAM, S.bucket_bits(docs.sparkSession)
+    # by the number of starts: which bytes are a passage's own
+    own = (np.arange(width) < np.arange(length - GRAM + 2)[:, None] + length - 1).astype(np.uint8)
 
     def extract(rows: pa.Table, told: pa.Table) -> pa.Table:
         rows = A.with_id(rows)
-        known = np.unique(S.unpack([told], A.REPLY)["key"])
+        known = np.sort(S.unpack([told], A.REPLY)["key"])
+        known = known[S.group_edges(known)[:-1]]
         held = S.Gather({"key": "u8", "same": "u8", "doc": "i8", "at": "u4", "count": "u1", "text": fields["text"]})
         ids = A.ids_of(rows)
-        for i, j, data, off in K.pieces(rows.column("text")) if len(known) else ():
-            p, count, key = marked(data, off, length, known)
+        for i, j, data, off in K.pieces(rows.column("text"), PIECE) if len(known) else ():
+            p, count, key, seq = marked(data, off, length, known)
             if not len(p):
                 continue
-            same = K.Prefix(data, K.WORD_BASE).spans(p, p + count + length - 1)
-            at = p[:, None] + np.arange(width)
-            inside = np.arange(width) < (count + length - 1)[:, None]
-            text = np.where(inside, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint8)
             doc = np.searchsorted(off, p, "right") - 1
-            held.add(0, key=key, same=same, doc=ids[i:j][doc], at=(p - off[doc]).astype(np.uint32), count=count.astype(np.uint8), text=np.ascontiguousarray(text).view(fields["text"])[:, 0])
+            text = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[p] * own[count]
+            held.add(0, key=key, same=seq.spans(p, p + count + length - 1), doc=ids[i:j][doc], at=(p - off[doc]).astype(np.uint32), count=count.astype(np.uint8), text=text.view(fields["text"])[:, 0])
         x = held.take()
         if not len(x["key"]):
             return A.as_table(iter(()), fields)
@@ -119,7 +139,7 @@ def passages(docs: DataFrame, groups: int, replies: DataFrame, length: int) -> D
         text[is_told == 1] = 0
         return A.as_table(S.pack(S.bucket_of(spread, bits), {"doc": x["doc"], "at": x["at"], "count": x["count"], "told": is_told, "text": text.view(fields["text"])[:, 0]}), fields)
 
-    return A.meet_text(docs, groups, replies, extract, S.packed_schema(fields))
+    return A.meet_text(docs, groups, replies, extract, S.packed_schema(fields), cycles=0)
 
 
 class Level:
@@ -168,28 +188,53 @@ class Family:
         return least[of]
 
 
-def suffixes(text: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(passage, first `length` bytes) of each suffix start of the passages (rows of bytes)."""
-    which = np.repeat(np.arange(len(text)), count)
-    start = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+def suffixes(text: np.ndarray, which: np.ndarray, start: np.ndarray, length: int) -> np.ndarray:
+    """The first `length` bytes of the suffixes at `start` of passages (rows of bytes)."""
     windows = np.lib.stride_tricks.sliding_window_view(text, length, axis=1)
     # byte strings of one length: their order is that of their bytes, NUL included
-    return which, np.ascontiguousarray(windows[which, start]).view(f"S{length}")[:, 0]
+    return np.ascontiguousarray(windows[which, start]).view(f"S{length}")[:, 0]
+
+
+def sums(text: np.ndarray) -> np.ndarray:
+    """Prefix sums of each row of bytes, from which spans are hashed."""
+    out = np.zeros((len(text), text.shape[1] + 1), np.uint64)
+    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * K.powers(K.BYTE_BASE, text.shape[1])[0][: text.shape[1]], axis=1, out=out[:, 1:])
+    return out
 
 
 def collapsed(text: np.ndarray, count: np.ndarray) -> np.ndarray:
     """For each passage the first one with the same bytes."""
-    p, _ = K.powers(K.BYTE_BASE, text.shape[1] + 1)
-    same = np.zeros(len(text), np.uint64)
-    for c in range(text.shape[1]):
-        same += (text[:, c].astype(np.uint64) + np.uint64(1)) * p[c]
-    order = np.argsort(same, kind="stable")
+    held = text if text.shape[1] % 4 == 0 else np.pad(text, ((0, 0), (0, -text.shape[1] % 4)))
+    held = np.ascontiguousarray(held).view(np.uint32)
+    factors = K.salted(np.arange(held.shape[1], dtype=np.uint64), 67)
+    same = np.concatenate([np.empty(0, np.uint64), *((held[i : i + BATCH] * factors).sum(axis=1) for i in range(0, len(text), BATCH))])
+    order = np.argsort(same)
     edges = S.group_edges(same[order])
     first = np.empty(len(text), np.int64)
-    first[order] = np.repeat(order[edges[:-1]], np.diff(edges))
+    if len(text):
+        first[order] = np.repeat(np.minimum.reduceat(order, edges[:-1]), np.diff(edges))
     return np.where((count[first] == count) & (text[first] == text).all(axis=1), first, np.arange(len(text)))
 
 
+def again(text: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(passage, start) of the suffixes whose hash comes again; all that occur twice are among them."""
+    starts = np.arange(text.shape[1] - length + 1)
+    inverse = K.powers(K.BYTE_BASE, len(starts))[1][: len(starts)]
+    has = starts < count[:, None]
+    hashes = []
+    for i in range(0, len(text), BATCH):
+        x = sums(text[i : i + BATCH])
+        hashes.append(((x[:, length:] - x[:, :-length]) * inverse)[has[i : i + BATCH]])
+    h = np.concatenate([np.empty(0, np.uint64), *hashes])
+    order = np.argsort(h)
+    h = h[order]
+    twice = order[:-1][h[1:] == h[:-1]], order[1:][h[1:] == h[:-1]]
+    some = np.zeros(len(h), bool)
+    some[twice[0]] = some[twice[1]] = True
+    at = np.flatnonzero(has)[some]
+    return at // len(starts), at % len(starts)
+
+
 def verdicts(packed: DataFrame, groups: int, length: int) -> DataFrame:
     """Packed by group: the suffix starts (from `at`, as a bit mask) that occur in a document with a smaller doc_id."""
     fields = passages_fields(length)
@@ -223,16 +268,16 @@ def seen_before(text: np.ndarray, count: np.ndarray, doc: np.ndarray, length: in
     mask = (np.uint64(1) << count.astype(np.uint64)) - np.uint64(1)
     mask[lead] = 0
     family = Family()
-    for i in range(0, len(lead), BATCH):
-        sel = lead[i : i + BATCH]
-        which, suffix = suffixes(text[sel], count[sel], length)
-        hit = family.add(suffix, doc[sel][which]) < doc[sel][which]
-        bit = np.uint64(1) << (np.arange(len(which)) - np.repeat(np.cumsum(count[sel]) - count[sel], count[sel])).astype(np.uint64)
-        found = np.zeros(len(sel), np.uint64)
-        np.bitwise_or.at(found, which[hit], bit[hit])
-        mask[sel] = found
-    again = doc == doc[first]  # the same passage twice in one document shares a verdict
-    mask[again] = mask[first[again]]
+    which, start = again(text[lead], count[lead], length)
+    edges = np.searchsorted(which, np.arange(0, len(lead) + BATCH, BATCH))
+    for a, b in zip(edges[:-1], edges[1:], strict=True):
+        if a == b:
+            continue
+        sel, at = lead[which[a:b]], start[a:b]
+        hit = family.add(suffixes(text, sel, at, length), doc[sel]) < doc[sel]
+        np.bitwise_or.at(mask, sel[hit], np.uint64(1) << at[hit].astype(np.uint64))
+    shared = doc == doc[first]  # the same passage twice in one document shares a verdict
+    mask[shared] = mask[first[shared]]
     return mask
 
 
@@ -244,13 +289,16 @@ def gone_bytes(off: np.ndarray, ids: np.ndarray, v: dict[str, np.ndarray], lengt
     rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     base = np.repeat(off[:-1], n) + v["at"][rows]
     mask = v["mask"][rows]
-    for b in range(64):
-        at = base[(mask >> np.uint64(b)) & np.uint64(1) == 1] + b
-        if len(at):
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + length, -1)
-        elif not (mask >> np.uint64(b)).any():
-            break
+    # a run of starts covers one range; of masks with gaps run after run is taken
+    while len(mask):
+        low = mask & (~mask + np.uint64(1))
+        rest = (mask + low) & mask
+        run = mask ^ rest
+        a, b = (np.frexp(x.astype(np.float64))[1] - 1 for x in (low, run + low))
+        np.add.at(edge, base + a, 1)
+        np.add.at(edge, base + b - 1 + length, -1)
+        more = rest > 0
+        base, mask = base[more], rest[more]
     return np.cumsum(edge[:-1]) > 0
 
 
@@ -260,7 +308,7 @@ BYTES = {"doc_id": pa.int64(), "kept_bytes": pa.binary(), "spans": pa.list_(pa.s
 
 def removal(docs: DataFrame, length: int, f, fields: dict[str, pa.DataType], schema: str) -> DataFrame:
     groups = A.groups_for(docs)
-    first = S.cut(A.repeated(docs, byte_grams(length), groups))
+    first = S.cut(A.repeated(docs, byte_grams(length), groups, PIECE))
     found = S.cut(verdicts(passages(docs, groups, first, length), groups, length))
 
     def last(rows: pa.Table, told: pa.Table) -> pa.Table:
@@ -269,7 +317,7 @@ def removal(docs: DataFrame, length: int, f, fields: dict[str, pa.DataType], sch
         v = {k: c[order] for k, c in v.items()}
         ids, out = A.ids_of(rows), []
         column = rows.column("doc_id").combine_chunks()
-        for i, j, data, off in K.pieces(rows.column("text")):
+        for i, j, data, off in K.pieces(rows.column("text"), PIECE):
             gone = gone_bytes(off, ids[i:j], v, length)
             start, end = K.bounds(gone, off)
             keep = ~gone
@@ -278,7 +326,7 @@ def removal(docs: DataFrame, length: int, f, fields: dict[str, pa.DataType], sch
             out.append(pa.Table.from_arrays([column.slice(i, j - i), *f(off, kept, at, start, end)], names=list(fields)))
         return pa.concat_tables(out) if out else pa.table({n: pa.array([], t) for n, t in fields.items()})
 
-    return A.meet_text(docs, groups, found, last, schema)
+    return A.meet_text(docs, groups, found, last, schema, cycles=0)
 
 
 def _digest(off, kept, at, start, end):

@@ -108,6 +108,50 @@ def test_suffix_levels(docs, rows):
         suffix_dedup.BATCH = batch
 
 
+def test_suffixes_that_are_alike_by_chance_make_no_levels(monkeypatch):
+    """Passages that share their anchor and less than 50 bytes stay out of the arrays; what two documents share is found."""
+    rng = np.random.default_rng(7)
+    text = rng.integers(97, 123, (600, 84)).astype(np.uint8)
+    text[:, 34:50] = text[0, 34:50]
+    text[500:, 10:70] = text[:100, 10:70]
+    text[:500, [9, 70]], text[500:, [9, 70]] = 97, 98
+    added = []
+    add = suffix_dedup.Family.add
+    monkeypatch.setattr(suffix_dedup.Family, "add", lambda self, suffix, doc: added.append(len(suffix)) or add(self, suffix, doc))
+    mask = suffix_dedup.seen_before(text, np.full(600, 35), np.arange(600), 50)
+    assert sum(added) == 2 * 100 * 11
+    assert (mask[:500] == 0).all() and (mask[500:] == (1 << 21) - (1 << 10)).all()
+
+
+def test_marked_runs_and_removed_bytes():
+    """Runs of windows by their anchor, and what masks with gaps remove, against one window after the other."""
+    rng = np.random.default_rng(3)
+    for _ in range(30):
+        text = np.concatenate([np.tile(rng.integers(97, 99, rng.integers(1, 25)), rng.integers(1, 9)) for _ in range(12)]).astype(np.uint8)
+        off = np.array([0, *np.sort(rng.integers(0, len(text) + 1, 3)), len(text)])
+        h = suffix_dedup.K.Prefix(text, suffix_dedup.K.BYTE_BASE).windows(16)
+        known = np.unique(suffix_dedup.byte_grams(50)(text, off)[0])[::2]
+        want = []
+        for a, b in zip(off[:-1], off[1:]):
+            for p in range(a, b - 49):
+                key = h[p : p + 35].min()
+                if key in known:
+                    want.append((p, p + int(np.argmax(h[p : p + 35] == key)), int(key)))
+        p, count, key = suffix_dedup.marked(text, off, 50, known)[:3]
+        got = [(s, int(k)) for a, n, k in zip(p, count, key) for s in range(a, a + n)]
+        assert got == [(s, k) for s, _, k in want]
+        assert len(p) == sum(i == 0 or (want[i][1] != want[i - 1][1] or want[i][0] != want[i - 1][0] + 1) for i in range(len(want)))
+        at = np.sort(rng.integers(0, max(len(text) - 84, 1), 9)).astype(np.uint32)
+        mask = (rng.integers(1, 1 << 35, 9) & rng.integers(1, 1 << 35, 9) | 1).astype(np.uint64)
+        whole = np.array([0, len(text) + 84])
+        gone = np.zeros(whole[1], bool)
+        for s, m in zip(at.tolist(), mask.tolist()):
+            for i in range(35):
+                if m >> i & 1:
+                    gone[s + i : s + i + 50] = True
+        assert (suffix_dedup.gone_bytes(whole, np.array([4]), {"doc": np.full(9, 4), "at": at, "mask": mask}, 50) == gone).all()
+
+
 def test_suffix_query(spark, sf):
     check_bytes(queries.op4_suffix_array_dedup(spark, sf).collect(), table(spark, sf))
 
