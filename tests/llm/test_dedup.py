@@ -123,6 +123,36 @@ def test_suffixes_that_are_alike_by_chance_make_no_levels(monkeypatch):
     assert (mask[:500] == 0).all() and (mask[500:] == (1 << 21) - (1 << 10)).all()
 
 
+def test_anchors_alike_by_chance_are_not_repeated(spark):
+    """Of documents with a 16-byte gram in common those stay in that share a whole side of it, in one task and across tasks."""
+    anchors, grams = suffix_dedup.A, suffix_dedup.byte_grams(50)
+    rng = np.random.default_rng(11)
+    words = ["".join(map(chr, rng.integers(97, 123, 60))) for _ in range(80)]
+    # the least of many grams is an anchor wherever it stands
+    many = rng.integers(97, 123, 80_000).astype(np.uint8)
+    h = suffix_dedup.K.Prefix(many, suffix_dedup.K.BYTE_BASE).windows(16)
+    shared, least = many[h.argmin() :][:16].tobytes().decode(), int(h.min())
+    texts = [w + shared + v for w, v in zip(words[:40], words[40:])]
+    texts += [words[0][:43] + shared + words[40][:17] + words[1], words[2] + words[3][-17:] + shared + words[4]]
+    wide = [(i, t) for i, t in enumerate(texts)]
+    for parts in (1, 7):
+        df = spark.createDataFrame(wide, "doc_id long, text string").repartition(parts)
+        found = collections.defaultdict(set)
+        for r in anchors.repeated(df, grams, 13, sides=True).collect():
+            for d, k in zip(np.frombuffer(r["doc"], "i8").tolist(), np.frombuffer(r["key"], "u8").tolist()):
+                found[k].add(d)
+        # what is equal for 50 bytes or more is all found
+        have = collections.defaultdict(set)
+        for d, t in wide:
+            for i in range(len(t) - 49):
+                have[t[i : i + 50]].add(d)
+        for window, ds in have.items():
+            if len(ds) > 1:
+                h = suffix_dedup.K.Prefix(np.frombuffer(window.encode(), np.uint8), suffix_dedup.K.BYTE_BASE).windows(16)
+                assert ds <= found[int(h.min())]
+        assert {0, 40} <= found[least] and len(found[least]) < 15
+
+
 def test_marked_runs_and_removed_bytes():
     """Runs of windows by their anchor, and what masks with gaps remove, against one window after the other."""
     rng = np.random.default_rng(3)
